@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -19,7 +19,7 @@ def _loads(text: str | None) -> bool:
     return True
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def is_strict_json(text: pd.Series) -> pd.Series:
     """True when the whole text is one JSON value.
 

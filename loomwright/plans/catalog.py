@@ -245,7 +245,7 @@ def nested_catalog(catalog: DataFrame, tables: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("column_name", record.alias("record")))).alias("columns")
     )
     joined = tables.select("table_name").join(nested, "table_name", "left")
-    empty = F.map_from_entries(F.array()).cast(nested.schema["columns"].dataType)
+    empty = F.create_map().cast(nested.schema["columns"].dataType)
     return joined.select("table_name", F.coalesce("columns", empty).alias("columns"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomwright.storage import path_exists, read_text, write_text
 
-_CURRENT = "_CURRENT"
+_POINTER = "CURRENT"
 
 
 def as_documents(
@@ -92,7 +92,7 @@ class DocumentIndex:
         self._dimension = dimension
 
     def read(self) -> DataFrame | None:
-        pointer = f"{self._path}/{_CURRENT}"
+        pointer = f"{self._path}/{_POINTER}"
         if not path_exists(self._spark, pointer):
             return None
         return self._spark.read.parquet(f"{self._path}/{read_text(self._spark, pointer).strip()}")
@@ -100,7 +100,7 @@ class DocumentIndex:
     def _publish(self, docs: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         docs.write.parquet(f"{self._path}/{version}")
-        write_text(self._spark, f"{self._path}/{_CURRENT}", version)
+        write_text(self._spark, f"{self._path}/{_POINTER}", version)
 
     def upsert(self, batch: DataFrame, position: str | None = None) -> None:
         check_ids(batch)
