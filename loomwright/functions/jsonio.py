@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -29,33 +30,31 @@ def is_strict_json(text: pd.Series) -> pd.Series:
     return text.map(_loads).astype(bool)
 
 
-def field(value: Column, name: str) -> Column:
-    """A member of a variant object as a variant; null when it is missing."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def shape(value: Column) -> Column:
+    """Type text of a variant: ``STRING``, ``ARRAY<...>``, ``OBJECT<...>``, ``VOID`` for a
+    JSON null; ``MISSING`` for no value at all."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
 
 
-def kind(value: Column) -> Column:
-    """``MISSING``, ``VOID`` (a JSON null), ``STRING``, ``OBJECT``, ``ARRAY``,
-    ``BOOLEAN`` or the name of a number type."""
-    return F.coalesce(
-        F.regexp_extract(F.schema_of_variant(value), r"\A[A-Z]+", 0), F.lit("MISSING")
-    )
+def members(value: Column, names: Iterable[str], path: str = "$") -> Column:
+    """An object's members as a struct of variants, null when there is no object."""
+    return F.try_variant_get(value, path, _struct_of(names))
 
 
-def text_of(value: Column) -> Column:
-    """The string a variant holds; null when it holds anything else."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def list_of_members(value: Column, names: Iterable[str]) -> Column:
+    """The same for an array of objects, null unless every element is one."""
+    return F.try_variant_get(value, "$", f"array<{_struct_of(names)}>")
+
 
+def _struct_of(names: Iterable[str]) -> str:
+    return f"struct<{','.join(f'{n}:variant' for n in names)}>"
 
-def list_of(value: Column) -> Column:
-    """The array a variant holds, as variants; null when it holds anything else."""
-    return F.when(kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+
+def text_of(value: Column) -> Column:
+    """The text of a variant that is known to hold a string or nothing."""
+    return F.try_variant_get(value, "$", "string")
 
 
 def texts_of(value: Column) -> Column:
-    """An array of strings; null unless every element is a string."""
-    items = list_of(value)
-    return F.when(
-        F.forall(items, lambda item: kind(item) == "STRING"),
-        F.transform(items, lambda item: F.try_variant_get(item, "$", "string")),
-    )
+    """The texts of a variant that is known to hold an array of strings or nothing."""
+    return F.try_variant_get(value, "$", "array<string>")

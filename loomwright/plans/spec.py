@@ -1,13 +1,17 @@
 """Job specs: schema, parsing with defaults, checks, repair of wrapped specs.
 
-All of it is done within each row; nothing is shuffled.
+All of it is done within each row; nothing is shuffled. A JSON object is first opened
+into a struct of variants, one per known key, so that each value is looked at once:
+its type decides whether it is missing, null or wrong.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwright.functions.jsonio import field, is_strict_json, kind, list_of, text_of, texts_of
+from loomwright.functions.jsonio import (
+    is_strict_json, list_of_members, members, shape, text_of, texts_of,
+)
 from loomwright.operators.joins import JOIN_TYPES
 
 SPEC_TYPE = (
@@ -33,214 +37,217 @@ INVALID_JSON = "invalid_json"
 BAD_SCHEMA = "schema"
 
 
-def _is_missing(value: Column) -> Column:
-    return kind(value) == "MISSING"
+JOIN_KEYS = ("left_table", "right_table", "join_type", "on_columns", "description")
+STEP_KEYS = ("type", "details")
+SCORING_KEYS = ("name", "objective", "target_column", "features")
+SPEC_KEYS = (
+    "pipeline_name", "main_goal", "initial_tables", "join_operations", "data_cleaning_steps",
+    "feature_engineering_steps", "scoring_model", "output_format", "output_location",
+)
+ITEM_KEYS = tuple(dict.fromkeys([*JOIN_KEYS, *STEP_KEYS, *SCORING_KEYS, "table_name"]))
+
+_NO_TEXTS = "array<string>"
+
+
+def _at(path: Column, name: str) -> Column:
+    return F.concat(path, F.lit(f".{name}"))
 
 
-def _problem(value: Column, path: Column, expected: str, required: bool, nullable: bool) -> Column:
-    """An error text for one field, null when it is fine."""
-    found = kind(value)
+def _problem(
+    value: Column, path: Column, expected: str, required: bool = True, nullable: bool = False
+) -> Column:
+    """An error text for one value, null when it is fine."""
     allowed = [expected] + ([] if required else ["MISSING"]) + (["VOID"] if nullable else [])
+    found = F.substring_index(shape(value), "<", 1)
     return F.when(
         ~found.isin(allowed),
         F.concat(path, F.lit(f": expected {expected.lower()}, found "), F.lower(found)),
     )
 
 
-def _text_list_problem(value: Column, path: Column, required: bool, nullable: bool) -> Column:
+def _texts_problem(
+    value: Column, path: Column, required: bool = True, nullable: bool = False
+) -> Column:
+    # An empty array and one of nulls share a type, so the elements are looked at, too.
+    all_texts = shape(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(
+        texts_of(value), lambda t: t.isNotNull()
+    )
     return F.coalesce(
         _problem(value, path, "ARRAY", required, nullable),
         F.when(
-            (kind(value) == "ARRAY") & texts_of(value).isNull(),
+            shape(value).startswith("ARRAY") & ~F.coalesce(all_texts, F.lit(False)),
             F.concat(path, F.lit(": expected a list of strings")),
         ),
     )
 
 
-def _joined(path: Column, name: str) -> Column:
-    return F.concat(path, F.lit(f".{name}"))
+def _found(*problems: Column) -> Column:
+    return F.array_compact(F.array(*problems))
 
 
-def _join_problems(item: Column, path: Column) -> list[Column]:
-    join_type = field(item, "join_type")
-    return [
-        _problem(field(item, "left_table"), _joined(path, "left_table"), "STRING", True, False),
-        _problem(field(item, "right_table"), _joined(path, "right_table"), "STRING", True, False),
+def _join_problems(join: Column, path: Column) -> Column:
+    join_type = join["join_type"]
+    return _found(
+        _problem(join["left_table"], _at(path, "left_table"), "STRING"),
+        _problem(join["right_table"], _at(path, "right_table"), "STRING"),
         F.coalesce(
-            _problem(join_type, _joined(path, "join_type"), "STRING", False, False),
+            _problem(join_type, _at(path, "join_type"), "STRING", required=False),
             F.when(
-                (kind(join_type) == "STRING") & ~text_of(join_type).isin(*JOIN_TYPES),
-                F.concat(_joined(path, "join_type"), F.lit(": not a join type")),
+                ~text_of(join_type).isin(*JOIN_TYPES),
+                F.concat(_at(path, "join_type"), F.lit(": not a join type")),
             ),
         ),
-        _text_list_problem(field(item, "on_columns"), _joined(path, "on_columns"), True, False),
-        _problem(field(item, "description"), _joined(path, "description"), "STRING", False, True),
-    ]
-
-
-def _step_problems(details_required: bool):
-    def problems(item: Column, path: Column) -> list[Column]:
-        return [
-            _problem(field(item, "type"), _joined(path, "type"), "STRING", True, False),
-            _problem(
-                field(item, "details"), _joined(path, "details"), "OBJECT", details_required, False
-            ),
-        ]
-
-    return problems
-
+        _texts_problem(join["on_columns"], _at(path, "on_columns")),
+        _problem(join["description"], _at(path, "description"), "STRING", False, True),
+    )
 
-def _scoring_problems(item: Column, path: Column) -> list[Column]:
-    return [
-        *[
-            _problem(field(item, n), _joined(path, n), "STRING", True, False)
-            for n in ("name", "objective", "target_column")
-        ],
-        _text_list_problem(field(item, "features"), _joined(path, "features"), False, True),
-    ]
 
+def _cleaning_problems(step: Column, path: Column, details_required: bool = True) -> Column:
+    return _found(
+        _problem(step["type"], _at(path, "type"), "STRING"),
+        _problem(step["details"], _at(path, "details"), "OBJECT", details_required),
+    )
 
-_cleaning_problems = _step_problems(details_required=True)
-_feature_problems = _step_problems(details_required=False)
 
+def _feature_problems(step: Column, path: Column) -> Column:
+    return _cleaning_problems(step, path, details_required=False)
 
-def _found(problems: list[Column]) -> Column:
-    return F.array_compact(F.array(*problems))
 
-
-def _object_problems(item: Column, path: Column, problems) -> Column:
-    """Problems of an object's fields, or the one problem that it is no object."""
-    return F.when(kind(item) == "OBJECT", _found(problems(item, path))).otherwise(
-        F.array(F.concat(path, F.lit(": expected object, found "), F.lower(kind(item))))
+def _scoring_problems(scoring: Column, path: Column) -> Column:
+    return _found(
+        *[_problem(scoring[n], _at(path, n), "STRING") for n in SCORING_KEYS[:3]],
+        _texts_problem(scoring["features"], _at(path, "features"), False, True),
     )
 
 
-def _list_problems(value: Column, name: str, problems) -> Column:
-    own = _found([_problem(value, F.lit(name), "ARRAY", False, False)])
-    of_items = F.flatten(
-        F.transform(
-            list_of(value),
-            lambda item, i: _object_problems(
-                item, F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]")), problems
+def _list_problems(value: Column, opened: Column, name: str, problems) -> Column:
+    own = _found(
+        F.coalesce(
+            _problem(value, F.lit(name), "ARRAY", required=False),
+            F.when(
+                shape(value).startswith("ARRAY")
+                & (opened.isNull() | F.exists(opened, lambda item: item.isNull())),
+                F.lit(f"{name}: expected a list of objects"),
             ),
         )
     )
-    return F.concat(own, F.coalesce(of_items, F.array().cast("array<string>")))
-
-
-def spec_problems(spec: Column) -> Column:
-    """Everything that keeps a variant from being a spec, as an array of texts."""
-    scoring = field(spec, "scoring_model")
-    top = _found(
-        [
-            _problem(field(spec, "pipeline_name"), F.lit("pipeline_name"), "STRING", True, False),
-            _problem(field(spec, "main_goal"), F.lit("main_goal"), "STRING", True, False),
-            _text_list_problem(
-                field(spec, "initial_tables"), F.lit("initial_tables"), False, False
-            ),
-        ]
-    )
-    bottom = _found(
-        [
-            _problem(field(spec, "output_format"), F.lit("output_format"), "STRING", False, True),
-            _problem(
-                field(spec, "output_location"), F.lit("output_location"), "STRING", False, True
+    of_items = F.flatten(
+        F.transform(
+            F.filter(opened, lambda item: item.isNotNull()),
+            lambda item, i: problems(
+                item, F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
             ),
-        ]
+        )
     )
-    no_problem = F.array().cast("array<string>")
-    return F.when(
-        kind(spec) == "OBJECT",
-        F.concat(
-            top,
-            _list_problems(field(spec, "join_operations"), "join_operations", _join_problems),
-            _list_problems(
-                field(spec, "data_cleaning_steps"), "data_cleaning_steps", _cleaning_problems
-            ),
-            _list_problems(
-                field(spec, "feature_engineering_steps"),
-                "feature_engineering_steps",
-                _feature_problems,
-            ),
-            F.when(kind(scoring).isin("MISSING", "VOID"), no_problem).otherwise(
-                _object_problems(scoring, F.lit("scoring_model"), _scoring_problems)
-            ),
-            bottom,
-        ),
-    ).otherwise(F.array(F.lit("spec: expected object")))
+    return F.concat(own, F.coalesce(of_items, F.array().cast(_NO_TEXTS)))
 
 
-def _as_join(item: Column) -> Column:
+def _as_join(join: Column) -> Column:
     return F.struct(
-        text_of(field(item, "left_table")).alias("left_table"),
-        text_of(field(item, "right_table")).alias("right_table"),
-        F.coalesce(text_of(field(item, "join_type")), F.lit(DEFAULT_JOIN_TYPE)).alias("join_type"),
-        texts_of(field(item, "on_columns")).alias("on_columns"),
-        text_of(field(item, "description")).alias("description"),
+        text_of(join["left_table"]).alias("left_table"),
+        text_of(join["right_table"]).alias("right_table"),
+        F.coalesce(text_of(join["join_type"]), F.lit(DEFAULT_JOIN_TYPE)).alias("join_type"),
+        texts_of(join["on_columns"]).alias("on_columns"),
+        text_of(join["description"]).alias("description"),
     )
 
 
-def _as_step(item: Column) -> Column:
-    details = F.coalesce(field(item, "details"), F.parse_json(F.lit("{}")))
-    return F.struct(text_of(field(item, "type")).alias("type"), details.alias("details"))
+def _as_step(step: Column) -> Column:
+    details = F.coalesce(step["details"], F.parse_json(F.lit("{}")))
+    return F.struct(text_of(step["type"]).alias("type"), details.alias("details"))
 
 
-def _as_scoring(item: Column) -> Column:
+def _as_scoring(scoring: Column) -> Column:
     return F.when(
-        kind(item) == "OBJECT",
+        scoring.isNotNull(),
         F.struct(
-            *[text_of(field(item, n)).alias(n) for n in ("name", "objective", "target_column")],
-            texts_of(field(item, "features")).alias("features"),
+            *[text_of(scoring[n]).alias(n) for n in SCORING_KEYS[:3]],
+            texts_of(scoring["features"]).alias("features"),
         ),
     )
 
 
-def _items(value: Column, shape) -> Column:
-    return F.coalesce(F.transform(list_of(value), shape), F.array())
-
-
 def _or_default(value: Column, default: str) -> Column:
-    return F.when(_is_missing(value), F.lit(default)).otherwise(text_of(value))
+    return F.when(value.isNull(), F.lit(default)).otherwise(text_of(value))
 
 
-def as_spec(spec: Column) -> Column:
-    """A variant as a typed spec with its defaults; unknown keys are ignored."""
-    return F.struct(
-        text_of(field(spec, "pipeline_name")).alias("pipeline_name"),
-        text_of(field(spec, "main_goal")).alias("main_goal"),
-        F.coalesce(texts_of(field(spec, "initial_tables")), F.array().cast("array<string>")).alias(
-            "initial_tables"
-        ),
-        _items(field(spec, "join_operations"), _as_join).alias("join_operations"),
-        _items(field(spec, "data_cleaning_steps"), _as_step).alias("data_cleaning_steps"),
-        _items(field(spec, "feature_engineering_steps"), _as_step).alias(
-            "feature_engineering_steps"
-        ),
-        _as_scoring(field(spec, "scoring_model")).alias("scoring_model"),
-        _or_default(field(spec, "output_format"), DEFAULT_FORMAT).alias("output_format"),
-        text_of(field(spec, "output_location")).alias("output_location"),
-    ).cast(SPEC_TYPE)
+def _listed(opened: Column, as_item) -> Column:
+    return F.coalesce(F.transform(opened, as_item), F.array())
 
 
 def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Add ``spec`` (null unless valid), ``error_class`` and ``errors`` to payload rows."""
-    parsed = df.withColumn("_strict", is_strict_json(payload_col)).withColumn(
-        "_json", F.when(F.col("_strict"), F.try_parse_json(payload_col))
+    """Add ``spec`` (null unless valid), ``error_class`` and ``errors`` to payload rows.
+
+    Write the result before taking it apart (``storage.stage``): a filter on the errors
+    of an unwritten frame is pushed down and finds them a second time.
+    """
+    top = {n: F.col(f"_top.{n}") for n in SPEC_KEYS}
+    joins, cleaning, building, scoring = (
+        F.col(c) for c in ("_joins", "_cleaning", "_building", "_scoring")
     )
-    checked = parsed.withColumn(
-        "errors",
-        F.when(F.col("_json").isNull(), F.array(F.lit("payload: not valid JSON"))).otherwise(
-            spec_problems(F.col("_json"))
+    opened = (
+        df.withColumn("_strict", is_strict_json(payload_col))
+        .withColumn("_json", F.when(F.col("_strict"), F.try_parse_json(payload_col)))
+        .withColumn("_top", members(F.col("_json"), SPEC_KEYS))
+        .withColumns(
+            {
+                "_joins": list_of_members(top["join_operations"], JOIN_KEYS),
+                "_cleaning": list_of_members(top["data_cleaning_steps"], STEP_KEYS),
+                "_building": list_of_members(top["feature_engineering_steps"], STEP_KEYS),
+                "_scoring": members(top["scoring_model"], SCORING_KEYS),
+            }
+        )
+    )
+    problems = F.concat(
+        _found(
+            _problem(top["pipeline_name"], F.lit("pipeline_name"), "STRING"),
+            _problem(top["main_goal"], F.lit("main_goal"), "STRING"),
+            _texts_problem(top["initial_tables"], F.lit("initial_tables"), required=False),
+        ),
+        _list_problems(top["join_operations"], joins, "join_operations", _join_problems),
+        _list_problems(
+            top["data_cleaning_steps"], cleaning, "data_cleaning_steps", _cleaning_problems
         ),
+        _list_problems(
+            top["feature_engineering_steps"], building, "feature_engineering_steps",
+            _feature_problems,
+        ),
+        _found(_problem(top["scoring_model"], F.lit("scoring_model"), "OBJECT", False, True)),
+        F.when(scoring.isNotNull(), _scoring_problems(scoring, F.lit("scoring_model"))).otherwise(
+            F.array().cast(_NO_TEXTS)
+        ),
+        _found(
+            _problem(top["output_format"], F.lit("output_format"), "STRING", False, True),
+            _problem(top["output_location"], F.lit("output_location"), "STRING", False, True),
+        ),
+    )
+    checked = opened.withColumn(
+        "errors",
+        F.when(F.col("_json").isNull(), F.array(F.lit("payload: not valid JSON")))
+        .when(F.col("_top").isNull(), F.array(F.lit("spec: expected object")))
+        .otherwise(problems),
     )
+    spec = F.struct(
+        text_of(top["pipeline_name"]).alias("pipeline_name"),
+        text_of(top["main_goal"]).alias("main_goal"),
+        F.coalesce(texts_of(top["initial_tables"]), F.array().cast(_NO_TEXTS)).alias(
+            "initial_tables"
+        ),
+        _listed(joins, _as_join).alias("join_operations"),
+        _listed(cleaning, _as_step).alias("data_cleaning_steps"),
+        _listed(building, _as_step).alias("feature_engineering_steps"),
+        _as_scoring(scoring).alias("scoring_model"),
+        _or_default(top["output_format"], DEFAULT_FORMAT).alias("output_format"),
+        text_of(top["output_location"]).alias("output_location"),
+    ).cast(SPEC_TYPE)
     return checked.withColumns(
         {
             "error_class": F.when(F.col("_json").isNull(), INVALID_JSON).when(
                 F.size("errors") > 0, BAD_SCHEMA
             ),
-            "spec": F.when(F.size("errors") == 0, as_spec(F.col("_json"))),
+            "spec": F.when(F.size("errors") == 0, spec),
         }
-    ).drop("_strict", "_json")
+    ).drop("_strict", "_json", "_top", "_joins", "_cleaning", "_building", "_scoring")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -251,28 +258,30 @@ def quarantined(parsed: DataFrame) -> DataFrame:
     return parsed.where("error_class is not null").drop("spec")
 
 
-def _mentions(text: Column, words: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(F.lower(text), F.lit(word))
-    return F.coalesce(hit, F.lit(False))
-
-
 def item_class(item: Column, literal: bool = False) -> Column:
-    """What a loose item is: the first of join, cleaning, feature, scoring that fits.
+    """What a loose item is: the first of join, cleaning, feature, scoring that it looks
+    like, and null when it is not a valid one of these.
 
     The literal rule knows no polynomial and date features.
     """
-    step_type = text_of(field(item, "type"))
-    is_step = ~_is_missing(field(item, "type")) & ~_is_missing(field(item, "details"))
+    path = F.lit("")
     feature_words = FEATURE_WORDS if literal else FEATURE_WORDS + MORE_FEATURE_WORDS
+
+    def mentions(words: tuple[str, ...]) -> Column:
+        return F.lower(text_of(item["type"])).rlike("|".join(words))
+
+    def valid(problems, name: str) -> Column:
+        return F.when(F.size(problems(item, path)) == 0, name)
+
+    is_step = item["type"].isNotNull() & item["details"].isNotNull()
     return (
         F.when(
-            ~_is_missing(field(item, "join_type")) & ~_is_missing(field(item, "on_columns")), "join"
+            item["join_type"].isNotNull() & item["on_columns"].isNotNull(),
+            valid(_join_problems, "join"),
         )
-        .when(is_step & _mentions(step_type, CLEANING_WORDS), "cleaning")
-        .when(is_step & _mentions(step_type, feature_words), "feature")
-        .when(~_is_missing(field(item, "target_column")), "scoring")
+        .when(is_step & mentions(CLEANING_WORDS), valid(_cleaning_problems, "cleaning"))
+        .when(is_step & mentions(feature_words), valid(_feature_problems, "feature"))
+        .when(item["target_column"].isNotNull(), valid(_scoring_problems, "scoring"))
     )
 
 
@@ -285,65 +294,64 @@ def repair_wrapped(
     and ``errors``: items are gathered by class in their order, invalid ones dropped,
     the last scoring item wins, and the head of the spec is taken from the initial one.
     """
-    path = F.lit("item")
-
-    def of_class(name: str, problems, shape) -> Column:
-        return F.transform(
-            F.filter(
-                "_items",
-                lambda x: (x["class"] == name)
-                & (F.size(_object_problems(x["item"], path, problems)) == 0),
-            ),
-            lambda x: shape(x["item"]),
+    head = {n: F.col(f"_initial.{n}") for n in SPEC_KEYS}
+    opened = (
+        df.withColumns(
+            {
+                "_loose": F.try_variant_get(
+                    F.try_parse_json(wrapped_col), "$.etl_tasks", "array<variant>"
+                ),
+                "_initial": members(F.try_parse_json(initial_col), SPEC_KEYS),
+            }
         )
-
-    parsed = df.withColumns(
-        {"_wrapped": F.try_parse_json(wrapped_col), "_initial": F.try_parse_json(initial_col)}
-    ).withColumn(
-        "_items",
-        F.transform(
+        .withColumn(
+            "_items",
             F.filter(
-                list_of(field(F.col("_wrapped"), "etl_tasks")), lambda x: kind(x) == "OBJECT"
+                F.transform("_loose", lambda x: members(x, ITEM_KEYS)), lambda x: x.isNotNull()
             ),
-            lambda x: F.struct(x.alias("item"), item_class(x, literal).alias("class")),
-        ),
-    )
-    initial = F.col("_initial")
-    tables = F.coalesce(
-        texts_of(field(initial, "initial_tables")), F.array().cast("array<string>")
-    )
-    named = F.array_distinct(
-        F.array_compact(F.transform("_items", lambda x: text_of(field(x["item"], "table_name"))))
+        )
+        .withColumns(
+            {
+                "_classes": F.transform("_items", lambda x: item_class(x, literal)),
+                "_tables": F.coalesce(texts_of(head["initial_tables"]), F.array().cast(_NO_TEXTS)),
+                "_named": F.array_distinct(
+                    F.array_compact(F.transform("_items", lambda x: text_of(x["table_name"])))
+                ),
+            }
+        )
     )
-    scoring = of_class("scoring", _scoring_problems, _as_scoring)
+
+    def of_class(name: str, as_item) -> Column:
+        chosen = F.filter("_items", lambda x, i: F.get("_classes", i) == name)
+        return F.transform(chosen, as_item)
+
+    last_scoring = F.try_element_at(of_class("scoring", _as_scoring), F.lit(-1))
     built = F.struct(
-        _or_default(field(initial, "pipeline_name"), DEFAULT_NAME).alias("pipeline_name"),
-        _or_default(field(initial, "main_goal"), DEFAULT_GOAL).alias("main_goal"),
-        F.concat(tables, F.filter(named, lambda t: ~F.array_contains(tables, t))).alias(
-            "initial_tables"
-        ),
-        of_class("join", _join_problems, _as_join).alias("join_operations"),
-        of_class("cleaning", _cleaning_problems, _as_step).alias("data_cleaning_steps"),
-        of_class("feature", _feature_problems, _as_step).alias("feature_engineering_steps"),
-        F.when(F.size(scoring) > 0, F.element_at(scoring, -1)).alias("scoring_model"),
-        _or_default(field(initial, "output_format"), DEFAULT_FORMAT).alias("output_format"),
-        text_of(field(initial, "output_location")).alias("output_location"),
+        _or_default(head["pipeline_name"], DEFAULT_NAME).alias("pipeline_name"),
+        _or_default(head["main_goal"], DEFAULT_GOAL).alias("main_goal"),
+        F.concat(
+            "_tables", F.filter("_named", lambda t: ~F.array_contains("_tables", t))
+        ).alias("initial_tables"),
+        of_class("join", _as_join).alias("join_operations"),
+        of_class("cleaning", _as_step).alias("data_cleaning_steps"),
+        of_class("feature", _as_step).alias("feature_engineering_steps"),
+        last_scoring.alias("scoring_model"),
+        _or_default(head["output_format"], DEFAULT_FORMAT).alias("output_format"),
+        text_of(head["output_location"]).alias("output_location"),
     ).cast(SPEC_TYPE)
-    head_problems = _found(
-        [
-            F.when(F.col("spec.pipeline_name").isNull(), F.lit("pipeline_name: expected string")),
-            F.when(F.col("spec.main_goal").isNull(), F.lit("main_goal: expected string")),
-        ]
+    nameable = ("MISSING", "STRING")
+    errors = F.when(F.col("_items").isNull(), F.array(F.lit("etl_tasks: expected a list"))).otherwise(
+        _found(
+            *[
+                F.when(~shape(head[n]).isin(*nameable), F.lit(f"{n}: expected string"))
+                for n in ("pipeline_name", "main_goal")
+            ]
+        )
     )
     return (
-        parsed.withColumn("spec", F.when(F.col("_items").isNotNull(), built))
+        opened.withColumn("errors", errors)
         .withColumns(
-            {
-                "errors": F.when(
-                    F.col("spec").isNull(), F.array(F.lit("etl_tasks: expected a list"))
-                ).otherwise(head_problems),
-            }
+            {"repaired": F.size("errors") == 0, "spec": F.when(F.size("errors") == 0, built)}
         )
-        .withColumn("repaired", F.size("errors") == 0)
-        .drop("_wrapped", "_initial", "_items")
+        .drop("_loose", "_initial", "_items", "_classes", "_tables", "_named")
     )

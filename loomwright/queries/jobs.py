@@ -15,7 +15,7 @@ from loomwright.plans.validate import validate_specs, validation_report
 from loomwright.queries.base import query, table
 from loomwright.queries.catalog import BRAND_TABLE as _TABLE
 from loomwright.sources.index_store import DocumentIndex
-from loomwright.storage import scratch_path
+from loomwright.storage import scratch_path, stage
 
 _ID = "CAST(o_orderkey AS STRING)"
 
@@ -78,10 +78,10 @@ _SPEC = f"""'{{"pipeline_name": "job ' || {_ID} || '", ' || CASE WHEN o_orderpri
                  CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS d FROM s),
     e AS (SELECT *, CASE WHEN NOT valid THEN 'payload: not valid JSON' ELSE
         concat_ws('; ',
-          CASE WHEN d->>'main_goal' IS NULL THEN 'main_goal: expected string, found missing' END,
-          CASE WHEN d->>'$.join_operations[0].join_type' NOT IN ('inner','left','right','outer')
+          CASE WHEN json_extract_string(d, '$.main_goal') IS NULL THEN 'main_goal: expected string, found missing' END,
+          CASE WHEN json_extract_string(d, '$.join_operations[0].join_type') NOT IN ('inner','left','right','outer')
                THEN 'join_operations[0].join_type: not a join type' END,
-          CASE WHEN d->'$.join_operations[0].on_columns' IS NULL
+          CASE WHEN json_extract(d, '$.join_operations[0].on_columns') IS NULL
                THEN 'join_operations[0].on_columns: expected array, found missing' END) END AS errors
       FROM j)
     SELECT spec_id, errors,
@@ -266,7 +266,7 @@ _CHECKED = f"""'{{"pipeline_name": "n", "main_goal": "g", "initial_tables": ["'
 )
 def spec_validate(spark, sf_dir):
     payloads = table(spark, sf_dir, "orders").selectExpr("o_orderkey spec_id", f"{_CHECKED} payload")
-    specs = accepted(parse_specs(payloads)).select("spec_id", "spec")
+    specs = accepted(stage(parse_specs(payloads), "specs")).select("spec_id", "spec")
     catalog = table(spark, sf_dir, "part").selectExpr(*_CATALOG)
     # One type per column: the least family of its parts, as text sorts after numbers.
     catalog = catalog.groupBy("table_name", "column_name").agg(
@@ -294,7 +294,7 @@ def _approved(spark, sf_dir) -> DataFrame:
         "o_orderkey spec_id", f"{_SPEC} payload", f"'request ' || {_ID} request",
         "CASE WHEN o_custkey % 2 = 0 THEN array(o_orderpriority, o_orderstatus) END feedback",
     )
-    return accepted(parse_specs(specs)).select("spec_id", "spec", "request", "feedback")
+    return accepted(stage(parse_specs(specs), "specs")).select("spec_id", "spec", "request", "feedback")
 
 
 _ACCEPTED = f"""
