@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from loomwright.storage import spread
+
 # A query side up to this many rows and bytes goes to every task; a larger one is
 # cut into blocks that are shuffled together with blocks of documents.
 MAX_SHARED_QUERIES = 4096
@@ -131,7 +133,7 @@ def rank_documents(
         if table is not None:
             yield from table.to_batches()
 
-    return best_k(docs.mapInArrow(run, schema), k)
+    return best_k(spread(docs).mapInArrow(run, schema), k)
 
 
 def rank_in_blocks(

@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomwright.operators.topk import best_k, rank_documents, rank_in_blocks
+from loomwright.storage import spread
 
 # Cosines are ranked on this many decimals: the last bits depend on the order of
 # summation, and equal vectors must tie.
@@ -30,13 +32,15 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
         return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dimension
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), dimension))
-        slots: dict[str, int] = {}
-        for row, text in enumerate(texts):
-            for word in text.split():
-                if word not in slots:
-                    slots[word] = slot(word)
-                vectors[row, slots[word]] += 1.0
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = pc.dictionary_encode(words.flatten())
+        slots = np.array([slot(w) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        place = slots[coded.indices.to_numpy(zero_copy_only=False)]
+        row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+        kept = place >= 0
+        cells = row[kept].astype(np.int64) * dimension + place[kept]
+        vectors = np.bincount(cells, minlength=len(texts) * dimension).astype(np.float64)
+        vectors = vectors.reshape(len(texts), dimension)
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return np.divide(vectors, norms, out=vectors, where=norms > 0)
 
@@ -72,7 +76,7 @@ def embed_texts(
                     [*batch.columns, column], names=[*batch.schema.names, out]
                 )
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def plain_words(text: Column) -> Column:

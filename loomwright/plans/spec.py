@@ -13,15 +13,19 @@ from loomwright.functions.jsonio import (
     is_strict_json, list_of_members, members, shape, text_of, texts_of,
 )
 from loomwright.operators.joins import JOIN_TYPES
+from loomwright.storage import spread
 
+JOIN_TYPE = (
+    "struct<left_table:string,right_table:string,join_type:string,"
+    "on_columns:array<string>,description:string>"
+)
+STEP_TYPE = "struct<type:string,details:variant>"
+SCORING_TYPE = "struct<name:string,objective:string,target_column:string,features:array<string>>"
 SPEC_TYPE = (
     "struct<pipeline_name:string,main_goal:string,initial_tables:array<string>,"
-    "join_operations:array<struct<left_table:string,right_table:string,join_type:string,"
-    "on_columns:array<string>,description:string>>,"
-    "data_cleaning_steps:array<struct<type:string,details:variant>>,"
-    "feature_engineering_steps:array<struct<type:string,details:variant>>,"
-    "scoring_model:struct<name:string,objective:string,target_column:string,"
-    "features:array<string>>,output_format:string,output_location:string>"
+    f"join_operations:array<{JOIN_TYPE}>,data_cleaning_steps:array<{STEP_TYPE}>,"
+    f"feature_engineering_steps:array<{STEP_TYPE}>,scoring_model:{SCORING_TYPE},"
+    "output_format:string,output_location:string>"
 )
 
 # Defaults of a spec and the words that classify its steps.
@@ -105,7 +109,10 @@ def _join_problems(join: Column, path: Column) -> Column:
 def _cleaning_problems(step: Column, path: Column, details_required: bool = True) -> Column:
     return _found(
         _problem(step["type"], _at(path, "type"), "STRING"),
-        _problem(step["details"], _at(path, "details"), "OBJECT", details_required),
+        F.when(
+            members(step["details"], ("_",)).isNull(),
+            _problem(step["details"], _at(path, "details"), "OBJECT", details_required),
+        ),
     )
 
 
@@ -121,14 +128,15 @@ def _scoring_problems(scoring: Column, path: Column) -> Column:
 
 
 def _list_problems(value: Column, opened: Column, name: str, problems) -> Column:
+    # A list that opened needs no look at its type, which would cover all it holds.
+    closed = F.coalesce(
+        _problem(value, F.lit(name), "ARRAY", required=False),
+        F.when(value.isNotNull(), F.lit(f"{name}: expected a list of objects")),
+    )
     own = _found(
-        F.coalesce(
-            _problem(value, F.lit(name), "ARRAY", required=False),
-            F.when(
-                shape(value).startswith("ARRAY")
-                & (opened.isNull() | F.exists(opened, lambda item: item.isNull())),
-                F.lit(f"{name}: expected a list of objects"),
-            ),
+        F.when(opened.isNull(), closed).when(
+            F.exists(opened, lambda item: item.isNull()),
+            F.lit(f"{name}: expected a list of objects"),
         )
     )
     of_items = F.flatten(
@@ -171,8 +179,8 @@ def _or_default(value: Column, default: str) -> Column:
     return F.when(value.isNull(), F.lit(default)).otherwise(text_of(value))
 
 
-def _listed(opened: Column, as_item) -> Column:
-    return F.coalesce(F.transform(opened, as_item), F.array())
+def _listed(opened: Column, as_item, item_type: str) -> Column:
+    return F.coalesce(F.transform(opened, as_item), F.array().cast(f"array<{item_type}>"))
 
 
 def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
@@ -186,7 +194,8 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
         F.col(c) for c in ("_joins", "_cleaning", "_building", "_scoring")
     )
     opened = (
-        df.withColumn("_strict", is_strict_json(payload_col))
+        spread(df)
+        .withColumn("_strict", is_strict_json(payload_col))
         .withColumn("_json", F.when(F.col("_strict"), F.try_parse_json(payload_col)))
         .withColumn("_top", members(F.col("_json"), SPEC_KEYS))
         .withColumns(
@@ -212,7 +221,12 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
             top["feature_engineering_steps"], building, "feature_engineering_steps",
             _feature_problems,
         ),
-        _found(_problem(top["scoring_model"], F.lit("scoring_model"), "OBJECT", False, True)),
+        _found(
+            F.when(
+                scoring.isNull(),
+                _problem(top["scoring_model"], F.lit("scoring_model"), "OBJECT", False, True),
+            )
+        ),
         F.when(scoring.isNotNull(), _scoring_problems(scoring, F.lit("scoring_model"))).otherwise(
             F.array().cast(_NO_TEXTS)
         ),
@@ -233,13 +247,13 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
         F.coalesce(texts_of(top["initial_tables"]), F.array().cast(_NO_TEXTS)).alias(
             "initial_tables"
         ),
-        _listed(joins, _as_join).alias("join_operations"),
-        _listed(cleaning, _as_step).alias("data_cleaning_steps"),
-        _listed(building, _as_step).alias("feature_engineering_steps"),
+        _listed(joins, _as_join, JOIN_TYPE).alias("join_operations"),
+        _listed(cleaning, _as_step, STEP_TYPE).alias("data_cleaning_steps"),
+        _listed(building, _as_step, STEP_TYPE).alias("feature_engineering_steps"),
         _as_scoring(scoring).alias("scoring_model"),
         _or_default(top["output_format"], DEFAULT_FORMAT).alias("output_format"),
         text_of(top["output_location"]).alias("output_location"),
-    ).cast(SPEC_TYPE)
+    )
     return checked.withColumns(
         {
             "error_class": F.when(F.col("_json").isNull(), INVALID_JSON).when(
@@ -296,7 +310,8 @@ def repair_wrapped(
     """
     head = {n: F.col(f"_initial.{n}") for n in SPEC_KEYS}
     opened = (
-        df.withColumns(
+        spread(df)
+        .withColumns(
             {
                 "_loose": F.try_variant_get(
                     F.try_parse_json(wrapped_col), "$.etl_tasks", "array<variant>"
@@ -338,7 +353,7 @@ def repair_wrapped(
         last_scoring.alias("scoring_model"),
         _or_default(head["output_format"], DEFAULT_FORMAT).alias("output_format"),
         text_of(head["output_location"]).alias("output_location"),
-    ).cast(SPEC_TYPE)
+    )
     nameable = ("MISSING", "STRING")
     errors = F.when(F.col("_items").isNull(), F.array(F.lit("etl_tasks: expected a list"))).otherwise(
         _found(

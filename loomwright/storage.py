@@ -80,3 +80,17 @@ def input_bytes(df: DataFrame) -> int:
     for i in range(leaves.size()):
         total += int(leaves.apply(i).stats().sizeInBytes())
     return total
+
+
+# Input per core below which a scan is likely to give fewer tasks than cores.
+SPREAD_BYTES_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A large input already has more scan tasks than cores; it is left as it is, since
+    shuffling it would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if input_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
