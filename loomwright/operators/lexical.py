@@ -35,6 +35,9 @@ class WordScorer:
     query_columns = ("words",)
     doc_columns = ("words",)
 
+    def row_bytes(self) -> Column:
+        return F.octet_length(F.array_join("words", " ")) + 4 * F.size("words")
+
     def prepare(self, queries: pa.Table):
         """Postings: for each query word the queries that have it, and how often."""
         row, code, counts, vocabulary, squares = _counts(queries.column("words"))

@@ -5,6 +5,8 @@ query; only these meet in the final ranking. A scorer is an object with
 
 ``query_columns`` / ``doc_columns``
     names of the columns it reads besides the id;
+``row_bytes() -> Column``
+    about how many bytes a row of either side takes;
 ``prepare(queries: pyarrow.Table) -> state``
     once per block of queries;
 ``score(state, docs: pyarrow.RecordBatch) -> iterator of (rows, scores)``
@@ -28,6 +30,7 @@ MAX_SHARED_QUERIES = 4096
 MAX_SHARED_BYTES = 64 << 20
 QUERY_BLOCK = 2048
 DOC_BLOCK = 100_000
+BLOCK_BYTES = 128 << 20
 
 
 class _Best:
@@ -123,10 +126,13 @@ def rank_documents(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    shared = queries.limit(max_shared + 1).toArrow()
-    if shared.num_rows > max_shared or shared.nbytes > max_shared_bytes:
+    # The size is measured before anything is read back to be shared.
+    rows, size = (
+        queries.limit(max_shared + 1).agg(F.count("*"), F.sum(scorer.row_bytes())).first()
+    )
+    if rows > max_shared or (size or 0) > max_shared_bytes:
         return best_k(rank_in_blocks(queries, docs, scorer, k, schema), k)
-    handle = queries.sparkSession.sparkContext.broadcast(shared)
+    handle = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def run(batches):
         table = _rank_block(scorer, handle.value, batches, k)
@@ -145,6 +151,7 @@ def rank_in_blocks(
     bucket: str | None = None,
     query_block: int = QUERY_BLOCK,
     doc_block: int = DOC_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """k best per query within each pair of blocks, for a query side of any size.
 
@@ -153,25 +160,29 @@ def rank_in_blocks(
     ``bucket`` column only rows of the same bucket meet, and a bucket gets as many
     blocks as its own size needs.
     """
+    def blocks(rows: int) -> Column:
+        return F.greatest(
+            F.lit(1),
+            F.ceil(F.count("*") / rows),
+            F.ceil(F.coalesce(F.sum(scorer.row_bytes()), F.lit(0)) / block_bytes),
+        ).cast("int")
+
+    q_blocks, d_blocks = blocks(query_block), blocks(doc_block)
     if bucket is None:
-        queries = queries.withColumn("_bucket", F.lit(0))
-        docs = docs.withColumn("_bucket", F.lit(0))
-        n_queries = queries.count()
-        n_docs = docs.count()
-        q_blocks: Column = F.lit(max(1, -(-n_queries // query_block)))
-        d_blocks: Column = F.lit(max(1, -(-n_docs // doc_block)))
+        counts = {
+            "_q_blocks": F.lit(queries.select(q_blocks).first()[0]),
+            "_d_blocks": F.lit(docs.select(d_blocks).first()[0]),
+        }
         queries, docs = (
-            side.withColumns({"_q_blocks": q_blocks, "_d_blocks": d_blocks})
-            for side in (queries, docs)
+            side.withColumns({"_bucket": F.lit(0), **counts}) for side in (queries, docs)
         )
     else:
         queries = queries.withColumnRenamed(bucket, "_bucket")
         docs = docs.withColumnRenamed(bucket, "_bucket")
         sizes = (
-            queries.groupBy("_bucket").agg(F.ceil(F.count("*") / query_block).alias("_q_blocks"))
-        ).join(
-            docs.groupBy("_bucket").agg(F.ceil(F.count("*") / doc_block).alias("_d_blocks")),
-            "_bucket",
+            queries.groupBy("_bucket")
+            .agg(q_blocks.alias("_q_blocks"))
+            .join(docs.groupBy("_bucket").agg(d_blocks.alias("_d_blocks")), "_bucket")
         )
         queries, docs = (side.join(sizes, "_bucket") for side in (queries, docs))
 
@@ -205,6 +216,8 @@ def rank_in_blocks(
         return _rank_block(scorer, query_table, iter(doc_table.to_batches()), k)
 
     keys = ("_bucket", "_q", "_d")
+    # Both sides may come from one frame: fresh columns keep them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 

@@ -9,10 +9,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomwright.operators.topk import best_k, rank_documents, rank_in_blocks
-from loomwright.storage import spread
+from loomwright.storage import spread, stage
 
 # Cosines are ranked on this many decimals: the last bits depend on the order of
 # summation, and equal vectors must tie.
@@ -100,6 +100,9 @@ class CosineScorer:
     query_columns = ("embedding",)
     doc_columns = ("embedding",)
 
+    def row_bytes(self) -> Column:
+        return F.size("embedding") * 8
+
     def prepare(self, queries: pa.Table) -> np.ndarray:
         return _matrix(queries.column("embedding"))
 
@@ -181,8 +184,6 @@ def approximate_topk(
     on the query side each distinct vector is searched once and its answer is joined
     back to all its ids. What is still crowded is searched in blocks of bounded size.
     """
-    from pyspark.sql import Window
-
     present = "embedding is not null and size(embedding) > 0"
     queries = queries.where(present).select("query_id", "embedding")
     by_vector = Window.partitionBy("embedding").orderBy("doc_id")
@@ -194,6 +195,8 @@ def approximate_topk(
         .drop("_rn")
     )
     distinct = queries.groupBy("embedding").agg(F.min("query_id").alias("query_id"))
+    # Both are read several times below.
+    docs, distinct = stage(docs, "vectors"), stage(distinct, "searched")
     n_docs = docs.count()
     bits = max(1, min(62, math.ceil(math.log2(max(2.0, n_docs / bucket_rows)))))
     schema = T.StructType(

@@ -21,7 +21,9 @@ from loomwright.sources.tables import TableSource
 from loomwright.storage import input_bytes, stage
 
 # Above this much input a joined table is staged before steps that read it twice.
-STAGE_BYTES = 1 << 30
+STAGE_BYTES = 32 << 20
+# Each step with statistics reads the steps before it twice, so a chain of them is cut.
+STATISTICS_PER_STAGE = 3
 
 
 @dataclass(frozen=True)
@@ -110,9 +112,9 @@ def _roll_up(df: DataFrame, details: Mapping[str, Any]) -> DataFrame:
     )
 
 
-def _statistics(steps: list) -> int:
-    words = ("imputation", "outlier", "scaling", "encoding", "one_hot")
-    return sum(any(w in s["type"].lower() for w in words) for s in steps)
+def _has_statistics(step: Mapping[str, Any]) -> bool:
+    words = ("imputation", "outlier", "scaling", "encoding", "one_hot", "aggregation")
+    return any(w in step["type"].lower() for w in words)
 
 
 def _named(label: str, build, *args):
@@ -161,13 +163,19 @@ def run_spec(
 
     df = frames[tables[0]]
     rest = [s for i, s in enumerate(build) if i not in rolled]
-    if joins and _statistics(clean + rest) and input_bytes(df) > stage_bytes:
+    if joins and any(map(_has_statistics, clean + rest)) and input_bytes(df) > stage_bytes:
         df = stage(df, "joined")
-    for step in clean:
-        df = _named(f"cleaning {step['type']}", clean_step, df, step["type"], step["details"])
-    for step in rest:
+    chained = 0
+    for number, step in enumerate(clean + rest):
+        if _has_statistics(step):
+            if chained == STATISTICS_PER_STAGE:
+                df, chained = stage(df, "steps"), 0
+            chained += 1
         details = step.get("details") or {}
-        df = _named(f"feature {step['type']}", feature_step, df, step["type"], details, frames)
+        if number < len(clean):
+            df = _named(f"cleaning {step['type']}", clean_step, df, step["type"], details)
+        else:
+            df = _named(f"feature {step['type']}", feature_step, df, step["type"], details, frames)
     scoring = spec.get("scoring_model")
     if scoring:
         df = _named(

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loomwright.storage import path_exists, read_text, write_text
+from loomwright.storage import path_exists, read_text, stage, write_text
 
 _POINTER = "CURRENT"
 
@@ -103,14 +103,16 @@ class DocumentIndex:
         write_text(self._spark, f"{self._path}/{_POINTER}", version)
 
     def upsert(self, batch: DataFrame, position: str | None = None) -> None:
-        check_ids(batch)
+        """Add a batch. Equal ids within it keep the last row by position; without a
+        position their order is not defined, and they keep the largest text."""
+        if position is None:
+            position = "_pos"
+            batch = batch.withColumn(position, F.col("text_content"))
+        # Written first: it is checked, matched and copied, but computed only once.
+        unique = stage(last_per_id(batch, position), "batch")
+        check_ids(unique)
         if self._dimension is not None:
-            check_dimension(batch, self._dimension)
-        # Without a position the input order is not defined across partitions:
-        # equal ids then keep their largest text.
-        unique = last_per_id(batch, position) if position else last_per_id(
-            batch.withColumn("_pos", F.col("text_content")), "_pos"
-        )
+            check_dimension(unique, self._dimension)
         current = self.read()
         self._publish(unique if current is None else upsert(current, unique))
 
