@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwright.functions.text import words
 from loomwright.operators.topk import rank_documents
+from loomwright.storage import spread
 
 _BATCH_CELLS = 4_000_000
 
@@ -39,15 +40,28 @@ class WordScorer:
         return F.octet_length(F.array_join("words", " ")) + 4 * F.size("words")
 
     def prepare(self, queries: pa.Table):
-        """Postings: for each query word the queries that have it, and how often."""
+        """Postings (the queries that have a word, and how often) for rare words, and a
+        dense row of counts for the words that many queries share."""
         row, code, counts, vocabulary, squares = _counts(queries.column("words"))
+        n_queries = queries.num_rows
+        lengths = np.bincount(code, minlength=len(vocabulary))
+        common = np.flatnonzero(lengths > n_queries / 8)
+        common = common[np.argsort(-lengths[common])][: _BATCH_CELLS // max(1, n_queries)]
+        dense_row = np.full(len(vocabulary), -1)
+        dense_row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), n_queries))
+        is_common = dense_row[code] >= 0
+        dense[dense_row[code[is_common]], row[is_common]] = counts[is_common]
+
+        row, code, counts = row[~is_common], code[~is_common], counts[~is_common]
         order = np.argsort(code, kind="stable")
         ends = np.cumsum(np.bincount(code, minlength=len(vocabulary)))
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
-        return vocabulary, starts, ends, row[order], counts[order], np.sqrt(squares)
+        postings = starts, ends, row[order], counts[order]
+        return vocabulary, dense_row, dense, postings, np.sqrt(squares)
 
     def score(self, state, docs: pa.RecordBatch):
-        known, starts, ends, posted, posted_counts, query_norms = state
+        known, dense_row, dense, postings, query_norms = state
         row, code, counts, vocabulary, squares = _counts(docs.column("words"))
         if not len(known) or not len(vocabulary):
             return
@@ -57,30 +71,43 @@ class WordScorer:
         row, code, counts = row[hit], code[hit], counts[hit]
         doc_norms = np.sqrt(squares)
         n_queries = len(query_norms)
-        step = max(1, _BATCH_CELLS // max(1, n_queries))
+        step = max(1, _BATCH_CELLS // max(1, n_queries, len(dense)))
         for first in range(0, docs.num_rows, step):
             rows = np.arange(first, min(first + step, docs.num_rows))
             lo, hi = np.searchsorted(row, [first, first + len(rows)])
-            dots = np.zeros(len(rows) * n_queries)
-            # Meet postings in pieces, so that long documents stay within memory.
-            reach = np.cumsum(ends[code[lo:hi]] - starts[code[lo:hi]])
-            at = lo
-            while at < hi:
-                done = reach[at - lo - 1] if at > lo else 0
-                to = lo + int(np.searchsorted(reach, done + _BATCH_CELLS, side="right"))
-                to = min(max(to, at + 1), hi)
-                begin, length = starts[code[at:to]], (ends - starts)[code[at:to]]
-                offset = np.repeat(begin - np.r_[0, np.cumsum(length)[:-1]], length)
-                posting = offset + np.arange(length.sum())
-                cell = np.repeat((row[at:to] - first) * n_queries, length) + posted[posting]
-                product = np.repeat(counts[at:to], length) * posted_counts[posting]
-                dots += np.bincount(cell, weights=product, minlength=len(dots))
-                at = to
-            dots = dots.reshape(len(rows), n_queries)
+            at, word, count = row[lo:hi] - first, code[lo:hi], counts[lo:hi]
+            common = dense_row[word] >= 0
+            shared = np.zeros((len(rows), len(dense)))
+            shared[at[common], dense_row[word[common]]] = count[common]
+            rare = ~common
+            dots = shared @ dense + self._meet(
+                at[rare], word[rare], count[rare], postings, (len(rows), n_queries)
+            )
             norms = doc_norms[rows][:, None] * query_norms[None, :]
             with np.errstate(invalid="ignore", divide="ignore"):
                 yield rows, np.where(dots > 0, dots / norms, np.nan)
 
+    @staticmethod
+    def _meet(row, code, counts, postings, shape: tuple[int, int]) -> np.ndarray:
+        """Dot products over postings, in pieces, so that long documents stay in memory."""
+        starts, ends, posted, posted_counts = postings
+        dots = np.zeros(shape[0] * shape[1])
+        lengths = (ends - starts)[code]
+        reach = np.cumsum(lengths)
+        at = 0
+        while at < len(code):
+            done = reach[at - 1] if at else 0
+            to = int(np.searchsorted(reach, done + _BATCH_CELLS, side="right"))
+            to = max(to, at + 1)
+            length = lengths[at:to]
+            offset = np.repeat(starts[code[at:to]] - np.r_[0, np.cumsum(length)[:-1]], length)
+            posting = offset + np.arange(length.sum())
+            cell = np.repeat(row[at:to] * shape[1], length) + posted[posting]
+            product = np.repeat(counts[at:to], length) * posted_counts[posting]
+            dots += np.bincount(cell, weights=product, minlength=len(dots))
+            at = to
+        return dots.reshape(shape)
+
 
 def lexical_topk(
     queries: DataFrame,
@@ -93,7 +120,7 @@ def lexical_topk(
 ) -> DataFrame:
     """The k documents whose word counts are nearest to each query text; documents
     that share no word with the query are no matches."""
-    docs = docs if where is None else docs.where(where)
+    docs = spread(docs if where is None else docs.where(where))
     return rank_documents(
         queries.select("query_id", words(F.col(query_text)).alias("words")),
         docs.select("doc_id", words(F.col(doc_text)).alias("words")),

@@ -22,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from loomwright.storage import spread
-
 # A query side up to this many rows and bytes goes to every task; a larger one is
 # cut into blocks that are shuffled together with blocks of documents.
-MAX_SHARED_QUERIES = 4096
+MAX_SHARED_QUERIES = 16_384
 MAX_SHARED_BYTES = 64 << 20
 QUERY_BLOCK = 2048
 DOC_BLOCK = 100_000
+LEAST_DOC_BLOCK = 1000
 BLOCK_BYTES = 128 << 20
 
 
@@ -40,23 +39,32 @@ class _Best:
         self._k = k
         self._scores = [np.empty(0)] * n_queries
         self._ids = [None] * n_queries
+        self._least = np.full(n_queries, -np.inf)  # score of the k-th best so far
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q in range(scores.shape[1]):
+        # In id order the first of equal scores are the ones to keep.
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], scores[order]
+        scores[np.isnan(scores)] = -np.inf
+        k, n = self._k, len(ids)
+        top = scores.max(axis=0)
+        cuts = np.partition(scores, n - k, axis=0)[n - k] if n > k else None
+        for q in np.flatnonzero((top > -np.inf) & (top >= self._least)):
             column = scores[:, q]
-            matched = np.flatnonzero(~np.isnan(column))
-            if matched.size > self._k:
-                values = column[matched]
-                cut = np.partition(values, -self._k)[-self._k]
-                matched = matched[values >= cut]
-            if not matched.size:
-                continue
-            all_scores, all_ids = column[matched], ids[matched]
+            if cuts is None:
+                chosen = np.flatnonzero(column > -np.inf)
+            else:
+                above = np.flatnonzero(column > cuts[q])
+                level = np.flatnonzero((column == cuts[q]) & (column > -np.inf))
+                chosen = np.concatenate([above, level[: k - len(above)]])
+            found, found_ids = column[chosen], ids[chosen]
             if self._ids[q] is not None:
-                all_scores = np.concatenate([self._scores[q], all_scores])
-                all_ids = np.concatenate([self._ids[q], all_ids])
-            order = np.lexsort((all_ids, -all_scores))[: self._k]
-            self._scores[q], self._ids[q] = all_scores[order], all_ids[order]
+                found = np.concatenate([self._scores[q], found])
+                found_ids = np.concatenate([self._ids[q], found_ids])
+            best = np.lexsort((found_ids, -found))[:k]
+            self._scores[q], self._ids[q] = found[best], found_ids[best]
+            if len(best) == k:
+                self._least[q] = found[best[-1]]
 
     def table(self, query_ids: pa.Array, doc_type: pa.DataType) -> pa.Table:
         filled = [q for q, ids in enumerate(self._ids) if ids is not None]
@@ -139,7 +147,7 @@ def rank_documents(
         if table is not None:
             yield from table.to_batches()
 
-    return best_k(spread(docs).mapInArrow(run, schema), k)
+    return best_k(docs.mapInArrow(run, schema), k)
 
 
 def rank_in_blocks(
@@ -160,19 +168,23 @@ def rank_in_blocks(
     ``bucket`` column only rows of the same bucket meet, and a bucket gets as many
     blocks as its own size needs.
     """
-    def blocks(rows: int) -> Column:
+
+    def blocks(rows: int | Column) -> Column:
         return F.greatest(
             F.lit(1),
             F.ceil(F.count("*") / rows),
             F.ceil(F.coalesce(F.sum(scorer.row_bytes()), F.lit(0)) / block_bytes),
         ).cast("int")
 
-    q_blocks, d_blocks = blocks(query_block), blocks(doc_block)
+    q_blocks = blocks(query_block)
     if bucket is None:
-        counts = {
-            "_q_blocks": F.lit(queries.select(q_blocks).first()[0]),
-            "_d_blocks": F.lit(docs.select(d_blocks).first()[0]),
-        }
+        n_q_blocks = queries.select(q_blocks).first()[0]
+        # Small document sides are cut finer, so that every core gets a pair of blocks.
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        per_core = F.ceil(F.count("*") * n_q_blocks / cores)
+        rows = F.least(F.lit(doc_block), F.greatest(F.lit(LEAST_DOC_BLOCK), per_core))
+        n_d_blocks = docs.select(blocks(rows)).first()[0]
+        counts = {"_q_blocks": F.lit(n_q_blocks), "_d_blocks": F.lit(n_d_blocks)}
         queries, docs = (
             side.withColumns({"_bucket": F.lit(0), **counts}) for side in (queries, docs)
         )
@@ -182,7 +194,7 @@ def rank_in_blocks(
         sizes = (
             queries.groupBy("_bucket")
             .agg(q_blocks.alias("_q_blocks"))
-            .join(docs.groupBy("_bucket").agg(d_blocks.alias("_d_blocks")), "_bucket")
+            .join(docs.groupBy("_bucket").agg(blocks(doc_block).alias("_d_blocks")), "_bucket")
         )
         queries, docs = (side.join(sizes, "_bucket") for side in (queries, docs))
 

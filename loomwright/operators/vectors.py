@@ -53,12 +53,14 @@ def embed_texts(
     make_embedder: Callable[[], Embedder],
     out: str = "embedding",
     batch_size: int = 1000,
+    prepare: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
     """Add an embedding column. ``make_embedder`` runs once per task, so that a model
-    is loaded on the workers and never shipped."""
+    is loaded on the workers and never shipped; it is given the prepared texts."""
     schema = T.StructType(
         [*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType(), False))]
     )
+    prepared = spread(df).withColumn("_prepared", prepare(F.col(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = None
@@ -66,17 +68,17 @@ def embed_texts(
             embed = embed or make_embedder()
             for start in range(0, big.num_rows, batch_size):
                 batch = big.slice(start, batch_size)
-                texts = ["" if t is None else t for t in batch.column(text_col).to_pylist()]
+                texts = ["" if t is None else t for t in batch.column("_prepared").to_pylist()]
                 vectors = np.asarray(embed(texts), dtype=np.float32)
                 column = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(texts) + 1) * vectors.shape[1], pa.int32()),
                     pa.array(vectors.ravel()),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, column], names=[*batch.schema.names, out]
+                    [*batch.columns[:-1], column], names=[*batch.schema.names[:-1], out]
                 )
 
-    return spread(df).mapInArrow(run, schema)
+    return prepared.mapInArrow(run, schema)
 
 
 def plain_words(text: Column) -> Column:
@@ -124,7 +126,7 @@ def cosine_topk(
     docs = docs if where is None else docs.where(where)
     present = "embedding is not null and size(embedding) > 0"
     return rank_documents(
-        queries.where(present), docs.where(present), CosineScorer(), k, **limits
+        queries.where(present), spread(docs.where(present)), CosineScorer(), k, **limits
     )
 
 

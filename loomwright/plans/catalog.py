@@ -11,6 +11,7 @@ from loomwright.operators.joins import described_but_absent
 from loomwright.operators.lexical import lexical_topk
 from loomwright.sources.index_store import DocumentIndex, as_documents, with_variant_metadata
 from loomwright.sources.tables import discover_csv_tables, infer_columns, read_dictionary, table_names
+from loomwright.storage import stage
 
 # Names, markers and text forms of the catalog.
 TARGET_TABLE = "application_train"
@@ -100,7 +101,8 @@ def enrich_columns(columns: DataFrame, entries: DataFrame, strict: bool = False)
     columns = columns.withColumn(
         "normalized_column_name", normalize_column_name(F.col("column_name"))
     )
-    distinct_entries = entries.dropDuplicates(["id"])
+    # Read by the direct join, by the search, and to look up what was found.
+    distinct_entries = stage(entries.dropDuplicates(["id"]), "entries")
     key = ["table_name", "normalized_column_name"]
     best = F.min(F.struct("original_column_name", "description_text", "is_target", "is_id"))
     exact = (
@@ -110,7 +112,7 @@ def enrich_columns(columns: DataFrame, entries: DataFrame, strict: bool = False)
     )
     if strict:
         return _enrich_by_search(columns, distinct_entries, ENRICHMENT_HITS, flags=True)
-    joined = columns.join(exact, key, "left")
+    joined = stage(columns.join(exact, key, "left"), "columns")
     direct = joined.where("exact is not null").select(
         *columns.columns,
         F.col("exact.description_text").alias("description"),

@@ -282,7 +282,7 @@ def item_class(item: Column, literal: bool = False) -> Column:
     feature_words = FEATURE_WORDS if literal else FEATURE_WORDS + MORE_FEATURE_WORDS
 
     def mentions(words: tuple[str, ...]) -> Column:
-        return F.lower(text_of(item["type"])).rlike("|".join(words))
+        return text_of(item["type"]).rlike("(?i)" + "|".join(words))
 
     def valid(problems, name: str) -> Column:
         return F.when(F.size(problems(item, path)) == 0, name)

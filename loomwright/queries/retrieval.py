@@ -163,8 +163,8 @@ _WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}]+'), lam
     """,
 )
 def embed_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", plain_words(F.col("text")).alias("text"))
-    embedded = embed_texts(docs, "text", lambda: hashing_embedder(64))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    embedded = embed_texts(docs, "text", lambda: hashing_embedder(64), prepare=plain_words)
     cells = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return cells.where("weight > 0").withColumn("weight", stable(F.col("weight").cast("double"), 6))
 
