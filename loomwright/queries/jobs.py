@@ -112,60 +112,62 @@ def spec_parse(spark, sf_dir):
     )
 
 
-# ---- repair: the lines of an order are the loose items of its spec ----
-
-_ITEM = """CASE l_returnflag || l_linestatus
-      WHEN 'AF' THEN '{"left_table": "a' || CAST(l_suppkey AS STRING) || '", "right_table": "b", "join_type": "'
-           || CASE WHEN l_quantity > 40 THEN 'cross' ELSE 'inner' END || '", "on_columns": ["k"]}'
-      WHEN 'AO' THEN '{"type": "Imputation' || CAST(l_partkey AS STRING) || '", "details": {"columns": ["x"]}, "table_name": "t' || CAST(l_linenumber AS STRING) || '"}'
-      WHEN 'NF' THEN '{"type": "one_hot_encoding", "details": {"p": ' || CAST(l_partkey AS STRING) || '}}'
-      WHEN 'NO' THEN '{"name": "m' || CAST(l_partkey AS STRING) || '", "objective": "o", "target_column": "TARGET"}'
-      WHEN 'RF' THEN '{"type": "date_features", "details": {}, "table_name": "base"}'
-      ELSE '{"type": "outlier aggregation", "details": {"n": ' || CAST(l_suppkey AS STRING) || '}, "target_column": "t"}' END"""
-
-def _wrapped(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").selectExpr("*", f"{_ITEM} item")
-    gathered = lines.groupBy("l_orderkey").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]
-            ),
-            ", ",
-        ).alias("items")
-    )
-    return gathered.selectExpr(
-        "l_orderkey spec_id",
-        """'{"etl_tasks": [' || items || ', 5]}' wrapped""",
-        """'{"pipeline_name": "order ' || CAST(l_orderkey AS STRING)
-           || '", "initial_tables": ["base"], "output_location": "out"}' initial""",
-    )
+# ---- repair: each order wraps four loose items, picked by its own numbers ----
+
+
+def _item(pick: str, mark: str) -> str:
+    """JSON text of one loose item; ``pick`` chooses its kind, ``mark`` goes into it."""
+    mark = f"CAST({mark} AS STRING)"
+    return f"""CASE {pick}
+      WHEN 0 THEN '{{"left_table": "a' || {mark} || '", "right_table": "b", "join_type": "'
+           || CASE WHEN o_orderstatus = 'P' THEN 'cross' ELSE 'inner' END || '", "on_columns": ["k"]}}'
+      WHEN 1 THEN '{{"type": "Imputation' || {mark} || '", "details": {{"columns": ["x"]}}, "table_name": "t' || {mark} || '"}}'
+      WHEN 2 THEN '{{"type": "one_hot_encoding", "details": {{"p": ' || {mark} || '}}}}'
+      WHEN 3 THEN '{{"name": "m' || {mark} || '", "objective": "o", "target_column": "TARGET"}}'
+      WHEN 4 THEN '{{"type": "date_features", "details": {{}}, "table_name": "base"}}'
+      ELSE '{{"type": "outlier aggregation", "details": {{"n": ' || {mark} || '}}, "target_column": "t"}}' END"""
+
+
+_ITEMS = (
+    _item("o_orderkey % 6", "o_orderkey % 3"),
+    _item("o_custkey % 6", "o_custkey % 3"),
+    _item("(o_orderkey + o_custkey) % 6", "o_orderkey % 4"),
+    _item("length(o_orderpriority) % 6", "o_custkey"),
+)
+_WRAPPED = "'{\"etl_tasks\": [' || " + " || ', ' || ".join(_ITEMS) + " || ', 5]}'"
+_INITIAL = f"""'{{"pipeline_name": "order ' || {_ID} || '", "initial_tables": ["base"], "output_location": "out"}}'"""
 
 
 def _repair_sql(feature_test: str) -> str:
     return f"""
-    WITH i AS (SELECT l_orderkey AS spec_id, l_linenumber AS pos, CAST({_ITEM} AS JSON) AS x, {_ITEM} AS txt FROM lineitem),
+    WITH w AS (SELECT o_orderkey AS spec_id, unnest([{", ".join(_ITEMS)}]) AS txt,
+                      unnest([0, 1, 2, 3]) AS pos FROM orders),
+    i AS (SELECT spec_id, pos, CAST(txt AS JSON) AS x FROM w),
     c AS (SELECT *, CASE
         WHEN json_exists(x, '$.join_type') AND json_exists(x, '$.on_columns') THEN 'join'
         WHEN regexp_matches(lower(x->>'type'), 'imputation|cleaning|outlier|deduplication|conversion') THEN 'cleaning'
         WHEN regexp_matches(lower(x->>'type'), '{feature_test}') THEN 'feature'
         WHEN json_exists(x, '$.target_column') THEN 'scoring' END AS class FROM i),
-    n AS (SELECT spec_id, x->>'table_name' AS t, min((pos, txt)) AS p FROM c
+    n AS (SELECT spec_id, x->>'table_name' AS t, min(pos) AS p FROM c
           WHERE x->>'table_name' IS NOT NULL AND x->>'table_name' <> 'base' GROUP BY 1, 2),
     tabs AS (SELECT spec_id, string_agg(t, ',' ORDER BY p) AS tables FROM n GROUP BY 1)
     SELECT spec_id, 'order ' || spec_id AS pipeline_name, 'Reconstructed Goal' AS main_goal,
       concat_ws(',', 'base', any_value(tables)) AS tables,
-      coalesce(string_agg((x->>'left_table') || '-' || (x->>'join_type'), ',' ORDER BY pos, txt)
+      coalesce(string_agg((x->>'left_table') || '-' || (x->>'join_type'), ',' ORDER BY pos)
         FILTER (WHERE class = 'join' AND x->>'join_type' <> 'cross'), '') AS joins,
-      coalesce(string_agg(x->>'type', ',' ORDER BY pos, txt) FILTER (WHERE class = 'cleaning'), '') AS cleaning,
-      coalesce(string_agg(x->>'type', ',' ORDER BY pos, txt) FILTER (WHERE class = 'feature'), '') AS features,
-      arg_max(x->>'name', (pos, txt)) FILTER (WHERE class = 'scoring') AS model,
+      coalesce(string_agg(x->>'type', ',' ORDER BY pos) FILTER (WHERE class = 'cleaning'), '') AS cleaning,
+      coalesce(string_agg(x->>'type', ',' ORDER BY pos) FILTER (WHERE class = 'feature'), '') AS features,
+      arg_max(x->>'name', pos) FILTER (WHERE class = 'scoring') AS model,
       'dataframe' AS output_format, 'out' AS output_location
     FROM c LEFT JOIN tabs USING (spec_id) GROUP BY spec_id
     """
 
 
 def _repaired(spark, sf_dir, literal: bool) -> DataFrame:
-    repaired = repair_wrapped(_wrapped(spark, sf_dir), "wrapped", "initial", literal).where("repaired")
+    wrapped = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey spec_id", f"{_WRAPPED} wrapped", f"{_INITIAL} initial"
+    )
+    repaired = repair_wrapped(wrapped, "wrapped", "initial", literal).where("repaired")
 
     def types(steps: str):
         return F.array_join(F.transform(steps, lambda s: s["type"]), ",")

@@ -174,12 +174,6 @@ def test_context_of_requests_with_and_without_hits(spark):
 # ---- the document index ----
 
 
-def documents(spark, rows):
-    df = spark.createDataFrame(rows, "id string, text string, source string, pos int")
-    docs = as_documents(df, F.col("text"), F.struct("source"), F.col("id"))
-    return with_variant_metadata(docs.withColumn("pos", F.lit(0)).drop("pos")), df
-
-
 def batch(spark, rows):
     df = spark.createDataFrame(rows, "id string, text_content string, source string, pos int")
     return df.select(
