@@ -28,10 +28,7 @@ def join_tables(
         missing = [c for c in on if c not in frame.columns]
         if missing:
             raise ValueError(f"join keys {missing} are not in the {side} table")
-    taken = set(left.columns) - set(on)
-    right = right.withColumnsRenamed(
-        {c: f"{c}_{right_name}" for c in right.columns if c in taken}
-    )
+    right = right.withColumnsRenamed(_renamed(left.columns, right.columns, on, right_name))
     if how in ("inner", "left"):
         return left.join(right, on, how)
     matched = left.join(right, on, "inner" if how == "right" else "left")
@@ -40,6 +37,27 @@ def join_tables(
     return matched.unionByName(unmatched, allowMissingColumns=True).select(*matched.columns)
 
 
+def _renamed(
+    left: Sequence[str], right: Sequence[str], on: Sequence[str], right_name: str
+) -> dict[str, str]:
+    """New names of the right columns that collide; a table joined again is suffixed again.
+
+    Spark resolves names without regard to case, so they collide likewise.
+    """
+    taken = {c.lower() for c in left}
+    used = taken | {c.lower() for c in right}
+    names = {}
+    for column in right:
+        if column in on or column.lower() not in taken:
+            continue
+        name = f"{column}_{right_name}"
+        while name.lower() in used:
+            name += f"_{right_name}"
+        used.add(name.lower())
+        names[column] = name
+    return names
+
+
 def join_rolled_up(
     parent: DataFrame, rolled_up: DataFrame, on: Sequence[str], how: str = "left", name: str = "right"
 ) -> DataFrame:

@@ -167,7 +167,7 @@ def _repaired(spark, sf_dir, literal: bool) -> DataFrame:
     wrapped = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey spec_id", f"{_WRAPPED} wrapped", f"{_INITIAL} initial"
     )
-    repaired = repair_wrapped(wrapped, "wrapped", "initial", literal).where("repaired")
+    repaired = repair_wrapped(wrapped, "wrapped", "initial", literal)
 
     def types(steps: str):
         return F.array_join(F.transform(steps, lambda s: s["type"]), ",")

@@ -36,6 +36,15 @@ def test_joins_equal_the_native_ones(skewed, how):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, native.collect()))
 
 
+def test_joining_a_table_again_keeps_all_columns_apart(skewed):
+    left, right = skewed
+    right = right.withColumnRenamed("same", "SAME")
+    once = join_tables(left, right, ["k"], "left", "r")
+    twice = join_tables(once, right, ["k"], "left", "r")
+    assert twice.columns == ["k", "a", "same", "b", "SAME_r", "b_r", "SAME_r_r"]
+    assert twice.limit(1).count() == 1
+
+
 def test_join_checks(skewed):
     left, right = skewed
     with pytest.raises(ValueError, match="join type"):
