@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import packing, quality, secrets
+from loomwright.llm import minhash, packing, quality, secrets
 from loomwright.storage import scratch_path
 
 
@@ -17,6 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.deduplicate(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; live-looking secrets are replaced by a mark."""
     return secrets.redact(docs)
@@ -29,6 +34,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
     ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]

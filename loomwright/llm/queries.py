@@ -1,4 +1,7 @@
 """All queries of this folder. Importing a module registers its query."""
 
-from loomwright.llm import packing, quality, secrets, urls  # noqa: F401
+from loomwright.llm import (  # noqa: F401
+    fingerprints, language_model, licenses, minhash, packing, quality, revisits, secrets,
+    segmentation, urls,
+)
 from loomwright.llm.common import ORACLES, QUERIES  # noqa: F401

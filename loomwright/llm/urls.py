@@ -36,11 +36,14 @@ BASE_RULES = (
 )
 # Pattern rules of this operator, for addresses that no base rule fits.
 PATTERN_RULES = (
-    Rule("casino", "||*casino-win.", "block"),
-    Rule("ads", "||*ads-track.", "block"),
-    Rule("feed", "^feed^", "block"),
-    Rule("print", "/*.print^", "block"),
-    Rule("mobile", "||m.*^page^", "block"),
+    Rule("casino", "||casino-win.", "block"),
+    Rule("bets", "||free-bets.", "block"),
+    Rule("pills", "||cheap-pills.", "block"),
+    Rule("ads", "||ads-track.", "block"),
+    Rule("spam", "||spam-farm.", "block"),
+    Rule("adult", "||adult-x.", "block"),
+    Rule("print", "/print/*.html|", "block"),
+    Rule("session", "^sessionid=", "block"),
 )
 
 
