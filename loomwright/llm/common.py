@@ -37,6 +37,18 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``doc``, beside which any name can be used."""
+    return df.select(F.struct("*").alias("doc"))
+
+
+def unpacked(names: list[str], **changed: Column) -> list[Column]:
+    """The columns of a packed row again, some of them changed; of changed ones only those named."""
+    return [
+        (changed[c] if c in changed else F.col("doc")[c]).alias(c) for c in names
+    ]
+
+
 # ---- text columns inside tasks ----
 
 CHUNK_BYTES = 2 << 20

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwright.llm.common import SPACE_CLASS, ascii_lower, let, narrow, register
+from loomwright.llm.common import SPACE_CLASS, ascii_lower, let, narrow, packed, register, unpacked
 from loomwright.queries.base import table
 from loomwright.storage import stage
 
@@ -165,16 +165,14 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
         F.col("host").alias("_host"), F.col("text_hash").alias("_hash"),
         F.when(F.col("words_left") < F.col("n_words"), F.col("common")).alias("_common"),
     ).dropDuplicates(["_host", "_hash"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({
-        "_h": F.col(host).cast("string"), "_t": F.xxhash64(text, F.length(text))})
-    kept = keyed.join(verdicts, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_t") == F.col("_hash")))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    keyed = packed(docs).withColumns({
+        "host": F.col("doc")[host].cast("string"), "hash": F.xxhash64(text, F.length(text))})
+    kept = keyed.join(verdicts, F.col("host").eqNullSafe(F.col("_host")) & (F.col("hash") == F.col("_hash")))
+    left = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x: ~F.array_contains(
         "_common", F.xxhash64(normalised_line(x)))), "\n")
-    kept = kept.withColumn("text", F.when(F.col("_common").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*names)
+    left = F.when(F.col("_common").isNull(), F.col("doc.text")).otherwise(left)
+    return kept.select(*unpacked(names, text=left, n_chars=F.length(left).cast("long")))
 
 
 def op3(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwright.llm.common import let, narrow, register
+from loomwright.llm.common import let, narrow, packed, register, unpacked
 from loomwright.queries.base import table
 from loomwright.storage import stage
 
@@ -148,32 +148,32 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS
     replaced by one pattern of its own live values, so no text is shuffled with its spans.
     """
     names = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     found = F.when(text.rlike(_BOTH), F.array_distinct(
         F.transform(candidates(text), lambda x: x["value"])))
-    keyed = docs.withColumn("_values", found)
-    repo = F.concat_ws("/", "source", "lang")
-    values = keyed.where(F.size("_values") > 0).select(
-        F.col("source").cast("string").alias("owner"), repo.alias("repo"),
-        F.explode("_values").alias("value"))
-    hashed = values.select(F.xxhash64("value").alias("hash"), "owner", "repo")
-    copied = ownership(hashed).where(F.col("n_owners") > max_owners).select("hash")
-    with_values = keyed.where(F.size("_values") > 0)
-    without = docs.where(F.coalesce(F.size(found), F.lit(0)) <= 0)
-    row = F.monotonically_increasing_id()
-    staged = stage(with_values.withColumn("_row", row), "secret-texts")
+    keyed = packed(docs).withColumn("values", found)
+    places = keyed.where(F.size("values") > 0).select(
+        F.col("doc.source").cast("string").alias("owner"),
+        F.concat_ws("/", "doc.source", "doc.lang").alias("repo"), F.explode("values").alias("value"))
+    copied = ownership(places.select(F.xxhash64("value").alias("hash"), "owner", "repo")).where(
+        F.col("n_owners") > max_owners).select("hash")
+    without = keyed.where(F.coalesce(F.size("values"), F.lit(0)) <= 0)
+    staged = stage(
+        keyed.where(F.size("values") > 0).withColumn("row", F.monotonically_increasing_id()),
+        "secret-texts")
     live = (
-        staged.select("_row", F.explode("_values").alias("value"))
+        staged.select("row", F.explode("values").alias("value"))
         .withColumn("hash", F.xxhash64("value")).join(copied, "hash", "left_anti")
-        .groupBy("_row").agg(F.sort_array(F.collect_list("value"), asc=False).alias("_live"))
+        .groupBy("row").agg(F.sort_array(
+            F.collect_list(F.struct(F.length("value").alias("long"), "value")), asc=False).alias("live"))
     )
-    cleaned = staged.join(live, "_row", "left").withColumn("text", F.when(
-        F.col("_live").isNotNull(),
-        F.aggregate(F.col("_live"), F.col("text"), lambda acc, v: F.replace(acc, v, F.lit(mark))),
-    ).otherwise(F.col("text")))
-    if "n_chars" in names:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*names).unionByName(without.select(*names))
+    cleaned = staged.join(live, "row", "left")
+    # Longer values first: one that holds another must not lose a part to it.
+    bare = F.when(F.col("live").isNull(), F.col("doc.text")).otherwise(F.aggregate(
+        F.col("live"), F.col("doc.text"), lambda acc, v: F.replace(acc, v["value"], F.lit(mark))))
+    changed = cleaned.withColumn("bare", bare).select(*unpacked(
+        names, text=F.col("bare"), n_chars=F.length("bare").cast("long")))
+    return changed.unionByName(without.select(*unpacked(names)))
 
 
 def op10(spark, sf_dir) -> DataFrame:

@@ -91,20 +91,23 @@ def tokens_of(address: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
-    """One row per input row: its key columns, host, path, deciding rule and verdict.
+    """One row per input row: its other columns, host, path, deciding rule and verdict.
+
+    An input column with the name of an added one gives way to it.
 
     Null, empty or malformed addresses have an empty host and path, which no anchored rule fits;
     without a fitting rule the verdict is allow and the rule null. Repeated rows are judged
     each. Equal ranks: the longer rule text decides, then the greater text.
     """
     spark = pages.sparkSession
-    kept = [c for c in pages.columns if c != url]
+    added = ("host", "path", "rule", "verdict", "rule_rank")
+    kept = [c for c in pages.columns if c.lower() not in (url.lower(), *added)]
     host, path, after = split_url(F.col("_url"))
     parts = stage(
         pages.select(
-            F.monotonically_increasing_id().alias("_row"), *kept,
+            F.monotonically_increasing_id().alias("_row"), F.struct(*(kept or [F.lit(0)])).alias("_kept"),
             F.coalesce(F.col(url).cast("string"), F.lit("")).alias("_url"),
-        ).select("_row", *kept, host.alias("_host"), path.alias("_path"),
+        ).select("_row", "_kept", host.alias("_host"), path.alias("_path"),
                  F.concat(host, after).alias("_address")),
         "urls",
     )
@@ -133,7 +136,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     best = fits.groupBy("_row").agg(F.max(F.struct(
         "_rank", F.length("_text").alias("long"), "_text", "_verdict")).alias("best"))
     return parts.join(best, "_row", "left").select(
-        *kept, F.col("_host").alias("host"), F.col("_path").alias("path"),
+        *(F.col("_kept")[c].alias(c) for c in kept), F.col("_host").alias("host"), F.col("_path").alias("path"),
         F.col("best._text").alias("rule"),
         F.coalesce("best._verdict", F.lit("allow")).alias("verdict"),
         F.col("best._rank").alias("rule_rank"),
