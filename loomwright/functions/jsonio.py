@@ -10,24 +10,60 @@ from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
-def _loads(text: str | None) -> bool:
+#: What ``normalized_json`` gives for a text whose only fault is a number that JSON lacks.
+NOT_A_NUMBER = "NaN"
+
+
+class _NoNumber(ValueError):
+    pass
+
+
+def _refuse(constant: str):
+    raise _NoNumber(constant)
+
+
+def _normalized(text: str | None) -> str | None:
     if text is None:
-        return False
+        return None
     try:
-        json.loads(text)
+        return json.dumps(json.loads(text, parse_constant=_refuse), ensure_ascii=False)
+    except _NoNumber:
+        return NOT_A_NUMBER
     except (ValueError, RecursionError):
-        return False
-    return True
+        return None
+
 
+@pandas_udf(T.StringType())
+def _normalized_rest(text: pd.Series) -> pd.Series:
+    return text.map(_normalized, na_action="ignore")
 
-@pandas_udf(T.BooleanType())
-def is_strict_json(text: pd.Series) -> pd.Series:
-    """True when the whole text is one JSON value.
 
-    Spark's own parsers accept text after the value, so they cannot decide this.
-    Pass null for the rows that need no test: they cost nothing.
+def jvm_accepts(text: Column) -> Column:
+    """True for one JSON value with nothing around it, by the JVM's parser alone.
+
+    The parser stops after a value. In brackets, what follows would be a second element, and as an
+    object's member a second member or an early end, so both forms are tried.
     """
-    return text.map(_loads).astype(bool)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    inner = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    keys = F.size(F.map_keys(F.try_variant_get(inner, "$", "map<string,variant>"))) == 1
+    return F.coalesce(one & keys, F.lit(False))
+
+
+def normalized_json(text: Column) -> Column:
+    """A text the JVM can parse, or null where it is not one JSON value.
+
+    Most rows stay on the JVM and as they are. Only texts its parser refuses go to Python, which also
+    takes repeated keys (the last one stands). ``NOT_A_NUMBER`` stands for texts with NaN or infinities.
+    """
+    fine = jvm_accepts(text)
+    return F.coalesce(F.when(fine, text), _normalized_rest(F.when(~fine, text)))
+
+
+def is_strict_json(text: Column | str) -> Column:
+    """True when the whole text is one JSON value, NaN and infinities included; false for null."""
+    return normalized_json(F.col(text) if isinstance(text, str) else text).isNotNull()
 
 
 def shape(value: Column) -> Column:

@@ -6,15 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomwright.storage import input_bytes
-
 ROLL_UP_FUNCTIONS = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
-# Up to this much input the built-in exact percentile, which keeps the distinct
-# values of a column in one task, stays small.
-SMALL_INPUT = 32 << 20
-# Most distinct values that the last step of the distributed median reads back.
-MEDIAN_REST = 1_000_000
 _SKETCH_ACCURACY = 100_000
 
 
@@ -30,6 +23,21 @@ def status_label(value: object) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in str(value))
 
 
+def unique_labels(values: Sequence) -> list[str]:
+    """Names of values, in their order; one that is taken gets a counter: ``A_B``, ``A_B_2``."""
+    used: set[str] = set()
+    names = []
+    for value in values:
+        base = name = status_label(value)
+        number = 1
+        while name.lower() in used:  # column names collide without regard to case
+            number += 1
+            name = f"{base}_{number}"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 def roll_up(
     child: DataFrame,
     keys: Sequence[str],
@@ -53,9 +61,9 @@ def roll_up(
         ROLL_UP_FUNCTIONS[f](c).alias(f"{prefix}{c}_{f}") for c in columns for f in functions
     ]
     features += [
-        F.count_if(F.col(c) == F.lit(v)).alias(f"{prefix}{c}_{status_label(v)}_count")
+        F.count_if(F.col(c) == F.lit(v)).alias(f"{prefix}{c}_{label}_count")
         for c, values in status.items()
-        for v in values
+        for v, label in zip(values, unique_labels(values))
     ]
     if not features:
         raise ValueError("a roll-up needs numeric columns or status values")
@@ -72,35 +80,26 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Values are counted by a distributed group-by (a third of all rows may share
     one value; it is counted before the shuffle) instead of the built-in ``mode``,
-    which keeps all distinct values in one task.
+    which keeps all distinct values in one task. Each column keeps its own type.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.i", "cell.v")
-    counts = cells.where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
-    typed_order = [
-        F.when(F.col("i") == i, F.col("v").cast("double"))
-        for i, c in enumerate(columns)
-        if isinstance(fields[c], T.NumericType)
-    ]
-    order = F.struct(
-        (-F.col("n")).alias("n"),
-        F.coalesce(*typed_order).alias("number") if typed_order else F.lit(None).alias("number"),
-        F.col("v").alias("v"),
-    )
-    winners = counts.groupBy("i").agg(F.min(order).alias("best"))
+
+    def cell(i: int) -> Column:
+        own = [
+            (F.col(c) if i == j else F.lit(None).cast(fields[c])).alias(f"v{j}")
+            for j, c in enumerate(columns)
+        ]
+        return F.struct(F.lit(i).alias("i"), F.col(columns[i]).isNotNull().alias("given"), *own)
+
+    keys = ["i", *(f"v{j}" for j in range(len(columns)))]
+    cells = df.select(F.explode(F.array(*map(cell, range(len(columns))))).alias("cell"))
+    counts = cells.select("cell.*").where("given").groupBy(*keys).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), *keys[1:]))
+    winners = counts.groupBy("i").agg(best.alias("best"))
     return winners.groupBy().agg(
         *[
-            F.max(F.when(F.col("i") == i, F.col("best.v"))).cast(fields[c]).alias(c)
-            for i, c in enumerate(columns)
+            F.max_by(f"best.v{j}", F.col("i") == j).alias(c)
+            for j, c in enumerate(columns)
         ]
     )
 
@@ -109,75 +108,60 @@ def means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def medians(
-    df: DataFrame,
-    columns: Sequence[str],
-    accuracy: int | None = None,
-    small_input: int = SMALL_INPUT,
-    rest: int = MEDIAN_REST,
-) -> DataFrame:
-    """One row with the median of each column: exact, unless an accuracy is given."""
+def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """One row with the median of each column: exact, unless an accuracy is given.
+
+    The middle ranks of all columns are searched together, in passes over the data that
+    return a few numbers per column: a quantile sketch brackets each rank, and counting tells
+    whether the rank falls on an end of its bracket or between the ends, where the next
+    pass looks. A bracket holds some hundred-thousandth of the rows it came from, so two or
+    three passes are the rule, and no values meet in one task.
+    """
     if accuracy:
         return df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in columns])
-    if input_bytes(df) <= small_input:
-        return df.agg(*[F.median(c).alias(c) for c in columns])
-    values = [exact_median(df, c, rest) for c in columns]
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sizes = values.agg(*[F.count(f"v{i}") for i in range(len(columns))]).first()
+    wanted = {(i, r) for i, n in enumerate(sizes) if n for r in ((n - 1) // 2, n // 2)}
+    found = _values_at_ranks(values, wanted, sizes)
+    middle = [
+        (found[i, (n - 1) // 2] + found[i, n // 2]) / 2.0 if n else None
+        for i, n in enumerate(sizes)
+    ]
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
-    return df.sparkSession.createDataFrame([tuple(values)], schema)
-
-
-def exact_median(df: DataFrame, column: str, rest: int = MEDIAN_REST) -> float | None:
-    """Exact median of a column of any size, without the data meeting in one task."""
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
-    if n == 0:
-        return None
-    lower = _value_at_rank(values, (n - 1) // 2, n, rest)
-    if n % 2:
-        return lower
-    # The upper middle value is the same one again, or the next larger one.
-    upto, following = values.select(
-        F.count_if(F.col("v") <= lower), F.min(F.when(F.col("v") > lower, F.col("v")))
-    ).first()
-    return lower if upto > n // 2 else (lower + following) / 2.0
-
-
-def _value_at_rank(values: DataFrame, rank: int, n: int, rest: int) -> float:
-    """The value at a 0-based rank.
-
-    A quantile sketch brackets the rank; counting tells whether the rank falls on an
-    end of the bracket (a value shared by many rows) or between the ends. The loop
-    goes on between the ends until few distinct values are left, and reads back only
-    those with their counts.
-    """
-    v = F.col("v")
+    return df.sparkSession.createDataFrame([tuple(middle)], schema)
+
+
+def _values_at_ranks(
+    values: DataFrame, wanted: set[tuple[int, int]], sizes: Sequence[int]
+) -> dict[tuple[int, int], float]:
+    """The values at 0-based ranks, given as (column, rank)."""
     margin = 2.0 / _SKETCH_ACCURACY
-    held, below, inside = F.lit(True), 0, n
-    while True:
-        share = (rank - below) / inside
-        ends = F.array(
-            F.lit(max(share - margin, 0.0)), F.lit(min(share + margin + 1.0 / inside, 1.0))
-        )
-        low, high = (
-            values.where(held).select(F.percentile_approx("v", ends, _SKETCH_ACCURACY)).first()[0]
-        )
-        between = (v > low) & (v < high)
-        under, at_low, middle, distinct = values.select(
-            F.count_if(v < low),
-            F.count_if(v == low),
-            F.count_if(between),
-            F.approx_count_distinct(F.when(between, v), 0.01),
-        ).first()
-        if rank < under + at_low:
-            return low
-        if rank >= under + at_low + middle:
-            return high
-        held, below, inside = between, under + at_low, middle
-        if distinct * 1.1 <= rest:
-            break
-    counts = values.where(held).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
-    for value, count in counts:
-        below += count
-        if rank < below:
-            return value
-    raise RuntimeError("the column changed while its median was being computed")
+    # For each open rank: which values are left, how many are below them, how many they are.
+    left = {(i, r): (F.lit(True), 0, sizes[i]) for i, r in sorted(wanted)}
+    found: dict[tuple[int, int], float] = {}
+    while left:
+        ends = []
+        for (i, rank), (held, below, inside) in left.items():
+            share = (rank - below) / inside
+            bracket = F.array(
+                F.lit(max(share - margin, 0.0)), F.lit(min(share + margin + 1.0 / inside, 1.0))
+            )
+            ends.append(F.percentile_approx(F.when(held, F.col(f"v{i}")), bracket, _SKETCH_ACCURACY))
+        brackets = values.agg(*ends).first()
+        counts = []
+        for (i, _), (low, high) in zip(left, brackets):
+            v = F.col(f"v{i}")
+            counts += [F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high))]
+        counted = values.agg(*counts).first()
+        still = {}
+        for k, ((i, rank), (low, high)) in enumerate(zip(list(left), brackets)):
+            under, at_low, between = counted[3 * k:3 * k + 3]
+            if rank < under + at_low:
+                found[i, rank] = low
+            elif rank >= under + at_low + between:
+                found[i, rank] = high
+            else:
+                v = F.col(f"v{i}")
+                still[i, rank] = ((v > low) & (v < high), under + at_low, between)
+        left = still
+    return found

@@ -12,15 +12,24 @@ from loomwright.operators.aggregates import means, medians, modes, numeric_colum
 STRATEGIES = ("mean", "median", "mode")
 
 
-def require_columns(df: DataFrame, columns: Sequence[str], step: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
+def require_columns(df: DataFrame, columns: Sequence[str], step: str) -> list[str]:
+    """The columns as ``df`` spells them: Spark finds names without regard to case by default."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    have = {c if exact else c.lower(): c for c in reversed(df.columns)} | {c: c for c in df.columns}
+    found = [have.get(c, have.get(c if exact else c.lower())) for c in columns]
+    missing = [c for c, f in zip(columns, found) if f is None]
     if missing:
         raise ValueError(f"{step}: no such columns {missing}")
+    return found
 
 
 def columns_with_nulls(df: DataFrame) -> list[str]:
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if counts[c]]
+    counts = df.agg(*[F.count_if(F.col(c).isNull()) for c in df.columns]).first()
+    return [c for c, n in zip(df.columns, counts) if n]
+
+
+def _plain(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 
 
 def fill(df: DataFrame, values: Column, columns: Sequence[str]) -> DataFrame:
@@ -35,14 +44,15 @@ def impute(
 ) -> DataFrame:
     """Replace nulls by a statistic of their column.
 
-    Without columns every column that has nulls is filled: numbers by the strategy,
-    all others by their most frequent value.
+    Without columns every column of plain values that has nulls is filled: numbers by
+    the strategy, all others by their most frequent value. Arrays, maps and structs are
+    filled only where they are named; maps and variants cannot be compared and never are.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown imputation strategy {strategy!r}; use one of {STRATEGIES}")
     if columns is None:
-        columns = columns_with_nulls(df)
-    require_columns(df, columns, "imputation")
+        columns = columns_with_nulls(df.select([f.name for f in df.schema.fields if _plain(f.dataType)]))
+    columns = require_columns(df, columns, "imputation")
     numeric = set(numeric_columns(df)) if strategy != "mode" else set()
     by_number = [c for c in columns if c in numeric]
     by_mode = [c for c in columns if c not in numeric]
@@ -66,7 +76,7 @@ def mean_and_deviation(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def drop_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """Keep rows with |z| up to the threshold; null values and constant columns stay."""
-    require_columns(df, columns, "outlier removal")
+    columns = require_columns(df, columns, "outlier removal")
     stats = mean_and_deviation(df, columns)
     keep = F.lit(True)
     for c in columns:
@@ -77,7 +87,7 @@ def drop_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 3.0)
 
 def cap_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """Clip values to mean ± threshold deviations; nulls stay null."""
-    require_columns(df, columns, "outlier capping")
+    columns = require_columns(df, columns, "outlier capping")
     stats = mean_and_deviation(df, columns)
 
     def clipped(c: str) -> Column:
@@ -99,21 +109,21 @@ def deduplicate(
     """
     if not order_by:
         return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
-    subset = list(subset or df.columns)
-    require_columns(df, [*subset, *order_by], "deduplication")
+    subset = require_columns(df, subset or df.columns, "deduplication")
+    order_by = require_columns(df, order_by, "deduplication")
     first = Window.partitionBy(*subset).orderBy(*order_by)
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
 def convert_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast columns; a value that does not convert becomes null."""
-    require_columns(df, list(types), "conversion")
-    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+    columns = require_columns(df, list(types), "conversion")
+    return df.withColumns({c: F.col(c).try_cast(t) for c, t in zip(columns, types.values())})
 
 
 def clean_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Strip text columns; blank texts become null."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    require_columns(df, columns, "cleaning")
+    columns = require_columns(df, columns, "cleaning")
     return df.withColumns({c: F.nullif(strip_blank(F.col(c)), F.lit("")) for c in columns})

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomwright.operators.aggregates import scalar_row, status_label
+from loomwright.operators.aggregates import scalar_row, unique_labels
 from loomwright.operators.cleaning import mean_and_deviation, require_columns
 
-MAX_CATEGORIES = 1000
 DATE_PARTS = {
     "year": F.year,
     "month": F.month,
@@ -21,30 +20,23 @@ DATE_PARTS = {
 }
 
 
-def one_hot(
-    df: DataFrame,
-    column: str,
-    values: Sequence | None = None,
-    max_categories: int = MAX_CATEGORIES,
-) -> DataFrame:
-    """0/1 columns ``<column>_<value>``. Unlisted values are looked up first; they
-    become columns, so more than ``max_categories`` of them is an error."""
-    require_columns(df, [column], "one-hot encoding")
+def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
+    """0/1 columns ``<column>_<value>``. Unlisted values are looked up first, since each becomes
+    a column. Values whose names would be equal get a counter, in the order of the values."""
+    (column,) = require_columns(df, [column], "one-hot encoding")
     if values is None:
         found = df.select(column).where(F.col(column).isNotNull()).distinct()
-        values = sorted(r[0] for r in found.limit(max_categories + 1).collect())
-        if len(values) > max_categories:
-            raise ValueError(f"{column} has more than {max_categories} distinct values")
+        values = sorted(r[0] for r in found.collect())
     flags = {
-        f"{column}_{status_label(v)}": F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0))
-        for v in values
+        f"{column}_{label}": F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0))
+        for v, label in zip(values, unique_labels(values))
     }
     return df.withColumns(flags)
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
     """``<column>_scaled`` by z-score or to [0, 1]; null where the range is zero."""
-    require_columns(df, columns, "scaling")
+    columns = require_columns(df, columns, "scaling")
     if method == "standard":
         stats = mean_and_deviation(df, columns)
         return df.withColumns(
@@ -72,27 +64,39 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Da
 
 
 def polynomial(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Squares ``<c>_squared`` and pair products ``<a>_x_<b>``."""
-    require_columns(df, columns, "polynomial features")
-    products = {f"{c}_squared": F.col(c) * F.col(c) for c in columns}
-    products |= {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in combinations(columns, 2)}
+    """Squares ``<c>_squared`` and pair products ``<a>_x_<b>``, as doubles: those of integers overflow."""
+    columns = require_columns(df, columns, "polynomial features")
+
+    def product(a: str, b: str) -> Column:
+        return F.col(a).cast("double") * F.col(b).cast("double")
+
+    products = {f"{c}_squared": product(c, c) for c in columns}
+    products |= {f"{a}_x_{b}": product(a, b) for a, b in combinations(columns, 2)}
     return df.withColumns(products)
 
 
 def date_parts(
     df: DataFrame, columns: Sequence[str], parts: Sequence[str] = tuple(DATE_PARTS)
 ) -> DataFrame:
-    """``<column>_<part>`` for each calendar part; Monday is weekday 0."""
-    require_columns(df, columns, "date features")
+    """``<column>_<part>`` for each calendar part; Monday is weekday 0.
+
+    A text that is no date has null parts.
+    """
+    columns = require_columns(df, columns, "date features")
     unknown = [p for p in parts if p not in DATE_PARTS]
     if unknown:
         raise ValueError(f"unknown date parts {unknown}")
-    return df.withColumns({f"{c}_{p}": DATE_PARTS[p](c) for c in columns for p in parts})
+
+    def moment(c: str) -> Column:
+        text = isinstance(df.schema[c].dataType, T.StringType)
+        return F.col(c).try_cast("timestamp") if text else F.col(c)
+
+    return df.withColumns({f"{c}_{p}": DATE_PARTS[p](moment(c)) for c in columns for p in parts})
 
 
 def ratio(df: DataFrame, numerator: str, denominator: str, name: str | None = None) -> DataFrame:
     """Quotient of two columns, null where the divisor is zero."""
-    require_columns(df, [numerator, denominator], "ratio")
+    numerator, denominator = require_columns(df, [numerator, denominator], "ratio")
     return df.withColumn(
         name or f"{numerator}_{denominator}_ratio", F.try_divide(numerator, denominator)
     )
@@ -108,5 +112,4 @@ def select_features(df: DataFrame, features: Sequence[str] | None, target: str |
     if not features:
         return df
     chosen = list(dict.fromkeys([*features, *([target] if target else [])]))
-    require_columns(df, chosen, "feature selection")
-    return df.select(*chosen)
+    return df.select(*require_columns(df, chosen, "feature selection"))

@@ -1,10 +1,13 @@
-"""Equi-joins on same-named columns and roll-up joins."""
+"""Equi-joins on same-named columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from loomwright.operators.cleaning import require_columns
+from loomwright.storage import stage
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
 
@@ -16,24 +19,28 @@ def join_tables(
     the suffix ``_<right_name>``.
 
     Adaptive execution splits a hot key of the left side for inner and left joins,
-    but not for right and full outer joins. These are therefore written as a
-    splittable join plus the right rows whose key the left side lacks.
+    but not for right and full outer joins. For these the right rows are marked once by whether
+    the left side has their key, and written, so that a derived right side is computed once;
+    what is joined then splits, and the rows without the mark are added. Of the left side
+    only the keys are read a second time.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}; use one of {JOIN_TYPES}")
     on = list(on)
     if not on:
         raise ValueError("a join needs at least one key column")
-    for side, frame in (("left", left), ("right", right)):
-        missing = [c for c in on if c not in frame.columns]
-        if missing:
-            raise ValueError(f"join keys {missing} are not in the {side} table")
+    keys = [require_columns(frame, on, f"join, {side} table") for side, frame in
+            (("left", left), ("right", right))]
+    on = keys[0]
+    right = right.withColumnsRenamed(dict(zip(keys[1], on)))
     right = right.withColumnsRenamed(_renamed(left.columns, right.columns, on, right_name))
     if how in ("inner", "left"):
         return left.join(right, on, how)
-    matched = left.join(right, on, "inner" if how == "right" else "left")
-    left_keys = left.select(*on).distinct()
-    unmatched = right.join(left_keys, on, "left_anti")
+    mark = "_in_left"
+    left_keys = left.select(*on).distinct().withColumn(mark, F.lit(True))
+    marked = stage(right.join(left_keys, on, "left"), "join-right")
+    matched = left.join(marked.drop(mark), on, "inner" if how == "right" else "left")
+    unmatched = marked.where(F.col(mark).isNull()).drop(mark)
     return matched.unionByName(unmatched, allowMissingColumns=True).select(*matched.columns)
 
 
@@ -58,18 +65,6 @@ def _renamed(
     return names
 
 
-def join_rolled_up(
-    parent: DataFrame, rolled_up: DataFrame, on: Sequence[str], how: str = "left", name: str = "right"
-) -> DataFrame:
-    """Join features that are unique per key, so parent rows never fan out."""
-    return join_tables(parent, rolled_up, on, how, name)
-
-
-def missing_from(refs: DataFrame, catalog: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``refs`` without a counterpart in ``catalog``."""
-    return refs.join(catalog.select(*on).distinct(), list(on), "left_anti")
-
-
 def described_but_absent(described: DataFrame, found: DataFrame, column: str) -> DataFrame:
     """Set difference of two name columns."""
     return described.select(column).subtract(found.select(column))

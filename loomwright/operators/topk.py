@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A query side up to this many rows and bytes goes to every task; a larger one is
 # cut into blocks that are shuffled together with blocks of documents.
@@ -214,13 +215,7 @@ def rank_in_blocks(
         .withColumn("_q", every("_q_blocks"))
         .drop("_q_blocks", "_d_blocks")
     )
-    empty = pa.table(
-        {
-            "query_id": pa.array([], _arrow_type(schema["query_id"].dataType)),
-            "doc_id": pa.array([], _arrow_type(schema["doc_id"].dataType)),
-            "score": pa.array([], pa.float64()),
-        }
-    )
+    empty = to_arrow_schema(schema).empty_table()
 
     def run(query_table: pa.Table, doc_table: pa.Table) -> pa.Table:
         if not query_table.num_rows or not doc_table.num_rows:
@@ -232,6 +227,3 @@ def rank_in_blocks(
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
-
-def _arrow_type(data_type: T.DataType) -> pa.DataType:
-    return pa.int64() if isinstance(data_type, T.LongType) else pa.string()

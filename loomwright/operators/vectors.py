@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -175,7 +174,7 @@ def approximate_topk(
     docs: DataFrame,
     k: int = 3,
     tables: int = 8,
-    bucket_rows: int = 1000,
+    bits: int = 8,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate k nearest for two large sides: hashing by random planes, then exact
@@ -185,6 +184,8 @@ def approximate_topk(
     k smallest ids of each distinct vector can be in a result, so the others go first;
     on the query side each distinct vector is searched once and its answer is joined
     back to all its ids. What is still crowded is searched in blocks of bounded size.
+    ``bits`` and ``tables`` are parameters and do not follow the size of the input, so a query finds
+    the same neighbours among the same documents whatever else is added.
     """
     present = "embedding is not null and size(embedding) > 0"
     queries = queries.where(present).select("query_id", "embedding")
@@ -199,8 +200,6 @@ def approximate_topk(
     distinct = queries.groupBy("embedding").agg(F.min("query_id").alias("query_id"))
     # Both are read several times below.
     docs, distinct = stage(docs, "vectors"), stage(distinct, "searched")
-    n_docs = docs.count()
-    bits = max(1, min(62, math.ceil(math.log2(max(2.0, n_docs / bucket_rows)))))
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),

@@ -238,13 +238,15 @@ def global_columns(catalog: DataFrame) -> DataFrame:
 
 def nested_catalog(catalog: DataFrame, tables: DataFrame) -> DataFrame:
     """(table_name, columns map<name, record>); a table without readable columns stays,
-    with an empty map."""
+    with an empty map. Of rows that repeat a column of a table, as two files of one stem give,
+    the first in the order of their fields stands."""
     record = F.struct(
         F.lit(SCAN_SOURCE).alias("source"),
         *[c for c in catalog.columns if c not in ("table_name", "position")],
     )
-    nested = catalog.groupBy("table_name").agg(
-        F.map_from_entries(F.collect_list(F.struct("column_name", record.alias("record")))).alias("columns")
+    single = catalog.groupBy("table_name", "column_name").agg(F.min(record).alias("record"))
+    nested = single.groupBy("table_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", "record"))).alias("columns")
     )
     joined = tables.select("table_name").join(nested, "table_name", "left")
     empty = F.create_map().cast(nested.schema["columns"].dataType)

@@ -1,8 +1,8 @@
 """Running a spec: extract, join, clean, build features, select, load.
 
 The spec is a plain dict. Everything up to the load is one lazy DataFrame, so that
-Catalyst prunes columns and pushes filters through all of it; only when a step needs
-statistics over a large joined input is that input written once and read again.
+Catalyst prunes columns and pushes filters through all of it; only where steps need
+statistics of a joined input is that input written once and read again.
 """
 
 from __future__ import annotations
@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.operators import cleaning, features
 from loomwright.operators.aggregates import ROLL_UP_FUNCTIONS, roll_up
-from loomwright.operators.joins import join_rolled_up, join_tables
+from loomwright.operators.joins import join_tables
 from loomwright.sources.sinks import check_format, save, verify_written
 from loomwright.sources.tables import TableSource
-from loomwright.storage import input_bytes, stage
+from loomwright.storage import stage
 
-# Above this much input a joined table is staged before steps that read it twice.
-STAGE_BYTES = 32 << 20
 # Each step with statistics reads the steps before it twice, so a chain of them is cut.
 STATISTICS_PER_STAGE = 3
 
@@ -39,20 +37,32 @@ class StepError(RuntimeError):
     """A step failed; the message names it."""
 
 
+def listed(details: Mapping[str, Any], key: str = "columns") -> list | None:
+    """A detail that names columns or values, as a list; one text stands for a list of it."""
+    value = details.get(key)
+    if value is None:
+        return None
+    return [value] if isinstance(value, str) else list(value)
+
+
 def _columns(details: Mapping[str, Any]) -> list[str]:
-    columns = details.get("columns")
-    if isinstance(columns, str):
-        columns = [columns]
+    columns = listed(details)
     if not columns:
         raise ValueError("the step needs 'columns'")
-    return list(columns)
+    return columns
+
+
+def _by_column(details: Mapping[str, Any], key: str) -> dict[str, list]:
+    """A detail that maps columns to values; one value stands for a list of it."""
+    mapping = details.get(key) or {}
+    return {c: v if isinstance(v, (list, tuple)) else [v] for c, v in mapping.items()}
 
 
 def clean_step(df: DataFrame, step_type: str, details: Mapping[str, Any]) -> DataFrame:
     kind = step_type.lower()
     if "imputation" in kind:
         return cleaning.impute(
-            df, details.get("strategy", "mean"), details.get("columns"), details.get("accuracy")
+            df, details.get("strategy", "mean"), listed(details), details.get("accuracy")
         )
     if "outlier" in kind:
         act = details.get("method", "filter")
@@ -65,14 +75,18 @@ def clean_step(df: DataFrame, step_type: str, details: Mapping[str, Any]) -> Dat
             raise ValueError(f"unknown outlier method {act!r}; use one of {sorted(actions)}")
         return actions[act](df, _columns(details), float(details.get("threshold", 3.0)))
     if "deduplication" in kind:
-        return cleaning.deduplicate(df, details.get("columns"), details.get("order_by"))
+        return cleaning.deduplicate(df, listed(details), listed(details, "order_by"))
     if "conversion" in kind:
         return cleaning.convert_types(df, details["types"])
     if "cleaning" in kind:
-        return cleaning.clean_strings(df, details.get("columns"))
+        return cleaning.clean_strings(df, listed(details))
     raise ValueError(f"unknown cleaning step {step_type!r}")
 
 
+# General names that a step's details may use for a kind of step.
+_METHODS = {"standard": "scaling", "minmax": "scaling", "group_by": "aggregation"}
+
+
 def feature_step(
     df: DataFrame, step_type: str, details: Mapping[str, Any], frames: Mapping[str, DataFrame]
 ) -> DataFrame:
@@ -85,10 +99,10 @@ def feature_step(
     if "aggregation" in kind:
         source = frames[details["table"]] if "table" in details else df
         rolled = _roll_up(source, details)
-        return join_rolled_up(df, rolled, details["group_by"], "left", details.get("table", "agg"))
+        return join_tables(df, rolled, listed(details, "group_by"), "left", details.get("table", "agg"))
     if "encoding" in kind or "one_hot" in kind:
         for column in _columns(details):
-            df = features.one_hot(df, column, (details.get("values") or {}).get(column))
+            df = features.one_hot(df, column, _by_column(details, "values").get(column))
         return df
     if "scaling" in kind:
         return features.scale(df, _columns(details), details.get("method", "standard"))
@@ -96,25 +110,32 @@ def feature_step(
         return features.polynomial(df, _columns(details))
     if "date" in kind:
         return features.date_parts(
-            df, _columns(details), details.get("parts", tuple(features.DATE_PARTS))
+            df, _columns(details), listed(details, "parts") or tuple(features.DATE_PARTS)
         )
+    if kind == "feature_engineering":
+        # A repaired wrapper keeps this general type; what it does stands in its details.
+        named = str(details.get("operation") or details.get("method") or "").lower()
+        if not named or named == kind:
+            raise ValueError("a 'feature_engineering' step names its 'operation' in its details")
+        return feature_step(df, _METHODS.get(named, named), details, frames)
     raise ValueError(f"unknown feature step {step_type!r}")
 
 
 def _roll_up(df: DataFrame, details: Mapping[str, Any]) -> DataFrame:
     return roll_up(
         df,
-        details["group_by"],
-        details.get("columns"),
-        details.get("functions", tuple(ROLL_UP_FUNCTIONS)),
-        details.get("status"),
+        listed(details, "group_by"),
+        listed(details),
+        listed(details, "functions") or tuple(ROLL_UP_FUNCTIONS),
+        _by_column(details, "status"),
         details.get("prefix", f"{details['table']}_" if "table" in details else ""),
     )
 
 
 def _has_statistics(step: Mapping[str, Any]) -> bool:
     words = ("imputation", "outlier", "scaling", "encoding", "one_hot", "aggregation")
-    return any(w in step["type"].lower() for w in words)
+    kind = step["type"].lower()
+    return kind == "feature_engineering" or any(w in kind for w in words)
 
 
 def _named(label: str, build, *args):
@@ -124,9 +145,7 @@ def _named(label: str, build, *args):
         raise StepError(f"{label}: {error}") from error
 
 
-def run_spec(
-    spec: Mapping[str, Any], source: TableSource, stage_bytes: int = STAGE_BYTES
-) -> DataFrame:
+def run_spec(spec: Mapping[str, Any], source: TableSource) -> DataFrame:
     """The result of a spec as a DataFrame; nothing is written.
 
     Tables live under their names and each join replaces its left table, so a chain
@@ -147,14 +166,14 @@ def run_spec(
 
     rolled = set()
     for number, join in enumerate(joins, 1):
-        left, right, keys = join["left_table"], join["right_table"], list(join["on_columns"])
+        left, right, keys = join["left_table"], join["right_table"], listed(join, "on_columns")
         child, how = frames[right], join.get("join_type") or "left"
         for i, step in enumerate(build):
             details = step.get("details") or {}
             before = (
                 "aggregation" in step["type"].lower()
                 and details.get("table") == right
-                and list(details.get("group_by") or []) == keys
+                and (listed(details, "group_by") or []) == keys
             )
             if before and i not in rolled:
                 child = _named(f"roll-up of {right}", _roll_up, child, details)
@@ -163,7 +182,7 @@ def run_spec(
 
     df = frames[tables[0]]
     rest = [s for i, s in enumerate(build) if i not in rolled]
-    if joins and any(map(_has_statistics, clean + rest)) and input_bytes(df) > stage_bytes:
+    if joins and any(map(_has_statistics, clean + rest)):
         df = stage(df, "joined")
     chained = 0
     for number, step in enumerate(clean + rest):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwright.functions.jsonio import (
-    is_strict_json, list_of_members, members, shape, text_of, texts_of,
+    NOT_A_NUMBER, list_of_members, members, normalized_json, shape, text_of, texts_of,
 )
 from loomwright.operators.joins import JOIN_TYPES
 from loomwright.storage import spread
@@ -195,8 +195,8 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
     )
     opened = (
         spread(df)
-        .withColumn("_strict", is_strict_json(payload_col))
-        .withColumn("_json", F.when(F.col("_strict"), F.try_parse_json(payload_col)))
+        .withColumn("_strict", normalized_json(F.col(payload_col)))
+        .withColumn("_json", F.try_parse_json("_strict"))
         .withColumn("_top", members(F.col("_json"), SPEC_KEYS))
         .withColumns(
             {
@@ -237,7 +237,8 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
     )
     checked = opened.withColumn(
         "errors",
-        F.when(F.col("_json").isNull(), F.array(F.lit("payload: not valid JSON")))
+        F.when(F.col("_strict") == NOT_A_NUMBER, F.array(F.lit("payload: NaN or infinite number")))
+        .when(F.col("_json").isNull(), F.array(F.lit("payload: not valid JSON")))
         .when(F.col("_top").isNull(), F.array(F.lit("spec: expected object")))
         .otherwise(problems),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwright.operators.vectors import Embedder
 from loomwright.sources.index_store import DocumentIndex, as_documents, with_variant_metadata
 
 # Text forms and defaults of a rendered spec.
@@ -74,9 +75,10 @@ def task_metadata(spec: Column, request: Column, feedback: Column | None = None)
     return F.struct(*fields)
 
 
-def task_id(spec: Column) -> Column:
-    """Content id of a spec: indexing the same spec again replaces it."""
-    return F.sha2(F.to_json(spec), 256)
+def task_id(spec: Column, request: Column) -> Column:
+    """Content id of a spec and the request it answers: indexing the pair again replaces it,
+    while another request with an equal spec keeps a document of its own."""
+    return F.sha2(F.to_json(F.struct(spec.alias("spec"), request.alias("request"))), 256)
 
 
 def task_documents(
@@ -85,10 +87,14 @@ def task_documents(
     spec = F.col(spec_col)
     feedback = F.col(feedback_col) if feedback_col else None
     docs = as_documents(
-        df, render_task(spec), task_metadata(spec, F.col(request_col), feedback), task_id(spec)
+        df,
+        render_task(spec),
+        task_metadata(spec, F.col(request_col), feedback),
+        task_id(spec, F.col(request_col)),
     )
     return docs
 
 
-def index_tasks(index: DocumentIndex, df: DataFrame, **columns) -> None:
-    index.upsert(with_variant_metadata(task_documents(df, **columns)))
+def index_tasks(index: DocumentIndex, df: DataFrame, embedder: Embedder | None = None, **columns) -> None:
+    """Approved specs as documents of the index; with an embedder they can be searched."""
+    index.upsert(with_variant_metadata(task_documents(df, **columns)), embedder=embedder)

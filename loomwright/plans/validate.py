@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwright.storage import stage
+
 # Names of the findings.
 MISSING_TABLE = "missing_table"
 MISSING_KEY = "missing_join_key"
@@ -73,20 +75,11 @@ def _references(specs: DataFrame) -> DataFrame:
         target.isNotNull(),
         F.transform("spec.initial_tables", lambda t: ref(MISSING_TARGET, none, "", t, target)),
     )
-    step_columns = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.concat(
-                    F.transform("spec.data_cleaning_steps", lambda s: s["details"]),
-                    F.transform("spec.feature_engineering_steps", lambda s: s["details"]),
-                ),
-                lambda d: F.coalesce(
-                    F.try_variant_get(d, "$.columns", "array<string>"),
-                    F.array().cast("array<string>"),
-                ),
-            )
-        )
+    details = F.concat(
+        F.transform("spec.data_cleaning_steps", lambda s: s["details"]),
+        F.transform("spec.feature_engineering_steps", lambda s: s["details"]),
     )
+    step_columns = F.array_distinct(F.flatten(F.transform(details, columns_read)))
     of_steps = F.flatten(
         F.transform(
             step_columns,
@@ -100,6 +93,25 @@ def _references(specs: DataFrame) -> DataFrame:
     return specs.select("spec_id", F.explode(every).alias("r")).select("spec_id", "r.*")
 
 
+def columns_read(details: Column) -> Column:
+    """All columns that a step reads by its details: lists of names or one name as text, and
+    the columns that type, value and status lists are given for."""
+    def named(key: str) -> Column:
+        one = F.try_variant_get(details, f"$.{key}", "string")
+        return F.coalesce(
+            F.try_variant_get(details, f"$.{key}", "array<string>"),
+            F.when(one.isNotNull(), F.array(one)),
+            F.array().cast("array<string>"),
+        )
+
+    def given(key: str) -> Column:
+        members = F.try_variant_get(details, f"$.{key}", "map<string,variant>")
+        return F.coalesce(F.map_keys(members), F.array().cast("array<string>"))
+
+    lists = [named(k) for k in ("columns", "group_by", "order_by")]
+    return F.concat(*lists, *(given(k) for k in ("types", "values", "status")))
+
+
 def suggest_tables(missing: DataFrame, catalog_tables: DataFrame) -> DataFrame:
     """(table_name, suggestion) for names with an obvious alternative.
 
@@ -199,7 +211,10 @@ def validate_specs(specs: DataFrame, catalog: DataFrame) -> DataFrame:
         F.min("family").alias("family"), F.bool_or("is_target").alias("is_target")
     ).withColumn("known", F.lit(True))
 
-    looked_up = _references(specs).join(known, ["table_name", "column_name"], "left")
+    # Read twice, for the suggestions and for the findings.
+    looked_up = stage(
+        _references(specs).join(known, ["table_name", "column_name"], "left"), "spec-references"
+    )
     unknown_tables = looked_up.where((F.col("rule") == MISSING_TABLE) & F.col("known").isNull())
     suggestions = suggest_tables(unknown_tables, tables)
 

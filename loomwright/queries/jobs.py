@@ -70,13 +70,21 @@ _SPEC = f"""'{{"pipeline_name": "job ' || {_ID} || '", ' || CASE WHEN o_orderpri
     || '}}' || CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN ' trailing' ELSE '' END"""
 
 
+# Some specs name themselves twice, where the last name stands, and some have a number that JSON lacks.
+_TWICE = "o_custkey % 7 = 0"
+_NO_NUMBER = "o_custkey % 11 = 0"
+_ODD_SPEC = f"""replace(CASE WHEN {_TWICE} THEN replace({_SPEC}, '{{"pipeline_name"', '{{"pipeline_name": "first", "pipeline_name"')
+      ELSE {_SPEC} END, '"owner": "x"', CASE WHEN {_NO_NUMBER} THEN '"owner": NaN' ELSE '"owner": "x"' END)"""
+
+
 @query(
     "spec_parse",
     f"""
-    WITH s AS (SELECT o_orderkey AS spec_id, {_SPEC} AS payload FROM orders),
-    j AS (SELECT *, json_valid(payload) AS valid,
+    WITH s AS (SELECT o_orderkey AS spec_id, {_SPEC} AS payload, {_NO_NUMBER} AS no_number FROM orders),
+    j AS (SELECT *, json_valid(payload) AND NOT no_number AS valid,
                  CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS d FROM s),
-    e AS (SELECT *, CASE WHEN NOT valid THEN 'payload: not valid JSON' ELSE
+    e AS (SELECT *, CASE WHEN no_number THEN 'payload: NaN or infinite number'
+        WHEN NOT valid THEN 'payload: not valid JSON' ELSE
         concat_ws('; ',
           CASE WHEN json_extract_string(d, '$.main_goal') IS NULL THEN 'main_goal: expected string, found missing' END,
           CASE WHEN json_extract_string(d, '$.join_operations[0].join_type') NOT IN ('inner','left','right','outer')
@@ -96,7 +104,7 @@ _SPEC = f"""'{{"pipeline_name": "job ' || {_ID} || '", ' || CASE WHEN o_orderpri
     """,
 )
 def spec_parse(spark, sf_dir):
-    specs = table(spark, sf_dir, "orders").selectExpr("o_orderkey spec_id", f"{_SPEC} payload")
+    specs = table(spark, sf_dir, "orders").selectExpr("o_orderkey spec_id", f"{_ODD_SPEC} payload")
     return parse_specs(specs).select(
         "spec_id",
         F.array_join("errors", "; ").alias("errors"),
@@ -221,10 +229,15 @@ _KEY = """CASE o_orderpriority WHEN '1-URGENT' THEN 'small_ring' WHEN '2-HIGH' T
       WHEN '3-MEDIUM' THEN 'blue_bolt' WHEN '4-NOT SPECIFIED' THEN 'no_such' ELSE 'hot_gear' END"""
 _TARGET = "CASE o_orderstatus WHEN 'F' THEN 'old_anvil' WHEN 'O' THEN 'nowhere' END"
 _STEP_COLUMN = "CASE o_orderstatus WHEN 'F' THEN 'red_bolt' ELSE 'absent' END"
+# One column, named as a text, as the key of a type list, or as a list and an order.
+_STEP = f"""CASE o_orderstatus
+      WHEN 'F' THEN '"data_cleaning_steps": [{{"type": "imputation", "details": {{"columns": "' || {_STEP_COLUMN} || '"}}'
+      WHEN 'O' THEN '"data_cleaning_steps": [{{"type": "conversion", "details": {{"types": {{"' || {_STEP_COLUMN} || '": "int"}}}}'
+      ELSE '"feature_engineering_steps": [{{"type": "aggregation", "details": {{"group_by": "' || {_STEP_COLUMN}
+        || '", "columns": ["' || {_STEP_COLUMN} || '"]}}' END"""
 _CHECKED = f"""'{{"pipeline_name": "n", "main_goal": "g", "initial_tables": ["' || {_LEFT}
     || '"], "join_operations": [{{"left_table": "' || {_LEFT} || '", "right_table": "' || {_RIGHT}
-    || '", "on_columns": ["' || {_KEY} || '"]}}], "data_cleaning_steps": [{{"type": "imputation", "details": {{"columns": ["'
-    || {_STEP_COLUMN} || '"]}}}}]' || coalesce(', "scoring_model": {{"name": "m", "objective": "o", "target_column": "' || {_TARGET} || '"}}', '') || '}}'"""
+    || '", "on_columns": ["' || {_KEY} || '"]}}], ' || {_STEP} || '}}]' || coalesce(', "scoring_model": {{"name": "m", "objective": "o", "target_column": "' || {_TARGET} || '"}}', '') || '}}'"""
 
 
 @query(
@@ -291,9 +304,9 @@ def spec_validate(spark, sf_dir):
 # ---- approved specs as documents ----
 
 
-def _approved(spark, sf_dir) -> DataFrame:
+def _approved(spark, sf_dir, payload: str = _SPEC) -> DataFrame:
     specs = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey spec_id", f"{_SPEC} payload", f"'request ' || {_ID} request",
+        "o_orderkey spec_id", f"{payload} payload", f"'request ' || {_ID} request",
         "CASE WHEN o_custkey % 2 = 0 THEN array(o_orderpriority, o_orderstatus) END feedback",
     )
     return accepted(stage(parse_specs(specs), "specs")).select("spec_id", "spec", "request", "feedback")
@@ -345,16 +358,20 @@ def task_metadata(spark, sf_dir):
     )
 
 
+# Fifty names for all orders: many requests are answered by equal specs.
+_SHARED_ID = "CAST(o_orderkey % 50 AS STRING)"
+
+
 @query(
     "task_index",
     f"""
-    WITH {_ACCEPTED}
-    SELECT {_RENDERED} AS text, 'approved_etl_task' AS source, 'request ' || k AS request FROM approved
+    WITH {_ACCEPTED.replace(_ID + " AS k", _SHARED_ID + " AS k")}
+    SELECT {_RENDERED} AS text, 'approved_etl_task' AS source, 'request ' || spec_id AS request FROM approved
     """,
 )
 def task_index(spark, sf_dir):
     index = DocumentIndex(spark, scratch_path(spark, "tasks"))
-    approved = _approved(spark, sf_dir)
+    approved = _approved(spark, sf_dir, _SPEC.replace(_ID, _SHARED_ID))
     for _ in range(2):  # content ids: indexing the same specs again adds nothing
         index_tasks(index, approved)
     return index.read().select(

@@ -16,7 +16,7 @@ from loomwright.storage import scratch_path
 
 FLAGSHIP = {
     "pipeline_name": "customer value",
-    "main_goal": "describe customers by their large orders and the lines of these",
+    "main_goal": "describe customers by their orders, the prices of large ones and all lines",
     "initial_tables": ["customer", "orders", "lineitem"],
     "join_operations": [
         {"left_table": "orders", "right_table": "lineitem", "join_type": "left",
@@ -54,10 +54,10 @@ FLAGSHIP = {
 
 def flagship_source(spark: SparkSession, sf_dir: str) -> TableSource:
     customer = table(spark, sf_dir, "customer").selectExpr("c_custkey custkey", "c_acctbal acctbal")
-    orders = (
-        table(spark, sf_dir, "orders")
-        .where("o_totalprice > 400000")
-        .selectExpr("o_orderkey orderkey", "o_custkey custkey", "o_totalprice totalprice")
+    # Prices of small orders count as unknown, so that customers without a large one are imputed.
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey orderkey", "o_custkey custkey",
+        "CASE WHEN o_totalprice > 400000 THEN o_totalprice END totalprice",
     )
     lineitem = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey orderkey", "l_quantity quantity", "l_extendedprice extendedprice",
@@ -81,8 +81,9 @@ _FLAGSHIP_ROUNDED = (
              count(*) FILTER (WHERE l_returnflag = 'R') AS r
       FROM lineitem GROUP BY 1),
     big AS (
-      SELECT o_custkey AS custkey, o_totalprice AS p, qsum, pmean, r
-      FROM orders LEFT JOIN lines ON o_orderkey = orderkey WHERE o_totalprice > 400000),
+      SELECT o_custkey AS custkey, CASE WHEN o_totalprice > 400000 THEN o_totalprice END AS p,
+             qsum, pmean, r
+      FROM orders LEFT JOIN lines ON o_orderkey = orderkey),
     rolled AS (
       SELECT custkey, avg(p) AS pm, max(p) AS px, count(p) AS pc, avg(qsum) AS qm,
              avg(pmean) AS em, max(r) AS rx
@@ -119,11 +120,13 @@ def scan_preview(spark, sf_dir):
 _JOIN_WORDS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}
 
 
+# Small orders have no key, so all joins have rows without a counterpart on both sides.
+_JOIN_KEY = "CASE WHEN o_totalprice > 300000 THEN o_custkey END"
+
+
 def _join_sides(spark, sf_dir):
-    orders = (
-        table(spark, sf_dir, "orders")
-        .where("o_totalprice > 300000")
-        .selectExpr("o_custkey user_id", "o_orderkey", "o_totalprice value")
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        f"{_JOIN_KEY} user_id", "o_orderkey", "o_totalprice value"
     )
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count("*").alias("n_events"), F.max("value").alias("value")
@@ -133,11 +136,11 @@ def _join_sides(spark, sf_dir):
 
 def _register_join(how: str) -> None:
     sql = f"""
-    SELECT coalesce(o.o_custkey, u.user_id) AS user_id, o.o_orderkey, o.o_totalprice AS value,
+    SELECT coalesce(o.k, u.user_id) AS user_id, o.o_orderkey, o.o_totalprice AS value,
            u.n_events, u.value AS value_events
-    FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o
+    FROM (SELECT *, {_JOIN_KEY} AS k FROM orders) o
     {_JOIN_WORDS[how]} (SELECT user_id, count(*) AS n_events, max(value) AS value
-                        FROM events GROUP BY 1) u ON o.o_custkey = u.user_id
+                        FROM events GROUP BY 1) u ON o.k = u.user_id
     """
 
     @query(f"join_{how}", sql)
@@ -183,6 +186,34 @@ def join_chain(spark, sf_dir):
     return run_spec(CHAIN, TableSource(spark, frames=frames))
 
 
+LABELLED = {
+    "pipeline_name": "labelled documents",
+    "main_goal": "documents with their quality",
+    "join_operations": [
+        {"left_table": "documents", "right_table": "labels", "join_type": "left", "on_columns": "doc_id"}
+    ],
+    "data_cleaning_steps": [
+        {"type": "imputation", "details": {"strategy": "median", "columns": "quality"}},
+        {"type": "conversion", "details": {"types": {"toxic": "double"}}},
+    ],
+    "scoring_model": {"name": "m", "target_column": "quality", "features": ["doc_id", "n_chars", "toxic"]},
+}
+
+
+@query(
+    "run_base_path",
+    """
+    SELECT d.doc_id, n_chars, CAST(toxic AS DOUBLE) AS toxic,
+           CAST(coalesce(quality, (SELECT median(quality) FROM documents LEFT JOIN labels USING (doc_id))) AS DOUBLE) AS quality
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    """,
+)
+def run_base_path(spark, sf_dir):
+    return run_spec(LABELLED, TableSource(spark, sf_dir, fmt="parquet")).withColumn(
+        "quality", F.col("quality").cast("double")
+    )
+
+
 # ---- roll-ups ----
 
 
@@ -410,6 +441,26 @@ def one_hot(spark, sf_dir):
     return features.one_hot(customers, "c_mktsegment")
 
 
+_CLASHING = """p_type || CASE p_size % 3 WHEN 0 THEN ' x' WHEN 1 THEN '-x' ELSE '_x' END"""
+_PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query(
+    "one_hot_clashing_names",
+    "SELECT p_partkey, v, "
+    + ", ".join(
+        f"CAST(v = '{t}{end}' AS INTEGER) AS v_{t}_x{suffix}"
+        for t in _PART_TYPES
+        for end, suffix in ((" x", ""), ("-x", "_2"), ("_x", "_3"))
+    )
+    + f" FROM (SELECT p_partkey, {_CLASHING} AS v FROM part)",
+)
+def one_hot_clashing_names(spark, sf_dir):
+    values = [t + end for t in _PART_TYPES for end in (" x", "-x", "_x")]
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_CLASHING} v")
+    return features.one_hot(parts, "v", values)
+
+
 @query(
     "scale_standard",
     f"""

@@ -150,6 +150,41 @@ def vector_topk_approx(spark, sf_dir):
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}]+'), lambda w: w <> '')"
 
 
+_SEARCHED = "src3"
+
+
+@query(
+    "index_search",
+    f"""
+    WITH texts AS (
+      SELECT 'doc-' || doc_id AS id, NULL AS query_id, text FROM documents WHERE source = '{_SEARCHED}'
+      UNION ALL SELECT NULL, item_id, text FROM benchmark),
+    w AS (SELECT id, query_id, unnest({_WORDS_SQL.format("text")}) AS word FROM texts),
+    n AS (SELECT id, query_id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 64 AS slot,
+                 CAST(count(*) AS DOUBLE) AS c FROM w GROUP BY ALL),
+    s AS (SELECT *, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id, query_id)) AS FLOAT) AS DOUBLE) AS f FROM n),
+    norms AS (SELECT id, query_id, sqrt(sum(f * f)) AS norm FROM s GROUP BY ALL),
+    scored AS (
+      SELECT q.query_id, d.id, round(sum(q.f * d.f) / any_value(nq.norm) / any_value(nd.norm), 9) AS score
+      FROM s q JOIN s d ON q.slot = d.slot AND q.query_id IS NOT NULL AND d.id IS NOT NULL
+      JOIN norms nq ON nq.query_id = q.query_id JOIN norms nd ON nd.id = d.id GROUP BY ALL),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+               FROM scored)
+    SELECT r.query_id, r.id, rank, {stable_sql("score", 6)} AS score, t.text AS text_content, '{_SEARCHED}' AS source
+    FROM ranked r JOIN texts t ON t.id = r.id WHERE rank <= 3
+    """,
+)
+def index_search(spark, sf_dir):
+    index = DocumentIndex(spark, scratch_path(spark, "index"), dimension=64)
+    index.upsert(_document_batch(spark, sf_dir), embedder=hashing_embedder(64))
+    queries = table(spark, sf_dir, "benchmark").selectExpr("item_id query_id", "text")
+    found = index.search(queries, 3, hashing_embedder(64), metadata_equals("source", _SEARCHED))
+    return found.select(
+        "query_id", "id", "rank", stable("score", 6).alias("score"), "text_content",
+        F.try_variant_get("metadata", "$.source", "string").alias("source"),
+    )
+
+
 @query(
     "embed_text",
     f"""

@@ -1,4 +1,4 @@
-"""Document index: keyed upsert, delete by predicate, versions on disk.
+"""Document index: keyed upsert, delete by predicate, search; changes on disk.
 
 A document row is (id string, text_content string, metadata variant
 [, embedding array<float>]).
@@ -10,9 +10,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loomwright.storage import path_exists, read_text, stage, write_text
-
-_POINTER = "CURRENT"
+from loomwright.operators.vectors import (
+    Embedder, cosine_topk, embed_texts, plain_words, project_matches,
+)
+from loomwright.storage import (
+    list_folder, make_folder, path_exists, publish_text, read_text, remove, stage,
+)
 
 
 def as_documents(
@@ -79,44 +82,135 @@ def check_dimension(batch: DataFrame, dimension: int) -> None:
         raise ValueError(f"{bad} vectors do not have {dimension} components")
 
 
+class IndexConflict(RuntimeError):
+    """Another writer keeps publishing first."""
+
+
 class DocumentIndex:
-    """An index folder: one sub-folder per version and a pointer to the current one.
+    """An index folder: a numbered log of changes and the rows each of them wrote.
 
-    Each change is written beside the version being read and becomes visible by
-    rewriting the pointer, so a lost job leaves the index as it was.
+    A change writes its own rows only, an upsert the batch and a delete the ids it removes, and
+    then publishes the next number of the log. A number is published once: of two writers the
+    later one finds it taken and takes the next, so neither is lost, and a job that dies before it
+    publishes leaves the index as it was. Readers resolve the newest row of each id.
+    ``compact`` writes the current state as one change that stands for all before it.
     """
 
+    _TRIES = 50
+
     def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
         self._spark = spark
         self._path = path.rstrip("/")
         self._dimension = dimension
 
-    def read(self) -> DataFrame | None:
-        pointer = f"{self._path}/{_POINTER}"
-        if not path_exists(self._spark, pointer):
-            return None
-        return self._spark.read.parquet(f"{self._path}/{read_text(self._spark, pointer).strip()}")
+    def _log(self) -> list[tuple[int, str, str]]:
+        """(number, kind, folder) of each change that counts, oldest first."""
+        folder = f"{self._path}/log"
+        if not path_exists(self._spark, folder):
+            return []
+        names = sorted(p.rsplit("/", 1)[-1] for p in list_folder(self._spark, folder))
+        entries = []
+        for name in names:
+            if name.isdigit():  # drafts have other names
+                kind, _, data = read_text(self._spark, f"{folder}/{name}").strip().partition(" ")
+                if kind == "snapshot":
+                    entries.clear()
+                entries.append((int(name), kind, data))
+        return entries
+
+    def _publish(self, kind: str, rows: DataFrame, base: int | None = None) -> bool:
+        """Write rows and make them the next change. With ``base``, only right after that number."""
+        data = f"data/{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self._path}/{data}")
+        make_folder(self._spark, f"{self._path}/log")
+        for _ in range(self._TRIES):
+            log = self._log()
+            last = log[-1][0] if log else 0
+            if base is not None and last != base:
+                remove(self._spark, f"{self._path}/{data}")
+                return False
+            if publish_text(self._spark, f"{self._path}/log/{last + 1:012d}", f"{kind} {data}"):
+                return True
+        raise IndexConflict(f"no free number in the log of {self._path}")
 
-    def _publish(self, docs: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        docs.write.parquet(f"{self._path}/{version}")
-        write_text(self._spark, f"{self._path}/{_POINTER}", version)
+    def read(self) -> DataFrame | None:
+        """The newest row of each id, without the deleted ones; None for an index without changes."""
+        return self._resolved(self._log())
 
-    def upsert(self, batch: DataFrame, position: str | None = None) -> None:
-        """Add a batch. Equal ids within it keep the last row by position; without a
-        position their order is not defined, and they keep the largest text."""
-        if position is None:
-            position = "_pos"
-            batch = batch.withColumn(position, F.col("text_content"))
-        # Written first: it is checked, matched and copied, but computed only once.
-        unique = stage(last_per_id(batch, position), "batch")
+    def _resolved(self, log: list[tuple[int, str, str]]) -> DataFrame | None:
+        if not log:
+            return None
+        changes = None
+        for number, kind, data in log:
+            rows = self._spark.read.parquet(f"{self._path}/{data}").withColumns(
+                {"_number": F.lit(number), "_gone": F.lit(kind == "delete")}
+            )
+            changes = rows if changes is None else changes.unionByName(rows, allowMissingColumns=True)
+        if len(log) > 1:  # ids are unique within a change
+            newest = Window.partitionBy("id").orderBy(F.col("_number").desc())
+            changes = changes.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+        current = changes.where("NOT _gone").drop("_number", "_gone")
+        return current if "text_content" in current.columns else None
+
+    def upsert(
+        self, batch: DataFrame, position: str | None = None, embedder: Embedder | None = None
+    ) -> None:
+        """Add a batch. Equal ids within it keep the last row by position; without a position
+        their order is not known, and they are refused.
+
+        ``embedder`` makes the vectors from the plain words of the texts.
+        """
+        if position is not None:
+            batch = last_per_id(batch, position)
+        if embedder is not None:
+            batch = embed_texts(batch, "text_content", lambda: embedder, prepare=plain_words)
+        # Written first: it is checked and published, but computed only once.
+        unique = stage(batch, "batch")
         check_ids(unique)
+        if position is None:
+            repeated = unique.groupBy("id").count().where("count > 1").count()
+            if repeated:
+                raise ValueError(f"{repeated} ids are repeated in the batch, and no position orders them")
         if self._dimension is not None:
             check_dimension(unique, self._dimension)
-        current = self.read()
-        self._publish(unique if current is None else upsert(current, unique))
+        self._publish("upsert", unique)
 
     def delete(self, predicate: Column) -> None:
+        """Remove the rows for which the predicate is true. Only their ids are written."""
         current = self.read()
         if current is not None:
-            self._publish(delete_where(current, predicate))
+            self._publish("delete", current.where(F.coalesce(predicate, F.lit(False))).select("id"))
+
+    def compact(self) -> None:
+        """One change with the current rows in place of the log so far.
+
+        Data of the changes before it is removed; readers that started earlier should be done.
+        """
+        log = self._log()
+        current = self._resolved(log)
+        if current is None or not self._publish("snapshot", current, log[-1][0]):
+            return  # a change came in between; its writer or a later call compacts
+        for _, _, data in log:
+            remove(self._spark, f"{self._path}/{data}")
+
+    def search(
+        self, queries: DataFrame, k: int, embedder: Embedder, where: Column | None = None
+    ) -> DataFrame:
+        """The k nearest documents of each text: (query_id, id, rank, score, text_content, metadata).
+
+        ``queries`` are (query_id, text). ``where`` filters on metadata before ranking.
+        """
+        current = self.read()
+        if current is None or "embedding" not in current.columns:
+            raise ValueError("the index has no vectors; add documents with an embedder")
+        vectors = embed_texts(
+            queries.select("query_id", "text"), "text", lambda: embedder, prepare=plain_words
+        )
+        docs = current if where is None else current.where(where)
+        matches = cosine_topk(
+            vectors.select("query_id", "embedding"),
+            docs.select(F.col("id").alias("doc_id"), "embedding"), k,
+        )
+        return project_matches(matches, docs, "text_content", "metadata").select(
+            "query_id", F.col("doc_id").alias("id"), "rank", "score", "text_content", "metadata"
+        )

@@ -24,17 +24,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/loomwright/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/loomwright/{label}-{uuid.uuid4().hex}"
+    return f"{_application_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Frames that read it are void after that."""
+    remove(spark, _application_scratch(spark))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` once and go on from the written table.
 
     Later passes re-read only the columns they need, and a lost executor
-    re-reads files instead of recomputing the upstream joins.
+    re-reads files instead of recomputing the upstream joins. Parquet cannot hold
+    calendar intervals; frames with such columns are checkpointed to the same folder.
     """
     spark = df.sparkSession
+    if "CalendarIntervalType" in repr(df.schema):
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(scratch_root(spark))
+        return df.checkpoint()
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,17 +72,42 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().toString() for status in fs.listStatus(hadoop_path))
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _hadoop(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _hadoop(spark, path)
-    out = fs.create(hadoop_path, True)
+    fs.delete(hadoop_path, True)
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear as a whole, never over an existing one: False if there is one.
+
+    The text is written beside it first and renamed; a rename does not replace a file.
+    """
+    fs, target = _hadoop(spark, path)
+    _, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    done = not fs.exists(target) and fs.rename(draft, target)
+    if not done:
+        fs.delete(draft, False)
+    return done
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    """A small file, read by the driver."""
+    fs, hadoop_path = _hadoop(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def input_bytes(df: DataFrame) -> int:

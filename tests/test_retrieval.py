@@ -71,6 +71,14 @@ def test_small_blocks_and_buckets_give_the_same(vectors, spark):
     assert tuples(best_k(one_bucket, 3)) == expected
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_ids_of_any_type_on_both_paths(vectors, kind):
+    df, _ = vectors
+    queries, docs = sides(df.withColumn("id", F.col("id").cast(kind)))
+    few = queries.limit(3)
+    assert tuples(cosine_topk(few, docs, 2)) == tuples(cosine_topk(few, docs, 2, max_shared=1))
+
+
 def test_filter_comes_before_ranking(vectors):
     df, _ = vectors
     queries, docs = sides(df)
@@ -83,7 +91,7 @@ def test_approximate_topk_recall_and_copies(vectors):
     df, _ = vectors
     queries, docs = sides(df)
     exact = {(q, d) for q, d, _, _ in tuples(cosine_topk(queries, docs, 3))}
-    found = tuples(approximate_topk(queries, docs, 3, bucket_rows=40))
+    found = tuples(approximate_topk(queries, docs, 3, bits=3))
     assert len({(q, d) for q, d, _, _ in found} & exact) / len(exact) > 0.9
     # Every copy finds the smallest ids of its own vector.
     copies = [(q, d) for q, d, _, _ in found if q % 3 == 0]
@@ -199,6 +207,65 @@ def test_upsert_replaces_keeps_the_last_and_is_idempotent(spark):
     assert content(index) == [("b", "b"), ("c", "c")]
 
 
+def folder_bytes(path):
+    from pathlib import Path
+
+    return sum(p.stat().st_size for p in Path(path).rglob("*") if p.is_file())
+
+
+def test_changes_write_their_own_rows_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = DocumentIndex(spark, path)
+    index.upsert(batch(spark, [(f"k{i}", f"text {i} " * 50, "s", 0) for i in range(4000)]), "pos")
+    large = folder_bytes(path)
+    index.upsert(batch(spark, [("k1", "new", "t", 0)]), "pos")
+    index.delete(F.col("id") == "k2")
+    assert folder_bytes(path) - large < large / 10
+    before = content(index)
+    assert len(before) == 3999 and ("k1", "new") in before
+    index.compact()
+    assert content(index) == before
+    index.upsert(batch(spark, [("k2", "again", "s", 0)]), "pos")
+    assert len(content(index)) == 4000
+
+
+def test_no_change_is_lost_between_writers(spark):
+    path = scratch_path(spark, "test-index")
+    first, second = DocumentIndex(spark, path), DocumentIndex(spark, path)
+    log = first._log
+
+    def late():  # the other writer publishes between this one's look at the log and its own number
+        seen = log()
+        if not hasattr(late, "done"):
+            late.done = True
+            second.upsert(batch(spark, [("b", "b", "s", 0)]), "pos")
+        return seen
+
+    first._log = late
+    first.upsert(batch(spark, [("a", "a", "s", 0)]), "pos")
+    assert content(first) == [("a", "a"), ("b", "b")]
+
+
+def test_repeated_ids_need_a_position(spark):
+    index = DocumentIndex(spark, scratch_path(spark, "test-index"))
+    with pytest.raises(ValueError, match="repeated"):
+        index.upsert(batch(spark, [("a", "x", "s", 0), ("a", "y", "s", 1)]).drop("pos"))
+
+
+def test_search_filters_and_returns_content(spark):
+    index = DocumentIndex(spark, scratch_path(spark, "test-index"), dimension=16)
+    rows = batch(spark, [("a", "red apple", "s", 0), ("b", "red apple", "t", 0), ("c", "blue sky", "t", 0)])
+    index.upsert(rows, "pos", embedder=hashing_embedder(16))
+    asked = spark.createDataFrame([(1, "Apple, RED"), (2, None)], "query_id int, text string")
+    hits = index.search(asked, 2, hashing_embedder(16), metadata_equals("source", "t")).collect()
+    assert [(h.query_id, h.id, h.rank, h.text_content) for h in hits if h.rank == 1] == [(1, "b", 1, "red apple")]
+    index.delete(F.col("id") == "b")
+    hits = index.search(asked, 2, hashing_embedder(16)).where("rank = 1").collect()
+    assert [h.id for h in hits] == ["a"]
+    with pytest.raises(ValueError, match="no vectors"):
+        DocumentIndex(spark, scratch_path(spark, "test-index")).search(asked, 1, hashing_embedder(16))
+
+
 def test_index_checks(spark):
     with pytest.raises(ValueError, match="lack an id"):
         check_ids(spark.createDataFrame([(None, "t")], "id string, text_content string"))
