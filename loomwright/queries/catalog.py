@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from loomwright.functions.names import normalize_column_name
 from loomwright.plans.catalog import (
-    dictionary_entries, enrich_columns, global_columns, missing_described, nested_catalog,
+    dictionary_entries, enrich_columns, global_columns, ingest_catalog, missing_described,
+    nested_catalog,
 )
 from loomwright.queries.base import query, table
 from loomwright.queries.retrieval import lexical_sql
+from loomwright.sources.index_store import DocumentIndex
 from loomwright.sources.tables import (
-    blank_na_tokens, discover_csv_tables, infer_columns, table_names,
+    blank_na_tokens, discover_csv_tables, infer_columns, read_csv_table, table_names,
 )
 from loomwright.storage import scratch_path
 
 # ---- schema inference over a folder of CSV tables ----
 
-_EXPORTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
-
 _INFERRED = {
     "region": "r_regionkey I, r_name S",
     "nation": "n_nationkey I, n_name S, n_regionkey I",
@@ -30,6 +33,10 @@ _INFERRED = {
     "l_extendedprice D, l_discount D, l_tax D, l_returnflag S, l_linestatus S, l_shipdate T",
     "events": "event_id I, ts T, user_id I, event_type S, value D, props S",
     "labels": "doc_id I, quality I, toxic I",
+    "documents": "doc_id I, text S, lang S, source S, n_chars I",
+    "pages": "page_id I, url S, html S",
+    "benchmark": "item_id I, text S",
+    "conversations": "conv_id I, turn I, role S, text S",
 }
 _TYPE_TEXT = {"I": "IntegerType()", "S": "StringType()", "D": "DoubleType()", "T": "TimestampType()"}
 
@@ -42,18 +49,75 @@ def _inferred_rows() -> str:
     )
 
 
+def _export(spark, sf_dir, names) -> str:
+    """CSV tables of a folder, written side by side."""
+    folder = scratch_path(spark, "tables")
+
+    def write(name: str) -> None:
+        writer = table(spark, sf_dir, name).write.option("header", True).option("escape", '"')
+        writer.csv(f"{folder}/{name}.csv")
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        list(pool.map(write, names))
+    return folder
+
+
 @query(
     "catalog_infer",
-    f"SELECT * FROM (VALUES {_inferred_rows()}) v(table_name, column_name, data_type)",
+    f"""
+    SELECT v.*, r.n_rows FROM (VALUES {_inferred_rows()}) v(table_name, column_name, data_type)
+    JOIN ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _INFERRED)}) r
+    USING (table_name)
+    """,
 )
 def catalog_infer(spark, sf_dir):
-    folder = scratch_path(spark, "tables")
-    for name in _EXPORTED:
-        table(spark, sf_dir, name).write.option("header", True).csv(f"{folder}/{name}.csv")
-    found = discover_csv_tables(spark, folder)
-    nested = nested_catalog(infer_columns(spark, found), table_names(spark, found))
-    return nested.select("table_name", F.explode("columns").alias("column_name", "record")).select(
-        "table_name", "column_name", "record.data_type"
+    """All tables that CSV can hold: vectors are the exception."""
+    found = discover_csv_tables(spark, _export(spark, sf_dir, _INFERRED))
+    columns = infer_columns(spark, found, multi_line=True)
+    counts = reduce(DataFrame.unionByName, (
+        read_csv_table(spark, path, multi_line=True, schema="first string").agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        for name, path in found
+    ))
+    nested = nested_catalog(columns, table_names(spark, found)).join(counts, "table_name")
+    return nested.select(
+        "table_name", "n_rows", F.explode("columns").alias("column_name", "record")
+    ).select("table_name", "column_name", "record.data_type", "n_rows")
+
+
+_INGESTED = ("region", "nation", "part")
+_INGESTED_COLUMNS = sum(len(_INFERRED[t].split(",")) for t in _INGESTED)
+_NOTE_ROW = """CASE p_size % 3 WHEN 0 THEN 'P_NAME' WHEN 1 THEN ' p_brand'
+      ELSE 'lost_' || CAST(p_partkey AS STRING) END"""
+
+
+@query(
+    "catalog_ingest",
+    f"""
+    SELECT 'LOST_' || p_partkey AS name, CAST({_INGESTED_COLUMNS} AS BIGINT) AS n_columns,
+           CAST({_INGESTED_COLUMNS} AS BIGINT) AS n_documents, count(*) OVER () AS n_missing,
+           (SELECT string_agg(DISTINCT d, ' | ' ORDER BY d) FROM (
+              SELECT 'Größe ' || p_brand AS d FROM part WHERE p_size % 3 = 1 ORDER BY 1 LIMIT 1)) AS brand_text
+    FROM part WHERE p_size % 3 = 2
+    """,
+)
+def catalog_ingest(spark, sf_dir):
+    """A folder of tables and a dictionary in its old encoding, ingested into an index."""
+    folder = _export(spark, sf_dir, _INGESTED)
+    dictionary = table(spark, sf_dir, "part").selectExpr(
+        "'part.csv' Table", f"{_NOTE_ROW} Row", "'Größe ' || p_brand Description")
+    dictionary.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{folder}/notes.csv")
+    index = DocumentIndex(spark, scratch_path(spark, "catalog-index"))
+    built, report = ingest_catalog(spark, folder, f"{folder}/notes.csv", index)
+    # The entry of the brand column, as it stands in the index.
+    brand = index.read().where(F.try_variant_get("metadata", "$.normalized_column_name", "string") == "P_BRAND")
+    text = brand.select(F.try_variant_get("metadata", "$.description", "string"))
+    return built.missing.select(
+        F.col("normalized_column_name").alias("name"),
+        F.lit(report["columns"]).cast("long").alias("n_columns"),
+        F.lit(report["documents"]).cast("long").alias("n_documents"),
+        F.lit(report["described_but_not_found"]).cast("long").alias("n_missing"),
+        text.scalar().alias("brand_text"),
     )
 
 

@@ -25,13 +25,17 @@ def read_csv_table(
     path: str,
     schema: T.StructType | str | None = None,
     drop_malformed: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Headered CSV. A given schema saves the inference pass over the file.
 
     Column pruning in the parser would let a malformed row through whenever the
-    query reads few columns, so it is off when such rows are dropped.
+    query reads few columns, so it is off when such rows are dropped. ``multi_line`` reads
+    quoted texts with line breaks; a file is then one task, since it cannot be split.
     """
     reader = spark.read.option("header", True)
+    if multi_line:
+        reader = reader.option("multiLine", True).option("escape", '"')
     if drop_malformed:
         reader = reader.option("mode", "DROPMALFORMED").option("columnPruning", False)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -53,7 +57,10 @@ def discover_csv_tables(
 
 
 def infer_columns(
-    spark: SparkSession, tables: list[tuple[str, str]], parallelism: int = 8
+    spark: SparkSession,
+    tables: list[tuple[str, str]],
+    parallelism: int = 8,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One row per (table, column) with its inferred type.
 
@@ -64,7 +71,7 @@ def infer_columns(
     def fields(item):
         name, path = item
         try:
-            schema = read_csv_table(spark, path, drop_malformed=True).schema
+            schema = read_csv_table(spark, path, None, True, multi_line).schema
         except Exception as error:  # an unreadable file is a table without columns
             print(f"no schema for {name}: {str(error).splitlines()[0]}")
             return []
