@@ -13,7 +13,7 @@ from loomwright.queries.base import query, stable, stable_sql, table
 from loomwright.sources.index_store import (
     DocumentIndex, as_documents, metadata_equals, with_variant_metadata,
 )
-from loomwright.storage import scratch_path
+from loomwright.storage import scratch_path, stage
 
 # ---- index ----
 
@@ -137,14 +137,26 @@ def vector_topk_filtered(spark, sf_dir):
     return project_matches(hits, vectors.withColumnRenamed("vec_id", "id"), "label")
 
 
-@query("vector_topk_approx")
+RECALL = 0.9  # what the approximate search states and its query measures
+
+
+@query(
+    "vector_topk_approx",
+    "SELECT vec_id AS query_id, CAST(3 AS BIGINT) AS n_found, true AS recall_reached FROM embeddings",
+)
 def vector_topk_approx(spark, sf_dir):
+    """How many neighbours each vector finds, and whether those of every twentieth are the
+    exact ones often enough."""
     vectors = table(spark, sf_dir, "embeddings")
-    return approximate_topk(
-        vectors.selectExpr("vec_id query_id", "embedding"),
-        vectors.selectExpr("vec_id doc_id", "embedding"),
-        k=3,
-    )
+    asked = vectors.selectExpr("vec_id query_id", "embedding")
+    docs = vectors.selectExpr("vec_id doc_id", "embedding")
+    found = stage(approximate_topk(asked, docs, k=3, tables=16, bits=4), "approximate")
+    exact = cosine_topk(asked.where("query_id % 20 = 0"), docs, k=3)
+    share = exact.join(
+        found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left"
+    ).agg((F.count("hit") / F.count("*") >= RECALL).alias("reached"))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_found")).withColumn(
+        "recall_reached", share.scalar())
 
 
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}]+'), lambda w: w <> '')"
