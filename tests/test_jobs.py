@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions.jsonio import NOT_A_NUMBER, is_strict_json, jvm_accepts, normalized_json
 from loomwright.functions.names import (
     file_stem, normalize_column_name, safe_output_name, strip_blank, table_name_from_path,
 )
@@ -13,7 +14,7 @@ from loomwright.plans.catalog import (
 )
 from loomwright.plans.reviews import classify_reviews, last_message, run_outcomes
 from loomwright.plans.spec import accepted, parse_specs, quarantined, repair_wrapped
-from loomwright.plans.tasks import render_task, task_documents
+from loomwright.plans.tasks import index_tasks, render_task, task_documents
 from loomwright.plans.validate import suggest_tables, validate_specs, validation_report
 from loomwright.sources.index_store import DocumentIndex
 from loomwright.storage import scratch_path
@@ -90,6 +91,73 @@ def parse(spark, payloads):
     return parse_specs(df)
 
 
+HARD_JSON = [
+    "{}", " [1] ", "1", '"x"', "null", "", "  ", "1,2", "1],[2", '1},{"v":2', '1,"v":2', '{"a":1} tail', '{"a":1}{"b":2}',
+    '{"a":', "[1,]", "{'a':1}", "nul", "01", "1.", '"a\nb"', '"\\u00e9"', '{"a":1,"a":2}', '{"a":{"b":1,"b":[2]}}', "NaN",
+    '{"a": -Infinity}', "[" * 60 + "]" * 60, '{"v":1}', "]", "}", '"', "\ufeff{}", "{}\u00a0", "{}\n", "1e400",
+]
+
+
+def test_one_json_value_and_nothing_else(spark):
+    """The JVM decides most texts; together with Python it agrees with the strict parser."""
+    def strict(text):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame(list(enumerate(HARD_JSON)), "i int, t string")
+    got = df.select("t", is_strict_json("t").alias("ok"), normalized_json(F.col("t")).alias("n"),
+                    jvm_accepts(F.col("t")).alias("jvm")).orderBy("i")
+    for r in got.collect():
+        valid = r.t.strip() == "null" or strict(r.t) is not None
+        assert r.ok == valid, r
+        assert valid or not r.jvm, r
+        if r.n == NOT_A_NUMBER:
+            assert "N" in r.t or "I" in r.t
+        elif r.n is not None:
+            assert json.loads(r.n) == strict(r.t), r
+
+
+def test_repeated_keys_and_numbers_that_json_lacks(spark):
+    rows = parse(spark, ['{"pipeline_name": "a", "pipeline_name": "b", "main_goal": "g"}',
+                         '{"pipeline_name": "a", "main_goal": "g", "x": NaN}']).orderBy("spec_id").collect()
+    assert rows[0].spec.pipeline_name == "b" and rows[0].error_class is None
+    assert rows[1].errors == ["payload: NaN or infinite number"] and rows[1].error_class == "invalid_json"
+
+
+def test_equal_specs_of_two_requests_are_two_documents(spark):
+    specs = accepted(parse(spark, [MINIMAL, MINIMAL])).withColumn("request", F.concat(F.lit("r"), "spec_id"))
+    index = DocumentIndex(spark, scratch_path(spark, "test-tasks"))
+    for _ in range(2):
+        index_tasks(index, specs)
+    found = index.read().select(F.try_variant_get("metadata", "$.original_request_text", "string")).collect()
+    assert sorted(r[0] for r in found) == ["r0", "r1"]
+
+
+def test_every_key_with_columns_is_validated(spark):
+    steps = [
+        {"type": "imputation", "details": {"columns": "nope1"}}, {"type": "conversion", "details": {"types": {"nope2": "int"}}},
+        {"type": "deduplication", "details": {"columns": ["a"], "order_by": "nope3"}},
+    ]
+    build = [{"type": "aggregation", "details": {"group_by": ["nope4"], "status": {"nope5": ["x"]}}},
+             {"type": "encoding", "details": {"columns": ["a"], "values": {"nope6": [1]}}}]
+    spec = {**MINIMAL, "initial_tables": ["t"], "data_cleaning_steps": steps, "feature_engineering_steps": build}
+    catalog = spark.createDataFrame([("t", "a", "IntegerType()", False)],
+                                    "table_name string, column_name string, data_type string, is_target boolean")
+    specs = accepted(parse(spark, [spec])).select("spec_id", "spec")
+    found = validate_specs(specs, catalog).collect()
+    assert sorted(r.subject for r in found if r.rule == "missing_column") == [f"nope{i}" for i in range(1, 7)]
+
+
+def test_a_column_listed_twice_is_one_entry(spark):
+    columns = spark.createDataFrame([("a", "x", "IntegerType()"), ("a", "x", "StringType()"), ("a", "y", "IntegerType()")],
+                                    "table_name string, column_name string, data_type string")
+    tables = spark.createDataFrame([("a",), ("b",)], "table_name string")
+    got = {r.table_name: r.columns for r in nested_catalog(columns, tables).collect()}
+    assert sorted(got["a"]) == ["x", "y"] and got["a"]["x"].data_type == "IntegerType()" and got["b"] == {}
+
+
 def test_valid_specs_and_defaults(spark):
     parsed = parse(spark, [GOLDEN, MINIMAL, {**MINIMAL, "extra": [1], "output_format": None}])
     rows = [r.spec for r in accepted(parsed).orderBy("spec_id").collect()]
