@@ -21,4 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from loomwright.storage import release_scratch
+
+    release_scratch(session)
     session.stop()
