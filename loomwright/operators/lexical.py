@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomwright.functions.text import words
-from loomwright.operators.topk import rank_documents
-from loomwright.storage import spread
+from loomwright.operators.topk import QUERY_BLOCK, block_count, rank_documents, rank_in_blocks
+from loomwright.storage import spread, stage
 
 _BATCH_CELLS = 4_000_000
 
@@ -60,9 +62,12 @@ class WordScorer:
         postings = starts, ends, row[order], counts[order]
         return vocabulary, dense_row, dense, postings, np.sqrt(squares)
 
+    def cells(self, docs: pa.RecordBatch):
+        return _counts(docs.column("words"))
+
     def score(self, state, docs: pa.RecordBatch):
         known, dense_row, dense, postings, query_norms = state
-        row, code, counts, vocabulary, squares = _counts(docs.column("words"))
+        row, code, counts, vocabulary, squares = self.cells(docs)
         if not len(known) or not len(vocabulary):
             return
         place = pc.fill_null(pc.index_in(vocabulary, value_set=known), -1)
@@ -109,6 +114,58 @@ class WordScorer:
         return dots.reshape(shape)
 
 
+class CountedWordScorer(WordScorer):
+    """The same for documents whose words are counted already and cut to those asked for."""
+
+    doc_columns = ("words", "counts", "squares")
+
+    def row_bytes(self) -> Column:
+        return F.octet_length(F.array_join("words", " ")) + 12 * F.size("words")
+
+    def cells(self, docs: pa.RecordBatch):
+        words_ = docs.column("words")
+        coded = pc.dictionary_encode(words_.flatten())
+        row = pc.list_parent_indices(words_).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = docs.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return row, code, counts, coded.dictionary, docs.column("squares").to_numpy()
+
+
+def _word_cells(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, n, squares): each distinct word of a document with its count, and the sum of
+    the squares of all its counts."""
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("word", T.StringType()),
+        T.StructField("n", T.DoubleType()), T.StructField("squares", T.DoubleType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, code, counts, vocabulary, squares = _counts(batch.column("words"))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), vocabulary.take(pa.array(code)),
+                 pa.array(counts), pa.array(squares[row])],
+                names=schema.names,
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
+def route_by_words(queries: DataFrame, docs: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the ``block`` of the queries. A document goes to the blocks that ask
+    for a word it has, with these words alone, and to no other."""
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = queries.select("block", F.explode("words").alias("word")).distinct()
+    routed = _word_cells(docs).join(asked, "word").groupBy("doc_id", "block").agg(
+        F.collect_list(F.struct("word", "n")).alias("cells"), F.first("squares").alias("squares")
+    )
+    return queries, routed.select(
+        "doc_id", "block", F.col("cells.word").alias("words"), F.col("cells.n").alias("counts"), "squares")
+
+
 def lexical_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -126,5 +183,14 @@ def lexical_topk(
         docs.select("doc_id", words(F.col(doc_text)).alias("words")),
         WordScorer(),
         k,
+        in_blocks=_rank_routed,
         **limits,
     )
+
+
+def _rank_routed(queries: DataFrame, docs: DataFrame, scorer: WordScorer, k: int, schema) -> DataFrame:
+    queries = stage(queries, "lexical-queries")  # sized, listed by word, and ranked
+    blocks = queries.select(block_count(scorer, QUERY_BLOCK)).first()[0]
+    queries, routed = route_by_words(queries, docs, blocks)
+    routed = stage(routed, "lexical-routed")
+    return rank_in_blocks(queries, routed, CountedWordScorer(), k, schema, bucket="block")

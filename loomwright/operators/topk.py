@@ -16,7 +16,7 @@ query; only these meet in the final ranking. A scorer is an object with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +120,13 @@ def rank_documents(
     k: int,
     max_shared: int = MAX_SHARED_QUERIES,
     max_shared_bytes: int = MAX_SHARED_BYTES,
+    in_blocks: Callable | None = None,
 ) -> DataFrame:
     """Exact k best documents per query: (query_id, doc_id, score, rank).
 
     ``queries`` has ``query_id`` and the scorer's query columns; ``docs`` has
-    ``doc_id`` and the scorer's document columns.
+    ``doc_id`` and the scorer's document columns. A query side within the bounds is shared with
+    all tasks; beyond them ``in_blocks`` (``rank_in_blocks`` by default) gives the same result.
     """
     queries = queries.select("query_id", *scorer.query_columns)
     docs = docs.select("doc_id", *scorer.doc_columns)
@@ -140,7 +142,7 @@ def rank_documents(
         queries.limit(max_shared + 1).agg(F.count("*"), F.sum(scorer.row_bytes())).first()
     )
     if rows > max_shared or (size or 0) > max_shared_bytes:
-        return best_k(rank_in_blocks(queries, docs, scorer, k, schema), k)
+        return best_k((in_blocks or rank_in_blocks)(queries, docs, scorer, k, schema), k)
     handle = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def run(batches):
@@ -151,6 +153,15 @@ def rank_documents(
     return best_k(docs.mapInArrow(run, schema), k)
 
 
+def block_count(scorer, rows: int | Column, block_bytes: int = BLOCK_BYTES) -> Column:
+    """How many blocks of bounded rows and bytes a side needs."""
+    return F.greatest(
+        F.lit(1),
+        F.ceil(F.count("*") / rows),
+        F.ceil(F.coalesce(F.sum(scorer.row_bytes()), F.lit(0)) / block_bytes),
+    ).cast("int")
+
+
 def rank_in_blocks(
     queries: DataFrame,
     docs: DataFrame,
@@ -171,11 +182,7 @@ def rank_in_blocks(
     """
 
     def blocks(rows: int | Column) -> Column:
-        return F.greatest(
-            F.lit(1),
-            F.ceil(F.count("*") / rows),
-            F.ceil(F.coalesce(F.sum(scorer.row_bytes()), F.lit(0)) / block_bytes),
-        ).cast("int")
+        return block_count(scorer, rows, block_bytes)
 
     q_blocks = blocks(query_block)
     if bucket is None:

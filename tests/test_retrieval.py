@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators.context import NO_CONTEXT, assemble_context
-from loomwright.operators.lexical import WordScorer, lexical_topk
+from loomwright.operators.lexical import route_by_words, WordScorer, lexical_topk
 from loomwright.operators.topk import best_k, rank_in_blocks
 from loomwright.operators.vectors import (
     CosineScorer, approximate_topk, cosine_topk, embed_texts, hashing_embedder,
@@ -134,6 +134,24 @@ def test_lexical_topk_is_exact_on_both_paths(texts):
     assert tuples(lexical_topk(queries, docs, 3, max_shared=5)) == expected
 
 
+def test_documents_go_only_to_blocks_that_ask_for_their_words(spark):
+    queries = spark.createDataFrame(
+        [(1, ["red", "red"]), (2, ["blue"]), (3, ["green"]), (4, [])], "query_id int, words array<string>")
+    docs = spark.createDataFrame(
+        [("a", ["red", "red", "sky", "blue"]), ("b", ["sky"]), ("c", ["green"]), ("d", [])], "doc_id string, words array<string>")
+    asked, routed = route_by_words(queries, docs, 4)
+    by_block = {}
+    for r in asked.collect():
+        by_block.setdefault(r.block, set()).update(r.words)
+    rows = routed.collect()
+    have = {"a": {"red", "sky", "blue"}, "b": {"sky"}, "c": {"green"}, "d": set()}
+    assert {(r.doc_id, r.block) for r in rows} == {
+        (d, b) for d, w in have.items() for b, asked_for in by_block.items() if w & asked_for}
+    for r in rows:
+        assert set(r.words) == have[r.doc_id] & by_block[r.block]
+        assert r.squares == (6.0 if r.doc_id == "a" else 1.0)
+
+
 def test_long_postings_are_met_in_pieces(texts, monkeypatch):
     import pyarrow as pa
 
