@@ -304,3 +304,31 @@ def validation_report(specs: DataFrame, findings: DataFrame) -> DataFrame:
             ).alias("findings"),
         )
     )
+
+
+def apply_suggestions(specs: DataFrame, findings: DataFrame) -> DataFrame:
+    """The specs with each missing table replaced by its obvious alternative, where it has one.
+
+    A repeated table of the result stands once; other findings are left to the reader.
+    """
+    known = (F.col("rule") == MISSING_TABLE) & F.col("detail").isNotNull()
+    fixes = findings.where(known).groupBy("spec_id").agg(
+        F.map_from_entries(F.collect_set(F.struct("subject", "detail"))).alias("_fixes")
+    )
+
+    def fixed(table: Column) -> Column:
+        return F.coalesce(F.col("_fixes")[table], table)
+
+    spec = F.col("spec")
+    joins = F.transform(
+        spec["join_operations"],
+        lambda j: j.withField("left_table", fixed(j["left_table"])).withField(
+            "right_table", fixed(j["right_table"])
+        ),
+    )
+    tables = F.array_distinct(F.transform(spec["initial_tables"], fixed))
+    return (
+        specs.join(fixes, "spec_id", "left")
+        .withColumn("spec", spec.withField("initial_tables", tables).withField("join_operations", joins))
+        .drop("_fixes")
+    )

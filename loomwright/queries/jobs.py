@@ -11,7 +11,7 @@ from loomwright.functions.text import unwrap_script, with_payload, without_fence
 from loomwright.plans.reviews import classify_reviews, last_message, run_outcomes
 from loomwright.plans.spec import accepted, parse_specs, repair_wrapped
 from loomwright.plans.tasks import index_tasks, render_task, task_documents
-from loomwright.plans.validate import validate_specs, validation_report
+from loomwright.plans.validate import apply_suggestions, validate_specs, validation_report
 from loomwright.queries.base import query, table
 from loomwright.queries.catalog import BRAND_TABLE as _TABLE
 from loomwright.sources.index_store import DocumentIndex
@@ -240,9 +240,17 @@ _CHECKED = f"""'{{"pipeline_name": "n", "main_goal": "g", "initial_tables": ["'
     || '", "on_columns": ["' || {_KEY} || '"]}}], ' || {_STEP} || '}}]' || coalesce(', "scoring_model": {{"name": "m", "objective": "o", "target_column": "' || {_TARGET} || '"}}', '') || '}}'"""
 
 
-@query(
-    "spec_validate",
-    f"""
+def _specs_and_catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    payloads = table(spark, sf_dir, "orders").selectExpr("o_orderkey spec_id", f"{_CHECKED} payload")
+    specs = accepted(stage(parse_specs(payloads), "specs")).select("spec_id", "spec")
+    catalog = table(spark, sf_dir, "part").selectExpr(*_CATALOG)
+    # One type per column: the least family of its parts, as text sorts after numbers.
+    return specs, catalog.groupBy("table_name", "column_name").agg(
+        F.min("data_type").alias("data_type"), F.bool_or("is_target").alias("is_target")
+    )
+
+
+_HINTS = f"""
     WITH cat AS (
       SELECT {_TABLE} AS t, replace(p_name, ' ', '_') AS c, bool_or(p_size >= 46) AS flagged,
              min(CASE WHEN p_name LIKE '%ring' AND p_size < 25 THEN 'text' ELSE 'number' END) AS family
@@ -256,7 +264,13 @@ _CHECKED = f"""'{{"pipeline_name": "n", "main_goal": "g", "initial_tables": ["'
       SELECT n, coalesce(
         (SELECT arg_min(t, (NOT has_target, t)) FROM tabs WHERE starts_with(t, n)),
         (SELECT arg_min(t, (NOT has_target, t)) FROM tabs WHERE levenshtein(t, n) = 1)) AS hint
-      FROM lost),
+      FROM lost)"""
+
+
+@query(
+    "spec_validate",
+    f"""
+    {_HINTS},
     findings AS (
       SELECT DISTINCT spec_id, 'missing_table' AS rule, n AS subject, hint AS detail
         FROM (SELECT spec_id, l AS n FROM s UNION ALL SELECT spec_id, r FROM s) JOIN hints USING (n)
@@ -280,13 +294,7 @@ _CHECKED = f"""'{{"pipeline_name": "n", "main_goal": "g", "initial_tables": ["'
     """,
 )
 def spec_validate(spark, sf_dir):
-    payloads = table(spark, sf_dir, "orders").selectExpr("o_orderkey spec_id", f"{_CHECKED} payload")
-    specs = accepted(stage(parse_specs(payloads), "specs")).select("spec_id", "spec")
-    catalog = table(spark, sf_dir, "part").selectExpr(*_CATALOG)
-    # One type per column: the least family of its parts, as text sorts after numbers.
-    catalog = catalog.groupBy("table_name", "column_name").agg(
-        F.min("data_type").alias("data_type"), F.bool_or("is_target").alias("is_target")
-    )
+    specs, catalog = _specs_and_catalog(spark, sf_dir)
     report = validation_report(specs, validate_specs(specs, catalog))
     return report.select(
         "spec_id",
@@ -301,6 +309,25 @@ def spec_validate(spark, sf_dir):
     )
 
 
+@query(
+    "spec_correct",
+    f"""
+    {_HINTS}
+    SELECT spec_id, coalesce(a.hint, l) AS tables, coalesce(a.hint, l) AS left_table,
+           coalesce(b.hint, r) AS right_table
+    FROM s LEFT JOIN hints a ON a.n = l LEFT JOIN hints b ON b.n = r
+    """,
+)
+def spec_correct(spark, sf_dir):
+    specs, catalog = _specs_and_catalog(spark, sf_dir)
+    corrected = apply_suggestions(specs, validate_specs(specs, catalog))
+    join = F.col("spec.join_operations")[0]
+    return corrected.select(
+        "spec_id", F.array_join("spec.initial_tables", ",").alias("tables"),
+        join["left_table"].alias("left_table"), join["right_table"].alias("right_table"),
+    )
+
+
 # ---- approved specs as documents ----
 
 
