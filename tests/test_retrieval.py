@@ -3,14 +3,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators.context import NO_CONTEXT, assemble_context
-from loomwright.operators.lexical import route_by_words, WordScorer, lexical_topk
+from loomwright.operators.lexical import WordScorer, lexical_topk, route_by_words
 from loomwright.operators.topk import best_k, rank_in_blocks
 from loomwright.operators.vectors import (
     CosineScorer, approximate_topk, cosine_topk, embed_texts, hashing_embedder,
 )
 from loomwright.sources.index_store import (
     DocumentIndex, as_documents, check_dimension, check_ids, delete_where, metadata_equals,
-    with_variant_metadata,
 )
 from loomwright.storage import scratch_path
 
