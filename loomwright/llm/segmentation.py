@@ -119,7 +119,8 @@ class Lattices:
         begin, end, code, weight = map(np.concatenate, (begin, end, code, weight))
         depth = end - first[word[begin]]
         source, target = begin + word[begin], end + word[begin]
-        order = np.lexsort((source, target, depth))
+        # One key instead of three: by depth, then by node; in a node by the length of the piece.
+        order = np.argsort(depth * (len(chars) + len(first) + 1) + target, kind="stable")
         source, target, weight = source[order], target[order], weight[order]
         self.code, self.source = code[order], source
         total = np.zeros(len(chars) + len(first))
@@ -136,14 +137,11 @@ class Lattices:
         share = np.exp(total[source] + weight - total[target])
         ends = np.r_[heads[1:], len(target)]
         run = np.cumsum(share)
-        before = np.repeat(run[heads] - share[heads], ends - heads)
-        rank = np.repeat(np.arange(len(heads)), ends - heads)
-        self.cumulative = rank + np.minimum(run - before, 1.0)
-        self.cumulative[ends - 1] = np.arange(len(heads)) + 1.0
-        self.rank = np.zeros(len(total), np.int64)
-        self.rank[target[heads]] = np.arange(len(heads))
-        self.last_edge = ends - 1
-        self.total = total
+        self.upto = run - np.repeat(run[heads] - share[heads], ends - heads)
+        self.first_edge = np.zeros(len(total), np.int64)
+        self.last_edge = np.zeros(len(total), np.int64)
+        self.first_edge[target[heads]] = heads
+        self.last_edge[target[heads]] = ends - 1
 
     def draw(self, word: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece codes of one sample of each word in turn, and the number of pieces of each."""
@@ -151,10 +149,14 @@ class Lattices:
         stop = self.start_node[word]
         owners, codes, step = [], [], 0
         while len(active):
-            here = self.rank[node[active]]
+            here = node[active]
             bits = mix(keys[active] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             u = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(self.cumulative, here + u, side="right"), self.last_edge[here])
+            edge, last_one = self.first_edge[here], self.last_edge[here]
+            going = np.arange(len(edge))
+            while len(going):  # a node has few incoming pieces, so walking beats a search among all
+                going = going[(u[going] >= self.upto[edge[going]]) & (edge[going] < last_one[going])]
+                edge[going] += 1
             owners.append(active)
             codes.append(self.code[edge])
             node[active] = self.source[edge]
@@ -258,7 +260,7 @@ def sample_segmentations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, sharpness)
-        for batch, data, offsets in text_chunks(batches, limit=4 << 20):
+        for batch, data, offsets in text_chunks(batches):
             keys = mix(batch["_key"].to_numpy().view(np.uint64) + np.uint64(seed))
             ids, counts = encode_chunk(data, offsets, keys, pieces)
             upto = np.r_[0, np.cumsum(counts)]
