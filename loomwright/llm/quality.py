@@ -31,7 +31,8 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that stand in a 3-word window which the text has twice or more.
 
-    Windows are hashed and sorted with their places; equal hashes are then neighbours. Texts whose windows all differ, most texts, skip the rest.
+    Windows are hashed and sorted with their places; equal hashes are then neighbours. Texts
+    whose windows all differ, most texts, skip the rest.
     """
     def measure(w: Column) -> Column:
         hashes = F.transform(
