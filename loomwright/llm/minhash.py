@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                  pa.array([s.tobytes() for s in sets], pa.binary())], ["g", "id", "weight", "payload"])
             yield out.filter(same)
 
-    texts = docs.withColumnRenamed("doc_id", "id").join(chosen, "id").select(
+    texts = docs.withColumnRenamed("doc_id", "id").join(chosen.hint("merge"), "id").select(
         "g", "id", "weight", "set_a", F.col("text").cast("string"))
     sets = stage(
         texts.mapInArrow(full, "g long, id long, weight long, payload binary"), "minhash-sets")
@@ -316,11 +316,14 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     the document that would stand for them.
     """
     judged = stage(near_duplicates(docs, k, percent), "minhash-verdicts")
+    # Shuffled at every size: the list grows with the corpus and must not be broadcast.
     dropped = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeated = stage(
         judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
         .where("n > 1").select("doc_id"), "minhash-repeated")
+    if repeated.isEmpty():
+        return left
     single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     first = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(first)
