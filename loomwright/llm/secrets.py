@@ -144,23 +144,26 @@ def scan(
 def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every live-looking value replaced by ``mark``.
 
-    Widely copied examples stay. The text changes in place: all values of a document are
-    replaced by one pattern of its own live values, so no text is shuffled with its spans.
+    Widely copied examples stay, and so do long values that no key name, prefix or hexadecimal
+    form vouches for, since those are often names and addresses. All places of a value in a text
+    are replaced. Texts without any match pass through, unread by the rest and unshuffled.
     """
     names = docs.columns
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
-    found = F.when(text.rlike(_BOTH), F.array_distinct(
-        F.transform(candidates(text), lambda x: x["value"])))
-    keyed = packed(docs).withColumn("values", found)
-    places = keyed.where(F.size("values") > 0).select(
+    named = F.filter(candidates(text), lambda x: x["kind"] < KINDS.index("mixed"))
+    found = F.array_distinct(F.transform(named, lambda x: x["value"]))
+    rows = packed(docs).withColumn("hit", text.rlike(_BOTH))
+    without = rows.where("NOT hit")
+    # The few texts with a match are written: they are listed, counted and changed.
+    staged = stage(
+        rows.where("hit").select(
+            F.monotonically_increasing_id().alias("row"), "doc", found.alias("values")),
+        "secret-texts")
+    places = staged.select(
         F.col("doc.source").cast("string").alias("owner"),
         F.concat_ws("/", "doc.source", "doc.lang").alias("repo"), F.explode("values").alias("value"))
     copied = ownership(places.select(F.xxhash64("value").alias("hash"), "owner", "repo")).where(
         F.col("n_owners") > max_owners).select("hash")
-    without = keyed.where(F.coalesce(F.size("values"), F.lit(0)) <= 0)
-    staged = stage(
-        keyed.where(F.size("values") > 0).withColumn("row", F.monotonically_increasing_id()),
-        "secret-texts")
     live = (
         staged.select("row", F.explode("values").alias("value"))
         .withColumn("hash", F.xxhash64("value")).join(copied, "hash", "left_anti")
