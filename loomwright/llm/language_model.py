@@ -2,12 +2,13 @@
 
 Counting: tasks count the words and word pairs of their texts and send each shard of the hash space
 one packed row. A shard adds them up, so that counts are exact whatever the input's size.
-Filter: a count c is stored as 1 + floor(log c / log BASE) entries of the n-gram, numbered from 1;
+Filter: a pair's count c is stored as 1 + floor(log c / log BASE) entries, numbered from 1;
 a reader probes 1, 2, ... until one is missing, which gives the count within a factor of BASE.
 Each shard fills a segment of its own. All segments together have at most ``max_bytes``,
-the bound of what is broadcast; a shard that would need more leaves out its rarest pairs,
-which are then scored as unseen pairs are, by their words.
-Base score: exact counts, by a broadcast of at most ``max_frequent`` words and a join for the rest.
+the bound of what is broadcast. A shard that would need more keeps the levels that do not fit
+in the staged table, and what its segment does not answer is looked up there by a join:
+no pair is left out at any size.
+Words: exact counts, by a broadcast of at most ``max_frequent`` words and a join for the rest.
 """
 
 from __future__ import annotations
@@ -136,19 +137,21 @@ def _bits(keys: np.ndarray, level: np.ndarray, size: np.ndarray | int) -> np.nda
     return (first + steps * second) % np.asarray(size, np.uint64)
 
 
+def level_beyond(levels: np.ndarray, max_bits: int) -> int:
+    """The highest level that a segment of ``max_bits`` has no room for; 0 if all fit."""
+    falling = np.sort(levels)[::-1]
+    fits = np.cumsum(falling) * (PROBES / math.log(2)) <= max_bits
+    return 0 if fits.all() else int(falling[int(fits.sum())])
+
+
 def fill_segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[np.ndarray, int]:
     """A segment with all entries, or with those of the most frequent n-grams that fit; how many
     n-grams it holds."""
     levels = levels_of(counts)
-    per_entry = PROBES / math.log(2)
-    order = np.argsort(-levels, kind="stable")
-    need = np.cumsum(levels[order]) * per_entry
-    fits = need <= max_bits
-    if len(order) and not fits.all():  # whole levels, so that what stays does not depend on order
-        lowest = levels[order][int(fits.sum())]
-        order = order[levels[order] > lowest]
-    keys, levels = keys[order], levels[order]
-    size = max(64, math.ceil(int(levels.sum()) * per_entry / 8) * 8)
+    # Whole levels, so that what stays does not depend on order.
+    stays = levels > level_beyond(levels, max_bits)
+    keys, levels = keys[stays], levels[stays]
+    size = max(64, math.ceil(int(levels.sum()) * (PROBES / math.log(2)) / 8) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
         bits[_bits(keys[levels >= level], np.full(1, level), size).ravel().astype(np.int64)] = True
@@ -156,9 +159,15 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[n
 
 
 class Filter:
-    """The joined segments. A key's segment is its value modulo their number."""
+    """The joined segments. A key's segment is its value modulo their number.
 
-    def __init__(self, segments: dict[int, bytes], shards: int):
+    ``beyond`` has the highest level that a segment has no room for, where there is one.
+    """
+
+    def __init__(self, segments: dict[int, bytes], shards: int, beyond: dict[int, int] | None = None):
+        self.beyond = np.zeros(shards, np.int64)
+        for s, level in (beyond or {}).items():
+            self.beyond[s] = level
         sizes = np.array([max(8, len(segments.get(s, b""))) for s in range(shards)], np.int64)
         self.bytes = np.zeros(int(sizes.sum()), np.uint8)
         self.first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.uint64) * np.uint64(8)
@@ -182,12 +191,21 @@ class Filter:
             level += 1
         return out
 
+    def unanswered(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Keys that may be beyond their segment: no key in it has a level as low as theirs."""
+        beyond = self.beyond[(keys % np.uint64(len(self.size))).astype(np.int64)]
+        return (beyond > 0) & (levels <= beyond)
 
-COUNTED = "shard long, words binary, word_counts binary, segment binary, n_pairs long, n_left_out long"
+
+COUNTED = (
+    "shard long, words binary, word_counts binary, segment binary, beyond long, "
+    "pairs binary, pair_counts binary"
+)
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
-    """Shard rows with exact word counts and a filter segment, and the number of shards.
+    """Shard rows with exact word counts, a filter segment of pairs and the counts of those
+    pairs that it has no room for; and the number of shards.
 
     ``docs`` has text and training (boolean). The shards grow with the characters, so
     that the rows of one stay small; hashes spread evenly, and a frequent word or pair is one
@@ -227,16 +245,17 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
             _unpack40(b"".join(packs)),
             np.concatenate([_unpack_counts(c, len(p) // 5) for c, p in
                             zip(group["pair_counts"].to_pylist(), packs)]))
-        # Words go into the filter, too: their entries are told apart by a fixed key.
-        keys = np.r_[pairs, words_as_keys(words, shards)]
-        counts = np.r_[pair_counts, word_counts]
-        segment, kept = fill_segment(keys, counts, max_bytes * 8 // shards)
+        levels = levels_of(pair_counts)
+        beyond = level_beyond(levels, max_bytes * 8 // shards)
+        segment, _ = fill_segment(pairs, pair_counts, max_bytes * 8 // shards)
+        late = levels <= beyond
         return pa.table({
             "shard": group["shard"][:1], "words": pa.array([words.tobytes()], pa.binary()),
             "word_counts": pa.array([word_counts.astype(np.int64).tobytes()], pa.binary()),
             "segment": pa.array([segment.tobytes()], pa.binary()),
-            "n_pairs": pa.array([len(pairs)], pa.int64()),
-            "n_left_out": pa.array([len(keys) - kept], pa.int64()),
+            "beyond": pa.array([beyond], pa.int64()),
+            "pairs": pa.array([_pack40(pairs[late])], pa.binary()),
+            "pair_counts": pa.array([_pack_counts(pair_counts[late])], pa.binary()),
         })
 
     training = docs.where("training").select(F.col("text").cast("string"))
@@ -244,18 +263,12 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
     return stage(counted, "lm-counts"), shards
 
 
-def words_as_keys(words: np.ndarray, shards: int) -> np.ndarray:
-    """Filter keys of words: in the word's own shard, and apart from the 40-bit pair keys."""
-    n = np.uint64(shards)
-    high = (mix(words) >> np.uint64(20)) | np.uint64(1 << 42)
-    return high // n * n + words % n
-
-
 # ---- scoring ----
 
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-    "score double, rest array<long>"
+    "score double, rest array<struct<times: bigint, w: bigint, n_w: bigint, v: bigint, n_v: bigint, "
+    "pair: bigint, seen: double>>"
 )
 
 
@@ -263,8 +276,9 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` interpolates the pair's relative frequency with the word's: LAMBDA * c(v, w) / c(v)
-    + (1 - LAMBDA) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), counts from the filter. Null or empty
-    texts have the end token alone. A row without doc_id is trained on. Without training
+    + (1 - LAMBDA) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), with exact word counts and a pair count
+    within a factor of sqrt(BASE). Neither bound leaves anything out: words and pairs beyond
+    the broadcasts are ``rest``, which joins look up. Null or empty texts have the end token alone. A row without doc_id is trained on. Without training
     texts every count is 0. Repeated rows are counted and scored each.
     """
     spark = docs.sparkSession
@@ -294,9 +308,12 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
     keys = frequent["w"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     lexicon = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order]))
-    segments = {r["shard"]: bytes(r["segment"]) for r in counted.select("shard", "segment").collect()}
-    shared = spark.sparkContext.broadcast(Filter(segments, shards))
-    del segments
+    collected = counted.select("shard", "segment", "beyond").collect()
+    all_pairs = not any(r["beyond"] for r in collected)
+    shared = spark.sparkContext.broadcast(Filter(
+        {r["shard"]: bytes(r["segment"]) for r in collected}, shards,
+        {r["shard"]: r["beyond"] for r in collected}))
+    del collected
     all_known = cut <= 1
     log_total = math.log10(n_train + 0.5 * (n_types + 1)) if n_train else math.log10(0.5)
     total = n_train + 0.5 * (n_types + 1)
@@ -315,29 +332,55 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
             base = np.where(found, np.log10(counts + 0.5), 0.0)[inverse]
             if all_known:
                 base[~found[inverse]] = math.log10(0.5)
-            word_count = count_of(filter_.levels(words_as_keys(types, shards)))
-            now = word_count[inverse]
-            previous = np.empty_like(now)
-            previous[1:] = now[:-1]
+            n = len(offsets) - 1
+            starts = places[:-1]
             end_at = np.searchsorted(types, END)
-            previous[places[:-1]] = word_count[end_at]
-            both = count_of(filter_.levels(pair_hashes(before, tokens) & mask))
-            share = np.divide(both, previous, out=np.zeros_like(both), where=previous > 0)
+
+            def now_and_before(of_types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                now = of_types[inverse]
+                previous = np.empty_like(now)
+                previous[1:] = now[:-1]
+                previous[starts] = of_types[end_at]
+                return now, previous
+
+            now, previous = now_and_before(counts)
+            known_here, known_before = now_and_before(found)
+            hashes = pair_hashes(before, tokens)
+            level = filter_.levels(hashes & mask)
+            seen = count_of(level)
+            ask_pair = filter_.unanswered(hashes & mask, level)
+            ask_word = ~known_here & (not all_known)
+            ask_before = ~known_before & (not all_known) & (ask_pair | (level > 0))
+            late = ask_pair | ask_word | ask_before
+            share = np.divide(seen, previous, out=np.zeros_like(seen), where=previous > 0)
             unigram = np.minimum((now + 0.5) / total, 1.0)
             p = LAMBDA * np.minimum(share, 1.0) + (1 - LAMBDA) * unigram
-            n = len(offsets) - 1
-            starts = places[:-1]
-            known_here = found[inverse].astype(np.int64)
-            missing = np.flatnonzero(~found[inverse]) if not all_known else np.zeros(0, int)
-            cuts = np.searchsorted(missing, places)
-            rest = tokens[missing].view(np.int64)
+            # What waits for a join, each pair of a text once.
+            which = np.flatnonzero(late)
+            owner = np.searchsorted(places, which, side="right") - 1
+            order = np.lexsort((hashes[which], owner))
+            which, owner = which[order], owner[order]
+            new = np.ones(len(which), bool)
+            new[1:] = (hashes[which[1:]] != hashes[which[:-1]]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(first, append=len(which))
+            which, cuts = which[first], np.searchsorted(owner[first], np.arange(n + 1))
+
+            def asked(values: np.ndarray, ask: np.ndarray) -> pa.Array:
+                return pa.array(values[which].view(np.int64), mask=~ask[which])
+
+            rest = pa.StructArray.from_arrays(
+                [pa.array(times.astype(np.int64)), asked(tokens, ask_word), pa.array(now[which]),
+                 asked(before, ask_before), pa.array(previous[which]), asked(hashes & mask, ask_pair),
+                 pa.array(seen[which])],
+                ["times", "w", "n_w", "v", "n_v", "pair", "seen"])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + n)), batch["doc_id"], batch["held_out"],
-                    pa.array(np.diff(places)), pa.array(np.add.reduceat(known_here, starts)),
+                    pa.array(np.diff(places)), pa.array(np.add.reduceat(known_here.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(np.log10(p), starts)),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rest)),
+                    pa.array(np.add.reduceat(np.where(late, 0.0, np.log10(p)), starts)),
+                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rest),
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
             )
@@ -348,18 +391,53 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
         "lm-scored")
     shared.unpersist()
     lexicon.unpersist()
-    rest = scored.select("row", F.explode("rest").alias("w")).groupBy("row", "w").agg(
-        F.count("*").alias("times"))
-    late = rest.join(totals.where(F.col("c") < cut), "w", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("late_base"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("late_known"))
+    rest = scored.select("row", F.posexplode("rest").alias("pos", "x")).select("row", "pos", "x.*")
+
+    def looked_up(rest: DataFrame, key: str, table_: DataFrame, out: str) -> DataFrame:
+        """``out`` of the row of ``table_`` with the key; what asks for none meets none, spread evenly."""
+        spread_key = F.coalesce(F.col(key), F.xxhash64("row", "pos"))
+        found = table_.select(F.col(table_.columns[0]).alias("_key"), F.col(table_.columns[1]).alias(out))
+        return rest.withColumn("_at", spread_key).join(found, F.col("_at") == F.col("_key"), "left").select(
+            *rest.columns, F.when(F.col(key).isNotNull(), F.col(out)).alias(out))
+
+    def unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, counts in zip(batch["pairs"], batch["pair_counts"]):
+                keys = _unpack40(raw.as_py())
+                seen = count_of(levels_of(_unpack_counts(counts.as_py(), len(keys))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(seen)], ["pair", "seen"])
+
+    absent = F.lit(None).cast("long")
+    if all_known:
+        rest = rest.withColumns({"late_w": absent, "late_v": absent})
+    else:
+        rare = totals.where(F.col("c") < cut)
+        rest = looked_up(looked_up(rest, "w", rare, "late_w"), "v", rare, "late_v")
+    if all_pairs:
+        rest = rest.withColumn("late_seen", F.lit(None).cast("double"))
+    else:
+        beyond = counted.select("pairs", "pair_counts").mapInArrow(unpack_pairs, "pair long, seen double")
+        rest = looked_up(rest, "pair", beyond, "late_seen")
+    rest = rest.select(
+        "row", "times", "w", F.col("late_w").isNotNull().alias("known"),
+        F.when(F.col("w").isNull(), F.col("n_w")).otherwise(F.coalesce("late_w", F.lit(0))).alias("c_w"),
+        F.when(F.col("v").isNull(), F.col("n_v")).otherwise(F.coalesce("late_v", F.lit(0))).alias("c_v"),
+        F.when(F.col("pair").isNull(), F.col("seen")).otherwise(F.coalesce("late_seen", F.lit(0.0))).alias("c_vw"))
+    share = F.when(F.col("c_v") > 0, F.least(F.col("c_vw") / F.col("c_v"), F.lit(1.0))).otherwise(0.0)
+    unigram = F.least((F.col("c_w") + F.lit(0.5)) / F.lit(float(total)), F.lit(1.0))
+    asks = F.col("w").isNotNull()
+    late = rest.groupBy("row").agg(
+        F.sum(F.when(asks, F.col("times") * F.log10(F.col("c_w") + F.lit(0.5))).otherwise(0.0)).alias("late_base"),
+        F.sum(F.when(asks & F.col("known"), F.col("times")).otherwise(0)).alias("late_known"),
+        F.sum(F.col("times") * F.log10(F.lit(LAMBDA) * share + F.lit(1 - LAMBDA) * unigram)).alias("late_score"))
     return scored.join(late, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("late_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_total))
         .alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"),
     )
 
 

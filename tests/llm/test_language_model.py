@@ -106,3 +106,34 @@ def test_held_out_texts_are_better_predicted_with_pairs(spark):
         f"w{draw.randrange(300)}" for _ in range(120))) for i in range(40)])).where("held_out").collect()
     per_word = lambda rows: sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
     assert per_word([r for r in noise if r.doc_id < 10_000]) > per_word([r for r in noise if r.doc_id >= 10_000]) + 0.3
+
+
+def interpolated(docs):
+    """The score with exact word counts and exactly quantised pair counts."""
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    runs = [(d, [None, *words(t), None]) for d, t in docs]
+    single = Counter(w for d, r in runs if not held(d) for w in r[1:])
+    double = Counter(p for d, r in runs if not held(d) for p in zip(r, r[1:]))
+    total = sum(single.values()) + 0.5 * (len(single) + 1)
+    quantised = lambda c: lm.BASE ** (math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) + 0.5) if c else 0.0
+
+    def p(v, w):
+        share = min(quantised(double[v, w]) / single[v], 1.0) if single[v] else 0.0
+        return lm.LAMBDA * share + (1 - lm.LAMBDA) * min((single[w] + 0.5) / total, 1.0)
+
+    return sorted(((d, len(r) - 1, sum(math.log10(p(v, w)) for v, w in zip(r, r[1:]))) for d, r in runs), key=repr)
+
+
+def test_no_pair_or_word_is_left_out_beyond_the_broadcasts(spark):
+    docs = [(i, t) for i, t in enumerate(t for _, t in corpus())]
+    want = {d: (n, s) for d, n, s in interpolated(docs)}
+    # No room for any pair: all are looked up, which is exact.
+    for most in (10**6, 5):
+        for r in lm.score(documents(spark, docs), max_bytes=0, max_frequent=most).collect():
+            assert r.n_tokens == want[r.doc_id][0]
+            assert math.isclose(r.score, want[r.doc_id][1], rel_tol=1e-9)
+    # Room for some, for all: apart from false positives the same.
+    for size in (600, 2000, lm.MAX_BYTES):
+        got = {r.doc_id: r.score for r in lm.score(documents(spark, docs), max_bytes=size, max_frequent=5).collect()}
+        off = [abs(got[d] - want[d][1]) / want[d][0] for d in want]
+        assert sum(off) / len(off) < 0.1
