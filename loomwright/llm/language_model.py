@@ -27,6 +27,7 @@ from loomwright.storage import stage
 
 BASE = 1.5
 PROBES = 4
+FIRST_PROBES = 8  # of level 1, which tells seen pairs from unseen ones
 MAX_BYTES = 128 << 20
 MAX_FREQUENT = 1_000_000
 CHARS_PER_SHARD = 8_000_000
@@ -129,18 +130,23 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.sqrt(BASE) ** (2 * levels - 1), 0.0) if len(levels) else levels * 1.0
 
 
-def _bits(keys: np.ndarray, level: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """Places of the PROBES bits of entry ``level`` of each key, by double hashing."""
-    first = mix(keys + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _bits(keys: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
+    """Places of the bits of entry ``level`` of each key, by double hashing."""
+    first = mix(keys + np.full(1, level, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     second = mix(first ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    steps = np.arange(PROBES, dtype=np.uint64)[:, None]
+    steps = np.arange(FIRST_PROBES if level == 1 else PROBES, dtype=np.uint64)[:, None]
     return (first + steps * second) % np.asarray(size, np.uint64)
 
 
+def _room(levels: np.ndarray) -> np.ndarray:
+    """Bits that keys of these levels need, for a segment that is half full."""
+    return (FIRST_PROBES + (levels - 1) * PROBES) / math.log(2)
+
+
 def level_beyond(levels: np.ndarray, max_bits: int) -> int:
     """The highest level that a segment of ``max_bits`` has no room for; 0 if all fit."""
     falling = np.sort(levels)[::-1]
-    fits = np.cumsum(falling) * (PROBES / math.log(2)) <= max_bits
+    fits = np.cumsum(_room(falling)) <= max_bits
     return 0 if fits.all() else int(falling[int(fits.sum())])
 
 
@@ -151,10 +157,10 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[n
     # Whole levels, so that what stays does not depend on order.
     stays = levels > level_beyond(levels, max_bits)
     keys, levels = keys[stays], levels[stays]
-    size = max(64, math.ceil(int(levels.sum()) * (PROBES / math.log(2)) / 8) * 8)
+    size = max(64, math.ceil(float(_room(levels).sum()) / 8) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
-        bits[_bits(keys[levels >= level], np.full(1, level), size).ravel().astype(np.int64)] = True
+        bits[_bits(keys[levels >= level], level, size).ravel().astype(np.int64)] = True
     return np.packbits(bits), len(keys)
 
 
@@ -183,7 +189,7 @@ class Filter:
         shard = (keys % np.uint64(len(self.size))).astype(np.int64)
         while len(left):
             s = shard[left]
-            places = _bits(keys[left], np.full(1, level), self.size[s]) + self.first[s]
+            places = _bits(keys[left], level, self.size[s]) + self.first[s]
             byte = self.bytes[(places >> np.uint64(3)).astype(np.int64)]
             there = ((byte >> (7 - (places & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
             left = left[there]

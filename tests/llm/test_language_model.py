@@ -137,3 +137,19 @@ def test_no_pair_or_word_is_left_out_beyond_the_broadcasts(spark):
         got = {r.doc_id: r.score for r in lm.score(documents(spark, docs), max_bytes=size, max_frequent=5).collect()}
         off = [abs(got[d] - want[d][1]) / want[d][0] for d in want]
         assert sum(off) / len(off) < 0.1
+
+
+def test_unseen_pairs_are_rarely_scored_as_seen(spark):
+    """Level 1 errs in less than 1 % of probes; scores differ from those of exact pair counts by
+    0.01 per token on average at most, beside the quantisation."""
+    draw = np.random.default_rng(3)
+    keys = draw.integers(0, 1 << 40, 40_000, dtype=np.uint64)
+    raw, _ = lm.fill_segment(keys, np.ones(len(keys), np.int64), 1 << 30)
+    filter_ = lm.Filter({0: raw.tobytes()}, 1)
+    assert (filter_.levels(keys) > 0).all()
+    assert (filter_.levels(draw.integers(1 << 40, 1 << 41, 40_000, dtype=np.uint64)) > 0).mean() < 0.01
+    docs = [(i, t) for i, t in enumerate(t for _, t in corpus())]
+    want = {d: (n, s) for d, n, s in interpolated(docs)}
+    held = [r for r in lm.score(documents(spark, docs)).collect() if r.held_out]
+    off = sum(abs(r.score - want[r.doc_id][1]) for r in held) / sum(r.n_tokens for r in held)
+    assert off < 0.01
