@@ -21,7 +21,7 @@ BIN_BITS = 6
 BINS = 1 << BIN_BITS
 PLACE_BITS = 26  # hash above, place in the text below, in one positive long
 _PLACES = (1 << PLACE_BITS) - 1
-_STEPS = [1 << b for b in range(16, -1, -1)]
+_STEPS = [1 << b for b in range(PLACE_BITS - 1, -1, -1)]  # their sum is the last place there can be
 
 
 def _packed(value: Column, place: Column) -> Column:

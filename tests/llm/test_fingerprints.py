@@ -96,3 +96,9 @@ def test_next_ids(spark, n):
     ids = spark.createDataFrame([(i * 3, i) for i in range(n)], "doc_id long, h int")
     got = {r.doc_id: (r.before, r.h) for r in fp.next_ids(ids, 7).collect()}
     assert got == {i * 3: ((i + 1) % n * 3, (i + 1) % n) for i in range(n)}
+
+
+def test_occurrences_beyond_131072_stay_apart(spark):
+    a, b = prints(spark, ["x " * 140_000, "x " * 200_000])
+    assert near(a, b) < 0.9  # of the longer text's elements 30 % are its own
+    assert sum(fp._STEPS) == fp._PLACES
