@@ -141,24 +141,54 @@ def scan(
     )
 
 
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with the values of the spans replaced, at their places and between them."""
+    # A value stands at the end of its match. Longer values first: one that holds another must
+    # not lose a part to it.
+    places = F.array_sort(F.transform(spans, lambda x: F.struct(
+        (x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"))))
+    values = F.sort_array(F.array_distinct(F.transform(spans, lambda x: F.struct(
+        F.length(x["value"]).alias("long"), x["value"].alias("value")))), asc=False)
+    any_value = F.array_join(F.transform(
+        values, lambda x: F.concat(F.lit(r"\Q"), x["value"], F.lit(r"\E"))), "|")
+
+    def between(pattern: Column, first: Column, end: Column) -> Column:
+        part = F.substring(text, (first + 1).cast("int"), (end - first).cast("int"))
+        return F.array_join(F.split(part, pattern, -1), mark)
+
+    def rebuilt(x: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            return F.struct(
+                F.greatest(acc["at"], p["end"]).alias("at"),
+                F.when(p["start"] < acc["at"], acc["out"]).otherwise(F.concat(
+                    acc["out"], between(x["pattern"], acc["at"], p["start"]), F.lit(mark))).alias("out"))
+
+        return F.aggregate(x["places"], zero, step, lambda acc: F.concat(
+            acc["out"], between(x["pattern"], acc["at"], F.length(text).cast("long"))))
+
+    return let(F.struct(places.alias("places"), any_value.alias("pattern")), rebuilt)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every live-looking value replaced by ``mark``.
 
-    Widely copied examples stay, and so do long values that no key name, prefix or hexadecimal
-    form vouches for, since those are often names and addresses. All places of a value in a text
-    are replaced. Texts without any match pass through, unread by the rest and unshuffled.
+    All spans that ``scan`` calls live are replaced at their places, whatever their kind (of
+    ``assign`` the value, not the key name); overlapping ones become one mark. Other places
+    of the same values in a text are replaced, too. Widely copied examples stay. Texts
+    without any match pass through, unread by the rest and unshuffled.
     """
     names = docs.columns
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
-    named = F.filter(candidates(text), lambda x: x["kind"] < KINDS.index("mixed"))
-    found = F.array_distinct(F.transform(named, lambda x: x["value"]))
     rows = packed(docs).withColumn("hit", text.rlike(_BOTH))
     without = rows.where("NOT hit")
     # The few texts with a match are written: they are listed, counted and changed.
     staged = stage(
         rows.where("hit").select(
-            F.monotonically_increasing_id().alias("row"), "doc", found.alias("values")),
-        "secret-texts")
+            F.monotonically_increasing_id().alias("row"), "doc", candidates(text).alias("found")),
+        "secret-texts").withColumn(
+            "values", F.array_distinct(F.transform("found", lambda x: x["value"])))
     places = staged.select(
         F.col("doc.source").cast("string").alias("owner"),
         F.concat_ws("/", "doc.source", "doc.lang").alias("repo"), F.explode("values").alias("value"))
@@ -167,13 +197,16 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS
     live = (
         staged.select("row", F.explode("values").alias("value"))
         .withColumn("hash", F.xxhash64("value")).join(copied, "hash", "left_anti")
-        .groupBy("row").agg(F.sort_array(
-            F.collect_list(F.struct(F.length("value").alias("long"), "value")), asc=False).alias("live"))
+        .groupBy("row").agg(F.collect_list("value").alias("live"))
     )
     cleaned = staged.join(live, "row", "left")
-    # Longer values first: one that holds another must not lose a part to it.
-    bare = F.when(F.col("live").isNull(), F.col("doc.text")).otherwise(F.aggregate(
-        F.col("live"), F.col("doc.text"), lambda acc, v: F.replace(acc, v["value"], F.lit(mark))))
+    base = F.filter("found", lambda x: x["kind"] < BASE_KINDS)
+    spans = F.filter("found", lambda x: F.array_contains("live", x["value"]) & (
+        (x["kind"] < KINDS.index("mixed"))
+        | ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    cleaned = cleaned.withColumn("spans", F.when(F.size("live") > 0, spans))
+    bare = F.when(F.size("spans") > 0, _marked(F.col("doc.text"), F.col("spans"), mark)).otherwise(
+        F.col("doc.text"))
     changed = cleaned.withColumn("bare", bare).select(*unpacked(
         names, text=F.col("bare"), n_chars=F.length("bare").cast("long")))
     return changed.unionByName(without.select(*unpacked(names)))
