@@ -1,9 +1,10 @@
 """Quality rules: per-text counts, and lines that too many documents of one host share.
 
-A line is boilerplate of a host where it stands in more than ``max_share`` of the host's distinct
-documents, and in ``min_documents`` at least. Exact copies count as one document, so copying
-a text does not condemn its lines. Boilerplate goes, and a document that is mostly boilerplate
-is rejected.
+A line that stands in ``max_documents`` distinct texts of a host is frequent there; the limit does
+not grow with the host. Exact copies are one text. Near copies share nearly all their lines,
+which makes none of them boilerplate, so a frequent line needs as many witnesses: texts that
+hold it and are, by words, at least half made of lines that are not frequent. Boilerplate goes,
+and a document that is mostly boilerplate is rejected.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from loomwright.storage import stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCUMENTS = 20
-MAX_SHARE_PERCENT = 20
+MAX_DOCUMENTS = 20
+MIN_OWN_PERCENT = 50
 MIN_LEFT_PERCENT = 30
 
 _SPACES = " \t\n\x0b\f\r"
@@ -93,30 +94,37 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def boilerplate(
-    measured: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: int = MAX_SHARE_PERCENT
+    measured: DataFrame, max_documents: int = MAX_DOCUMENTS, min_own: int = MIN_OWN_PERCENT
 ) -> DataFrame:
-    """host, hash of the lines above the limits.
+    """host, text_hash, hash, words: each boilerplate line of each distinct text.
 
-    Each host has at most 100 / max_share times its mean number of lines per document of them.
-    Counting combines on the map side by (host, line), so neither a hot host nor a hot line
-    meets in one task.
+    Counts combine on the map side by (host, line), so neither a hot host nor a hot line meets
+    in one task; the joins are by (host, line) and (host, text), whose hot keys can be split.
     """
-    unique = measured.groupBy("host", "text_hash").agg(
-        F.first(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hashes")
-    )
-    counts = unique.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(
-        F.count("*").alias("n")
-    )
-    hosts = measured.select("host", "text_hash").distinct().groupBy("host").agg(
-        F.count("*").alias("documents")
-    )
-    return (
-        counts.where(F.col("n") >= min_documents).join(
-            hosts, counts["host"].eqNullSafe(hosts["host"])
-        )
-        .where(F.col("n") * 100 > F.col("documents") * max_share)
-        .select(counts["host"], "hash")
-    )
+    texts = stage(
+        measured.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words")),
+        "quality-texts")
+    hashes = F.array_distinct(F.transform("lines", lambda x: x["hash"]))
+    frequent = texts.select("host", F.explode(hashes).alias("hash")).groupBy("host", "hash").agg(
+        F.count("*").alias("n")).where(F.col("n") >= max_documents)
+    lines = texts.select("host", "text_hash", "n_words", F.explode("lines").alias("line")).select(
+        "host", "text_hash", "n_words", "line.*")
+    found = stage(
+        _matching(lines, frequent.select("host", "hash"), "hash")
+        .groupBy("host", "text_hash", "hash").agg(F.sum("words").alias("words"), F.first("n_words").alias("n_words")),
+        "quality-frequent")
+    witnesses = found.groupBy("host", "text_hash").agg(
+        F.sum("words").alias("words"), F.first("n_words").alias("n_words")
+    ).where((F.col("n_words") - F.col("words")) * 100 >= F.col("n_words") * min_own).select("host", "text_hash")
+    above = _matching(found, witnesses, "text_hash").groupBy("host", "hash").agg(
+        F.count("*").alias("n")).where(F.col("n") >= max_documents).select("host", "hash")
+    return _matching(found, above, "hash").select("host", "text_hash", "hash", "words")
+
+
+def _matching(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose host (also a null one) and ``name`` are among ``keys``."""
+    keys = keys.select(F.col("host").alias("_host"), F.col(name).alias("_key"))
+    return rows.join(keys, F.col("host").eqNullSafe(F.col("_host")) & (F.col(name) == F.col("_key"))).drop("_host", "_key")
 
 
 def judge(
@@ -124,28 +132,26 @@ def judge(
     host: str = "source",
     min_words: int = MIN_WORDS,
     max_repeat: int = MAX_REPEAT_PERCENT,
-    min_documents: int = MIN_DOCUMENTS,
-    max_share: int = MAX_SHARE_PERCENT,
+    max_documents: int = MAX_DOCUMENTS,
+    min_own: int = MIN_OWN_PERCENT,
     min_left: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """One row per input row: counts, ``words_left`` without boilerplate, and the verdict.
 
     Null or empty text: no words, so it fails the base rule. A null host is a host of its own.
     Repeated rows are judged alike. Columns other than doc_id, text and the host are not read.
+    ``common`` has the hashes of the text's own boilerplate lines, null if there are none.
     """
     measured = stage(measures(docs, host), "quality-measures")
-    common = stage(boilerplate(measured, min_documents, max_share), "quality-boilerplate")
-    by_host = common.groupBy("host").agg(F.collect_set("hash").alias("common"))
-    joined = measured.alias("m").join(
-        by_host.alias("b"), F.col("m.host").eqNullSafe(F.col("b.host")), "left"
-    ).select("m.*", "b.common")
-    removed = F.when(F.col("common").isNull(), F.lit(0)).otherwise(F.aggregate(
-        F.filter("lines", lambda x: F.array_contains("common", x["hash"])),
-        F.lit(0), lambda acc, x: acc + x["words"]))
+    removed = boilerplate(measured, max_documents, min_own).groupBy("host", "text_hash").agg(
+        F.sum("words").alias("removed"), F.collect_list("hash").alias("common"))
+    removed = removed.select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "removed", "common")
+    joined = measured.drop("lines").join(
+        removed, F.col("host").eqNullSafe(F.col("_host")) & (F.col("text_hash") == F.col("_hash")), "left")
     base_failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     return (
-        joined.withColumn("words_left", F.col("n_words") - removed)
+        joined.withColumn("words_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (
             F.col("words_left") * 100 >= F.col("n_words") * min_left))
@@ -163,8 +169,7 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     names = docs.columns
     judged = judge(docs, host)
     verdicts = judged.where("kept").select(
-        F.col("host").alias("_host"), F.col("text_hash").alias("_hash"),
-        F.when(F.col("words_left") < F.col("n_words"), F.col("common")).alias("_common"),
+        F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("common").alias("_common"),
     ).dropDuplicates(["_host", "_hash"])
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     keyed = packed(docs).withColumns({
@@ -199,10 +204,17 @@ lines AS (
     SELECT doc_id, source, t, unnest([trim(regexp_replace(translate(l,
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')
       FOR l IN ls]) AS l FROM split)),
-hosts AS (SELECT source, count(DISTINCT t) AS documents FROM docs GROUP BY source),
+frequent AS (
+  SELECT source, l FROM lines GROUP BY source, l HAVING count(DISTINCT t) >= {MAX_DOCUMENTS}),
+found AS (
+  SELECT source, t, l, sum(words) / count(DISTINCT doc_id) AS words
+  FROM lines JOIN frequent USING (source, l) GROUP BY source, t, l),
+witnesses AS (
+  SELECT f.source, f.t FROM found f GROUP BY f.source, f.t
+  HAVING 100 * (len([w FOR w IN string_split_regex(f.t, '[\x20\x09-\x0D]+') IF w <> '']) - sum(words))
+    >= {MIN_OWN_PERCENT} * len([w FOR w IN string_split_regex(f.t, '[\x20\x09-\x0D]+') IF w <> ''])),
 common AS (
-  SELECT source, l FROM (SELECT source, l, count(DISTINCT t) AS n FROM lines GROUP BY source, l)
-  JOIN hosts USING (source) WHERE n >= {MIN_DOCUMENTS} AND n * 100 > documents * {MAX_SHARE_PERCENT}),
+  SELECT source, l FROM found JOIN witnesses USING (source, t) GROUP BY source, l HAVING count(*) >= {MAX_DOCUMENTS}),
 removed AS (
   SELECT doc_id, sum(words) AS words FROM lines JOIN common USING (source, l) GROUP BY doc_id),
 base AS (
