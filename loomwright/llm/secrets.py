@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, then ownership frequency over the whole corpus.
 
-A value that many owners share is a copied example or a placeholder; one that a single owner
-uses looks live. Values are compared by hash, counted by distinct repositories and owners, and
-the verdict goes back to each place where the value stands.
+A value that many owners or many repositories share is a copied example or a placeholder; one
+that few of both have looks live, however often it stands there. Values are compared by hash, counted
+by distinct repositories and owners, and the verdict goes back to each place of the value.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ MIXED = r"[A-Za-z0-9+/_-]{32,}"
 KINDS = ("assign", "access", "hex", "vendor", "mixed")
 BASE_KINDS = 3
 MAX_OWNERS = 2
+MAX_REPOS = 4
+RANDOM_LENGTH = 12
 _BOTH = "(?:" + "|".join((ASSIGN, ACCESS, HEX, VENDOR, MIXED)) + ")"
 
 
@@ -90,20 +92,24 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
+def _repository(docs: DataFrame, owner: str, row: str = "") -> Column:
+    """Owner and language, the closest to a repository that documents have; without a language the owner."""
+    names = [row + c for c in (owner, "lang") if c in docs.columns]
+    return F.concat_ws("/", *(F.col(c).cast("string") for c in names))
+
+
 def scan(
-    docs: DataFrame, owner: str = "source", repo: Column | None = None, max_owners: int = MAX_OWNERS
+    docs: DataFrame, owner: str = "source", repo: Column | None = None, max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """One row per input row: doc_id, its ``spans`` and counts.
 
     ``spans`` is an array of (start, kind, end, n_owners, n_repos, live): base kinds always;
-    added kinds only where the value looks live, that is, where at most ``max_owners`` owners
-    have it, and no base span covers it. Null or empty text: no spans. Repeated rows are scanned each.
-    ``repo`` defaults to the pair of owner and language, the closest to a repository that
-    documents have.
+    added kinds only where the value looks live, that is, where at most ``max_owners`` owners and
+    ``max_repos`` repositories have it, and no base span covers it. Null or empty text: no spans.
+    Repeated rows are scanned each. ``repo`` defaults to the pair of owner and language.
     """
-    repo = repo if repo is not None else (
-        F.concat_ws("/", owner, "lang") if "lang" in docs.columns else F.col(owner).cast("string")
-    )
+    repo = repo if repo is not None else _repository(docs, owner)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wide = docs.select(
         "doc_id", F.col(owner).cast("string").alias("owner"), repo.alias("repo"),
@@ -124,7 +130,7 @@ def scan(
     known = ownership(places.select("hash", "owner", "repo"))
     judged = (
         places.join(known, "hash")
-        .withColumn("live", F.col("n_owners") <= max_owners)
+        .withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(
             F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("spans"))
@@ -141,20 +147,32 @@ def scan(
     )
 
 
+def looks_random(value: Column) -> Column:
+    """Long, with digits and letters: a value that does not stand in a text by chance."""
+    return (F.length(value) >= RANDOM_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
 def _marked(text: Column, spans: Column, mark: str) -> Column:
-    """The text with the values of the spans replaced, at their places and between them."""
+    """The text with the values of the spans replaced at their places.
+
+    Between them, those that look random are replaced as well, as whole tokens; an
+    everyday word behind ``token:`` stays wherever else it stands.
+    """
     # A value stands at the end of its match. Longer values first: one that holds another must
     # not lose a part to it.
     places = F.array_sort(F.transform(spans, lambda x: F.struct(
         (x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"))))
-    values = F.sort_array(F.array_distinct(F.transform(spans, lambda x: F.struct(
-        F.length(x["value"]).alias("long"), x["value"].alias("value")))), asc=False)
-    any_value = F.array_join(F.transform(
-        values, lambda x: F.concat(F.lit(r"\Q"), x["value"], F.lit(r"\E"))), "|")
+    values = F.sort_array(F.array_distinct(F.transform(
+        F.filter(spans, lambda x: looks_random(x["value"])),
+        lambda x: F.struct(F.length(x["value"]).alias("long"), x["value"].alias("value")))), asc=False)
+    any_value = F.when(F.size(values) > 0, F.concat(
+        F.lit("(?<![A-Za-z0-9+/_-])(?:"),
+        F.array_join(F.transform(values, lambda x: F.concat(F.lit(r"\Q"), x["value"], F.lit(r"\E"))), "|"),
+        F.lit(")(?![A-Za-z0-9+/_-])")))
 
     def between(pattern: Column, first: Column, end: Column) -> Column:
         part = F.substring(text, (first + 1).cast("int"), (end - first).cast("int"))
-        return F.array_join(F.split(part, pattern, -1), mark)
+        return F.when(pattern.isNull(), part).otherwise(F.array_join(F.split(part, pattern, -1), mark))
 
     def rebuilt(x: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -171,13 +189,16 @@ def _marked(text: Column, spans: Column, mark: str) -> Column:
     return let(F.struct(places.alias("places"), any_value.alias("pattern")), rebuilt)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
+) -> DataFrame:
     """The documents with every live-looking value replaced by ``mark``.
 
     All spans that ``scan`` calls live are replaced at their places, whatever their kind (of
     ``assign`` the value, not the key name); overlapping ones become one mark. Other places
-    of the same values in a text are replaced, too. Widely copied examples stay. Texts
-    without any match pass through, unread by the rest and unshuffled.
+    of the same values in a text are replaced where they are whole tokens that look random.
+    Widely copied examples stay. Texts without any match pass through, unread by the rest and
+    unshuffled. Without a column ``lang`` the owner stands for the repository.
     """
     names = docs.columns
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
@@ -191,9 +212,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = MAX_OWNERS
             "values", F.array_distinct(F.transform("found", lambda x: x["value"])))
     places = staged.select(
         F.col("doc.source").cast("string").alias("owner"),
-        F.concat_ws("/", "doc.source", "doc.lang").alias("repo"), F.explode("values").alias("value"))
+        _repository(docs, "source", "doc.").alias("repo"), F.explode("values").alias("value"))
     copied = ownership(places.select(F.xxhash64("value").alias("hash"), "owner", "repo")).where(
-        F.col("n_owners") > max_owners).select("hash")
+        (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)).select("hash")
     live = (
         staged.select("row", F.explode("values").alias("value"))
         .withColumn("hash", F.xxhash64("value")).join(copied, "hash", "left_anti")
@@ -269,9 +290,11 @@ def _oracle() -> str:
     return f"""
     WITH docs AS (SELECT *, coalesce(text, '') AS t FROM documents),
     found AS MATERIALIZED ({parts}),
-    owners AS (SELECT value, count(DISTINCT coalesce(source, '-')) AS n FROM found GROUP BY value),
+    owners AS (SELECT value, count(DISTINCT coalesce(source, '-')) AS n,
+                      count(DISTINCT [coalesce(source, '-'), concat_ws('/', source, lang)]) AS repos
+               FROM found GROUP BY value),
     judged AS (
-      SELECT f.*, {names}[kind + 1] AS k, o.n <= {MAX_OWNERS} AS live,
+      SELECT f.*, {names}[kind + 1] AS k, o.n <= {MAX_OWNERS} AND o.repos <= {MAX_REPOS} AS live,
              EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind < {BASE_KINDS}
                      AND b.start < f."end" AND f.start < b."end") AS covered
       FROM found f JOIN owners o USING (value)),

@@ -83,7 +83,7 @@ def test_redaction_follows_every_live_span(spark):
     frame = with_clashes(documents(spark, docs))
     got = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert got == {
-        1: "é [secret] and [secret]", 2: "[secret]; tail", 3: "password: [secret] token: [secret], [secret]",
+        1: "é [secret] and [secret]", 2: "[secret]; tail", 3: "password: [secret] token: [secret], abcdef",
         4: "token = [secret]", **{d: t for d, t, _ in docs[4:]}}
     texts = {d: t for d, t, _ in docs}
     kinds = {s.kind for r in secrets.scan(frame).collect() for s in r.spans if s.live}
@@ -92,3 +92,30 @@ def test_redaction_follows_every_live_span(spark):
         for s in r.spans:
             if s.live and s.kind:
                 assert texts[r.doc_id][s.start:s.end] not in got[r.doc_id]
+
+
+def test_everyday_words_stay(spark):
+    """A word behind a key name is replaced there alone; a random value as a whole token anywhere."""
+    value = "a1b2c3d4e5f6g7"
+    docs = documents(spark, [
+        (1, "The token: please read this. Please, please do. displeased pleases", "owner1"),
+        (2, f"token={value}; again {value}. not x{value} nor {value}y", "owner2")])
+    for frame in (docs, docs.drop("lang")):
+        got = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+        assert got == {
+            1: "The token: [secret] read this. Please, please do. displeased pleases",
+            2: f"token=[secret]; again [secret]. not x{value} nor {value}y"}
+    assert secrets.redact(docs.drop("lang")).columns == docs.drop("lang").columns
+
+
+def test_many_repositories_of_one_owner_are_copies(spark):
+    from pyspark.sql import functions as F
+
+    value = "ghp_" + "Demo2" * 5
+    docs = documents(spark, [(i, f"see {value}", "owner1") for i in range(9)])
+    few = secrets.scan(docs).collect()
+    assert all(r.spans[0].live and r.spans[0].n_repos == 1 for r in few)
+    many = docs.withColumn("lang", F.concat(F.lit("l"), "doc_id"))
+    assert not any(r.spans for r in secrets.scan(many).collect())  # added kinds are listed while live
+    assert all(r.spans[0].n_repos == 9 for r in secrets.scan(many, max_repos=9).collect())
+    assert {r.text for r in secrets.redact(many).collect()} == {f"see {value}"}
