@@ -17,23 +17,56 @@ from loomwright.storage import stage
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
 
+# Escapes of letters, digits, "-", ".", "_" and "~": the same address with and without them.
+_UNRESERVED = r"^(?i:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|2[DE]|5F|7E)"
+
+
+def _escapes(text: Column) -> Column:
+    """Escapes of unreserved characters undone, all others in upper case."""
+    def part(x: Column, i: Column) -> Column:
+        rest = F.substr(x, F.lit(3))
+        return (
+            F.when(i == 0, x)
+            .when(x.rlike(_UNRESERVED), F.concat(F.char(F.conv(F.substring(x, 1, 2), 16, 10).cast("long")), rest))
+            .when(x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), rest))
+            .otherwise(F.concat(F.lit("%"), x)))
+
+    return F.when(text.contains("%"), F.array_join(F.transform(F.split(text, "%", -1), part), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """Segments ``.`` and ``..`` resolved (RFC 3986, section 5.2.4)."""
+    segments = F.split(path, "/", -1)  # the first is empty: the path starts with a slash
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    resolved = F.aggregate(
+        F.slice(segments, 2, F.size(segments)), none,
+        lambda acc, x: F.when(x == ".", acc)
+        .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.array_append(acc, x)))
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(resolved, ends), "/"))).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, no fragment, sorted query without utm_*.
 
-    A text that is no address, and an empty path, stay usable: the path becomes ``/``.
+    User information stays as it is, in front of an ``@``; a host in brackets keeps its colons.
+    Escapes of unreserved characters are undone and dot segments resolved. A text that is no
+    address stays as it is; an empty path becomes ``/``.
     """
-    # Parts by one pattern: scheme, host, port, path, query.
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(:[0-9]*)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    # Parts by one pattern: scheme, user information, host, port, path, query.
+    pattern = (r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]*)(:[0-9]*)?"
+               r"(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$")
     part = lambda i: F.regexp_extract(url, pattern, i)
     scheme = F.lower(part(1))
     port = F.when(
-        (part(3) == ":") | ((scheme == "http") & (part(3) == ":80")) | ((scheme == "https") & (part(3) == ":443")),
-        "").otherwise(part(3))
-    path = F.when(part(4) == "", "/").otherwise(part(4))
+        (part(4) == ":") | ((scheme == "http") & (part(4) == ":80")) | ((scheme == "https") & (part(4) == ":443")),
+        "").otherwise(part(4))
+    path = F.when(part(5) == "", "/").otherwise(_without_dots(_escapes(part(5))))
     query = F.array_join(F.array_sort(F.filter(
-        F.split(part(5), "&"), lambda x: (x != "") & ~x.startswith("utm_"))), "&")
+        F.split(_escapes(part(6)), "&"), lambda x: (x != "") & ~x.startswith("utm_"))), "&")
     clean = F.concat(
-        scheme, F.lit("://"), F.lower(part(2)), port, path,
+        scheme, F.lit("://"), part(2), F.lower(part(3)), port, path,
         F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(url.rlike(pattern), clean).otherwise(url)
 

@@ -82,3 +82,21 @@ def test_repeated_rows_and_no_rows(spark):
 def test_canonical_urls(spark, url, expected):
     frame = spark.createDataFrame([(url,)], "u string")
     assert frame.select(revisits.canonical_url(F.col("u"))).first()[0] == expected
+
+
+def test_canonical_addresses(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "http://user:pw@Host.com/a": "http://user:pw@host.com/a", "http://userpw@host.com/a": "http://userpw@host.com/a",
+        "http://a@b@host.com:80": "http://a@b@host.com/", "HTTP://[::1]:80/x": "http://[::1]/x",
+        "https://[2001:DB8::1]:8443/x": "https://[2001:db8::1]:8443/x", "http://h/%7Euser/%2f%c3%A9": "http://h/~user/%2F%C3%A9",
+        "http://h/~user": "http://h/~user", "http://h/x/../y": "http://h/y", "http://h/a/./b/..": "http://h/a/",
+        "http://h/../../a": "http://h/a", "http://h/a..b/.c": "http://h/a..b/.c", "http://h/%": "http://h/%",
+        "http://h/%4": "http://h/%4", "http://h/%zz%41": "http://h/%zzA", "http://h?b=%41&a=1&utm_x=2#f": "http://h/?a=1&b=A",
+        "http://h:80:90/": "http://h:80:90/", "http://[::1/x": "http://[::1/x", "no address": "no address", "": "",
+        "http://": "http:///", "http://h/" + "d/../" * 2000 + "e": "http://h/e", "http://h/" + "x" * 100_000: "http://h/" + "x" * 100_000,
+    }
+    frame = spark.createDataFrame(list(cases.items()), "url string, expected string")
+    got = frame.select("url", "expected", revisits.canonical_url(F.col("url")).alias("got"))
+    assert got.where("NOT got <=> expected").collect() == []
