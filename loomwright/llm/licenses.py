@@ -1,7 +1,9 @@
 """License scans: templates with optional and replaceable regions, as token automata.
 
 A template is wording with mark-up: ``<<beginOptional>>`` ... ``<<endOptional>>`` around words that
-may be left out, ``<<var;name=...;original=...;max=N>>`` for up to N free words. All other words are
+may be left out, ``<<var;name=...;original=...;max=N>>`` for up to N free words. Instead of ``max``
+a variable may have a ``match``: ``.*`` any number of words, ``.+`` one word or more, ``.{a,b}`` up to
+half as many words as b characters hold. All other words are
 mandatory: they must stand in order, word for word. A template compiles to a token automaton;
 a text is accepted wherever the automaton runs from its start to its end.
 """
@@ -91,6 +93,23 @@ class Automaton:
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)([^>]*)>>")
 
 
+def _match_of(attributes: str) -> str | None:
+    found = re.search(r'match="?([^";]*)"?', attributes)
+    return found[1] if found else None
+
+
+def _most_words(attributes: str) -> int | None:
+    """How many words a variable stands for at most; None: any number."""
+    if (found := re.search(r"max=(\d+)", attributes)) is not None:
+        return int(found[1])
+    match = _match_of(attributes)
+    if match in (".*", ".+"):
+        return None
+    if match and (found := re.fullmatch(r"\.\{\d*,(\d+)\}", match)):
+        return -(-int(found[1]) // 2)  # a word has a character and a separator at least
+    raise ValueError(f"a variable needs max=N or match of .*, .+ or .{{a,b}}, not <<var{attributes}>>")
+
+
 def compile_template(template: str) -> Automaton:
     """The automaton of a template. Regions nest; a template without any mandatory word, an unclosed
     region or a start that is a free word is refused, since it would accept anything."""
@@ -116,8 +135,14 @@ def compile_template(template: str) -> Automaton:
         else:
             if machine.last == 0:
                 raise ValueError("a template cannot start with a replaceable region")
-            most = int(re.search(r"max=(\d+)", m[2])[1])
+            most = _most_words(m[2])
             begin = machine.last
+            if most is None:  # any number: the state behind the first free word stays in place
+                machine.free[begin] = machine.free[begin + 1] = begin + 1
+                machine.last += 1
+                if _match_of(m[2]) == ".*":
+                    machine.skip[begin].add(begin + 1)
+                continue
             for _ in range(most):
                 machine.free[machine.last] = machine.last + 1
                 machine.last += 1

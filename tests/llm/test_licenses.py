@@ -101,3 +101,19 @@ def test_labels_and_score(spark):
                              (4, "This work is licensed under the GNU General Public License, version 3.")])
     got = {r.doc_id: (r.labels, r.score) for r in licenses.labelled(licenses.scan(docs)).collect()}
     assert got == {1: ("apache", 1.0), 2: ("", 0.0), 3: ("mit", 5 / 7), 4: ("gpl", 1.0)}
+
+
+def test_variables_by_match():
+    words = lambda text: licenses.words_of(text)
+    cases = [
+        ('Copyright <<var;name=o;original=;match=".+">> All rights reserved', "copyright a b c all rights reserved", 7, "copyright all rights reserved"),
+        ('Copyright <<var;name=o;match=".*">> All rights', "copyright all rights", 3, "copyright all"),
+        ('the <<var;name=v;match=".{0,4}">> end', "the one two end", 4, "the a b c end"),
+    ]
+    for template, good, end, bad in cases:
+        machine = licenses.compile_template(template)
+        assert machine.longest(words(good), 0) == end and machine.longest(words(bad), 0) is None
+    with pytest.raises(ValueError, match="match"):
+        licenses.compile_template('the <<var;name=v;match="[A-Z]+">> end')
+    with pytest.raises(ValueError, match="match"):
+        licenses.compile_template("the <<var;name=v>> end")
