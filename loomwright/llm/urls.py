@@ -86,6 +86,14 @@ def split_url(url: Column) -> tuple[Column, Column, Column]:
     return ascii_lower(host), F.regexp_extract(after, "^[^?#]*", 0), after
 
 
+def literal_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a rule table as literals of the plan; no row passes through Python workers."""
+    kind = f"ARRAY<STRUCT<{', '.join(': '.join(c.split()) for c in schema.split(', '))}>>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    values = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))
+    return spark.range(1).select(F.inline(values.cast(kind)))
+
+
 def tokens_of(address: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(address), F.lit("([a-z0-9]+)"), F.lit(1)))
 
@@ -114,14 +122,14 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     tokens = parts.select("_row", "_address", F.explode(tokens_of(F.col("_address"))).alias("_token"))
     options = [(i, t) for i, r in enumerate(rules) for t in literal_tokens(r.pattern)]
     schema = "_rule int, _token string"
-    listed = spark.createDataFrame(options, schema)
+    listed = literal_rows(spark, options, schema)
     # How many addresses have each token that some rule could be filed under.
     counts = tokens.join(listed.select("_token").distinct(), "_token").groupBy("_token").count()
     ranked = listed.join(counts, "_token", "left").groupBy("_rule").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)), F.col("_token"))).alias("best"))
     filed = ranked.select("_rule", F.col("best._token").alias("_token"))
-    bodies = spark.createDataFrame(
-        [(i, compiled(r.pattern), r.text, r.verdict, r.rank) for i, r in enumerate(rules)],
+    bodies = literal_rows(
+        spark, [(i, compiled(r.pattern), r.text, r.verdict, r.rank) for i, r in enumerate(rules)],
         "_rule int, _regex string, _text string, _verdict string, _rank int",
     )
     by_token = tokens.join(filed.join(bodies, "_rule"), "_token")
