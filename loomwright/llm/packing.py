@@ -2,13 +2,14 @@
 
 Items are dealt over partitions of bounded size. Each is packed by best-fit decreasing, and
 dual-feasible functions give a lower bound on the number of sequences that any packing of the
-same items needs. Where bound and packing agree the partition is done. The others keep their
-full sequences, which waste nothing, exchange the rest among one another and pack again.
+same items needs. Full sequences waste nothing and stay. The partitions exchange the rest and
+pack again, those whose own count is certified, too: their sequences may fit others' better. At last,
+sequences that are not full are packed as items of their own. The bound over all lengths, a histogram
+of at most ``capacity`` numbers, certifies the whole and ends the exchange early.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomwright.llm.common import narrow, register, text_chunks
+from loomwright.llm.tokens import Encoder, default_tokenizer
 from loomwright.queries.base import table
 from loomwright.storage import stage
 
@@ -24,48 +26,11 @@ CAPACITY = 1024
 END_ID = 2
 ITEMS_PER_PARTITION = 20_000
 ROUNDS = 3
-#: Longer texts go to the slower encoder, whose merge is not quadratic in one unbroken run.
-LONGEST_FAST_TEXT = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class _Encoder:
-    """Ids of the tokenizer file. Two implementations of one vocabulary give the same ids."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.fast = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if path.endswith(".json") and os.path.exists(ranks):
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding(
-                "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}
-            )
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and len(text) <= LONGEST_FAST_TEXT:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
-        return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, "<u4")
-
-
 def tokenized_pieces(
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -82,7 +47,7 @@ def tokenized_pieces(
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(path)
+        encode = Encoder(path)
         for batch, _, _ in text_chunks(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -131,13 +96,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual-feasible functions over the length histogram.
+    """A lower bound on the number of bins for items of these lengths."""
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def histogram_bound(counts: np.ndarray, capacity: int) -> int:
+    """The best bound of two families of dual-feasible functions over the counts of each length.
 
     A dual-feasible function maps sizes so that what fits one bin sums to at most 1; its sum
     over all items therefore bounds the number of bins from below. All sums are integers.
     """
     sizes = np.arange(capacity + 1)
-    counts = np.bincount(lengths, minlength=capacity + 1)
     best = 0
     # Sizes above capacity - t count as a full bin, sizes below t as nothing.
     for t in range(0, capacity // 2 + 1):
@@ -151,7 +120,35 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-PLACES = ", sequence_id long, offset long, gap int, filled boolean"
+PLACES = ", sequence_id long, offset long, filled boolean"
+
+
+def _packed(items: DataFrame, step: int, capacity: int, items_per_partition: int) -> DataFrame:
+    """One dealing: best-fit decreasing within each partition, written to the shared folder."""
+    names = items.columns
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + PLACES
+
+    def run(group: pa.Table) -> pa.Table:
+        lengths = group["length"].to_numpy()
+        bins, offsets, count = best_fit_decreasing(lengths, capacity)
+        full = np.bincount(bins, lengths, count)[bins] == capacity
+        ids = ((step << 55) | (int(group["_part"][0].as_py()) << 24)) + bins
+        out = group.select(names)
+        for name, values, kind in (
+            ("sequence_id", ids, pa.int64()), ("offset", offsets, pa.int64()), ("filled", full, pa.bool_()),
+        ):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    parts = -(-items.count() // items_per_partition)
+    key = F.pmod(F.xxhash64(F.lit(step), F.rand(step)), F.lit(parts))
+    dealt = stage(items.withColumn("_part", key), f"pack-dealt-{step}")
+    return stage(dealt.groupBy("_part").applyInArrow(run, ddl), f"packed-{step}")
+
+
+def _sequences(packed: DataFrame) -> tuple[int, int]:
+    """How many sequences there are, and how many of them are full."""
+    return tuple(packed.agg(F.expr("count_if(offset = 0)"), F.expr("count_if(offset = 0 AND filled)")).first())
 
 
 def pack(
@@ -162,59 +159,56 @@ def pack(
 ) -> DataFrame:
     """``items`` (any columns with a ``length`` of 1 to ``capacity``) with their places.
 
-    Adds ``sequence_id``, ``offset`` and ``gap``, the sequences of the item's partition above
-    its bound (0: certified least). Each round is written to the shared folder, so that
+    Adds ``sequence_id``, ``offset`` and ``gap``, the number of sequences above the bound over all
+    items (0: certified least). Each dealing is written to the shared folder, so that
     a lost executor repeats its partition alone. No items: no rows.
     """
-    schema = items.schema
-    names = schema.names
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + PLACES
-
-    def packer(round_: int):
-        def run(group: pa.Table) -> pa.Table:
-            lengths = group["length"].to_numpy()
-            bins, offsets, count = best_fit_decreasing(lengths, capacity)
-            gap = count - lower_bound(lengths, capacity)
-            full = np.bincount(bins, lengths, count)[bins] == capacity
-            part = int(group["_part"][0].as_py())
-            ids = ((round_ << 55) | (part << 24)) + bins
-            out = group.select(names)
-            for name, values, kind in (
-                ("sequence_id", ids, pa.int64()), ("offset", offsets, pa.int64()),
-                ("gap", np.full(len(bins), gap), pa.int32()), ("filled", full, pa.bool_()),
-            ):
-                out = out.append_column(name, pa.array(values, kind))
-            return out
-
-        return run
-
-    open_items, done = items, []
-    before, bins_before = None, 0
-    for round_ in range(rounds):
-        count = open_items.count()
-        if count == 0:
-            break
-        parts = -(-count // items_per_partition)
-        key = F.pmod(F.xxhash64(F.lit(round_), F.rand(round_)), F.lit(parts))
-        dealt = stage(open_items.withColumn("_part", key), f"pack-dealt-{round_}")
-        packed = stage(dealt.groupBy("_part").applyInArrow(packer(round_), ddl), f"packed-{round_}")
-        if before is not None and packed.select("sequence_id").distinct().count() >= bins_before:
-            done.append(before)  # the exchange gained nothing; the earlier places stand
+    names = items.columns
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in items.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    bound = histogram_bound(counts, capacity)
+    done: list[DataFrame] = []
+    n_done, rest, n_rest, step = 0, None, 0, 0
+    open_items = items
+    while step < rounds and counts.any():
+        packed = _packed(open_items, step, capacity, items_per_partition)
+        n, n_full = _sequences(packed)
+        step += 1
+        if rest is not None and n >= n_rest:
+            break  # the exchange gained nothing; the earlier places stand
+        rest, n_rest = packed.where("NOT filled"), n - n_full
+        done.append(packed.where("filled"))
+        n_done += n_full
+        if n_done + n_rest <= bound or n <= n_full or counts.sum() <= items_per_partition:
             break
-        if round_ == rounds - 1:
-            done.append(packed)
+        open_items = rest.select(*names)
+    # Sequences of few small items only fit each other as wholes: these are the items now.
+    merges = 0
+    while n_rest > 1 and n_done + n_rest > bound and merges < rounds and counts.sum() > items_per_partition:
+        wholes = rest.groupBy("sequence_id").agg(F.sum("length").alias("length"))
+        merged = _packed(
+            wholes.withColumnRenamed("sequence_id", "_old"), step, capacity, items_per_partition)
+        n, n_full = _sequences(merged)
+        step, merges = step + 1, merges + 1
+        if n >= n_rest:
             break
-        again = (F.col("gap") > 0) & ~F.col("filled")
-        done.append(packed.where(~again).withColumn("gap", F.lit(0)))
-        before = packed.where(again)
-        bins_before = before.select("sequence_id").distinct().count()
-        open_items = before.select(*names)
-    result = done[0] if done else items.limit(0).selectExpr(
-        "*", "0L AS sequence_id", "0L AS offset", "0 AS gap", "true AS filled"
-    )
-    for part in done[1:]:
+        moved = merged.select(
+            "_old", F.col("sequence_id").alias("_new"), F.col("offset").alias("_at"), F.col("filled").alias("_full"))
+        packed = stage(
+            rest.join(moved, rest["sequence_id"] == moved["_old"]).select(
+                *names, F.col("_new").alias("sequence_id"), (F.col("_at") + F.col("offset")).alias("offset"),
+                F.col("_full").alias("filled")),
+            f"pack-merged-{step}")
+        rest, n_rest = packed.where("NOT filled"), n - n_full
+        done.append(packed.where("filled"))
+        n_done += n_full
+    if rest is None:
+        return items.limit(0).selectExpr("*", "0L AS sequence_id", "0L AS offset", "0 AS gap")
+    result = rest
+    for part in done:
         result = result.unionByName(part)
-    return result.drop("filled")
+    return result.drop("filled").withColumn("gap", F.lit(n_done + n_rest - bound).cast("int"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

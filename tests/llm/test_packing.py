@@ -14,7 +14,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -96,6 +95,34 @@ def test_gaps_are_exchanged(spark):
     assert len(check_places(more)) >= packing.lower_bound(np.array(sizes), 1024)
 
 
+@pytest.mark.parametrize("sizes, per_partition, best", [
+    ([3] * 100, 10, 1), ([700] * 30 + [400] * 30 + [300] * 10, 10, 45), ([512] * 99, 10, 50), ([1024] * 30, 7, 30),
+])
+def test_sequences_of_certified_partitions_meet(spark, sizes, per_partition, best):
+    """Each partition has the least count for its own items, but not for all."""
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    rows = packing.pack(items, items_per_partition=per_partition).collect()
+    assert sorted(r.item for r in rows) == list(range(len(sizes)))
+    found = len(check_places(rows))
+    bound = packing.lower_bound(np.array(sizes), 1024)
+    assert {r.gap for r in rows} == {found - bound}
+    assert found <= best + (best > 40)
+
+
+@pytest.mark.parametrize("limit", [5, 1_000_000])
+def test_ids_are_those_of_the_plain_call(monkeypatch, limit):
+    """On both sides of the switch between the encoders, special tokens in the text included."""
+    from loomwright.llm import tokens
+
+    monkeypatch.setattr(tokens, "LONGEST_FAST_TEXT", limit)
+    encode = tokens.Encoder(tokens.default_tokenizer())
+    end = "<|endoftext|>"
+    for text in ("", f"x {end} y", end, end * 3, f"{end} a", f"a{end}", "<|endoftext", f"<|{end}|>", f"\n{end}\n ",
+                 "Ünïcode ẞ 漢字 \U0001F600  end", "it's  we'll\t\n x" * 50, "\u00a0\u2003 a\u0301", "12345 678"):
+        assert encode(text).tolist() == reference_ids(text)[:-1]
+    assert encode(f"x {end} y").tolist() == [87, 220, 50256, 331]
+
+
 def test_sequences_hold_the_ids(spark):
     docs = documents(spark, [(1, "a few words"), (2, "and " * 1500), (3, None)])
     packed = packing.pack(packing.tokenized_pieces(docs, with_ids=True))
