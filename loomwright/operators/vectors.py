@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomwright.operators.topk import best_k, rank_documents, rank_in_blocks
-from loomwright.storage import spread, stage
+from loomwright.operators.topk import rank_documents
+from loomwright.storage import spread
 
 # Cosines are ranked on this many decimals: the last bits depend on the order of
 # summation, and equal vectors must tie.
@@ -85,7 +85,8 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
 
 
-def _matrix(column) -> np.ndarray:
+def unit_rows(column) -> np.ndarray:
+    """A column of vectors as a matrix of unit rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -105,10 +106,10 @@ class CosineScorer:
         return F.size("embedding") * 8
 
     def prepare(self, queries: pa.Table) -> np.ndarray:
-        return _matrix(queries.column("embedding"))
+        return unit_rows(queries.column("embedding"))
 
     def score(self, state: np.ndarray, docs: pa.RecordBatch):
-        vectors = _matrix(docs.column("embedding"))
+        vectors = unit_rows(docs.column("embedding"))
         step = max(1, _BATCH_CELLS // max(1, len(state)))
         for start in range(0, len(vectors), step):
             part = vectors[start : start + step]
@@ -132,92 +133,3 @@ def cosine_topk(
 def project_matches(matches: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
     """Join ranked ids back to document content; only the few matches travel."""
     return matches.join(docs.select(F.col("id").alias("doc_id"), *columns), "doc_id")
-
-
-def _signatures(df: DataFrame, id_col: str, tables: int, bits: int, seed: int) -> DataFrame:
-    """One row per (id, table) with the side of ``bits`` random planes the vector is on."""
-    schema = T.StructType(
-        [
-            df.schema[id_col],
-            df.schema["embedding"],
-            T.StructField("bucket", T.StringType()),
-        ]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column("embedding"))
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal(
-                    (tables, vectors.shape[1], bits)
-                )
-            for table in range(tables):
-                codes = ((vectors @ planes[table]) > 0) @ weights
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(id_col),
-                        batch.column("embedding"),
-                        pa.array([f"{table}:{code}" for code in codes]),
-                    ],
-                    names=[id_col, "embedding", "bucket"],
-                )
-
-    return df.select(id_col, "embedding").mapInArrow(run, schema)
-
-
-def approximate_topk(
-    queries: DataFrame,
-    docs: DataFrame,
-    k: int = 3,
-    tables: int = 8,
-    bits: int = 8,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate k nearest for two large sides: hashing by random planes, then exact
-    cosine within equal buckets.
-
-    Copies of one vector would all share every bucket. On the document side only the
-    k smallest ids of each distinct vector can be in a result, so the others go first;
-    on the query side each distinct vector is searched once and its answer is joined
-    back to all its ids. What is still crowded is searched in blocks of bounded size.
-    ``bits`` and ``tables`` are parameters and do not follow the size of the input, so a query finds
-    the same neighbours among the same documents whatever else is added.
-    """
-    present = "embedding is not null and size(embedding) > 0"
-    queries = queries.where(present).select("query_id", "embedding")
-    by_vector = Window.partitionBy("embedding").orderBy("doc_id")
-    docs = (
-        docs.where(present)
-        .select("doc_id", "embedding")
-        .withColumn("_rn", F.row_number().over(by_vector))
-        .where(F.col("_rn") <= k)
-        .drop("_rn")
-    )
-    distinct = queries.groupBy("embedding").agg(F.min("query_id").alias("query_id"))
-    # Both are read several times below.
-    docs, distinct = stage(docs, "vectors"), stage(distinct, "searched")
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    found = rank_in_blocks(
-        _signatures(distinct, "query_id", tables, bits, seed),
-        _signatures(docs, "doc_id", tables, bits, seed),
-        CosineScorer(),
-        k,
-        schema,
-        bucket="bucket",
-    )
-    merged = best_k(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
-    answers = merged.withColumnRenamed("query_id", "searched")
-    members = queries.join(
-        distinct.withColumnRenamed("query_id", "searched"), "embedding"
-    ).select("query_id", "searched")
-    return members.join(answers, "searched").select("query_id", "doc_id", "score", "rank")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomwright.operators.context import assemble_context
+from loomwright.operators.inverted_file import InvertedFile
 from loomwright.operators.lexical import lexical_topk
 from loomwright.operators.vectors import (
-    approximate_topk, cosine_topk, embed_texts, hashing_embedder, plain_words, project_matches,
+    cosine_topk, embed_texts, hashing_embedder, plain_words, project_matches,
 )
 from loomwright.queries.base import query, stable, stable_sql, table
 from loomwright.sources.index_store import (
@@ -142,21 +143,23 @@ RECALL = 0.9  # what the approximate search states and its query measures
 
 @query(
     "vector_topk_approx",
-    "SELECT vec_id AS query_id, CAST(3 AS BIGINT) AS n_found, true AS recall_reached FROM embeddings",
+    "SELECT vec_id AS query_id, CAST(3 AS BIGINT) AS n_found, true AS recall_reached, true AS few_compared FROM embeddings",
 )
 def vector_topk_approx(spark, sf_dir):
-    """How many neighbours each vector finds, and whether those of every twentieth are the
-    exact ones often enough."""
+    """How many neighbours each vector finds, whether those of every twentieth are the exact
+    ones often enough, and whether it was compared with less than a tenth of all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.selectExpr("vec_id query_id", "embedding")
     docs = vectors.selectExpr("vec_id doc_id", "embedding")
-    found = stage(approximate_topk(asked, docs, k=3, tables=16, bits=4), "approximate")
+    index = InvertedFile(docs, k=3)
+    found = stage(index.search(asked), "approximate")
     exact = cosine_topk(asked.where("query_id % 20 = 0"), docs, k=3)
     share = exact.join(
         found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left"
     ).agg((F.count("hit") / F.count("*") >= RECALL).alias("reached"))
-    return found.groupBy("query_id").agg(F.count("*").alias("n_found")).withColumn(
-        "recall_reached", share.scalar())
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("n_found"), (F.max("compared") * 10 < F.lit(index.size)).alias("few_compared")
+    ).withColumn("recall_reached", share.scalar())
 
 
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}]+'), lambda w: w <> '')"

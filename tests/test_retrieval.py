@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators.context import NO_CONTEXT, assemble_context
+from loomwright.operators.inverted_file import InvertedFile, approximate_topk
 from loomwright.operators.lexical import WordScorer, lexical_topk, route_by_words
 from loomwright.operators.topk import best_k, rank_in_blocks
 from loomwright.operators.vectors import (
-    CosineScorer, approximate_topk, cosine_topk, embed_texts, hashing_embedder,
+    CosineScorer, cosine_topk, embed_texts, hashing_embedder,
 )
 from loomwright.sources.index_store import (
     DocumentIndex, as_documents, check_dimension, check_ids, delete_where, metadata_equals,
@@ -90,13 +91,38 @@ def test_approximate_topk_recall_and_copies(vectors):
     df, _ = vectors
     queries, docs = sides(df)
     exact = {(q, d) for q, d, _, _ in tuples(cosine_topk(queries, docs, 3))}
-    found = tuples(approximate_topk(queries, docs, 3, bits=3))
+    found = tuples(approximate_topk(queries, docs, 3))
     assert len({(q, d) for q, d, _, _ in found} & exact) / len(exact) > 0.9
     # Every copy finds the smallest ids of its own vector.
     copies = [(q, d) for q, d, _, _ in found if q % 3 == 0]
     assert {d for _, d in copies} == {0, 3, 6} and len(copies) == 3 * 134
 
 
+def test_inverted_file_reads_few_lists_of_clustered_vectors(spark):
+    """40 tight groups: a query reads the codes of few lists and compares few vectors exactly."""
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((40, 24))
+    made = centres[np.arange(4000) % 40] + 0.15 * draw.standard_normal((4000, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "id bigint, embedding array<float>")
+    queries, docs = sides(df)
+    queries = queries.where("query_id % 20 = 0")
+    index = InvertedFile(docs, 5, sample=1500)
+    assert index.probes <= len(index.quantiser.centroids) / 5
+    found = index.search(queries).collect()
+    exact = {(q, d) for q, d, _, _ in tuples(cosine_topk(queries, docs, 5))}
+    assert len({(r.query_id, r.doc_id) for r in found} & exact) / len(exact) > 0.9
+    assert max(r.compared for r in found) < 4000 / 10
+    scores = {(q, d): s for q, d, s, _ in tuples(cosine_topk(queries, docs, 50))}
+    assert all(abs(scores[r.query_id, r.doc_id] - r.score) < 1e-8 for r in found if (r.query_id, r.doc_id) in scores)
+
+
+def test_inverted_file_of_few_or_no_vectors(spark):
+    kind = "id string, embedding array<float>"
+    queries, docs = sides(spark.createDataFrame([("a", [1.0, 0.0, 1.0]), ("b", [0.0, 0.0, 0.0]), ("c", None), ("d", [])], kind))
+    assert tuples(approximate_topk(queries, docs, 3)) == [("a", "a", 1.0, 1)]
+    assert approximate_topk(queries, docs.limit(0), 3).count() == 0
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta the the the".split()
