@@ -16,13 +16,15 @@ from loomwright.storage import scratch_path
 
 FLAGSHIP = {
     "pipeline_name": "customer value",
-    "main_goal": "describe customers by their orders, the prices of large ones and all lines",
-    "initial_tables": ["customer", "orders", "lineitem"],
+    "main_goal": "describe customers by their orders, lines and events",
+    "initial_tables": ["customer", "orders", "lineitem", "events"],
     "join_operations": [
         {"left_table": "orders", "right_table": "lineitem", "join_type": "left",
          "on_columns": ["orderkey"]},
         {"left_table": "customer", "right_table": "orders", "join_type": "left",
          "on_columns": ["custkey"]},
+        {"left_table": "customer", "right_table": "events", "join_type": "left",
+         "on_columns": ["custkey"]},
     ],
     "feature_engineering_steps": [
         {"type": "aggregation",
@@ -35,18 +37,21 @@ FLAGSHIP = {
                      "columns": ["totalprice", "line_quantity_sum", "line_extendedprice_mean",
                                  "line_returnflag_R_count"],
                      "functions": ["mean", "max", "count"], "prefix": ""}},
+        {"type": "aggregation",
+         "details": {"table": "events", "group_by": ["custkey"], "columns": ["event"],
+                     "functions": ["mean", "max", "count"], "prefix": ""}},
     ],
     "data_cleaning_steps": [
         {"type": "imputation",
          "details": {"strategy": "median",
                      "columns": ["totalprice_mean", "totalprice_max", "line_quantity_sum_mean",
-                                 "line_extendedprice_mean_mean"]}},
+                                 "line_extendedprice_mean_mean", "event_mean", "event_max"]}},
     ],
     "scoring_model": {
         "name": "value model", "objective": "regression", "target_column": "acctbal",
         "features": ["custkey", "totalprice_mean", "totalprice_max", "totalprice_count",
                      "line_quantity_sum_mean", "line_extendedprice_mean_mean",
-                     "line_returnflag_R_count_max"],
+                     "line_returnflag_R_count_max", "event_mean", "event_max"],
     },
     "output_format": "dataframe",
 }
@@ -54,22 +59,22 @@ FLAGSHIP = {
 
 def flagship_source(spark: SparkSession, sf_dir: str) -> TableSource:
     customer = table(spark, sf_dir, "customer").selectExpr("c_custkey custkey", "c_acctbal acctbal")
-    # Prices of small orders count as unknown, so that customers without a large one are imputed.
     orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey orderkey", "o_custkey custkey",
-        "CASE WHEN o_totalprice > 400000 THEN o_totalprice END totalprice",
-    )
+        "o_orderkey orderkey", "o_custkey custkey", "o_totalprice totalprice")
+    # Most customers have no events: their means and maxima are imputed.
+    events = table(spark, sf_dir, "events").selectExpr("user_id custkey", "value event")
     lineitem = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey orderkey", "l_quantity quantity", "l_extendedprice extendedprice",
         "l_returnflag returnflag",
     )
     return TableSource(
-        spark, frames={"customer": customer, "orders": orders, "lineitem": lineitem}
+        spark, frames={"customer": customer, "orders": orders, "lineitem": lineitem, "events": events}
     )
 
 
 _FLAGSHIP_ROUNDED = (
-    "totalprice_mean", "totalprice_max", "line_quantity_sum_mean", "line_extendedprice_mean_mean"
+    "totalprice_mean", "totalprice_max", "line_quantity_sum_mean", "line_extendedprice_mean_mean",
+    "event_mean", "event_max",
 )
 
 
@@ -81,23 +86,25 @@ _FLAGSHIP_ROUNDED = (
              count(*) FILTER (WHERE l_returnflag = 'R') AS r
       FROM lineitem GROUP BY 1),
     big AS (
-      SELECT o_custkey AS custkey, CASE WHEN o_totalprice > 400000 THEN o_totalprice END AS p,
-             qsum, pmean, r
+      SELECT o_custkey AS custkey, o_totalprice AS p, qsum, pmean, r
       FROM orders LEFT JOIN lines ON o_orderkey = orderkey),
     rolled AS (
       SELECT custkey, avg(p) AS pm, max(p) AS px, count(p) AS pc, avg(qsum) AS qm,
              avg(pmean) AS em, max(r) AS rx
       FROM big GROUP BY 1),
+    seen AS (SELECT user_id, avg(value) AS vm, max(value) AS vx FROM events GROUP BY 1),
     joined AS (
-      SELECT c_custkey AS custkey, c_acctbal AS acctbal, pm, px, pc, qm, em, rx
-      FROM customer LEFT JOIN rolled ON c_custkey = custkey),
-    mid AS (SELECT median(pm) AS pm, median(px) AS px, median(qm) AS qm, median(em) AS em FROM joined)
+      SELECT c_custkey AS custkey, c_acctbal AS acctbal, pm, px, pc, qm, em, rx, vm, vx
+      FROM customer LEFT JOIN rolled ON c_custkey = custkey LEFT JOIN seen ON c_custkey = user_id),
+    mid AS (SELECT median(pm) AS pm, median(px) AS px, median(qm) AS qm, median(em) AS em,
+                   median(vm) AS vm, median(vx) AS vx FROM joined)
     SELECT j.custkey,
            {stable_sql("coalesce(j.pm, mid.pm)")} AS totalprice_mean,
            {stable_sql("coalesce(j.px, mid.px)")} AS totalprice_max,
            pc AS totalprice_count,
            {stable_sql("coalesce(j.qm, mid.qm)")} AS line_quantity_sum_mean,
            {stable_sql("coalesce(j.em, mid.em)")} AS line_extendedprice_mean_mean,
+           {stable_sql("coalesce(j.vm, mid.vm)")} AS event_mean, {stable_sql("coalesce(j.vx, mid.vx)")} AS event_max,
            rx AS line_returnflag_R_count_max, acctbal
     FROM joined j, mid
     """,
@@ -120,33 +127,42 @@ def scan_preview(spark, sf_dir):
 _JOIN_WORDS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}
 
 
-# Small orders have no key, so all joins have rows without a counterpart on both sides.
-_JOIN_KEY = "CASE WHEN o_totalprice > 300000 THEN o_custkey END"
-
-
-def _join_sides(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").selectExpr(
-        f"{_JOIN_KEY} user_id", "o_orderkey", "o_totalprice value"
-    )
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count("*").alias("n_events"), F.max("value").alias("value")
-    )
-    return orders, users
+# All orders have a customer, but few customers have events: rows of the left side alone. Each
+# customer with events has orders, so joins that keep the right side take labels and vectors,
+# of which either side has ids that the other lacks (counted at sf0.01 and 0.1).
+def join_sides(spark, sf_dir, how: str):
+    """(left, right, key, name of the right) of the join of each type."""
+    if how in ("inner", "left"):
+        orders = table(spark, sf_dir, "orders").selectExpr(
+            "o_custkey user_id", "o_orderkey", "o_totalprice value")
+        users = table(spark, sf_dir, "events").groupBy("user_id").agg(
+            F.count("*").alias("n_events"), F.max("value").alias("value"))
+        return orders, users, "user_id", "events"
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality label", "toxic")
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id doc_id", "label", "size(embedding) dimension")
+    return labels, vectors, "doc_id", "embeddings"
 
 
 def _register_join(how: str) -> None:
-    sql = f"""
-    SELECT coalesce(o.k, u.user_id) AS user_id, o.o_orderkey, o.o_totalprice AS value,
-           u.n_events, u.value AS value_events
-    FROM (SELECT *, {_JOIN_KEY} AS k FROM orders) o
-    {_JOIN_WORDS[how]} (SELECT user_id, count(*) AS n_events, max(value) AS value
-                        FROM events GROUP BY 1) u ON o.k = u.user_id
-    """
+    if how in ("inner", "left"):
+        sql = f"""
+        SELECT o_custkey AS user_id, o.o_orderkey, o.o_totalprice AS value, u.n_events, u.value AS value_events
+        FROM orders o
+        {_JOIN_WORDS[how]} (SELECT user_id, count(*) AS n_events, max(value) AS value
+                            FROM events GROUP BY 1) u ON o_custkey = u.user_id
+        """
+    else:
+        sql = f"""
+        SELECT coalesce(doc_id, vec_id) AS doc_id, quality AS label, toxic, label AS label_embeddings,
+               len(embedding) AS dimension
+        FROM labels {_JOIN_WORDS[how]} embeddings ON doc_id = vec_id
+        """
 
     @query(f"join_{how}", sql)
     def build(spark, sf_dir):
-        orders, users = _join_sides(spark, sf_dir)
-        return join_tables(orders, users, ["user_id"], how, "events")
+        left, right, key, name = join_sides(spark, sf_dir, how)
+        return join_tables(left, right, [key], how, name)
 
 
 for _how in JOIN_TYPES:

@@ -404,3 +404,16 @@ def test_listing_preview_and_stage(spark):
     assert [r.column_name for r in columns_of(df, "t").orderBy("position").collect()] == ["id", "s"]
     assert [r.id for r in preview(df, "id").collect()] == [0, 1, 2, 3, 4]
     assert stage(df, "t").count() == 20
+
+
+def test_join_queries_have_rows_of_one_side_alone(spark):
+    """Counted on whole tables: left and outer joins keep rows of the left side, right and outer of the right."""
+    from loomwright.queries.relational import join_sides
+
+    def only(how, kind):
+        left, right, key, _ = join_sides(spark, "/root/testdata/sf0.01", how)
+        sides = (left, right) if kind == "left" else (right, left)
+        return sides[0].join(sides[1].select(key), key, "left_anti").count()
+
+    assert only("inner", "left") > 10_000 and only("left", "left") == only("inner", "left")
+    assert only("right", "right") > 100 and only("outer", "right") > 100 and only("outer", "left") > 100
