@@ -102,7 +102,10 @@ def feature_step(
         return join_tables(df, rolled, listed(details, "group_by"), "left", details.get("table", "agg"))
     if "encoding" in kind or "one_hot" in kind:
         for column in _columns(details):
-            df = features.one_hot(df, column, _by_column(details, "values").get(column))
+            if details.get("sparse"):
+                df = features.one_hot_sparse(df, column)
+            else:
+                df = features.one_hot(df, column, _by_column(details, "values").get(column))
         return df
     if "scaling" in kind:
         return features.scale(df, _columns(details), details.get("method", "standard"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,9 +15,9 @@ from loomwright.queries.base import query, table
 from loomwright.queries.retrieval import lexical_sql
 from loomwright.sources.index_store import DocumentIndex
 from loomwright.sources.tables import (
-    blank_na_tokens, discover_csv_tables, infer_columns, read_csv_table, table_names,
+    blank_na_tokens, discover_csv_tables, profile_tables, table_names,
 )
-from loomwright.storage import scratch_path
+from loomwright.storage import scratch_path, stage
 
 # ---- schema inference over a folder of CSV tables ----
 
@@ -73,13 +72,9 @@ def _export(spark, sf_dir, names) -> str:
 def catalog_infer(spark, sf_dir):
     """All tables that CSV can hold: vectors are the exception."""
     found = discover_csv_tables(spark, _export(spark, sf_dir, _INFERRED))
-    columns = infer_columns(spark, found, multi_line=True)
-    counts = reduce(DataFrame.unionByName, (
-        read_csv_table(spark, path, multi_line=True, schema="first string").agg(
-            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
-        for name, path in found
-    ))
-    nested = nested_catalog(columns, table_names(spark, found)).join(counts, "table_name")
+    profile = stage(profile_tables(spark, found, multi_line=True), "profile")
+    counts = profile.where("position = 0").select("table_name", "n_rows")
+    nested = nested_catalog(profile.drop("n_rows"), table_names(spark, found)).join(counts, "table_name")
     return nested.select(
         "table_name", "n_rows", F.explode("columns").alias("column_name", "record")
     ).select("table_name", "column_name", "record.data_type", "n_rows")

@@ -457,6 +457,24 @@ def one_hot(spark, sf_dir):
     return features.one_hot(customers, "c_mktsegment")
 
 
+@query(
+    "one_hot_sparse",
+    """
+    SELECT o_orderkey, count(DISTINCT o_custkey) OVER () AS size,
+           dense_rank() OVER (ORDER BY o_custkey) - 1 AS at, CAST(1 AS DOUBLE) AS value, CAST(1 AS BIGINT) AS n_set
+    FROM orders
+    """,
+)
+def one_hot_sparse(spark, sf_dir):
+    """Each order's customer as a sparse vector over all customers with orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    made = features.one_hot_sparse(orders, "o_custkey")
+    vector = F.col("o_custkey_vector")
+    return made.select(
+        "o_orderkey", vector["size"].alias("size"), F.get(vector["indices"], F.lit(0)).alias("at"),
+        F.get(vector["values"], F.lit(0)).alias("value"), F.size(vector["indices"]).cast("long").alias("n_set"))
+
+
 _CLASHING = """p_type || CASE p_size % 3 WHEN 0 THEN ' x' WHEN 1 THEN '-x' ELSE '_x' END"""
 _PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 

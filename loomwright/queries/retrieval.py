@@ -193,7 +193,7 @@ def index_search(spark, sf_dir):
     index = DocumentIndex(spark, scratch_path(spark, "index"), dimension=64)
     index.upsert(_document_batch(spark, sf_dir), embedder=hashing_embedder(64))
     queries = table(spark, sf_dir, "benchmark").selectExpr("item_id query_id", "text")
-    found = index.search(queries, 3, hashing_embedder(64), metadata_equals("source", _SEARCHED))
+    found = index.search(queries, 3, hashing_embedder(64), source=_SEARCHED)
     return found.select(
         "query_id", "id", "rank", stable("score", 6).alias("score"), "text_content",
         F.try_variant_get("metadata", "$.source", "string").alias("source"),

@@ -1,4 +1,4 @@
-"""Document index: keyed upsert, delete by predicate, search; changes on disk.
+"""Document index: keyed upsert, delete by predicate, search; each change a job to a new table.
 
 A document row is (id string, text_content string, metadata variant
 [, embedding array<float>]).
@@ -6,16 +6,12 @@ A document row is (id string, text_content string, metadata variant
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from loomwright.operators.vectors import (
     Embedder, cosine_topk, embed_texts, plain_words, project_matches,
 )
-from loomwright.storage import (
-    list_folder, make_folder, path_exists, publish_text, read_text, remove, stage,
-)
+from loomwright.storage import list_folder, path_exists, remove, stage
 
 
 def as_documents(
@@ -50,10 +46,9 @@ def last_per_id(batch: DataFrame, position: str) -> DataFrame:
     ``row_number`` = 1 is applied on the map side too, so many copies of one id
     never meet in one task.
     """
-    newest = Window.partitionBy("id").orderBy(F.col(position).desc())
-    return (
-        batch.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", position)
-    )
+    newest = Window.partitionBy("row.id").orderBy(F.col("row")[position].desc())
+    ranked = batch.select(F.struct("*").alias("row")).withColumn("place", F.row_number().over(newest))
+    return ranked.where("place = 1").select("row.*").drop(position)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -82,75 +77,71 @@ def check_dimension(batch: DataFrame, dimension: int) -> None:
         raise ValueError(f"{bad} vectors do not have {dimension} components")
 
 
-class IndexConflict(RuntimeError):
-    """Another writer keeps publishing first."""
+#: The physical column by which an index is laid out, from this field of the metadata.
+LAYOUT, LAYOUT_FIELD = "_layout", "source"
+
+
+def layout_value(value: str) -> str:
+    return "=" + value  # never empty, and never taken for a number
+
+
+def _layout(docs: DataFrame) -> Column:
+    kind = docs.schema["metadata"].dataType
+    if isinstance(kind, T.StructType):
+        value = F.col(f"metadata.{LAYOUT_FIELD}") if LAYOUT_FIELD in kind.names else F.lit(None)
+    else:
+        value = F.try_variant_get("metadata", f"$.{LAYOUT_FIELD}", "string")
+    return F.concat(F.lit(layout_value("")), value.cast("string"))
 
 
 class DocumentIndex:
-    """An index folder: a numbered log of changes and the rows each of them wrote.
+    """An index folder: numbered tables, of which the last complete one is current.
 
-    A change writes its own rows only, an upsert the batch and a delete the ids it removes, and
-    then publishes the next number of the log. A number is published once: of two writers the
-    later one finds it taken and takes the next, so neither is lost, and a job that dies before it
-    publishes leaves the index as it was. Readers resolve the newest row of each id.
-    ``compact`` writes the current state as one change that stands for all before it.
+    A change is a job from the current table to the next one. A job that dies leaves no
+    complete table, so the index stays as it was. Writers take turns: of two that
+    work on one number the second fails. Rows lie by source and id, in folders by
+    source, so a search in one source reads its files alone; a source with most of the
+    rows is cut into ranges of ids.
     """
 
-    _TRIES = 50
-
     def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
         self._spark = spark
         self._path = path.rstrip("/")
         self._dimension = dimension
 
-    def _log(self) -> list[tuple[int, str, str]]:
-        """(number, kind, folder) of each change that counts, oldest first."""
-        folder = f"{self._path}/log"
-        if not path_exists(self._spark, folder):
+    def _tables(self) -> list[str]:
+        if not path_exists(self._spark, self._path):
             return []
-        names = sorted(p.rsplit("/", 1)[-1] for p in list_folder(self._spark, folder))
-        entries = []
-        for name in names:
-            if name.isdigit():  # drafts have other names
-                kind, _, data = read_text(self._spark, f"{folder}/{name}").strip().partition(" ")
-                if kind == "snapshot":
-                    entries.clear()
-                entries.append((int(name), kind, data))
-        return entries
-
-    def _publish(self, kind: str, rows: DataFrame, base: int | None = None) -> bool:
-        """Write rows and make them the next change. With ``base``, only right after that number."""
-        data = f"data/{kind}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self._path}/{data}")
-        make_folder(self._spark, f"{self._path}/log")
-        for _ in range(self._TRIES):
-            log = self._log()
-            last = log[-1][0] if log else 0
-            if base is not None and last != base:
-                remove(self._spark, f"{self._path}/{data}")
-                return False
-            if publish_text(self._spark, f"{self._path}/log/{last + 1:012d}", f"{kind} {data}"):
-                return True
-        raise IndexConflict(f"no free number in the log of {self._path}")
-
-    def read(self) -> DataFrame | None:
-        """The newest row of each id, without the deleted ones; None for an index without changes."""
-        return self._resolved(self._log())
-
-    def _resolved(self, log: list[tuple[int, str, str]]) -> DataFrame | None:
-        if not log:
+        return [p for p in list_folder(self._spark, self._path) if p.rsplit("/", 1)[-1].startswith("table-")]
+
+    def _current(self) -> DataFrame | None:
+        done = [p for p in self._tables() if path_exists(self._spark, f"{p}/_SUCCESS")]
+        return self._spark.read.parquet(done[-1]) if done else None
+
+    def _write(self, docs: DataFrame) -> None:
+        tables = self._tables()
+        number = int(tables[-1].rsplit("-", 1)[-1]) + 1 if tables else 1
+        laid = docs.withColumn(LAYOUT, _layout(docs))
+        laid.repartitionByRange(LAYOUT, "id").sortWithinPartitions(LAYOUT, "id").write.partitionBy(LAYOUT).parquet(
+            f"{self._path}/table-{number:09d}")
+
+    def read(self, source: str | None = None) -> DataFrame | None:
+        """The current rows, of one source if it is named; None for an index without a change.
+
+        The filter is on the layout, so files of other sources are not read.
+        """
+        current = self._current()
+        if current is None:
             return None
-        changes = None
-        for number, kind, data in log:
-            rows = self._spark.read.parquet(f"{self._path}/{data}").withColumns(
-                {"_number": F.lit(number), "_gone": F.lit(kind == "delete")}
-            )
-            changes = rows if changes is None else changes.unionByName(rows, allowMissingColumns=True)
-        if len(log) > 1:  # ids are unique within a change
-            newest = Window.partitionBy("id").orderBy(F.col("_number").desc())
-            changes = changes.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
-        current = changes.where("NOT _gone").drop("_number", "_gone")
-        return current if "text_content" in current.columns else None
+        if source is not None:
+            current = current.where(F.col(LAYOUT) == layout_value(source))
+        return current.drop(LAYOUT)
+
+    def drop_old(self) -> None:
+        """Remove all tables before the current one; readers that started earlier should be done."""
+        done = [p for p in self._tables() if path_exists(self._spark, f"{p}/_SUCCESS")]
+        for path in done[:-1]:
+            remove(self._spark, path)
 
     def upsert(
         self, batch: DataFrame, position: str | None = None, embedder: Embedder | None = None
@@ -173,34 +164,25 @@ class DocumentIndex:
                 raise ValueError(f"{repeated} ids are repeated in the batch, and no position orders them")
         if self._dimension is not None:
             check_dimension(unique, self._dimension)
-        self._publish("upsert", unique)
+        current = self.read()
+        self._write(unique if current is None else upsert(current, unique))
 
     def delete(self, predicate: Column) -> None:
-        """Remove the rows for which the predicate is true. Only their ids are written."""
+        """Remove the rows for which the predicate is true."""
         current = self.read()
         if current is not None:
-            self._publish("delete", current.where(F.coalesce(predicate, F.lit(False))).select("id"))
-
-    def compact(self) -> None:
-        """One change with the current rows in place of the log so far.
-
-        Data of the changes before it is removed; readers that started earlier should be done.
-        """
-        log = self._log()
-        current = self._resolved(log)
-        if current is None or not self._publish("snapshot", current, log[-1][0]):
-            return  # a change came in between; its writer or a later call compacts
-        for _, _, data in log:
-            remove(self._spark, f"{self._path}/{data}")
+            self._write(delete_where(current, predicate))
 
     def search(
-        self, queries: DataFrame, k: int, embedder: Embedder, where: Column | None = None
+        self, queries: DataFrame, k: int, embedder: Embedder, where: Column | None = None,
+        source: str | None = None,
     ) -> DataFrame:
         """The k nearest documents of each text: (query_id, id, rank, score, text_content, metadata).
 
-        ``queries`` are (query_id, text). ``where`` filters on metadata before ranking.
+        ``queries`` are (query_id, text). ``where`` filters on metadata before ranking; ``source``
+        restricts the files that are read.
         """
-        current = self.read()
+        current = self.read(source)
         if current is None or "embedding" not in current.columns:
             raise ValueError("the index has no vectors; add documents with an embedder")
         vectors = embed_texts(

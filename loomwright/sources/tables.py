@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loomwright.storage import list_folder, path_exists
+from loomwright.storage import file_uri, first_line, is_folder, list_folder, path_exists
 
 # The cell texts that a dictionary reader takes as missing.
 NA_TOKENS = [
@@ -17,6 +19,8 @@ NA_TOKENS = [
 INFERENCE_LABEL = "spark_dynamic_inference"
 
 DICTIONARY_SCHEMA = "Table string, Row string, Description string"
+PROFILE_SCHEMA = (
+    "table_name string, position int, column_name string, data_type string, inferred_from string, n_rows long")
 COLUMNS_SCHEMA = "table_name string, position int, column_name string, data_type string, inferred_from string"
 
 
@@ -56,32 +60,120 @@ def discover_csv_tables(
     return found
 
 
-def infer_columns(
-    spark: SparkSession,
-    tables: list[tuple[str, str]],
-    parallelism: int = 8,
-    multi_line: bool = False,
+# Kinds of a cell, from the narrowest; a column's type follows from the set of its cells' kinds.
+_INTEGER, _LONG, _WHOLE, _DOUBLE, _DATE, _TIMESTAMP, _BOOLEAN, _TEXT = (1 << i for i in range(8))
+_REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?$|^NaN$|^-?Inf(inity)?$"
+
+
+def _kind_of(cell: Column) -> Column:
+    """The bit of the narrowest type that a cell can be read as; 0 for a missing one."""
+    whole = cell.rlike("^[+-]?[0-9]+$")
+    return (
+        F.when(cell.isNull() | (cell == ""), F.lit(0))
+        .when(whole & cell.try_cast("int").isNotNull(), _INTEGER)
+        .when(whole & cell.try_cast("long").isNotNull(), _LONG)
+        .when(whole, _WHOLE)
+        .when(cell.rlike(_REAL), _DOUBLE)
+        .when(cell.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & cell.try_cast("date").isNotNull(), _DATE)
+        .when(cell.try_cast("timestamp").isNotNull(), _TIMESTAMP)
+        .when(F.lower(cell).isin("true", "false"), _BOOLEAN)
+        .otherwise(_TEXT))
+
+
+def _type_of(kinds: Column, digits: Column) -> Column:
+    """The text of the least type that holds cells of all these kinds."""
+    def only(mask: int) -> Column:
+        return kinds.bitwiseAND(F.lit(255 - mask)) == 0
+
+    return (
+        F.when(kinds == 0, "StringType()")
+        .when(only(_INTEGER), "IntegerType()")
+        .when(only(_INTEGER | _LONG), "LongType()")
+        .when(only(_INTEGER | _LONG | _WHOLE) & (digits <= 38),
+              F.concat(F.lit("DecimalType("), digits.cast("string"), F.lit(",0)")))
+        .when(only(_INTEGER | _LONG | _WHOLE | _DOUBLE), "DoubleType()")
+        .when(only(_DATE), "DateType()")
+        .when(only(_DATE | _TIMESTAMP), "TimestampType()")
+        .when(only(_BOOLEAN), "BooleanType()")
+        .otherwise("StringType()"))
+
+
+def _header(spark: SparkSession, path: str) -> list[str] | None:
+    """The cells of the first line of a table's first file; None for one without a line."""
+    files = [path] if not is_folder(spark, path) else [
+        f for f in list_folder(spark, path) if not f.rsplit("/", 1)[-1].startswith(("_", "."))]
+    line = next((x for x in (first_line(spark, f) for f in files) if x), None)
+    if line is None:
+        return None
+    return next(csv.reader([line.lstrip("\ufeff")]))
+
+
+def _column_names(cells: list[str]) -> list[str]:
+    """Header cells as column names: blank ones and repeated ones get their position."""
+    seen = Counter(c.lower() for c in cells)
+    return [f"_c{i}" if not c else f"{c}{i}" if seen[c.lower()] > 1 else c for i, c in enumerate(cells)]
+
+
+def profile_tables(
+    spark: SparkSession, tables: list[tuple[str, str]], parallelism: int = 8, multi_line: bool = False
 ) -> DataFrame:
-    """One row per (table, column) with its inferred type.
+    """Inferred columns with ``n_rows``: one Spark job for all files together.
 
-    Each inference is a Spark job over one file; they are submitted side by side.
-    Only field names and types come back. A table that cannot be read gets no row.
+    The headers, one line of a file each, are read beside each other. Each row then gives its cells'
+    kinds, whose sets merge by bitwise or, per table; a file that is read in many tasks, and a
+    table of many files, combine in the same way. Rows that repeat the header are none. A
+    table that cannot be read, or has no header, gets no row.
     """
-
-    def fields(item):
-        name, path = item
+    def header(item):
         try:
-            schema = read_csv_table(spark, path, None, True, multi_line).schema
+            return item[0], item[1], _header(spark, item[1])
         except Exception as error:  # an unreadable file is a table without columns
-            print(f"no schema for {name}: {str(error).splitlines()[0]}")
-            return []
-        return [
-            (name, i, f.name, str(f.dataType), INFERENCE_LABEL) for i, f in enumerate(schema.fields)
-        ]
+            print(f"no schema for {item[0]}: {str(error).splitlines()[0]}")
+            return item[0], item[1], None
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = [row for part in pool.map(fields, tables) for row in part]
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+        found = [x for x in pool.map(header, tables) if x[2]]
+    if not found:
+        return spark.createDataFrame([], PROFILE_SCHEMA)
+    width = max(len(names) for _, _, names in found)
+    cells = [f"c{i}" for i in range(width)]
+    reader = spark.read.schema(", ".join(f"{c} string" for c in cells))
+    if multi_line:
+        reader = reader.option("multiLine", True).option("escape", '"')
+    entry = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.csv)(/[^/]*)?$", 1)
+    rows = reader.csv([path for _, path, _ in found]).select(entry.alias("entry"), *cells)
+    listed = spark.createDataFrame(
+        [(file_uri(spark, path).rsplit("/", 1)[-1], name, _column_names(header_), header_)
+         for name, path, header_ in found],
+        "entry string, table_name string, names array<string>, header array<string>")
+    is_header = F.forall(
+        F.arrays_zip(F.array(*cells).alias("a"), F.col("header").alias("b")),
+        lambda x: F.nullif(x["a"], F.lit("")).eqNullSafe(F.nullif(x["b"], F.lit(""))))
+    data = rows.join(listed, "entry").where(~is_header)
+    kinds = [F.bit_or(_kind_of(F.col(c))).alias(f"k{i}") for i, c in enumerate(cells)]
+    digits = [F.max(F.when(F.col(c).rlike("^[+-]?[0-9]+$"), F.length(F.regexp_replace(c, "[+-]", "")))).alias(f"d{i}")
+              for i, c in enumerate(cells)]
+    merged = data.groupBy("table_name").agg(F.count("*").alias("n_rows"), *kinds, *digits)
+    # Tables without a data row have no group of their own.
+    profile = listed.join(merged, "table_name", "left").select(
+        "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.posexplode(F.arrays_zip(
+            F.col("names").alias("name"), F.array(*(f"k{i}" for i in range(width))).alias("kinds"),
+            F.array(*(f"d{i}" for i in range(width))).alias("digits"))).alias("position", "x"))
+    return profile.where("x.name IS NOT NULL").select(
+        "table_name", "position", F.col("x.name").alias("column_name"),
+        _type_of(F.coalesce("x.kinds", F.lit(0)), F.coalesce("x.digits", F.lit(0))).alias("data_type"),
+        F.lit(INFERENCE_LABEL).alias("inferred_from"), "n_rows")
+
+
+def infer_columns(
+    spark: SparkSession,
+    tables: list[tuple[str, str]],
+    parallelism: int = 8,
+    multi_line: bool = False,
+) -> DataFrame:
+    """One row per (table, column) with its inferred type. A table that cannot be read gets no row."""
+    return profile_tables(spark, tables, parallelism, multi_line).drop("n_rows")
 
 
 def table_names(spark: SparkSession, tables: list[tuple[str, str]]) -> DataFrame:

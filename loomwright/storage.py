@@ -72,44 +72,32 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().toString() for status in fs.listStatus(hadoop_path))
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
+def is_folder(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _hadoop(spark, path)
-    fs.mkdirs(hadoop_path)
+    return fs.getFileStatus(hadoop_path).isDirectory()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = _hadoop(spark, path)
-    fs.delete(hadoop_path, True)
-
-
-def publish_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Make a small file appear as a whole, never over an existing one: False if there is one.
-
-    The text is written beside it first and renamed; a rename does not replace a file.
-    """
-    fs, target = _hadoop(spark, path)
-    _, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.draft")
-    out = fs.create(draft, False)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    done = not fs.exists(target) and fs.rename(draft, target)
-    if not done:
-        fs.delete(draft, False)
-    return done
+def file_uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file metadata spell it, with escapes."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toASCIIString()
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file, read by the driver."""
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file, read by the driver; None for an empty file."""
     fs, hadoop_path = _hadoop(spark, path)
     stream = fs.open(hadoop_path)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return reader.readLine()
     finally:
         stream.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _hadoop(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and relations the plan starts from.
 

@@ -417,3 +417,69 @@ def test_join_queries_have_rows_of_one_side_alone(spark):
 
     assert only("inner", "left") > 10_000 and only("left", "left") == only("inner", "left")
     assert only("right", "right") > 100 and only("outer", "right") > 100 and only("outer", "left") > 100
+
+
+def test_sparse_one_hot(spark):
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else f"v{(i * 7) % 3000:05d}") for i in range(5000)], "rank int, v string")
+    out = features.one_hot_sparse(df, "v").collect()
+    values = sorted({r.v for r in out if r.v is not None})
+    assert len(out) == 5000 and len(values) > features.MAX_FLAGS
+    for r in out:
+        at = [] if r.v is None else [values.index(r.v)]
+        assert (r.v_vector.size, r.v_vector.indices, r.v_vector["values"]) == (len(values), at, [1.0] * len(at))
+    with pytest.raises(ValueError, match="sparse"):
+        features.one_hot(df, "v")
+    assert features.one_hot_sparse(df.limit(0), "v").count() == 0
+
+
+def jobs_of(spark, run):
+    """How many Spark jobs ``run`` starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_inference_is_one_pass_over_all_files(spark, tmp_path):
+    from loomwright.sources.tables import profile_tables
+
+    cells = {
+        "i": ["1", "-2", ""], "l": ["1", "3000000000", ""], "w": ["1", "123456789012345678901", ""], "d": ["1", "2.5e3", "NaN"],
+        "day": ["2020-01-02", "1999-12-31", ""], "at": ["2020-01-02", "2020-01-02T03:04:05.678", ""], "b": ["true", "FALSE", ""],
+        "s": ["1", "x", ""], "none": ["", "", ""], "big": ["1" * 39, "2", ""], "mixed": ["1", "2020-01-02", "true"], "ü x": ["a,b", 'q "z"', ""],
+    }
+    import csv as writer
+
+    def write(path, names):
+        with open(path, "w", newline="", encoding="utf-8") as file:
+            out = writer.writer(file)
+            out.writerow(names)
+            out.writerows([[cells[c][k] for c in names] for k in range(3)])
+
+    for k, name in enumerate(("one", "Two")):
+        write(tmp_path / f"{name}.csv", list(cells)[k:])
+    (tmp_path / "parts 1.csv").mkdir()
+    for k in range(3):
+        write(tmp_path / "parts 1.csv" / f"part-{k}.csv", ["i", "s", "none"])
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("a,,a\n")
+    found = discover_csv_tables(spark, str(tmp_path))
+    profile = profile_tables(spark, found).collect()
+    got = {(r.table_name, r.column_name): r.data_type for r in profile}
+    kinds = {"i": "IntegerType()", "l": "LongType()", "w": "DecimalType(21,0)", "d": "DoubleType()", "day": "DateType()",
+             "at": "TimestampType()", "b": "BooleanType()", "s": "StringType()", "none": "StringType()",
+             "big": "DoubleType()", "mixed": "StringType()", "ü x": "StringType()"}
+    for name, path in found:
+        if name in ("one", "two"):
+            for c in list(cells)[name == "two":]:
+                assert got[name, c] == kinds[c], c
+            native = read_csv_table(spark, path, None, True).schema
+            same = {f.name: str(f.dataType) for f in native.fields}
+            assert {c: t for (n, c), t in got.items() if n == name} == same
+    assert {n: r for n, r in ((r.table_name, r.n_rows) for r in profile)} == {"one": 3, "two": 3, "parts 1": 9, "bare": 0}
+    assert [r.column_name for r in profile if r.table_name == "bare"] == ["a0", "_c1", "a2"]
+    few = jobs_of(spark, lambda: profile_tables(spark, found[:1]).collect())
+    assert jobs_of(spark, lambda: profile_tables(spark, found).collect()) <= few

@@ -10,7 +10,7 @@ from loomwright.operators.vectors import (
     CosineScorer, cosine_topk, embed_texts, hashing_embedder,
 )
 from loomwright.sources.index_store import (
-    DocumentIndex, as_documents, check_dimension, check_ids, delete_where, metadata_equals,
+    DocumentIndex, as_documents, check_dimension, check_ids, delete_where, last_per_id, metadata_equals,
 )
 from loomwright.storage import scratch_path
 
@@ -250,43 +250,43 @@ def test_upsert_replaces_keeps_the_last_and_is_idempotent(spark):
     assert content(index) == [("b", "b"), ("c", "c")]
 
 
-def folder_bytes(path):
-    from pathlib import Path
-
-    return sum(p.stat().st_size for p in Path(path).rglob("*") if p.is_file())
-
-
-def test_changes_write_their_own_rows_only(spark, tmp_path):
+def test_a_change_is_a_new_table(spark, tmp_path):
     path = str(tmp_path / "index")
     index = DocumentIndex(spark, path)
-    index.upsert(batch(spark, [(f"k{i}", f"text {i} " * 50, "s", 0) for i in range(4000)]), "pos")
-    large = folder_bytes(path)
+    index.upsert(batch(spark, [(f"k{i}", f"text {i}", "s", 0) for i in range(400)]), "pos")
     index.upsert(batch(spark, [("k1", "new", "t", 0)]), "pos")
     index.delete(F.col("id") == "k2")
-    assert folder_bytes(path) - large < large / 10
     before = content(index)
-    assert len(before) == 3999 and ("k1", "new") in before
-    index.compact()
+    assert len(before) == 399 and ("k1", "new") in before
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == [f"table-{i:09d}" for i in (1, 2, 3)]
+    (tmp_path / "index" / "table-000000004").mkdir()  # of a job that died
+    assert content(index) == before
+    index.drop_old()
     assert content(index) == before
     index.upsert(batch(spark, [("k2", "again", "s", 0)]), "pos")
-    assert len(content(index)) == 4000
+    assert len(content(index)) == 400
+    assert (tmp_path / "index" / "table-000000005").exists()
 
 
-def test_no_change_is_lost_between_writers(spark):
-    path = scratch_path(spark, "test-index")
-    first, second = DocumentIndex(spark, path), DocumentIndex(spark, path)
-    log = first._log
+def test_a_search_in_one_source_reads_its_files_alone(spark):
+    index = DocumentIndex(spark, scratch_path(spark, "test-index"), dimension=16)
+    rows = batch(spark, [(f"k{i}", f"text {i}", ("s", "t", "", "12", "a b/c=d", None)[i % 6], 0) for i in range(60)])
+    index.upsert(rows, "pos", embedder=hashing_embedder(16))
+    for source in ("s", "", "12", "a b/c=d"):
+        part = index.read(source)
+        assert part.count() == 10
+        files = {f for f in part.inputFiles()}
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_layout" in plan and "metadata" in part.columns
+        read = part.select(F.input_file_name().alias("f")).distinct().collect()
+        assert {r.f for r in read} < files | {r.f for r in read} and all("_layout=" in r.f for r in read)
+        assert len({r.f.split("_layout=")[1].split("/")[0] for r in read}) == 1
+    assert index.read("none").count() == 0 and index.read().count() == 60
 
-    def late():  # the other writer publishes between this one's look at the log and its own number
-        seen = log()
-        if not hasattr(late, "done"):
-            late.done = True
-            second.upsert(batch(spark, [("b", "b", "s", 0)]), "pos")
-        return seen
 
-    first._log = late
-    first.upsert(batch(spark, [("a", "a", "s", 0)]), "pos")
-    assert content(first) == [("a", "a"), ("b", "b")]
+def test_any_column_name_survives_last_per_id(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "id string, place int, _rn int")
+    assert [tuple(r) for r in last_per_id(rows, "place").collect()] == [("a", 6)]
 
 
 def test_repeated_ids_need_a_position(spark):
@@ -303,6 +303,8 @@ def test_search_filters_and_returns_content(spark):
     hits = index.search(asked, 2, hashing_embedder(16), metadata_equals("source", "t")).collect()
     assert [(h.query_id, h.id, h.rank, h.text_content) for h in hits if h.rank == 1] == [(1, "b", 1, "red apple")]
     index.delete(F.col("id") == "b")
+    in_source = index.search(asked, 2, hashing_embedder(16), source="s").where("query_id = 1").collect()
+    assert [h.id for h in in_source] == ["a"]
     hits = index.search(asked, 2, hashing_embedder(16)).where("rank = 1").collect()
     assert [h.id for h in hits] == ["a"]
     with pytest.raises(ValueError, match="no vectors"):
