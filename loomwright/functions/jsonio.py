@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
-#: What ``normalized_json`` gives for a text whose only fault is a number that JSON lacks.
+#: What ``with_normalized_json`` gives for a text whose only fault is a number that JSON lacks.
 NOT_A_NUMBER = "NaN"
 
 
@@ -51,19 +51,23 @@ def jvm_accepts(text: Column) -> Column:
     return F.coalesce(one & keys, F.lit(False))
 
 
-def normalized_json(text: Column) -> Column:
-    """A text the JVM can parse, or null where it is not one JSON value.
+def with_normalized_json(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add ``out``: a text the JVM can parse, or null where it is not one JSON value.
 
-    Most rows stay on the JVM and as they are. Only texts its parser refuses go to Python, which also
-    takes repeated keys (the last one stands). ``NOT_A_NUMBER`` stands for texts with NaN or infinities.
+    Rows whose text the JVM's parser accepts, or that have none, stay on the JVM as they are. Only
+    the others go through Python, in a branch of their own: it also takes repeated keys (the last
+    one stands). ``NOT_A_NUMBER`` stands for texts with NaN or infinities.
     """
-    fine = jvm_accepts(text)
-    return F.coalesce(F.when(fine, text), _normalized_rest(F.when(~fine, text)))
+    row = df.select(F.struct("*").alias("row"), text.alias("text")).withColumn(
+        "fine", F.col("text").isNull() | jvm_accepts(F.col("text")))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c.lower() != out.lower()]
+    accepted = row.where("fine").select(*kept, F.col("text").alias(out))
+    return accepted.unionByName(row.where("NOT fine").select(*kept, _normalized_rest("text").alias(out)))
 
 
-def is_strict_json(text: Column | str) -> Column:
-    """True when the whole text is one JSON value, NaN and infinities included; false for null."""
-    return normalized_json(F.col(text) if isinstance(text, str) else text).isNotNull()
+def with_strict_json(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add ``out``: whether the whole text is one JSON value, NaN and infinities included; false for null."""
+    return with_normalized_json(df, text, out).withColumn(out, F.col(out).isNotNull())
 
 
 def shape(value: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwright.functions.jsonio import is_strict_json
+from loomwright.functions.jsonio import with_strict_json
 from loomwright.functions.names import strip_blank
 
 # The fence forms that mark a payload.
@@ -38,9 +38,9 @@ def with_payload(df: DataFrame, text_col: str, out: str = "payload") -> DataFram
     text = strip_blank(F.col(text_col))
     fenced = F.coalesce(group_or_null(text, JSON_FENCE), group_or_null(text, BARE_FENCE))
     braced = F.when(fenced.isNull(), _outer_braces(text))
+    found = df.withColumns({"_fenced": fenced, "_braced": braced})
     return (
-        df.withColumns({"_fenced": fenced, "_braced": braced})
-        .withColumn("_valid", is_strict_json("_braced"))
+        with_strict_json(found, F.col("_braced"), "_valid")
         .withColumn(
             out,
             F.coalesce(

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from loomwright.storage import stage
+
 ROLL_UP_FUNCTIONS = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 _SKETCH_ACCURACY = 100_000
@@ -119,10 +121,16 @@ def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None)
     """
     if accuracy:
         return df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in columns])
-    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = values.agg(*[F.count(f"v{i}") for i in range(len(columns))]).first()
+    # Read in each pass: written once, so that what makes the columns is not computed again.
+    values = stage(
+        df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "median-columns")
+    around = F.array(*(F.lit(min(max(0.5 + d / _SKETCH_ACCURACY, 0.0), 1.0)) for d in (-2.0, 2.0)))
+    first = values.agg(
+        *[F.count(f"v{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"v{i}", around, _SKETCH_ACCURACY) for i in range(len(columns))]).first()
+    sizes, brackets = first[:len(columns)], first[len(columns):]
     wanted = {(i, r) for i, n in enumerate(sizes) if n for r in ((n - 1) // 2, n // 2)}
-    found = _values_at_ranks(values, wanted, sizes)
+    found = _values_at_ranks(values, wanted, sizes, brackets)
     middle = [
         (found[i, (n - 1) // 2] + found[i, n // 2]) / 2.0 if n else None
         for i, n in enumerate(sizes)
@@ -132,36 +140,47 @@ def medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None)
 
 
 def _values_at_ranks(
-    values: DataFrame, wanted: set[tuple[int, int]], sizes: Sequence[int]
+    values: DataFrame, wanted: set[tuple[int, int]], sizes: Sequence[int], brackets: Sequence[list]
 ) -> dict[tuple[int, int], float]:
-    """The values at 0-based ranks, given as (column, rank)."""
+    """The values at 0-based ranks, given as (column, rank); ``brackets`` has a first guess by column.
+
+    A guess need not hold the rank: the counts below, at and between its ends say where the
+    next pass has to look.
+    """
     margin = 2.0 / _SKETCH_ACCURACY
     # For each open rank: which values are left, how many are below them, how many they are.
     left = {(i, r): (F.lit(True), 0, sizes[i]) for i, r in sorted(wanted)}
+    ends = [brackets[i] for i, _ in left]
     found: dict[tuple[int, int], float] = {}
     while left:
-        ends = []
-        for (i, rank), (held, below, inside) in left.items():
-            share = (rank - below) / inside
-            bracket = F.array(
-                F.lit(max(share - margin, 0.0)), F.lit(min(share + margin + 1.0 / inside, 1.0))
-            )
-            ends.append(F.percentile_approx(F.when(held, F.col(f"v{i}")), bracket, _SKETCH_ACCURACY))
-        brackets = values.agg(*ends).first()
         counts = []
-        for (i, _), (low, high) in zip(left, brackets):
+        for (i, _), (low, high) in zip(left, ends):
             v = F.col(f"v{i}")
-            counts += [F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high))]
+            counts += [F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high)]
         counted = values.agg(*counts).first()
         still = {}
-        for k, ((i, rank), (low, high)) in enumerate(zip(list(left), brackets)):
-            under, at_low, between = counted[3 * k:3 * k + 3]
-            if rank < under + at_low:
+        for k, ((i, rank), (held, below, inside)) in enumerate(list(left.items())):
+            low, high = ends[k]
+            under, at_low, between, at_high = counted[4 * k:4 * k + 4]
+            upto = under + at_low + between + (at_high if high != low else 0)
+            v = F.col(f"v{i}")
+            if rank < under:
+                still[i, rank] = (held & (v < low), below, under - below)
+            elif rank < under + at_low:
                 found[i, rank] = low
-            elif rank >= under + at_low + between:
+            elif rank < under + at_low + between:
+                still[i, rank] = ((v > low) & (v < high), under + at_low, between)
+            elif rank < upto:
                 found[i, rank] = high
             else:
-                v = F.col(f"v{i}")
-                still[i, rank] = ((v > low) & (v < high), under + at_low, between)
+                still[i, rank] = (held & (v > high), upto, below + inside - upto)
         left = still
+        if left:
+            sketches = []
+            for (i, rank), (held, below, inside) in left.items():
+                share = (rank - below) / inside
+                bracket = F.array(
+                    F.lit(max(share - margin, 0.0)), F.lit(min(share + margin + 1.0 / inside, 1.0)))
+                sketches.append(F.percentile_approx(F.when(held, F.col(f"v{i}")), bracket, _SKETCH_ACCURACY))
+            ends = list(values.agg(*sketches).first())
     return found

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomwright.functions.names import strip_blank
 from loomwright.operators.aggregates import means, medians, modes, numeric_columns, scalar_row
+from loomwright.storage import unused_name
 
 STRATEGIES = ("mean", "median", "mode")
 
@@ -112,7 +113,8 @@ def deduplicate(
     subset = require_columns(df, subset or df.columns, "deduplication")
     order_by = require_columns(df, order_by, "deduplication")
     first = Window.partitionBy(*subset).orderBy(*order_by)
-    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    place = unused_name(df)
+    return df.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
 
 
 def convert_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:

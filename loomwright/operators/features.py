@@ -22,7 +22,7 @@ DATE_PARTS = {
 
 
 #: So many values at most become columns; beyond, the sparse form takes any number.
-MAX_FLAGS = 1000
+MAX_FLAGS = 10_000
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:

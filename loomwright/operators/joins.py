@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from loomwright.operators.cleaning import require_columns
-from loomwright.storage import stage
+from loomwright.storage import stage, unused_name
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
 
@@ -36,7 +36,7 @@ def join_tables(
     right = right.withColumnsRenamed(_renamed(left.columns, right.columns, on, right_name))
     if how in ("inner", "left"):
         return left.join(right, on, how)
-    mark = "_in_left"
+    mark = unused_name(left, right)
     left_keys = left.select(*on).distinct().withColumn(mark, F.lit(True))
     marked = stage(right.join(left_keys, on, "left"), "join-right")
     matched = left.join(marked.drop(mark), on, "inner" if how == "right" else "left")

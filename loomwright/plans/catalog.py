@@ -11,7 +11,7 @@ from loomwright.operators.joins import described_but_absent
 from loomwright.operators.lexical import lexical_topk
 from loomwright.sources.index_store import DocumentIndex, as_documents, with_variant_metadata
 from loomwright.sources.tables import discover_csv_tables, infer_columns, read_dictionary, table_names
-from loomwright.storage import stage
+from loomwright.storage import stage, stage_counted
 
 # Names, markers and text forms of the catalog.
 TARGET_TABLE = "application_train"
@@ -267,21 +267,25 @@ class CatalogIngest:
     tables: DataFrame
     global_columns: DataFrame
     missing: DataFrame
+    counts: dict[str, int]
 
 
 def build_catalog(
     spark: SparkSession, data_dir: str, dictionary_path: str, strict: bool = False
 ) -> CatalogIngest:
-    """Catalog of a folder of CSV tables; dictionary entries are never written."""
+    """Catalog of a folder of CSV tables; dictionary entries are never written to an index.
+
+    Each result is written once; its number of rows is observed as it is written.
+    """
     found = discover_csv_tables(spark, data_dir, dictionary_path)
-    columns = infer_columns(spark, found)
+    columns = stage(infer_columns(spark, found), "profile")
     entries = dictionary_entries(read_dictionary(spark, dictionary_path))
-    catalog = enrich_columns(columns, entries, strict)
+    catalog, n_columns = stage_counted(enrich_columns(columns, entries, strict), "catalog")
+    merged, n_documents = stage_counted(global_columns(catalog), "merged-columns")
+    missing, n_missing = stage_counted(missing_described(entries, columns), "missing-columns")
     return CatalogIngest(
-        catalog,
-        table_names(spark, found),
-        global_columns(catalog),
-        missing_described(entries, columns),
+        catalog, table_names(spark, found), merged, missing,
+        {"columns": n_columns, "documents": n_documents, "described_but_not_found": n_missing},
     )
 
 
@@ -306,9 +310,4 @@ def ingest_catalog(
     """Build the catalog, upsert its merged columns into the index, report counts."""
     built = build_catalog(spark, data_dir, dictionary_path, strict)
     index.upsert(global_documents(built.global_columns))
-    report = {
-        "columns": built.catalog.count(),
-        "documents": built.global_columns.count(),
-        "described_but_not_found": built.missing.count(),
-    }
-    return built, report
+    return built, dict(built.counts)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwright.functions.jsonio import is_strict_json
+from loomwright.functions.jsonio import with_strict_json
 from loomwright.functions.names import strip_blank
 from loomwright.functions.text import EDITED_JSON, EDITED_SCRIPT, group_or_null
 
@@ -66,7 +66,7 @@ def classify_reviews(last: DataFrame, literal: bool = False, whole_words: bool =
         "_edit", F.when(F.col("_decided").isNull(), edit)
     )
     # Only edits of task reviews need the JSON test; other rows pass null.
-    tested = staged.withColumn("_valid", is_strict_json(F.when(task_review, F.col("_edit"))))
+    tested = with_strict_json(staged, F.when(task_review, F.col("_edit")), "_valid")
     proposed = F.when(task_review & F.col("_valid"), MODIFIED_JSON).when(
         script_review & F.col("_edit").isNotNull(), MODIFIED_CODE
     )

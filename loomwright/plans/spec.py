@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwright.functions.jsonio import (
-    NOT_A_NUMBER, list_of_members, members, normalized_json, shape, text_of, texts_of,
+    NOT_A_NUMBER, list_of_members, members, shape, text_of, texts_of, with_normalized_json,
 )
 from loomwright.operators.joins import JOIN_TYPES
 from loomwright.storage import spread
@@ -194,8 +194,7 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
         F.col(c) for c in ("_joins", "_cleaning", "_building", "_scoring")
     )
     opened = (
-        spread(df)
-        .withColumn("_strict", normalized_json(F.col(payload_col)))
+        with_normalized_json(spread(df), F.col(payload_col), "_strict")
         .withColumn("_json", F.try_parse_json("_strict"))
         .withColumn("_top", members(F.col("_json"), SPEC_KEYS))
         .withColumns(

@@ -9,7 +9,7 @@ from loomwright.operators.joins import JOIN_TYPES, join_tables
 from loomwright.plans.runner import run_and_save, run_spec
 from loomwright.queries.base import query, stable, stable_sql, table
 from loomwright.sources.sinks import save, verify_written
-from loomwright.sources.tables import TableSource, preview, read_csv_table
+from loomwright.sources.tables import TableSource, preview, read_csv_table, read_with_quarantine
 from loomwright.storage import scratch_path
 
 # ---- the flagship: a two-level roll-up to the customer, run from a spec ----
@@ -122,6 +122,29 @@ def scan_preview(spark, sf_dir):
     return preview(table(spark, sf_dir, "customer"), "c_custkey")
 
 
+# Every 97th order has a cell too many, every 89th a price that is none.
+_LINE = """o_orderkey || ',' || o_custkey || ',' || CASE WHEN o_orderkey % 89 = 3 THEN 'price' ELSE CAST(o_custkey % 1000 AS STRING) END
+      || CASE WHEN o_orderkey % 97 = 5 THEN ',more' ELSE '' END"""
+_BROKEN = "(o_orderkey % 89 = 3 OR o_orderkey % 97 = 5)"
+
+
+@query(
+    "scan_quarantine",
+    f"""
+    SELECT {_LINE} AS line, (SELECT count(*) FROM orders WHERE NOT {_BROKEN}) AS n_good,
+           (SELECT CAST(sum(o_custkey % 1000) AS BIGINT) FROM orders WHERE NOT {_BROKEN}) AS price_sum
+    FROM orders WHERE {_BROKEN}
+    """,
+)
+def scan_quarantine(spark, sf_dir):
+    """Orders as lines of text, some of them broken: what fits is read, the rest is set aside."""
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "orders").selectExpr(f"{_LINE} value").write.text(path)
+    rows, quarantined = read_with_quarantine(spark, path, "orderkey long, custkey long, price int", header=False)
+    kept = rows.agg(F.struct(F.count("*").alias("n"), F.sum("price").alias("sum")).alias("s")).scalar()
+    return quarantined.select("line", kept["n"].alias("n_good"), kept["sum"].alias("price_sum"))
+
+
 # ---- joins ----
 
 _JOIN_WORDS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}

@@ -9,7 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loomwright.storage import file_uri, first_line, is_folder, list_folder, path_exists
+from loomwright.storage import (
+    file_uri, first_line, is_folder, list_folder, path_exists, stage, unused_name,
+)
 
 # The cell texts that a dictionary reader takes as missing.
 NA_TOKENS = [
@@ -46,6 +48,27 @@ def read_csv_table(
     return reader.csv(path)
 
 
+def read_with_quarantine(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantined): the rows that fit the schema, and (line, file) of those that do not.
+
+    A row with a cell that does not convert, or with more or fewer cells than the schema,
+    is quarantined as it stands in the file. The file is parsed once; both results read what that wrote.
+    """
+    plain = spark.createDataFrame([], schema).schema
+    bad = unused_name(spark.createDataFrame([], plain))
+    reader = spark.read.option("header", header).option("columnPruning", False).option("mode", "PERMISSIVE")
+    if multi_line:
+        reader = reader.option("multiLine", True).option("escape", '"')
+    full = T.StructType([*plain.fields, T.StructField(bad, T.StringType())])
+    parsed = reader.option("columnNameOfCorruptRecord", bad).schema(full).csv(path)
+    file = unused_name(parsed)
+    parsed = stage(parsed.withColumn(file, F.col("_metadata.file_name")), "parsed")
+    rows = parsed.where(F.col(bad).isNull()).select(*plain.names)
+    return rows, parsed.where(F.col(bad).isNotNull()).select(F.col(bad).alias("line"), F.col(file).alias("file"))
+
+
 def discover_csv_tables(
     spark: SparkSession, folder: str, dictionary_path: str | None = None
 ) -> list[tuple[str, str]]:

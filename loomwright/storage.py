@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -98,6 +98,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def unused_name(*frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken, name = {c.lower() for df in frames for c in df.columns}, "_own"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows, observed by the job that writes them."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return staged, seen.get["rows"]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and relations the plan starts from.
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.functions.jsonio import NOT_A_NUMBER, is_strict_json, jvm_accepts, normalized_json
+from loomwright.functions.jsonio import NOT_A_NUMBER, jvm_accepts, with_normalized_json, with_strict_json
 from loomwright.functions.names import (
     file_stem, normalize_column_name, safe_output_name, strip_blank, table_name_from_path,
 )
@@ -107,8 +107,8 @@ def test_one_json_value_and_nothing_else(spark):
             return None
 
     df = spark.createDataFrame(list(enumerate(HARD_JSON)), "i int, t string")
-    got = df.select("t", is_strict_json("t").alias("ok"), normalized_json(F.col("t")).alias("n"),
-                    jvm_accepts(F.col("t")).alias("jvm")).orderBy("i")
+    got = with_normalized_json(with_strict_json(df, F.col("t"), "ok"), F.col("t"), "n").withColumn(
+        "jvm", jvm_accepts(F.col("t"))).orderBy("i")
     for r in got.collect():
         valid = r.t.strip() == "null" or strict(r.t) is not None
         assert r.ok == valid, r
@@ -499,3 +499,15 @@ def test_ingest_of_a_folder(spark, tmp_path):
     again, _ = ingest_catalog(spark, str(tmp_path), str(tmp_path / "columns.csv"), index)
     assert index.read().count() == 3
     assert build_catalog(spark, str(tmp_path), str(tmp_path / "columns.csv"), strict=True).catalog.count() == 4
+
+
+def test_accepted_texts_stay_on_the_jvm(spark):
+    """Python stands above a filter for refused texts, in one branch of two, and nowhere else."""
+    df = spark.createDataFrame([("{}",), ("{",), (None,)], "t string")
+    out = with_normalized_json(df, F.col("t"), "n")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Union") == 1
+    above = plan.split("ArrowEvalPython")[1]
+    assert "Filter" in above.splitlines()[1] + above.splitlines()[2]
+    assert sorted((r.t, r.n) for r in out.where("t IS NOT NULL").collect()) == [("{", None), ("{}", "{}")]
+    assert out.count() == 3

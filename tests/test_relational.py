@@ -419,7 +419,8 @@ def test_join_queries_have_rows_of_one_side_alone(spark):
     assert only("right", "right") > 100 and only("outer", "right") > 100 and only("outer", "left") > 100
 
 
-def test_sparse_one_hot(spark):
+def test_sparse_one_hot(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_FLAGS", 1000)
     df = spark.createDataFrame([(i, None if i % 50 == 0 else f"v{(i * 7) % 3000:05d}") for i in range(5000)], "rank int, v string")
     out = features.one_hot_sparse(df, "v").collect()
     values = sorted({r.v for r in out if r.v is not None})
@@ -483,3 +484,20 @@ def test_inference_is_one_pass_over_all_files(spark, tmp_path):
     assert [r.column_name for r in profile if r.table_name == "bare"] == ["a0", "_c1", "a2"]
     few = jobs_of(spark, lambda: profile_tables(spark, found[:1]).collect())
     assert jobs_of(spark, lambda: profile_tables(spark, found).collect()) <= few
+
+
+def test_quarantine_keeps_each_row_once(spark, tmp_path):
+    from loomwright.sources.tables import read_with_quarantine
+
+    (tmp_path / "a.csv").write_text('k,v,_own\n1,2.5,x\n2,no,y\n3,1\n4,1,z,more\n,,\n"5",6,"q,r"\n')
+    rows, bad = read_with_quarantine(spark, str(tmp_path / "a.csv"), "k int, v double, _own string")
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted([(1, 2.5, "x"), (5, 6.0, "q,r"), (None, None, None)], key=repr)
+    assert sorted(tuple(r) for r in bad.collect()) == [("2,no,y", "a.csv"), ("3,1", "a.csv"), ("4,1,z,more", "a.csv")]
+
+
+def test_columns_of_any_name_survive(spark):
+    df = spark.createDataFrame([(1, 2, 3, "a"), (1, 1, 4, "b")], "k int, o int, _own int, _rn string")
+    assert [tuple(r) for r in cleaning.deduplicate(df, ["k"], ["o"]).collect()] == [(1, 1, 4, "b")]
+    right = spark.createDataFrame([(1, 9), (2, 8)], "k int, _in_left int")
+    got = join_tables(df, right, ["k"], "outer", "r").collect()
+    assert len(got) == 3 and {r["_in_left"] for r in got} == {9, 8}
