@@ -72,3 +72,35 @@ def test_packing_stage(results):
 
 def test_run(spark, results):
     assert corpus_pipeline.run(spark, SF_DIR).count() == results[-1].count()
+
+
+def staged(spark, docs):
+    """All stages, each on what the one before it returns, written and read again."""
+    from loomwright.storage import stage
+
+    out = [docs]
+    for name, run_stage in corpus_pipeline.STAGES:
+        out.append(stage(run_stage(spark, out[-1], SF_DIR), "pipeline-test"))
+    return out
+
+
+def test_hard_tables(spark):
+    """Nulls in any column, repeated rows, a very long text, clashing names, no rows at all."""
+    from tests.llm.helpers import DOCS, HARD, documents, with_clashes
+
+    prose = lambda seed, n: " ".join(f"w{(i * seed) % 997}x{i}" for i in range(n))
+    good = [(100 + i, prose(i + 3, 80), f"s{i % 3}") for i in range(12)]
+    rows = [*HARD, *good, good[0], (None, prose(50, 90), None), (200, prose(50, 90), "s1"), (300, prose(77, 30_000), "s2"),
+            (301, prose(91, 70) + " token: please go on, pleased", "s2"), (302, prose(92, 70) + " api_key=abc123abc123abc", None)]
+    out = staged(spark, with_clashes(documents(spark, rows)))
+    for frame in out[1:-1]:
+        assert frame.columns == out[0].columns
+    kept = sorted(((r.doc_id, r.text) for r in out[1].collect()), key=repr)
+    assert kept == sorted(((d, t) for d, t, *_ in rows if not measures(t)[5]), key=repr)
+    texts = {r.doc_id: r.text for r in out[3].collect()}
+    assert {100 + i for i in range(12)} | {300, 301, 302} <= set(texts)
+    assert texts[301].endswith("token: [secret] go on, pleased") and texts[302].endswith("api_key=[secret]")
+    check_places(out[4].collect())
+    assert {r.doc_id for r in out[4].select("doc_id").collect()} == set(texts)
+    empty = staged(spark, spark.createDataFrame([], DOCS))
+    assert [f.count() for f in empty] == [0] * 5
