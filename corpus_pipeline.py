@@ -45,6 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table.
+
+    Null and empty texts fail the quality rules and go, as does every text below their limits.
+    A row without an id or host is kept like any other; exact copies end as one document.
+    Further columns pass through all stages but the last. No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
