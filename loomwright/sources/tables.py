@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loomwright.storage import (
-    file_uri, first_line, is_folder, list_folder, path_exists, stage, unused_name,
+    file_uri, first_line, is_folder, list_folder, path_exists, spread, stage, unused_name,
 )
 
 # The cell texts that a dictionary reader takes as missing.
@@ -164,7 +164,8 @@ def profile_tables(
     if multi_line:
         reader = reader.option("multiLine", True).option("escape", '"')
     entry = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.csv)(/[^/]*)?$", 1)
-    rows = reader.csv([path for _, path, _ in found]).select(entry.alias("entry"), *cells)
+    # A file with quoted line breaks is one task to parse; what follows is spread over the cores.
+    rows = spread(reader.csv([path for _, path, _ in found]).select(entry.alias("entry"), *cells))
     listed = spark.createDataFrame(
         [(file_uri(spark, path).rsplit("/", 1)[-1], name, _column_names(header_), header_)
          for name, path, header_ in found],
