@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Headings, line forms and the sentence for no hits.
 FIRST_HEADING = "Relevant Dataset Metadata:\n"
@@ -14,6 +14,33 @@ CATALOG_HITS = 5
 TASK_HITS = 3
 
 
+def indented(metadata: Column) -> Column:
+    """A metadata variant as JSON with one field, and one list item, a line; fields by name.
+
+    Values within an item stay on its line: metadata is flat but for lists.
+    """
+
+    def lines(items: Column, indent: str, ends: str) -> Column:
+        return F.concat(
+            F.lit(f"{ends[0]}\n{indent}  "), F.array_join(items, f",\n{indent}  "), F.lit(f"\n{indent}{ends[1]}")
+        )
+
+    def plain(value: Column) -> Column:
+        return F.coalesce(F.to_json(value), F.lit("null"))
+
+    def text(value: Column) -> Column:
+        items = F.transform(value.try_cast("array<variant>"), plain)
+        return F.when(F.size(items) > 0, lines(items, "  ", "[]")).otherwise(plain(value))
+
+    def line(entry: Column) -> Column:
+        name = F.regexp_extract(F.to_json(F.struct(entry["key"].alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+        return F.struct(entry["key"], F.concat(name, F.lit(": "), text(entry["value"])).alias("line"))
+
+    fields = F.array_sort(F.transform(F.map_entries(metadata.try_cast("map<string,variant>")), line))
+    shown = lines(F.transform(fields, lambda f: f["line"]), "", "{}")
+    return F.when(F.size(fields) > 0, shown).otherwise(F.to_json(metadata))
+
+
 def assemble_context(requests: DataFrame, catalog_hits: DataFrame, task_hits: DataFrame) -> DataFrame:
     """(query_id, context) for each request.
 

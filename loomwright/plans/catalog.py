@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from loomwright.functions.names import normalize_column_name, strip_blank
 from loomwright.operators.joins import described_but_absent
 from loomwright.operators.lexical import lexical_topk
+from loomwright.operators.vectors import Embedder, cosine_topk, embed_texts, plain_words
 from loomwright.sources.index_store import DocumentIndex, as_documents, with_variant_metadata
 from loomwright.sources.tables import discover_csv_tables, infer_columns, read_dictionary, table_names
 from loomwright.storage import stage, stage_counted
@@ -87,14 +88,17 @@ def dictionary_entries(
     )
 
 
-def enrich_columns(columns: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
+def enrich_columns(
+    columns: DataFrame, entries: DataFrame, strict: bool = False, embedder: Embedder | None = None
+) -> DataFrame:
     """Catalog columns with description and flags from the dictionary.
 
     An entry of the same table and normalized name is joined directly. Only columns
     without one are searched by similarity; they take the description of the nearest
     entry, but no flags. ``strict`` is the literal rule: the three nearest entries are
     searched for every column, an exact one among them wins, else the nearest, and
-    its flags come along.
+    its flags come along. Similarity is that of words, or with an embedder the cosine
+    of the vectors it makes.
 
     Adds description, is_target, is_id, matched ('exact', 'similar' or null).
     """
@@ -111,7 +115,7 @@ def enrich_columns(columns: DataFrame, entries: DataFrame, strict: bool = False)
         .agg(best.alias("exact"))
     )
     if strict:
-        return _enrich_by_search(columns, distinct_entries, ENRICHMENT_HITS, flags=True)
+        return _enrich_by_search(columns, distinct_entries, ENRICHMENT_HITS, True, embedder)
     joined = stage(columns.join(exact, key, "left"), "columns")
     direct = joined.where("exact is not null").select(
         *columns.columns,
@@ -121,10 +125,29 @@ def enrich_columns(columns: DataFrame, entries: DataFrame, strict: bool = False)
         F.lit("exact").alias("matched"),
     )
     rest = joined.where("exact is null").select(*columns.columns)
-    return direct.unionByName(_enrich_by_search(rest, distinct_entries, 1, flags=False))
+    return direct.unionByName(_enrich_by_search(rest, distinct_entries, 1, False, embedder))
+
+
+def _nearest_entries(
+    asked: DataFrame, entries: DataFrame, k: int, embedder: Embedder | None
+) -> DataFrame:
+    docs = entries.select(F.col("id").alias("doc_id"), "entry_text")
+    if embedder is None:
+        return lexical_topk(asked, docs, k, doc_text="entry_text")
+    # Both sides are read more than once by the search: written, so that no text is embedded twice.
+    vectors = [
+        stage(embed_texts(df, text, lambda: embedder, prepare=plain_words).drop(text), name)
+        for df, text, name in (
+            (asked.select("query_id", "text"), "text", "asked-vectors"),
+            (docs, "entry_text", "entry-vectors"),
+        )
+    ]
+    return cosine_topk(*vectors, k)
 
 
-def _enrich_by_search(columns: DataFrame, entries: DataFrame, k: int, flags: bool) -> DataFrame:
+def _enrich_by_search(
+    columns: DataFrame, entries: DataFrame, k: int, flags: bool, embedder: Embedder | None = None
+) -> DataFrame:
     asked = columns.select("table_name", "column_name", "normalized_column_name").distinct().select(
         "*",
         F.sha2(F.to_json(F.struct("table_name", "column_name")), 256).alias("query_id"),
@@ -132,10 +155,7 @@ def _enrich_by_search(columns: DataFrame, entries: DataFrame, k: int, flags: boo
             "description for table ", F.col("table_name"), " column ", F.col("column_name")
         ).alias("text"),
     )
-    hits = lexical_topk(
-        asked, entries.withColumnRenamed("id", "doc_id"), k, doc_text="entry_text"
-    )
-    matches = hits.join(
+    matches = _nearest_entries(asked, entries, k, embedder).join(
         entries.select(
             F.col("id").alias("doc_id"),
             "original_table_name",
@@ -271,7 +291,8 @@ class CatalogIngest:
 
 
 def build_catalog(
-    spark: SparkSession, data_dir: str, dictionary_path: str, strict: bool = False
+    spark: SparkSession, data_dir: str, dictionary_path: str, strict: bool = False,
+    embedder: Embedder | None = None,
 ) -> CatalogIngest:
     """Catalog of a folder of CSV tables; dictionary entries are never written to an index.
 
@@ -280,7 +301,7 @@ def build_catalog(
     found = discover_csv_tables(spark, data_dir, dictionary_path)
     columns = stage(infer_columns(spark, found), "profile")
     entries = dictionary_entries(read_dictionary(spark, dictionary_path))
-    catalog, n_columns = stage_counted(enrich_columns(columns, entries, strict), "catalog")
+    catalog, n_columns = stage_counted(enrich_columns(columns, entries, strict, embedder), "catalog")
     merged, n_documents = stage_counted(global_columns(catalog), "merged-columns")
     missing, n_missing = stage_counted(missing_described(entries, columns), "missing-columns")
     return CatalogIngest(
@@ -306,8 +327,12 @@ def ingest_catalog(
     dictionary_path: str,
     index: DocumentIndex,
     strict: bool = False,
+    embedder: Embedder | None = None,
 ) -> tuple[CatalogIngest, dict[str, int]]:
-    """Build the catalog, upsert its merged columns into the index, report counts."""
-    built = build_catalog(spark, data_dir, dictionary_path, strict)
-    index.upsert(global_documents(built.global_columns))
+    """Build the catalog, upsert its merged columns into the index, report counts.
+
+    An embedder ranks the dictionary entries and makes the vectors of the index.
+    """
+    built = build_catalog(spark, data_dir, dictionary_path, strict, embedder)
+    index.upsert(global_documents(built.global_columns), embedder=embedder)
     return built, dict(built.counts)

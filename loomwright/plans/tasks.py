@@ -82,15 +82,17 @@ def task_id(spec: Column, request: Column) -> Column:
 
 
 def task_documents(
-    df: DataFrame, spec_col: str = "spec", request_col: str = "request", feedback_col: str | None = None
+    df: DataFrame, spec_col: str = "spec", request_col: str = "request",
+    feedback_col: str | None = None, id_col: str | None = None,
 ) -> DataFrame:
+    """Specs as documents, with the caller's ids or those of their content."""
     spec = F.col(spec_col)
     feedback = F.col(feedback_col) if feedback_col else None
     docs = as_documents(
         df,
         render_task(spec),
         task_metadata(spec, F.col(request_col), feedback),
-        task_id(spec, F.col(request_col)),
+        F.col(id_col) if id_col else task_id(spec, F.col(request_col)),
     )
     return docs
 

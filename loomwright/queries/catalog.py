@@ -7,12 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, functions as F
 
 from loomwright.functions.names import normalize_column_name
+from loomwright.operators.vectors import hashing_embedder
 from loomwright.plans.catalog import (
     dictionary_entries, enrich_columns, global_columns, ingest_catalog, missing_described,
     nested_catalog,
 )
 from loomwright.queries.base import query, table
-from loomwright.queries.retrieval import lexical_sql
+from loomwright.queries.retrieval import embedded_sql, lexical_sql
 from loomwright.sources.index_store import DocumentIndex
 from loomwright.sources.tables import (
     blank_na_tokens, discover_csv_tables, profile_tables, table_names,
@@ -195,9 +196,8 @@ _ASKED = """(SELECT *, 'description for table ' || table_name || ' column ' || c
 _UNIQUE_ENTRIES = """unique_entries AS (SELECT DISTINCT id AS doc_id, entry_text AS text, * FROM entries)"""
 
 
-@query(
-    "catalog_enrich",
-    f"""
+def _enriched_sql(ranked: str) -> str:
+    return f"""
     WITH {_ENTRIES_SQL}, {_COLUMNS_SQL}, {_UNIQUE_ENTRIES},
     best AS (
       SELECT * FROM (SELECT *, row_number() OVER (
@@ -208,7 +208,7 @@ _UNIQUE_ENTRIES = """unique_entries AS (SELECT DISTINCT id AS doc_id, entry_text
       FROM columns_in c LEFT JOIN best b
         ON c.table_name = b.original_table_name AND c.norm = b.normalized_column_name),
     rest AS {_ASKED.format("(SELECT table_name, column_name, data_type, norm FROM exact WHERE doc_id IS NULL)")},
-    {lexical_sql("rest", "unique_entries", 1, "hits")}
+    {ranked}
     SELECT table_name, column_name, data_type, norm AS normalized_column_name,
            description_text AS description, is_target, is_id, 'exact' AS matched
     FROM exact WHERE doc_id IS NOT NULL
@@ -220,14 +220,24 @@ _UNIQUE_ENTRIES = """unique_entries AS (SELECT DISTINCT id AS doc_id, entry_text
                     AND e.original_table_name = r.table_name, false),
            CASE WHEN e.doc_id IS NOT NULL THEN 'similar' END
     FROM rest r LEFT JOIN hits h USING (query_id) LEFT JOIN unique_entries e ON h.doc_id = e.doc_id
-    """,
-)
+    """
+
+
+@query("catalog_enrich", _enriched_sql(lexical_sql("rest", "unique_entries", 1, "hits")))
 def catalog_enrich(spark, sf_dir):
     return enrich_columns(
         _columns(spark, sf_dir), dictionary_entries(_dictionary(spark, sf_dir))
     )
 
 
+@query("catalog_enrich_embedded", _enriched_sql(embedded_sql("rest", "unique_entries", 1, "hits")))
+def catalog_enrich_embedded(spark, sf_dir):
+    return enrich_columns(
+        _columns(spark, sf_dir), dictionary_entries(_dictionary(spark, sf_dir)),
+        embedder=hashing_embedder(64),
+    )
+
+
 @query(
     "catalog_enrich_strict",
     f"""
@@ -262,10 +272,8 @@ _DESCRIBED = """CASE p_type WHEN 'STANDARD' THEN '' WHEN 'PROMO' THEN 'promotion
 _FLAGGED = "p_size = 50 AND p_type = 'PROMO'"
 
 
-@query(
-    "catalog_global",
-    f"""
-    WITH cat AS (
+GLOBAL_SQL = f"""
+    cat AS (
       SELECT {_TABLE} AS t, {_COLUMN} AS c, {_NORM.format(_COLUMN)} AS norm, {_TYPE} AS ty,
              {_DESCRIBED} AS d, {_FLAGGED} AS target, p_size = 1 AS ident FROM part),
     head AS (
@@ -277,23 +285,29 @@ _FLAGGED = "p_size = 50 AND p_type = 'PROMO'"
     merged AS (
       SELECT norm, list_reduce(list(d ORDER BY place, d),
                lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || ' | ' || x END) AS description
-      FROM texts GROUP BY 1)
-    SELECT norm AS normalized_column_name, column_name, types AS data_types, tables,
-           coalesce(description, '') AS description, is_target, is_id,
-           'dataset_metadata_global_semantic_enriched' AS source,
-           'Column: ' || column_name || ', Data Type(s): ' || types || ', Description: '
-             || coalesce(description, '') || '. Present in tables: ' || tables || '.' AS entry_text,
-           sha256('global-col-meta-' || norm || '-' || tables || '-' || types || '-'
-             || coalesce(description, '')) AS id
-    FROM head LEFT JOIN merged USING (norm)
-    """,
-)
-def catalog_global(spark, sf_dir):
+      FROM texts GROUP BY 1),
+    global_columns AS (
+      SELECT norm AS normalized_column_name, column_name, types AS data_types, tables,
+             coalesce(description, '') AS description, is_target, is_id,
+             'dataset_metadata_global_semantic_enriched' AS source,
+             'Column: ' || column_name || ', Data Type(s): ' || types || ', Description: '
+               || coalesce(description, '') || '. Present in tables: ' || tables || '.' AS entry_text,
+             sha256('global-col-meta-' || norm || '-' || tables || '-' || types || '-'
+               || coalesce(description, '')) AS id
+      FROM head LEFT JOIN merged USING (norm))"""
+
+
+def merged_catalog(spark, sf_dir) -> DataFrame:
     catalog = table(spark, sf_dir, "part").selectExpr(
         f"{_TABLE} table_name", f"{_COLUMN} column_name", f"{_TYPE} data_type",
         f"{_DESCRIBED} description", f"{_FLAGGED} is_target", "p_size = 1 is_id",
     ).withColumn("normalized_column_name", normalize_column_name(F.col("column_name")))
-    return global_columns(catalog).withColumns(
+    return global_columns(catalog)
+
+
+@query("catalog_global", f"WITH {GLOBAL_SQL} SELECT * FROM global_columns")
+def catalog_global(spark, sf_dir):
+    return merged_catalog(spark, sf_dir).withColumns(
         {
             "data_types": F.array_join("data_type", ", "),
             "tables": F.array_join("tables_present_in", ", "),

@@ -331,7 +331,7 @@ def spec_correct(spark, sf_dir):
 # ---- approved specs as documents ----
 
 
-def _approved(spark, sf_dir, payload: str = _SPEC) -> DataFrame:
+def approved_specs(spark, sf_dir, payload: str = _SPEC) -> DataFrame:
     specs = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey spec_id", f"{payload} payload", f"'request ' || {_ID} request",
         "CASE WHEN o_custkey % 2 = 0 THEN array(o_orderpriority, o_orderstatus) END feedback",
@@ -339,26 +339,26 @@ def _approved(spark, sf_dir, payload: str = _SPEC) -> DataFrame:
     return accepted(stage(parse_specs(specs), "specs")).select("spec_id", "spec", "request", "feedback")
 
 
-_ACCEPTED = f"""
+ACCEPTED_SQL = f"""
     approved AS (SELECT o_orderkey AS spec_id, {_ID} AS k, * FROM orders WHERE NOT (
       (o_orderpriority = '5-LOW' AND o_orderstatus = 'F') OR o_orderpriority = '4-NOT SPECIFIED'
       OR (o_orderpriority IN ('3-MEDIUM', '2-HIGH') AND o_orderstatus = 'O')))"""
-_RENDERED = """'Approved ETL Pipeline: job ' || k || '. Main Goal: goal ' || o_orderstatus
+RENDERED_SQL = """'Approved ETL Pipeline: job ' || k || '. Main Goal: goal ' || o_orderstatus
     || '. Initial Tables: application_train, bureau. '
     || CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Scoring Model: m' || k
        || ', Objective: o, Target: TARGET. Features: A, C.' END"""
 
 
-@query("task_render", f"WITH {_ACCEPTED} SELECT spec_id, {_RENDERED} AS text FROM approved")
+@query("task_render", f"WITH {ACCEPTED_SQL} SELECT spec_id, {RENDERED_SQL} AS text FROM approved")
 def task_render(spark, sf_dir):
-    return _approved(spark, sf_dir).select("spec_id", render_task(F.col("spec")).alias("text"))
+    return approved_specs(spark, sf_dir).select("spec_id", render_task(F.col("spec")).alias("text"))
 
 
 @query(
     "task_metadata",
     f"""
-    WITH {_ACCEPTED}
-    SELECT {_RENDERED} AS text, 'approved_etl_task' AS source, 'job ' || k AS pipeline_name,
+    WITH {ACCEPTED_SQL}
+    SELECT {RENDERED_SQL} AS text, 'approved_etl_task' AS source, 'job ' || k AS pipeline_name,
            'goal ' || o_orderstatus AS main_goal, 'application_train,bureau' AS initial_tables,
            'application_train JOIN bureau ON SK_ID_CURR' AS joins, 'imputation' AS cleaning,
            CASE WHEN o_orderstatus <> 'P' THEN 'm' || k END AS scoring_model_name,
@@ -369,7 +369,7 @@ def task_render(spark, sf_dir):
     """,
 )
 def task_metadata(spark, sf_dir):
-    docs = task_documents(_approved(spark, sf_dir), feedback_col="feedback")
+    docs = task_documents(approved_specs(spark, sf_dir), feedback_col="feedback")
     return docs.select(
         F.col("text_content").alias("text"),
         "metadata.source",
@@ -392,13 +392,13 @@ _SHARED_ID = "CAST(o_orderkey % 50 AS STRING)"
 @query(
     "task_index",
     f"""
-    WITH {_ACCEPTED.replace(_ID + " AS k", _SHARED_ID + " AS k")}
-    SELECT {_RENDERED} AS text, 'approved_etl_task' AS source, 'request ' || spec_id AS request FROM approved
+    WITH {ACCEPTED_SQL.replace(_ID + " AS k", _SHARED_ID + " AS k")}
+    SELECT {RENDERED_SQL} AS text, 'approved_etl_task' AS source, 'request ' || spec_id AS request FROM approved
     """,
 )
 def task_index(spark, sf_dir):
     index = DocumentIndex(spark, scratch_path(spark, "tasks"))
-    approved = _approved(spark, sf_dir, _SPEC.replace(_ID, _SHARED_ID))
+    approved = approved_specs(spark, sf_dir, _SPEC.replace(_ID, _SHARED_ID))
     for _ in range(2):  # content ids: indexing the same specs again adds nothing
         index_tasks(index, approved)
     return index.read().select(

@@ -241,6 +241,27 @@ def lexical_sql(queries: str, docs: str, k: int, name: str) -> str:
     {name} AS (SELECT * FROM {name}_ranked WHERE rank <= {k})"""
 
 
+def embedded_sql(queries: str, docs: str, k: int, name: str) -> str:
+    """CTEs that rank ``docs`` (doc_id, text) for ``queries`` (query_id, text) by the cosine
+    of hashed word counts."""
+
+    def side(source: str, key: str, at: str) -> str:
+        return f"""
+    {at}_w AS (SELECT {key}, unnest({_WORDS_SQL.format("text")}) AS word FROM {source}),
+    {at}_n AS (SELECT {key}, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 64 AS slot,
+                      CAST(count(*) AS DOUBLE) AS c FROM {at}_w GROUP BY ALL),
+    {at}_s AS (SELECT *, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS f FROM {at}_n),
+    {at} AS (SELECT *, sqrt(sum(f * f) OVER (PARTITION BY {key})) AS norm FROM {at}_s),"""
+
+    return side(queries, "query_id", f"{name}_q") + side(docs, "doc_id", f"{name}_d") + f"""
+    {name}_scored AS (
+      SELECT query_id, doc_id, round(sum(q.f * d.f) / any_value(q.norm) / any_value(d.norm), 9) AS score
+      FROM {name}_q q JOIN {name}_d d USING (slot) GROUP BY ALL),
+    {name}_ranked AS (SELECT *, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {name}_scored),
+    {name} AS (SELECT * FROM {name}_ranked WHERE rank <= {k})"""
+
+
 _REQUESTS = "(SELECT item_id AS query_id, text FROM benchmark)"
 
 

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,15 +9,18 @@ from loomwright.functions.names import (
     file_stem, normalize_column_name, safe_output_name, strip_blank, table_name_from_path,
 )
 from loomwright.functions.text import unwrap_script, with_payload, without_fences
+from loomwright.operators.context import NO_CONTEXT
+from loomwright.operators.vectors import hashing_embedder
 from loomwright.plans.catalog import (
     build_catalog, dictionary_entries, enrich_columns, global_columns, ingest_catalog,
     nested_catalog,
 )
+from loomwright.plans.context import request_context
 from loomwright.plans.reviews import classify_reviews, last_message, run_outcomes
 from loomwright.plans.spec import accepted, parse_specs, quarantined, repair_wrapped
 from loomwright.plans.tasks import index_tasks, render_task, task_documents
 from loomwright.plans.validate import suggest_tables, validate_specs, validation_report
-from loomwright.sources.index_store import DocumentIndex
+from loomwright.sources.index_store import DocumentIndex, with_variant_metadata
 from loomwright.storage import scratch_path
 
 
@@ -457,6 +461,44 @@ def test_enrichment_prefers_exact_matches(spark):
     assert {(r.description, r.is_target, r.matched) for r in none} == {("", False, None)}
 
 
+def test_enrichment_by_vectors(spark):
+    cols = columns(spark, [("bureau", "AMT", "D"), ("other", "TARGET", "I")])
+
+    def embed(texts):  # a word more than "target" turns the vector away
+        return np.array([[("target" in t.split()), 0.1 * ("amt" in t.split()), 0.01] for t in texts])
+
+    for strict in (False, True):
+        rows = enrich_columns(cols, entries(spark), strict, embed).collect()
+        got = {r.column_name: (r.description, r.matched) for r in rows}
+        amount = "amount of credit" if strict else "amount"  # equal vectors go by id
+        assert got == {"AMT": (amount, "exact"), "TARGET": ("the target", "similar")}
+    none = enrich_columns(cols, entries(spark).limit(0), embedder=embed).collect()
+    assert {(r.description, r.is_target, r.matched) for r in none} == {("", False, None)}
+
+
+def test_context_of_requests_over_both_indexes(spark, tmp_path):
+    embed = hashing_embedder(64)
+    requests = spark.createDataFrame(
+        [(1, "sum the amount"), (2, "predict the default")], "query_id long, text string")
+    columns_index = DocumentIndex(spark, f"{tmp_path}/columns")
+    tasks = DocumentIndex(spark, f"{tmp_path}/tasks")
+    empty = request_context(requests, columns_index, tasks, embed).collect()
+    assert {r.query_id: r.context for r in empty} == {1: NO_CONTEXT, 2: NO_CONTEXT}
+    docs = spark.sql("""SELECT * FROM VALUES
+        ('a', 'amount', named_struct('source', 's', 'tables', array('t "1"', 'u'), 'none', CAST(array() AS array<string>), 'is_id', false)),
+        ('b', 'default', named_struct('source', null, 'tables', CAST(array() AS array<string>), 'none', CAST(null AS array<string>), 'is_id', true))
+        AS t(id, text_content, metadata)""")
+    columns_index.upsert(with_variant_metadata(docs), embedder=embed)
+    got = {r.query_id: r.context for r in request_context(
+        requests, columns_index, tasks, embed, catalog_hits=1).collect()}
+    first = {"is_id": False, "none": [], "source": "s", "tables": ['t "1"', "u"]}
+    second = {"is_id": True, "none": None, "source": None, "tables": []}
+    for number, text, meta in ((1, "amount", first), (2, "default", second)):
+        assert got[number] == (
+            f"Relevant Dataset Metadata:\n  - Document 1 (Dataset): '{text}'\n"
+            f"    Metadata: {json.dumps(meta, indent=2)}\n")
+
+
 def test_global_merge(spark):
     rows = [
         ("t2", "id", "ID", "I", "a key", False, True), ("t1", "ID", "ID", "L", "the key", False, False),
