@@ -7,10 +7,14 @@ a row has the same segmentation in every run and on every worker.
 
 No piece has a word mark inside, so the lattice falls apart at words. Forward weights are
 computed once per distinct word of a chunk, and all words of the chunk are drawn side by side.
+Longer words, as text without blanks has, fall apart at every place that no piece crosses: all
+paths meet there, so the parts are drawn apart with the same result. What is still long is
+walked alone, place by place.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ LITERAL_MARK = 0x110000  # a MARK of the text itself: no piece has it, so its by
 NEWLINE = 10
 SHARPNESS = 1.0
 SEED = 7
+CUT = 48  # words of more characters are cut where no piece crosses
+SIDE_BY_SIDE = 192  # parts of more characters are walked alone
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,19 +70,26 @@ class Pieces:
             raise ValueError("the model has no byte pieces, so it cannot be lossless")
         self.longest = max(map(len, texts))
         self.powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.longest, _BASE)])
-        hashes = np.array([((t + np.uint64(1)) * self.powers[: len(t)]).sum(dtype=np.uint64) for t in texts])
+        starts = [np.cumsum((t + np.uint64(1)) * self.powers[: len(t)], dtype=np.uint64) for t in texts]
+        hashes = np.array([s[-1] for s in starts])
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(ids)[order]
         self.weights = -sharpness * np.log(np.array(ranks)[order] + 2)
         self.byte_weight = -sharpness * np.log(size + 2.0)
-        self.present = np.zeros(1 << 20, bool)  # a coarse test before the search
-        self.present[(mix(self.hashes) >> np.uint64(44)).astype(np.int64)] = True
+        # Coarse tests before the search: may it be a piece, may it be the start of one.
+        self.present, self.starts = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.present[self.slots(self.hashes)] = True
+        self.starts[self.slots(np.concatenate(starts))] = True
         self.newline_apart = not any((t == NEWLINE).any() for t in texts)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def slots(hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 where there is no such piece."""
         out = np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.present[(mix(hashes) >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(self.present[slots])
         at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
         out[maybe] = np.where(self.hashes[at] == hashes[maybe], at, -1)
         return out
@@ -86,14 +99,39 @@ class Pieces:
         return b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform(seeds: np.ndarray) -> np.ndarray:
+    return (mix(seeds) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _walk(
+    total: np.ndarray, target: np.ndarray, source: np.ndarray, weight: np.ndarray,
+    heads: np.ndarray, ends: np.ndarray,
+) -> None:
+    """Forward weights of the nodes of one part, in turn; their edges lie between heads and ends."""
+    low, high, start = int(heads[0]), int(ends[-1]), int(target[heads[0]]) - 1
+    sources, weights = (source[low:high] - start).tolist(), weight[low:high].tolist()
+    reached = [0.0]
+    for a, b in zip((heads - low).tolist(), (ends - low).tolist()):
+        values = [reached[sources[e]] + weights[e] for e in range(a, b)]
+        if len(values) == 1:
+            reached.append(values[0])
+            continue
+        most = max(values)
+        reached.append(most + math.log(sum([math.exp(v - most) for v in values])))
+    total[start:start + len(reached)] = reached
+
+
 class Lattices:
-    """Lattices of words laid end to end; node = character place + number of the word."""
+    """Lattices of words laid end to end, cut into parts; node = character place + number of the part.
+
+    Part ``first_part[w]`` and the ``parts[w]`` - 1 after it are those of word w.
+    """
 
     def __init__(self, chars: np.ndarray, first: np.ndarray, last: np.ndarray, pieces: Pieces):
-        word = np.repeat(np.arange(len(first)), last - first)
         left = np.repeat(last, last - first) - np.arange(len(chars))
-        self.start_node = first + np.arange(len(first))
-        self.end_node = last + np.arange(len(first))
         hashes = np.zeros(len(chars), np.uint64)
         at = np.arange(len(chars))
         begin, end, code, weight = [], [], [], []
@@ -102,7 +140,8 @@ class Lattices:
             if not len(at):
                 break
             hashes[at] += (chars[at + size - 1] + np.uint64(1)) * pieces.powers[size - 1]
-            found = pieces.find(hashes[at])
+            slots = pieces.slots(hashes[at])
+            found = pieces.find(hashes[at], slots)
             hit = found >= 0
             begin.append(at[hit])
             end.append(at[hit] + size)
@@ -116,16 +155,26 @@ class Lattices:
                 end.append(none + 1)
                 code.append(-1 - chars[none].astype(np.int64))
                 weight.append(many * pieces.byte_weight)
+            at = at[pieces.starts[slots]]
         begin, end, code, weight = map(np.concatenate, (begin, end, code, weight))
-        depth = end - first[word[begin]]
-        source, target = begin + word[begin], end + word[begin]
+        first, last = self._cut(first, last, begin, end)
+        part = np.repeat(np.arange(len(first)), last - first)
+        self.start_node = first + np.arange(len(first))
+        self.end_node = last + np.arange(len(first))
+        # Those that are walked alone come after all others, by node.
+        alone = last - first > SIDE_BY_SIDE
+        owner = part[begin]
+        depth, source, target = end - first[owner], begin + owner, end + owner
+        if alone.any():
+            depth[alone[owner]] = SIDE_BY_SIDE + 1
         # One key instead of three: by depth, then by node; in a node by the length of the piece.
         order = np.argsort(depth * (len(chars) + len(first) + 1) + target, kind="stable")
         source, target, weight = source[order], target[order], weight[order]
         self.code, self.source = code[order], source
         total = np.zeros(len(chars) + len(first))
         heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        levels = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+        levels = np.searchsorted(
+            depth[order], np.arange(1, min(int(depth.max(initial=0)), SIDE_BY_SIDE) + 2))
         groups = np.searchsorted(heads, levels)
         for a, b, g, h in zip(levels, levels[1:], groups, groups[1:]):
             here = heads[g:h] - a
@@ -134,24 +183,69 @@ class Lattices:
             most = np.maximum.reduceat(value, here)
             total[target[heads[g:h] + 0]] = most + np.log(
                 np.add.reduceat(np.exp(value - np.repeat(most, sizes)), here))
-        share = np.exp(total[source] + weight - total[target])
         ends = np.r_[heads[1:], len(target)]
+        at = np.searchsorted(heads, levels[-1])  # the first node of those walked alone
+        for size in (last - first)[alone].tolist():
+            _walk(total, target, source, weight, heads[at:at + size], ends[at:at + size])
+            at += size
+        share = np.exp(total[source] + weight - total[target])
         run = np.cumsum(share)
+        self.lists: dict[int, tuple] = {}
         self.upto = run - np.repeat(run[heads] - share[heads], ends - heads)
         self.first_edge = np.zeros(len(total), np.int64)
         self.last_edge = np.zeros(len(total), np.int64)
         self.first_edge[target[heads]] = heads
         self.last_edge[target[heads]] = ends - 1
 
-    def draw(self, word: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece codes of one sample of each word in turn, and the number of pieces of each."""
-        node, active = self.end_node[word], np.arange(len(word))
-        stop = self.start_node[word]
+    def _cut(
+        self, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the parts: long words are cut at the places that no piece crosses."""
+        size = last - first
+        self.first_part, self.parts = np.arange(len(first)), np.ones(len(first), np.int64)
+        if not (size > CUT).any():
+            return first, last
+        wide = end - begin > 1
+        n = int(last[-1])
+        crossing = np.cumsum(
+            np.bincount(begin[wide] + 1, minlength=n + 1) - np.bincount(end[wide], minlength=n + 1))[:n]
+        cut = (crossing == 0) & np.repeat(size > CUT, size)
+        cut[first] = True
+        bounds = np.flatnonzero(cut)
+        self.first_part = np.searchsorted(bounds, first)
+        self.parts = np.diff(self.first_part, append=len(bounds))
+        return bounds, np.r_[bounds[1:], n]
+
+    def _draw_alone(self, part: int, key: np.uint64) -> list[int]:
+        """Piece codes of one sample of one part, from its end."""
+        stop, node = int(self.start_node[part]), int(self.end_node[part])
+        u = _uniform(key + np.arange(node - stop, dtype=np.uint64) * _STEP).tolist()
+        if part not in self.lists:  # lists, as single values of arrays are slow to reach
+            low, high = self.first_edge[stop + 1], self.last_edge[node] + 1
+            self.lists[part] = low, *(
+                x.tolist() for x in (self.first_edge[stop:node + 1] - low, self.last_edge[stop:node + 1] - low,
+                                     self.upto[low:high], self.source[low:high] - stop, self.code[low:high]))
+        _, heads, tails, upto, source, code = self.lists[part]
+        out, here = [], node - stop
+        while here:
+            edge, tail, x = heads[here], tails[here], u[len(out)]
+            while edge < tail and x >= upto[edge]:
+                edge += 1
+            out.append(code[edge])
+            here = source[edge]
+        return out
+
+    def draw(self, part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece codes of one sample of each part in turn, and the number of pieces of each."""
+        node = self.end_node[part]
+        stop = self.start_node[part]
+        side = node - stop <= SIDE_BY_SIDE
+        active = np.flatnonzero(side)
+        alone = [(i, self._draw_alone(part[i], keys[i])) for i in np.flatnonzero(~side).tolist()]
         owners, codes, step = [], [], 0
         while len(active):
             here = node[active]
-            bits = mix(keys[active] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
-            u = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = _uniform(keys[active] + np.uint64(step * int(_STEP) % (1 << 64)))
             edge, last_one = self.first_edge[here], self.last_edge[here]
             going = np.arange(len(edge))
             while len(going):  # a node has few incoming pieces, so walking beats a search among all
@@ -162,34 +256,39 @@ class Lattices:
             node[active] = self.source[edge]
             active = active[node[active] != stop[active]]
             step += 1
-        counts = np.zeros(len(word), np.int64)
+        counts = np.zeros(len(part), np.int64)
         for o in owners:
             counts[o] += 1
+        for i, drawn in alone:
+            counts[i] = len(drawn)
         last = np.cumsum(counts) - 1
         out = np.zeros(int(counts.sum()), np.int64)
         for k, (o, c) in enumerate(zip(owners, codes)):
             out[last[o] - k] = c
+        for i, drawn in alone:
+            out[last[i] - len(drawn) + 1:last[i] + 1] = drawn[::-1]
         return out, counts
 
 
 def _with_bytes(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids, with each byte code replaced by the ids of its character's bytes; ids per code."""
-    special = np.unique(codes[codes < 0])
+    special = np.flatnonzero(codes < 0)
     if not len(special):
         return codes, np.ones(len(codes), np.int64)
-    spelled = {}
-    for c in special.tolist():
-        point = -1 - c
-        spelled[c] = pieces.byte_ids[list(chr(MARK if point == LITERAL_MARK else point).encode())]
+    points = -1 - codes[special]
+    points[points == LITERAL_MARK] = MARK
+    size = 1 + sum((points >= t).astype(np.int64) for t in (0x80, 0x800, 0x10000))
     many = np.ones(len(codes), np.int64)
-    for c, ids in spelled.items():
-        many[codes == c] = len(ids)
+    many[special] = size
     first = np.cumsum(many) - many
     out = np.zeros(int(many.sum()), np.int64)
-    out[first[codes >= 0]] = codes[codes >= 0]
-    for c, ids in spelled.items():
-        for k, i in enumerate(ids):
-            out[first[codes == c] + k] = i
+    out[first] = np.maximum(codes, 0)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])  # first bits of a character of so many bytes
+    for k in range(4):  # byte k of each character that has one
+        has = size > k
+        bits = points[has] >> 6 * (size[has] - 1 - k)
+        byte = lead[size[has]] | bits if k == 0 else 0x80 | bits & 0x3F
+        out[first[special[has]] + k] = pieces.byte_ids[byte]
     return out, many
 
 
@@ -229,14 +328,20 @@ def encode_chunk(
     lattices = Lattices(distinct, starts, ends, pieces)
 
     at = np.searchsorted(first, doc_start)
-    per_doc = np.diff(np.r_[at, len(first)])
-    number = np.arange(len(first)) - np.repeat(at, per_doc)
+    part = word
+    if len(lattices.start_node) > len(starts):
+        parts = lattices.parts[word]
+        upto = np.r_[0, np.cumsum(parts)]
+        part = np.repeat(lattices.first_part[word] - upto[:-1], parts) + np.arange(int(upto[-1]))
+        at = upto[at]
+    per_doc = np.diff(np.r_[at, len(part)])
+    number = np.arange(len(part)) - np.repeat(at, per_doc)
     seeds = mix(np.repeat(keys[filled], per_doc) + mix(number.astype(np.uint64) + np.uint64(1)))
-    codes, counts = lattices.draw(word, seeds)
+    codes, counts = lattices.draw(part, seeds)
     ids, many = _with_bytes(codes, pieces)
     upto = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(counts)]]
     out = np.zeros(n, np.int64)
-    out[filled] = np.diff(upto[np.r_[at, len(first)]])
+    out[filled] = np.diff(upto[np.r_[at, len(part)]])
     return ids, out
 
 

@@ -70,6 +70,49 @@ def test_samples_follow_the_lattice(pieces):
         assert abs(drawn[way] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4, (way, p)
 
 
+@pytest.mark.parametrize("text", ["thereqxthere", "zzzz", "aaaaaa"])
+def test_parts_and_walks_follow_the_lattice(pieces, monkeypatch, text):
+    monkeypatch.setattr(seg, "CUT", 2)
+    monkeypatch.setattr(seg, "SIDE_BY_SIDE", 3)
+    expected = all_ways("▁" + text, pieces)
+    n = 20_000
+    data = np.frombuffer(text.encode() * n, np.uint8)
+    keys = seg.mix(np.arange(n, dtype=np.uint64))
+    ids, counts = seg.encode_chunk(data, np.arange(n + 1) * len(text), keys, pieces)
+    cuts = np.r_[0, np.cumsum(counts)]
+    drawn = Counter(tuple(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:]))
+    assert set(drawn) <= set(expected)
+    for way, p in expected.items():
+        assert abs(drawn[way] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 2e-4, (way, p)
+
+
+def test_walked_alone_or_side_by_side(pieces, monkeypatch):
+    text = "a" * 150 + "there" * 40 + "=" * 170 + "漢字" * 60 + "\U0001F600é▁"
+    data = np.frombuffer(text.encode() * 3, np.uint8)
+    offsets, keys = np.arange(4) * (len(data) // 3), np.arange(3, dtype=np.uint64)
+    together = seg.encode_chunk(data, offsets, keys, pieces)
+    monkeypatch.setattr(seg, "SIDE_BY_SIDE", 8)
+    alone = seg.encode_chunk(data, offsets, keys, pieces)
+    assert all(np.array_equal(a, b) for a, b in zip(together, alone))
+    for k in range(3):  # a row's sample does not depend on the rows beside it
+        single = seg.encode_chunk(data[:offsets[1]], offsets[:2], keys[k:k + 1], pieces)[0]
+        first = int(alone[1][:k].sum())
+        assert np.array_equal(single, alone[0][first:first + len(single)])
+        assert pieces.decode(single.tolist()) == text
+
+
+def test_long_texts_without_blanks(pieces):
+    rng = np.random.default_rng(3)
+    texts = ["a" * 100_000, "".join(map(chr, rng.integers(0x4E00, 0x9000, 50_000))),
+             "".join(map(chr, rng.integers(33, 127, 50_000)))]
+    raw = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(r) for r in raw])]
+    ids, counts = seg.encode_chunk(
+        np.frombuffer(b"".join(raw), np.uint8), offsets, np.arange(3, dtype=np.uint64), pieces)
+    upto = np.r_[0, np.cumsum(counts)]
+    assert [pieces.decode(ids[a:b].tolist()) for a, b in zip(upto[:-1], upto[1:])] == texts
+
+
 def test_two_words_are_drawn_apart(pieces):
     n = 5000
     data = np.frombuffer(b"there there" * n, np.uint8)
