@@ -7,8 +7,11 @@ statistics of a joined input is that input written once and read again.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,6 +151,81 @@ def _named(label: str, build, *args):
         raise StepError(f"{label}: {error}") from error
 
 
+@dataclass(frozen=True)
+class _Join:
+    left: str
+    right: str
+    keys: list
+    how: str
+    roll_ups: list[Mapping[str, Any]]
+
+
+def _split(spec: Mapping[str, Any]) -> tuple[list[str], list[_Join], list[Mapping[str, Any]]]:
+    """Tables, joins with the roll-ups of their right tables, and the feature steps that are left."""
+    tables, joins = list(spec.get("initial_tables") or []), []
+    rest = list(spec.get("feature_engineering_steps") or [])
+    for join in spec.get("join_operations") or []:
+        left, right, keys = join["left_table"], join["right_table"], listed(join, "on_columns")
+        tables += [t for t in (left, right) if t not in tables]
+
+        def before(step: Mapping[str, Any]) -> bool:
+            details = step.get("details") or {}
+            return (
+                "aggregation" in step["type"].lower()
+                and details.get("table") == right
+                and (listed(details, "group_by") or []) == keys
+            )
+
+        roll_ups = [step["details"] for step in rest if before(step)]
+        rest = [step for step in rest if not before(step)]
+        joins.append(_Join(left, right, keys, join.get("join_type") or "left", roll_ups))
+    return tables, joins, rest
+
+
+def _recipe(*parts: Any) -> str:
+    """A digest of how a frame is made: equal recipes make equal frames of one source."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
+class _Shared:
+    """Frames that several specs make alike, each written once.
+
+    A frame is shared if what is made of it differs; otherwise it is a part of what its
+    users share, and not written itself.
+    """
+
+    def __init__(self, specs: Mapping[str, Mapping[str, Any]]):
+        users: dict[str, set] = {}
+        for name, spec in specs.items():
+            tables, joins, rest = _split(spec)
+            made = {t: _recipe(t) for t in tables}
+            for join in joins:
+                child = made[join.right]
+                for details in join.roll_ups:
+                    rolled = _recipe("roll-up", child, details)
+                    users.setdefault(child, set()).add(rolled)
+                    child = rolled
+                joined = _recipe("join", made[join.left], child, join.keys, join.how, join.right)
+                for part in (made[join.left], child):
+                    users.setdefault(part, set()).add(joined)
+                made[join.left] = joined
+            read = [*tables[:1], *((s.get("details") or {}).get("table") for s in rest)]
+            for table in read:
+                users.setdefault(made.get(table, ""), set()).add(("spec", name))
+        self._shared = {recipe for recipe, names in users.items() if len(names) > 1}
+        self._frames: dict[str, DataFrame] = {}
+
+    def make(self, recipe: str, build) -> DataFrame:
+        if recipe not in self._shared:
+            return build()
+        if recipe not in self._frames:
+            self._frames[recipe] = stage(build(), "shared")
+        return self._frames[recipe]
+
+    def written(self, recipe: str) -> bool:
+        return recipe in self._frames
+
+
 def run_spec(spec: Mapping[str, Any], source: TableSource) -> DataFrame:
     """The result of a spec as a DataFrame; nothing is written.
 
@@ -156,36 +234,43 @@ def run_spec(spec: Mapping[str, Any], source: TableSource) -> DataFrame:
     a join and groups by that join's keys is applied before the join: child rows are
     rolled up to the parent's key and never fan it out.
     """
-    tables = list(spec.get("initial_tables") or [])
-    joins = list(spec.get("join_operations") or [])
-    clean = list(spec.get("data_cleaning_steps") or [])
-    build = list(spec.get("feature_engineering_steps") or [])
+    return _run(spec, source, _Shared({}))
+
+
+def run_specs(specs: Mapping[str, Mapping[str, Any]], source: TableSource) -> dict[str, DataFrame]:
+    """The result of each spec, as ``run_spec`` gives it; what several specs roll up or join
+    alike is computed once, written, and read by all of them.
+
+    Alike are steps that name the same tables and details; specs that say the same in other
+    words do not share.
+    """
+    shared = _Shared(specs)
+    return {name: _named(name, _run, spec, source, shared) for name, spec in specs.items()}
+
+
+def _run(spec: Mapping[str, Any], source: TableSource, shared: _Shared) -> DataFrame:
     check_format(spec.get("output_format") or "dataframe")
-    for join in joins:
-        tables += [t for t in (join["left_table"], join["right_table"]) if t not in tables]
+    tables, joins, rest = _split(spec)
+    clean = list(spec.get("data_cleaning_steps") or [])
     if not tables:
         raise StepError("extract: the spec names no tables")
     frames = {t: _named(f"extract {t}", source.table, t) for t in tables}
+    made = {t: _recipe(t) for t in tables}
 
-    rolled = set()
     for number, join in enumerate(joins, 1):
-        left, right, keys = join["left_table"], join["right_table"], listed(join, "on_columns")
-        child, how = frames[right], join.get("join_type") or "left"
-        for i, step in enumerate(build):
-            details = step.get("details") or {}
-            before = (
-                "aggregation" in step["type"].lower()
-                and details.get("table") == right
-                and (listed(details, "group_by") or []) == keys
-            )
-            if before and i not in rolled:
-                child = _named(f"roll-up of {right}", _roll_up, child, details)
-                rolled.add(i)
-        frames[left] = _named(f"join {number}", join_tables, frames[left], child, keys, how, right)
+        child, recipe = frames[join.right], made[join.right]
+        for details in join.roll_ups:
+            recipe = _recipe("roll-up", recipe, details)
+            build = partial(_named, f"roll-up of {join.right}", _roll_up, child, details)
+            child = shared.make(recipe, build)
+        made[join.left] = _recipe("join", made[join.left], recipe, join.keys, join.how, join.right)
+        frames[join.left] = shared.make(made[join.left], partial(
+            _named, f"join {number}",
+            join_tables, frames[join.left], child, join.keys, join.how, join.right,
+        ))
 
     df = frames[tables[0]]
-    rest = [s for i, s in enumerate(build) if i not in rolled]
-    if joins and any(map(_has_statistics, clean + rest)):
+    if joins and any(map(_has_statistics, clean + rest)) and not shared.written(made[tables[0]]):
         df = stage(df, "joined")
     chained = 0
     for number, step in enumerate(clean + rest):

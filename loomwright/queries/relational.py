@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwright.operators import aggregates, cleaning, features
 from loomwright.operators.joins import JOIN_TYPES, join_tables
-from loomwright.plans.runner import run_and_save, run_spec
+from loomwright.plans.runner import run_and_save, run_spec, run_specs
 from loomwright.queries.base import query, stable, stable_sql, table
 from loomwright.sources.sinks import save, verify_written
 from loomwright.sources.tables import TableSource, preview, read_csv_table, read_with_quarantine
@@ -114,6 +114,71 @@ def flagship_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: stable(c) for c in _FLAGSHIP_ROUNDED})
 
 
+# The market segments of the customers.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def segment_specs() -> dict[str, dict]:
+    """The flagship spec for the customers of each segment, with its own medians."""
+
+    def of(segment: str) -> dict:
+        table_name = f"customer_{segment.lower()}"
+        joins = [
+            {**join, "left_table": table_name if join["left_table"] == "customer" else join["left_table"]}
+            for join in FLAGSHIP["join_operations"]
+        ]
+        return {**FLAGSHIP, "initial_tables": [table_name, "orders", "lineitem", "events"], "join_operations": joins}
+
+    return {segment: of(segment) for segment in SEGMENTS}
+
+
+def segment_source(spark: SparkSession, sf_dir: str) -> TableSource:
+    whole = flagship_source(spark, sf_dir)
+    frames = {name: whole.table(name) for name in ("orders", "lineitem", "events")}
+    for segment in SEGMENTS:
+        frames[f"customer_{segment.lower()}"] = (
+            table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == segment)
+            .selectExpr("c_custkey custkey", "c_acctbal acctbal"))
+    return TableSource(spark, frames=frames)
+
+
+@query(
+    "specs_by_segment",
+    f"""
+    WITH lines AS (
+      SELECT l_orderkey AS orderkey, sum(l_quantity) AS qsum, avg(l_extendedprice) AS pmean,
+             count(*) FILTER (WHERE l_returnflag = 'R') AS r
+      FROM lineitem GROUP BY 1),
+    rolled AS (
+      SELECT o_custkey AS custkey, avg(o_totalprice) AS pm, max(o_totalprice) AS px, count(o_totalprice) AS pc,
+             avg(qsum) AS qm, avg(pmean) AS em, max(r) AS rx
+      FROM orders LEFT JOIN lines ON o_orderkey = orderkey GROUP BY 1),
+    seen AS (SELECT user_id, avg(value) AS vm, max(value) AS vx FROM events GROUP BY 1),
+    joined AS (
+      SELECT c_mktsegment AS segment, c_custkey AS custkey, c_acctbal AS acctbal, pm, px, pc, qm, em, rx, vm, vx
+      FROM customer LEFT JOIN rolled ON c_custkey = custkey LEFT JOIN seen ON c_custkey = user_id),
+    mid AS (SELECT segment, median(pm) AS pm, median(px) AS px, median(qm) AS qm, median(em) AS em,
+                   median(vm) AS vm, median(vx) AS vx FROM joined GROUP BY 1)
+    SELECT j.segment, j.custkey,
+           {stable_sql("coalesce(j.pm, mid.pm)")} AS totalprice_mean,
+           {stable_sql("coalesce(j.px, mid.px)")} AS totalprice_max,
+           pc AS totalprice_count,
+           {stable_sql("coalesce(j.qm, mid.qm)")} AS line_quantity_sum_mean,
+           {stable_sql("coalesce(j.em, mid.em)")} AS line_extendedprice_mean_mean,
+           {stable_sql("coalesce(j.vm, mid.vm)")} AS event_mean, {stable_sql("coalesce(j.vx, mid.vx)")} AS event_max,
+           rx AS line_returnflag_R_count_max, acctbal
+    FROM joined j JOIN mid ON j.segment = mid.segment
+    """,
+)
+def specs_by_segment(spark, sf_dir):
+    """One spec a segment: all of them read one roll-up of orders and lines, and one of events."""
+    parts = run_specs(segment_specs(), segment_source(spark, sf_dir))
+    first, *others = [df.withColumn("segment", F.lit(segment)) for segment, df in parts.items()]
+    for df in others:
+        first = first.unionByName(df)
+    return first.withColumns({c: stable(c) for c in _FLAGSHIP_ROUNDED})
+
+
 # ---- scans ----
 
 

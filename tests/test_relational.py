@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import aggregates, cleaning, features
 from loomwright.operators.joins import JOIN_TYPES, join_tables
-from loomwright.plans.runner import StepError, run_and_save, run_spec
+from loomwright.plans.runner import StepError, run_and_save, run_spec, run_specs
 from loomwright.sources.sinks import save, verify_written
 from loomwright.sources.tables import (
     TableSource, columns_of, discover_csv_tables, infer_columns, preview, read_csv_table,
@@ -501,3 +501,64 @@ def test_columns_of_any_name_survive(spark):
     right = spark.createDataFrame([(1, 9), (2, 8)], "k int, _in_left int")
     got = join_tables(df, right, ["k"], "outer", "r").collect()
     assert len(got) == 3 and {r["_in_left"] for r in got} == {9, 8}
+
+
+def test_specs_share_what_they_make_alike(spark, monkeypatch):
+    from loomwright.plans import runner
+
+    written = []
+    monkeypatch.setattr(runner, "stage", lambda df, name: written.append(name) or df)
+    frames = {
+        "a": spark.createDataFrame([(1, 5.0), (2, None)], "k int, w double"),
+        "b": spark.createDataFrame([(3, 7.0)], "k int, w double"),
+        "child": spark.createDataFrame([(1, 1.0), (1, 3.0), (3, 4.0)], "k int, v double"),
+    }
+    source = TableSource(spark, frames=frames)
+
+    def spec(table, functions=("mean",), how="left", **more):
+        return {
+            "initial_tables": [table],
+            "join_operations": [{"left_table": table, "right_table": "child", "join_type": how, "on_columns": ["k"]}],
+            "feature_engineering_steps": [{"type": "aggregation", "details": {
+                "table": "child", "group_by": ["k"], "columns": ["v"], "functions": list(functions), "prefix": ""}}],
+            **more,
+        }
+
+    def results(specs):
+        written.clear()
+        together = run_specs(specs, source)
+        count = written.count("shared")
+        for name, one in specs.items():
+            assert sorted(map(repr, together[name].collect())) == sorted(map(repr, run_spec(one, source).collect()))
+        return count
+
+    filled = [{"type": "imputation", "details": {"strategy": "mean", "columns": ["w"]}}]
+    assert results({"one": spec("a")}) == 0
+    assert results({"a": spec("a"), "b": spec("b")}) == 1  # the roll-up of the child
+    assert results({"a": spec("a"), "b": spec("b", functions=("max",))}) == 0  # tables are read, not written
+    # Equal joins: the join is written, and not the roll-up that only it reads.
+    assert results({"a": spec("a"), "again": spec("a", data_cleaning_steps=filled)}) == 1
+    assert results({"a": spec("a"), "again": spec("a"), "b": spec("b", how="inner")}) == 2
+    with pytest.raises(StepError, match="bad: join 1"):
+        run_specs({"a": spec("a"), "bad": spec("b", how="sideways")}, source)
+
+
+def test_segment_specs_scan_lines_once(spark, monkeypatch):
+    from pathlib import Path
+
+    from loomwright.plans import runner
+    from loomwright.queries.relational import segment_source, segment_specs
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not Path(sf_dir).exists():
+        pytest.skip("no test tables here")
+    scans, kept = [], runner.stage
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey"))
+        return kept(df, name)
+
+    monkeypatch.setattr(runner, "stage", counted)
+    parts = run_specs(segment_specs(), segment_source(spark, sf_dir))
+    rest = [df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey") for df in parts.values()]
+    assert len(parts) == 5 and sum(n > 0 for n in scans) == 1 and not any(rest)
