@@ -4,10 +4,11 @@ Counting: tasks count the words and word pairs of their texts and send each shar
 one packed row. A shard adds them up, so that counts are exact whatever the input's size.
 Filter: a pair's count c is stored as 1 + floor(log c / log BASE) entries, numbered from 1;
 a reader probes 1, 2, ... until one is missing, which gives the count within a factor of BASE.
-Each shard fills a segment of its own. All segments together have at most ``max_bytes``,
-the bound of what is broadcast. A shard that would need more keeps the levels that do not fit
-in the staged table, and what its segment does not answer is looked up there by a join:
-no pair is left out at any size.
+Each shard fills a segment of its own, with room for all its pairs. Segments that have at most
+``max_bytes`` together are broadcast to the workers. Larger ones stay in the staged table and the
+probes travel: each block of texts sends every shard its distinct pairs, the shard's segment
+answers them with levels, and the answers go back to the block. Both ways probe the same segments,
+so that scores are the same, and the filter answers every pair at any size.
 Words: exact counts, by a broadcast of at most ``max_frequent`` words and a join for the rest.
 """
 
@@ -31,7 +32,9 @@ FIRST_PROBES = 8  # of level 1, which tells seen pairs from unseen ones
 MAX_BYTES = 128 << 20
 MAX_FREQUENT = 1_000_000
 CHARS_PER_SHARD = 8_000_000
+MAX_SHARDS = (1 << 24) - 1
 FLUSH = 2_000_000
+BLOCK_BYTES = 4 << 20  # of text whose distinct pairs travel together
 LAMBDA = 0.6
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the end token, and what precedes the first word
@@ -56,10 +59,25 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tokens, before, places
 
 
+_LOW = np.uint64((1 << 40) - 1)
+_SHIFT = np.uint64(40)
+
+
 def pair_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
+def addresses(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shard (24 bits) and key (40 bits) of each pair; sorted addresses are sorted by shard."""
+    return ((hashes >> _SHIFT) % np.uint64(shards)) << _SHIFT | (hashes & _LOW)
+
+
+def cut_by_shard(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted addresses have, and the bounds of each one's part."""
+    shards, first = np.unique(asked >> _SHIFT, return_index=True)
+    return shards.astype(np.int64), np.r_[first, len(asked)]
+
+
 def _sum_by(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if counts is None:
         return np.unique(keys, return_counts=True)
@@ -71,25 +89,26 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
 
 # ---- counting ----
 
-# Words keep 64 bits. Pairs keep 40: the filter is approximate by nature, and in 2^40 values a
-# pair meets another one less often than it meets a false positive.
+# Words keep 64 bits. A pair keeps its shard, which its upper 24 bits choose, and its lower 40 bits
+# there. Shards stay as large as they are when the corpus grows, so that two pairs of one shard share
+# 40 bits about as rarely (10^-6 of a million pairs) in a corpus of any size.
 PACKED = "shard long, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
 def _packed(words, word_counts, pairs, pair_counts, shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one task's counts: words by hash modulo, pairs by their upper bits."""
+    """Rows of one task's counts, one for each shard that has any: words by hash modulo, pairs
+    (sorted) by their addresses."""
     word_shard = (words % np.uint64(shards)).astype(np.int64)
     by_word = np.argsort(word_shard, kind="stable")
-    pair_shard = (pairs % np.uint64(shards)).astype(np.int64)
-    by_pair = np.argsort(pair_shard, kind="stable")
-    at_word = np.searchsorted(word_shard[by_word], np.arange(shards + 1))
-    at_pair = np.searchsorted(pair_shard[by_pair], np.arange(shards + 1))
+    word_shard = word_shard[by_word]
+    pair_shard = (pairs >> _SHIFT).astype(np.int64)
+    present = np.union1d(word_shard, pair_shard)
     words, word_counts = words[by_word], word_counts[by_word].astype(np.int64)
-    pairs, pair_counts = pairs[by_pair], pair_counts[by_pair].astype(np.int64)
+    pair_counts = pair_counts.astype(np.int64)
+    cuts = [np.searchsorted(of, present, side=side) for of in (word_shard, pair_shard) for side in ("left", "right")]
     rows = [
         (s, words[a:b].tobytes(), word_counts[a:b].tobytes(), _pack40(pairs[c:d]), _pack_counts(pair_counts[c:d]))
-        for s, (a, b, c, d) in enumerate(zip(at_word, at_word[1:], at_pair, at_pair[1:]))
-        if b > a or d > c
+        for s, a, b, c, d in zip(present.tolist(), *cuts)
     ]
     if rows:
         yield pa.RecordBatch.from_arrays(
@@ -138,42 +157,21 @@ def _bits(keys: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
     return (first + steps * second) % np.asarray(size, np.uint64)
 
 
-def _room(levels: np.ndarray) -> np.ndarray:
-    """Bits that keys of these levels need, for a segment that is half full."""
-    return (FIRST_PROBES + (levels - 1) * PROBES) / math.log(2)
-
-
-def level_beyond(levels: np.ndarray, max_bits: int) -> int:
-    """The highest level that a segment of ``max_bits`` has no room for; 0 if all fit."""
-    falling = np.sort(levels)[::-1]
-    fits = np.cumsum(_room(falling)) <= max_bits
-    return 0 if fits.all() else int(falling[int(fits.sum())])
-
-
-def fill_segment(keys: np.ndarray, counts: np.ndarray, max_bits: int) -> tuple[np.ndarray, int]:
-    """A segment with all entries, or with those of the most frequent n-grams that fit; how many
-    n-grams it holds."""
+def fill_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A segment with all entries of these keys, half full."""
     levels = levels_of(counts)
-    # Whole levels, so that what stays does not depend on order.
-    stays = levels > level_beyond(levels, max_bits)
-    keys, levels = keys[stays], levels[stays]
-    size = max(64, math.ceil(float(_room(levels).sum()) / 8) * 8)
+    entries = FIRST_PROBES * len(levels) + PROBES * int((levels - 1).sum())
+    size = max(64, math.ceil(entries / math.log(2) / 8) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
         bits[_bits(keys[levels >= level], level, size).ravel().astype(np.int64)] = True
-    return np.packbits(bits), len(keys)
+    return np.packbits(bits)
 
 
 class Filter:
-    """The joined segments. A key's segment is its value modulo their number.
+    """The joined segments. An address's segment is that of its shard."""
 
-    ``beyond`` has the highest level that a segment has no room for, where there is one.
-    """
-
-    def __init__(self, segments: dict[int, bytes], shards: int, beyond: dict[int, int] | None = None):
-        self.beyond = np.zeros(shards, np.int64)
-        for s, level in (beyond or {}).items():
-            self.beyond[s] = level
+    def __init__(self, segments: dict[int, bytes], shards: int):
         sizes = np.array([max(8, len(segments.get(s, b""))) for s in range(shards)], np.int64)
         self.bytes = np.zeros(int(sizes.sum()), np.uint8)
         self.first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.uint64) * np.uint64(8)
@@ -182,11 +180,11 @@ class Filter:
             at = int(self.first[s]) // 8
             self.bytes[at:at + len(raw)] = np.frombuffer(raw, np.uint8)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated membership probes, for all keys at once."""
-        out = np.zeros(len(keys), np.int64)
-        left, level = np.arange(len(keys)), 1
-        shard = (keys % np.uint64(len(self.size))).astype(np.int64)
+    def levels(self, asked: np.ndarray) -> np.ndarray:
+        """Quantised counts by repeated membership probes, for all addresses at once."""
+        out = np.zeros(len(asked), np.int64)
+        left, level = np.arange(len(asked)), 1
+        shard, keys = (asked >> _SHIFT).astype(np.int64), asked & _LOW
         while len(left):
             s = shard[left]
             places = _bits(keys[left], level, self.size[s]) + self.first[s]
@@ -197,29 +195,19 @@ class Filter:
             level += 1
         return out
 
-    def unanswered(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Keys that may be beyond their segment: no key in it has a level as low as theirs."""
-        beyond = self.beyond[(keys % np.uint64(len(self.size))).astype(np.int64)]
-        return (beyond > 0) & (levels <= beyond)
-
 
-COUNTED = (
-    "shard long, words binary, word_counts binary, segment binary, beyond long, "
-    "pairs binary, pair_counts binary"
-)
+COUNTED = "shard long, words binary, word_counts binary, segment binary"
 
 
-def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
-    """Shard rows with exact word counts, a filter segment of pairs and the counts of those
-    pairs that it has no room for; and the number of shards.
+def train(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Shard rows with exact word counts and a filter segment of all pairs; the number of shards.
 
     ``docs`` has text and training (boolean). The shards grow with the characters, so
     that the rows of one stay small; hashes spread evenly, and a frequent word or pair is one
     entry in each task's rows, however often it stands there.
     """
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    shards = max(8, math.ceil(chars / CHARS_PER_SHARD))
-    mask = np.uint64((1 << 40) - 1)
+    shards = min(max(8, math.ceil(chars / CHARS_PER_SHARD)), MAX_SHARDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, held = [], [], 0
@@ -234,7 +222,7 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
         for batch, data, offsets in text_chunks(batches):
             tokens, before, _ = token_hashes(data, offsets)
             words.append(_sum_by(tokens, None))
-            pairs.append(_sum_by(pair_hashes(before, tokens) & mask, None))
+            pairs.append(_sum_by(addresses(pair_hashes(before, tokens), shards), None))
             held += len(pairs[-1][0])
             if held > FLUSH:
                 yield from flush()
@@ -251,17 +239,10 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
             _unpack40(b"".join(packs)),
             np.concatenate([_unpack_counts(c, len(p) // 5) for c, p in
                             zip(group["pair_counts"].to_pylist(), packs)]))
-        levels = levels_of(pair_counts)
-        beyond = level_beyond(levels, max_bytes * 8 // shards)
-        segment, _ = fill_segment(pairs, pair_counts, max_bytes * 8 // shards)
-        late = levels <= beyond
         return pa.table({
             "shard": group["shard"][:1], "words": pa.array([words.tobytes()], pa.binary()),
             "word_counts": pa.array([word_counts.astype(np.int64).tobytes()], pa.binary()),
-            "segment": pa.array([segment.tobytes()], pa.binary()),
-            "beyond": pa.array([beyond], pa.int64()),
-            "pairs": pa.array([_pack40(pairs[late])], pa.binary()),
-            "pair_counts": pa.array([_pack_counts(pair_counts[late])], pa.binary()),
+            "segment": pa.array([fill_segment(pairs, pair_counts).tobytes()], pa.binary()),
         })
 
     training = docs.where("training").select(F.col("text").cast("string"))
@@ -272,10 +253,68 @@ def train(docs: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, int]:
 # ---- scoring ----
 
 SCORED = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-    "score double, rest array<struct<times: bigint, w: bigint, n_w: bigint, v: bigint, n_v: bigint, "
-    "pair: bigint, seen: double>>"
+    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+    "rest array<struct<times: bigint, w: bigint, n_w: bigint, v: bigint, n_v: bigint, seen: double>>"
 )
+BLOCKS = "block long, doc_id array<bigint>, held_out array<boolean>, text array<string>"
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Rows of whole texts, at most BLOCK_BYTES together (or one text). A block's number is that
+    of its first row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
+        for batch, _, _ in text_chunks(batches, limit=BLOCK_BYTES):
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row])] + [
+                    pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(c).cast(k))
+                    for c, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()))],
+                ["block", "doc_id", "held_out", "text"])
+            row += n
+
+    return stage(docs.mapInArrow(pack, BLOCKS), "lm-blocks")
+
+
+def block_rows(block: pa.Table | pa.RecordBatch, at: int = 0) -> pa.RecordBatch:
+    """The texts of a block again, with their ids."""
+    names = ["doc_id", "held_out", "text"]
+    return pa.RecordBatch.from_arrays([block.column(c)[at].values for c in names], names)
+
+
+def routed_levels(blocks: DataFrame, segments: DataFrame, shards: int) -> DataFrame:
+    """Levels of the distinct pairs of each block (block, shard, levels), in the order of their
+    addresses: probes go to the segment of their shard, and only its answers come back.
+
+    A pair travels once from a block, however often it stands there, so that a shard gets no more
+    probes for a hot pair than there are blocks.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                for _, data, offsets in text_chunks(iter([block_rows(batch, at)]), limit=1 << 62):
+                    tokens, before, _ = token_hashes(data, offsets)
+                    asked = np.unique(addresses(pair_hashes(before, tokens), shards))
+                    present, cuts = cut_by_shard(asked)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(present), batch["block"][at].as_py())), pa.array(present),
+                         pa.array([_pack40(asked[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                        ["block", "shard", "keys"])
+
+    def probe(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        keys = asked["keys"].to_pylist()
+        filter_ = Filter({0: raw for raw in segment["segment"].to_pylist()}, 1)
+        levels = np.minimum(filter_.levels(_unpack40(b"".join(keys))), 255).astype(np.uint8)
+        cuts = np.r_[0, np.cumsum([len(k) // 5 for k in keys], dtype=np.int64)]
+        return pa.table({
+            "block": asked["block"], "shard": asked["shard"],
+            "levels": pa.array([levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    asked = blocks.mapInArrow(ask, "block long, shard long, keys binary")
+    return asked.groupBy("shard").cogroup(segments.groupBy("shard")).applyInArrow(
+        probe, "block long, shard long, levels binary")
 
 
 def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_FREQUENT) -> DataFrame:
@@ -283,15 +322,16 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
 
     ``score`` interpolates the pair's relative frequency with the word's: LAMBDA * c(v, w) / c(v)
     + (1 - LAMBDA) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), with exact word counts and a pair count
-    within a factor of sqrt(BASE). Neither bound leaves anything out: words and pairs beyond
-    the broadcasts are ``rest``, which joins look up. Null or empty texts have the end token alone. A row without doc_id is trained on. Without training
+    within a factor of sqrt(BASE). Neither bound leaves anything out or changes a score: segments
+    beyond ``max_bytes`` are probed where they lie, and words beyond ``max_frequent`` are ``rest``,
+    which joins look up. Null or empty texts have the end token alone. A row without doc_id is trained on. Without training
     texts every count is 0. Repeated rows are counted and scored each.
     """
     spark = docs.sparkSession
     docs = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("training", ~held_out(F.col("doc_id")))
-    counted, shards = train(docs, max_bytes)
+    counted, shards = train(docs)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,88 +354,103 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
     keys = frequent["w"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     lexicon = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order]))
-    collected = counted.select("shard", "segment", "beyond").collect()
-    all_pairs = not any(r["beyond"] for r in collected)
-    shared = spark.sparkContext.broadcast(Filter(
-        {r["shard"]: bytes(r["segment"]) for r in collected}, shards,
-        {r["shard"]: r["beyond"] for r in collected}))
-    del collected
     all_known = cut <= 1
     log_total = math.log10(n_train + 0.5 * (n_types + 1)) if n_train else math.log10(0.5)
     total = n_train + 0.5 * (n_types + 1)
-    mask = np.uint64((1 << 40) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored_rows(batch, row, tokens, before, hashes, places, level) -> pa.RecordBatch:
+        """Rows numbered from ``row`` of the texts of ``batch``, given the levels of their pairs."""
         known_keys, known_counts = lexicon.value
-        filter_ = shared.value
+        types, inverse = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(known_keys, types), max(len(known_keys) - 1, 0))
+        found = known_keys[at] == types if len(known_keys) else np.zeros(len(types), bool)
+        counts = np.where(found, known_counts[at], 0) if len(known_keys) else np.zeros(len(types), np.int64)
+        base = np.where(found, np.log10(counts + 0.5), 0.0)[inverse]
+        if all_known:
+            base[~found[inverse]] = math.log10(0.5)
+        n = len(places) - 1
+        starts = places[:-1]
+        end_at = np.searchsorted(types, END)
+
+        def now_and_before(of_types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            now = of_types[inverse]
+            previous = np.empty_like(now)
+            previous[1:] = now[:-1]
+            previous[starts] = of_types[end_at]
+            return now, previous
+
+        now, previous = now_and_before(counts)
+        known_here, known_before = now_and_before(found)
+        seen = count_of(level)
+        ask_word = ~known_here & (not all_known)
+        ask_before = ~known_before & (not all_known) & (level > 0)
+        late = ask_word | ask_before
+        share = np.divide(seen, previous, out=np.zeros_like(seen), where=previous > 0)
+        unigram = np.minimum((now + 0.5) / total, 1.0)
+        p = LAMBDA * np.minimum(share, 1.0) + (1 - LAMBDA) * unigram
+        # What waits for a join, each pair of a text once.
+        which = np.flatnonzero(late)
+        owner = np.searchsorted(places, which, side="right") - 1
+        order = np.lexsort((hashes[which], owner))
+        which, owner = which[order], owner[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (hashes[which[1:]] != hashes[which[:-1]]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(first, append=len(which))
+        which, cuts = which[first], np.searchsorted(owner[first], np.arange(n + 1))
+
+        def asked(values: np.ndarray, ask: np.ndarray) -> pa.Array:
+            return pa.array(values[which].view(np.int64), mask=~ask[which])
+
+        rest = pa.StructArray.from_arrays(
+            [pa.array(times.astype(np.int64)), asked(tokens, ask_word), pa.array(now[which]),
+             asked(before, ask_before), pa.array(previous[which]), pa.array(seen[which])],
+            ["times", "w", "n_w", "v", "n_v", "seen"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(row, row + n)), batch["doc_id"], batch["held_out"],
+                pa.array(np.diff(places)), pa.array(np.add.reduceat(known_here.astype(np.int64), starts)),
+                pa.array(np.add.reduceat(base, starts)),
+                pa.array(np.add.reduceat(np.where(late, 0.0, np.log10(p)), starts)),
+                pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rest),
+            ],
+            ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
+        )
+
+    def probe_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
         for batch, data, offsets in text_chunks(batches):
             tokens, before, places = token_hashes(data, offsets)
-            types, inverse = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(known_keys, types), max(len(known_keys) - 1, 0))
-            found = known_keys[at] == types if len(known_keys) else np.zeros(len(types), bool)
-            counts = np.where(found, known_counts[at], 0) if len(known_keys) else np.zeros(len(types), np.int64)
-            base = np.where(found, np.log10(counts + 0.5), 0.0)[inverse]
-            if all_known:
-                base[~found[inverse]] = math.log10(0.5)
-            n = len(offsets) - 1
-            starts = places[:-1]
-            end_at = np.searchsorted(types, END)
-
-            def now_and_before(of_types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                now = of_types[inverse]
-                previous = np.empty_like(now)
-                previous[1:] = now[:-1]
-                previous[starts] = of_types[end_at]
-                return now, previous
-
-            now, previous = now_and_before(counts)
-            known_here, known_before = now_and_before(found)
             hashes = pair_hashes(before, tokens)
-            level = filter_.levels(hashes & mask)
-            seen = count_of(level)
-            ask_pair = filter_.unanswered(hashes & mask, level)
-            ask_word = ~known_here & (not all_known)
-            ask_before = ~known_before & (not all_known) & (ask_pair | (level > 0))
-            late = ask_pair | ask_word | ask_before
-            share = np.divide(seen, previous, out=np.zeros_like(seen), where=previous > 0)
-            unigram = np.minimum((now + 0.5) / total, 1.0)
-            p = LAMBDA * np.minimum(share, 1.0) + (1 - LAMBDA) * unigram
-            # What waits for a join, each pair of a text once.
-            which = np.flatnonzero(late)
-            owner = np.searchsorted(places, which, side="right") - 1
-            order = np.lexsort((hashes[which], owner))
-            which, owner = which[order], owner[order]
-            new = np.ones(len(which), bool)
-            new[1:] = (hashes[which[1:]] != hashes[which[:-1]]) | (owner[1:] != owner[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(first, append=len(which))
-            which, cuts = which[first], np.searchsorted(owner[first], np.arange(n + 1))
-
-            def asked(values: np.ndarray, ask: np.ndarray) -> pa.Array:
-                return pa.array(values[which].view(np.int64), mask=~ask[which])
-
-            rest = pa.StructArray.from_arrays(
-                [pa.array(times.astype(np.int64)), asked(tokens, ask_word), pa.array(now[which]),
-                 asked(before, ask_before), pa.array(previous[which]), asked(hashes & mask, ask_pair),
-                 pa.array(seen[which])],
-                ["times", "w", "n_w", "v", "n_v", "pair", "seen"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + n)), batch["doc_id"], batch["held_out"],
-                    pa.array(np.diff(places)), pa.array(np.add.reduceat(known_here.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(np.where(late, 0.0, np.log10(p)), starts)),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rest),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
-            )
-            row += n
-
-    scored = stage(
-        docs.select("doc_id", (~F.col("training")).alias("held_out"), "text").mapInArrow(run, SCORED),
-        "lm-scored")
-    shared.unpersist()
+            level = shared.value.levels(addresses(hashes, shards))
+            yield scored_rows(batch, row, tokens, before, hashes, places, level)
+            row += len(batch)
+
+    def take_answers(block: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = block_rows(block.combine_chunks())
+        _, data, offsets = next(text_chunks(iter([batch]), limit=1 << 62))
+        tokens, before, places = token_hashes(data, offsets)
+        hashes = pair_hashes(before, tokens)
+        _, inverse = np.unique(addresses(hashes, shards), return_inverse=True)
+        raw = b"".join(answers.sort_by("shard")["levels"].to_pylist())
+        level = np.frombuffer(raw, np.uint8).astype(np.int64)[inverse]
+        return pa.Table.from_batches(
+            [scored_rows(batch, block["block"][0].as_py(), tokens, before, hashes, places, level)])
+
+    texts = docs.select("doc_id", (~F.col("training")).alias("held_out"), "text")
+    segments = counted.select("shard", "segment")
+    needed = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    if needed <= max_bytes:
+        shared = spark.sparkContext.broadcast(
+            Filter({r["shard"]: bytes(r["segment"]) for r in segments.collect()}, shards))
+        scored = stage(texts.mapInArrow(probe_here, SCORED), "lm-scored")
+        shared.unpersist()
+    else:
+        blocks = blocks_of(texts)
+        answered = routed_levels(blocks, segments, shards)
+        scored = stage(
+            blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(take_answers, SCORED),
+            "lm-scored")
     lexicon.unpersist()
     rest = scored.select("row", F.posexplode("rest").alias("pos", "x")).select("row", "pos", "x.*")
 
@@ -406,31 +461,17 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
         return rest.withColumn("_at", spread_key).join(found, F.col("_at") == F.col("_key"), "left").select(
             *rest.columns, F.when(F.col(key).isNotNull(), F.col(out)).alias(out))
 
-    def unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, counts in zip(batch["pairs"], batch["pair_counts"]):
-                keys = _unpack40(raw.as_py())
-                seen = count_of(levels_of(_unpack_counts(counts.as_py(), len(keys))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(seen)], ["pair", "seen"])
-
     absent = F.lit(None).cast("long")
     if all_known:
         rest = rest.withColumns({"late_w": absent, "late_v": absent})
     else:
         rare = totals.where(F.col("c") < cut)
         rest = looked_up(looked_up(rest, "w", rare, "late_w"), "v", rare, "late_v")
-    if all_pairs:
-        rest = rest.withColumn("late_seen", F.lit(None).cast("double"))
-    else:
-        beyond = counted.select("pairs", "pair_counts").mapInArrow(unpack_pairs, "pair long, seen double")
-        rest = looked_up(rest, "pair", beyond, "late_seen")
     rest = rest.select(
         "row", "times", "w", F.col("late_w").isNotNull().alias("known"),
         F.when(F.col("w").isNull(), F.col("n_w")).otherwise(F.coalesce("late_w", F.lit(0))).alias("c_w"),
-        F.when(F.col("v").isNull(), F.col("n_v")).otherwise(F.coalesce("late_v", F.lit(0))).alias("c_v"),
-        F.when(F.col("pair").isNull(), F.col("seen")).otherwise(F.coalesce("late_seen", F.lit(0.0))).alias("c_vw"))
-    share = F.when(F.col("c_v") > 0, F.least(F.col("c_vw") / F.col("c_v"), F.lit(1.0))).otherwise(0.0)
+        F.when(F.col("v").isNull(), F.col("n_v")).otherwise(F.coalesce("late_v", F.lit(0))).alias("c_v"), "seen")
+    share = F.when(F.col("c_v") > 0, F.least(F.col("seen") / F.col("c_v"), F.lit(1.0))).otherwise(0.0)
     unigram = F.least((F.col("c_w") + F.lit(0.5)) / F.lit(float(total)), F.lit(1.0))
     asks = F.col("w").isNotNull()
     late = rest.groupBy("row").agg(

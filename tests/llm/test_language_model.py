@@ -53,32 +53,45 @@ def test_without_training_texts(spark):
 
 def test_filter_finds_all_and_errs_rarely():
     draw = np.random.default_rng(2)
-    keys = draw.integers(0, 1 << 40, 40_000, dtype=np.uint64)
-    counts = np.minimum(draw.zipf(1.5, len(keys)), 10**6)
     shards = 8
+    keys = lm.addresses(draw.integers(0, 1 << 64, 40_000, dtype=np.uint64), shards)
+    counts = np.minimum(draw.zipf(1.5, len(keys)), 10**6)
     segments = {}
     for s in range(shards):
-        here = keys % np.uint64(shards) == s
-        raw, kept = lm.fill_segment(keys[here], counts[here], 1 << 30)
-        assert kept == here.sum()
-        segments[s] = raw.tobytes()
+        here = keys >> np.uint64(40) == s
+        segments[s] = lm.fill_segment(keys[here] & np.uint64((1 << 40) - 1), counts[here]).tobytes()
     filter_ = lm.Filter(segments, shards)
     levels = filter_.levels(keys)
     assert (levels >= lm.levels_of(counts)).all()  # a stored count is never lost
     assert (levels == lm.levels_of(counts)).mean() > 0.9
     ratio = lm.count_of(lm.levels_of(counts)) / counts
     assert ratio.min() >= lm.BASE**-0.51 and ratio.max() <= lm.BASE**0.51
-    others = draw.integers(1 << 40, 1 << 41, 40_000, dtype=np.uint64)
+    others = lm.addresses(draw.integers(0, 1 << 64, 40_000, dtype=np.uint64), shards)
     assert (filter_.levels(others) > 0).mean() < 1.5 * 2.0**-lm.PROBES
 
 
-def test_a_full_segment_keeps_the_frequent():
+def test_a_segment_answers_alone_as_it_does_among_others():
     keys = lm.mix(np.arange(1, 10_001, dtype=np.uint64))
     counts = np.where(np.arange(10_000) < 500, 1000, 1)
-    raw, kept = lm.fill_segment(keys, counts, 80_000)
-    assert len(raw) * 8 <= 80_000 and kept == 500
-    filter_ = lm.Filter({0: raw.tobytes()}, 1)
-    assert (filter_.levels(keys[:500]) > 0).all()
+    asked = lm.addresses(keys, 5)
+    low = asked & np.uint64((1 << 40) - 1)
+    at = (asked >> np.uint64(40)).astype(int)
+    raw = {s: lm.fill_segment(low[at == s], counts[at == s]).tobytes() for s in range(4)}  # none for the last
+    joined = lm.Filter(raw, 5).levels(asked)
+    for s in range(5):
+        alone = lm.Filter({0: raw[s]} if s in raw else {}, 1).levels(low[at == s])
+        assert (alone == joined[at == s]).all()
+    assert (joined[at < 4] > 0).all() and (joined[at == 4] == 0).all()
+
+
+def test_shards_and_keys_use_the_whole_hash():
+    """Pairs that agree in 40 bits are told apart by their shards; addresses sort by shard."""
+    hashes = np.arange(1 << 12, dtype=np.uint64) << np.uint64(40) | np.uint64(7)
+    for shards in (8, 1000, lm.MAX_SHARDS):
+        asked = np.unique(lm.addresses(hashes, shards))
+        assert len(asked) == min(shards, 1 << 12)
+        present, cuts = lm.cut_by_shard(asked)
+        assert present.tolist() == list(range(len(asked))) and cuts.tolist() == list(range(len(asked) + 1))
 
 
 def test_counts_pack_exactly():
@@ -124,19 +137,51 @@ def interpolated(docs):
     return sorted(((d, len(r) - 1, sum(math.log10(p(v, w)) for v, w in zip(r, r[1:]))) for d, r in runs), key=repr)
 
 
-def test_no_pair_or_word_is_left_out_beyond_the_broadcasts(spark):
+def test_no_pair_or_word_is_left_out_beyond_the_broadcasts(spark, monkeypatch):
     docs = [(i, t) for i, t in enumerate(t for _, t in corpus())]
     want = {d: (n, s) for d, n, s in interpolated(docs)}
-    # No room for any pair: all are looked up, which is exact.
-    for most in (10**6, 5):
-        for r in lm.score(documents(spark, docs), max_bytes=0, max_frequent=most).collect():
-            assert r.n_tokens == want[r.doc_id][0]
-            assert math.isclose(r.score, want[r.doc_id][1], rel_tol=1e-9)
-    # Room for some, for all: apart from false positives the same.
-    for size in (600, 2000, lm.MAX_BYTES):
-        got = {r.doc_id: r.score for r in lm.score(documents(spark, docs), max_bytes=size, max_frequent=5).collect()}
-        off = [abs(got[d] - want[d][1]) / want[d][0] for d in want]
-        assert sum(off) / len(off) < 0.1
+    frame = documents(spark, docs)
+    whole = {r.doc_id: r for r in lm.score(frame).collect()}
+    off = sum(abs(whole[d].score - want[d][1]) for d in want)
+    assert off < 0.01 * sum(n for n, _ in want.values())
+    # Segments probed where they lie, one block or many, words broadcast or joined: the same scores.
+    for block, most in ((lm.BLOCK_BYTES, 10**6), (300, 10**6), (5000, 5), (300, 0)):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lm, "CHARS_PER_SHARD", 1 << 13)
+        got = lm.score(frame, max_bytes=0, max_frequent=most).collect()
+        monkeypatch.undo()
+        assert sorted(r.doc_id for r in got) == sorted(whole)
+        for r in got:
+            assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known)
+            assert math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9)
+            assert abs(r.score - want[r.doc_id][1]) <= 0.05 * r.n_tokens + 3
+    same = lm.score(frame, max_bytes=0).collect()
+    assert all(math.isclose(r.score, whole[r.doc_id].score, rel_tol=1e-9) for r in same)
+
+
+def test_probed_where_they_lie_on_hard_rows(spark):
+    """Null and empty texts, repeated rows, no id, clashing names: as with the broadcast filter."""
+    frame = with_clashes(documents(spark, corpus()))
+    key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.score, 6))
+    want = sorted(key(r) for r in lm.score(frame).collect())
+    got = lm.score(frame, max_bytes=0).collect()
+    assert sorted(map(key, got)) == want
+    assert digest(got) == brute(corpus())
+    assert lm.score(spark.createDataFrame([], DOCS), max_bytes=0).count() == 0
+
+
+def test_what_is_staged_stays_below_the_text(spark):
+    """Blocks keep no pairs, and no token waits for a join when all words are broadcast."""
+    docs = documents(spark, [(i, " ".join(random.Random(i).choices("abcdefghij", k=400))) for i in range(300)])
+    staged = []
+    keep, lm.stage = lm.stage, lambda df, label: staged.append((label, keep(df, label))) or staged[-1][1]
+    try:
+        lm.score(docs, max_bytes=0).count()
+    finally:
+        lm.stage = keep
+    assert [label for label, _ in staged] == ["lm-counts", "lm-blocks", "lm-scored"]
+    assert staged[2][1].selectExpr("sum(size(rest)) as n").first().n == 0
+    assert staged[2][1].selectExpr("sum(n_tokens) as n").first().n == 300 * 401
 
 
 def test_unseen_pairs_are_rarely_scored_as_seen(spark):
@@ -144,10 +189,10 @@ def test_unseen_pairs_are_rarely_scored_as_seen(spark):
     0.01 per token on average at most, beside the quantisation."""
     draw = np.random.default_rng(3)
     keys = draw.integers(0, 1 << 40, 40_000, dtype=np.uint64)
-    raw, _ = lm.fill_segment(keys, np.ones(len(keys), np.int64), 1 << 30)
+    raw = lm.fill_segment(keys, np.ones(len(keys), np.int64))
     filter_ = lm.Filter({0: raw.tobytes()}, 1)
     assert (filter_.levels(keys) > 0).all()
-    assert (filter_.levels(draw.integers(1 << 40, 1 << 41, 40_000, dtype=np.uint64)) > 0).mean() < 0.01
+    assert (filter_.levels(draw.integers(0, 1 << 40, 40_000, dtype=np.uint64)) > 0).mean() < 0.01
     docs = [(i, t) for i, t in enumerate(t for _, t in corpus())]
     want = {d: (n, s) for d, n, s in interpolated(docs)}
     held = [r for r in lm.score(documents(spark, docs)).collect() if r.held_out]
