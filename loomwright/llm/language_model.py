@@ -34,7 +34,7 @@ MAX_FREQUENT = 1_000_000
 CHARS_PER_SHARD = 8_000_000
 MAX_SHARDS = (1 << 24) - 1
 FLUSH = 2_000_000
-BLOCK_BYTES = 4 << 20  # of text whose distinct pairs travel together
+BLOCK_BYTES = 2 << 20  # of text whose distinct pairs travel together
 LAMBDA = 0.6
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the end token, and what precedes the first word
@@ -107,7 +107,7 @@ def _packed(words, word_counts, pairs, pair_counts, shards: int) -> Iterator[pa.
     pair_counts = pair_counts.astype(np.int64)
     cuts = [np.searchsorted(of, present, side=side) for of in (word_shard, pair_shard) for side in ("left", "right")]
     rows = [
-        (s, words[a:b].tobytes(), word_counts[a:b].tobytes(), _pack40(pairs[c:d]), _pack_counts(pair_counts[c:d]))
+        (s, words[a:b].tobytes(), _pack_counts(word_counts[a:b]), _pack40(pairs[c:d]), _pack_counts(pair_counts[c:d]))
         for s, a, b, c, d in zip(present.tolist(), *cuts)
     ]
     if rows:
@@ -231,17 +231,18 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
             yield from flush()
 
     def add_up(group: pa.Table) -> pa.Table:
+        def counts_of(column: str, keys: list[bytes], width: int) -> np.ndarray:
+            return np.concatenate([
+                _unpack_counts(c, len(k) // width) for c, k in zip(group[column].to_pylist(), keys)])
+
+        packs = group["words"].to_pylist()
         words, word_counts = _sum_by(
-            np.frombuffer(b"".join(group["words"].to_pylist()), np.uint64),
-            np.frombuffer(b"".join(group["word_counts"].to_pylist()), np.int64))
+            np.frombuffer(b"".join(packs), np.uint64), counts_of("word_counts", packs, 8))
         packs = group["pairs"].to_pylist()
-        pairs, pair_counts = _sum_by(
-            _unpack40(b"".join(packs)),
-            np.concatenate([_unpack_counts(c, len(p) // 5) for c, p in
-                            zip(group["pair_counts"].to_pylist(), packs)]))
+        pairs, pair_counts = _sum_by(_unpack40(b"".join(packs)), counts_of("pair_counts", packs, 5))
         return pa.table({
             "shard": group["shard"][:1], "words": pa.array([words.tobytes()], pa.binary()),
-            "word_counts": pa.array([word_counts.astype(np.int64).tobytes()], pa.binary()),
+            "word_counts": pa.array([_pack_counts(word_counts)], pa.binary()),
             "segment": pa.array([fill_segment(pairs, pair_counts).tobytes()], pa.binary()),
         })
 
@@ -256,31 +257,28 @@ SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
     "rest array<struct<times: bigint, w: bigint, n_w: bigint, v: bigint, n_v: bigint, seen: double>>"
 )
-BLOCKS = "block long, doc_id array<bigint>, held_out array<boolean>, text array<string>"
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Rows of whole texts, at most BLOCK_BYTES together (or one text). A block's number is that
-    of its first row."""
+    """Rows of whole texts with their ids, at most BLOCK_BYTES of text together (or one text),
+    compressed. A block's number is that of its first row."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
         for batch, _, _ in text_chunks(batches, limit=BLOCK_BYTES):
-            n = len(batch)
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row])] + [
-                    pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(c).cast(k))
-                    for c, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()))],
-                ["block", "doc_id", "held_out", "text"])
-            row += n
+                [pa.array([row]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+            row += len(batch)
 
-    return stage(docs.mapInArrow(pack, BLOCKS), "lm-blocks")
+    return stage(docs.mapInArrow(pack, "block long, texts binary"), "lm-blocks")
 
 
-def block_rows(block: pa.Table | pa.RecordBatch, at: int = 0) -> pa.RecordBatch:
-    """The texts of a block again, with their ids."""
-    names = ["doc_id", "held_out", "text"]
-    return pa.RecordBatch.from_arrays([block.column(c)[at].values for c in names], names)
+def block_texts(raw: pa.Scalar) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The rows of a block, their UTF-8 bytes and offsets."""
+    return next(text_chunks(iter([pa.ipc.open_stream(raw.as_buffer()).read_next_batch()]), limit=1 << 62))
 
 
 def routed_levels(blocks: DataFrame, segments: DataFrame, shards: int) -> DataFrame:
@@ -293,15 +291,15 @@ def routed_levels(blocks: DataFrame, segments: DataFrame, shards: int) -> DataFr
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(len(batch)):
-                for _, data, offsets in text_chunks(iter([block_rows(batch, at)]), limit=1 << 62):
-                    tokens, before, _ = token_hashes(data, offsets)
-                    asked = np.unique(addresses(pair_hashes(before, tokens), shards))
-                    present, cuts = cut_by_shard(asked)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(present), batch["block"][at].as_py())), pa.array(present),
-                         pa.array([_pack40(asked[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                        ["block", "shard", "keys"])
+            for block, raw in zip(batch["block"].to_pylist(), batch["texts"]):
+                _, data, offsets = block_texts(raw)
+                tokens, before, _ = token_hashes(data, offsets)
+                asked = np.unique(addresses(pair_hashes(before, tokens), shards))
+                present, cuts = cut_by_shard(asked)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(present), block)), pa.array(present),
+                     pa.array([_pack40(asked[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                    ["block", "shard", "keys"])
 
     def probe(asked: pa.Table, segment: pa.Table) -> pa.Table:
         keys = asked["keys"].to_pylist()
@@ -336,9 +334,9 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch["words"], batch["word_counts"]):
+                keys = np.frombuffer(words.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(words.as_py(), np.int64)),
-                     pa.array(np.frombuffer(counts.as_py(), np.int64))], ["w", "c"])
+                    [pa.array(keys), pa.array(_unpack_counts(counts.as_py(), len(keys)))], ["w", "c"])
 
     totals = counted.select("words", "word_counts").mapInArrow(unpack, "w long, c long")
     # The frequent words: all above the least count that leaves no more than the bound.
@@ -427,8 +425,7 @@ def score(docs: DataFrame, max_bytes: int = MAX_BYTES, max_frequent: int = MAX_F
             row += len(batch)
 
     def take_answers(block: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = block_rows(block.combine_chunks())
-        _, data, offsets = next(text_chunks(iter([batch]), limit=1 << 62))
+        batch, data, offsets = block_texts(block["texts"][0])
         tokens, before, places = token_hashes(data, offsets)
         hashes = pair_hashes(before, tokens)
         _, inverse = np.unique(addresses(hashes, shards), return_inverse=True)
