@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomwright.functions.merging import merge_rows
 from loomwright.functions.names import normalize_column_name, strip_blank
 from loomwright.operators.joins import described_but_absent
 from loomwright.operators.lexical import lexical_topk
@@ -191,23 +192,13 @@ def _enrich_by_search(
     )
 
 
-def merge_descriptions(ordered: Column) -> Column:
-    """Join distinct texts by ``' | '``, leaving out one that the text so far contains."""
-    return F.aggregate(
-        ordered,
-        F.lit(""),
-        lambda text, more: F.when((more == "") | F.contains(text, more), text)
-        .when(text == "", more)
-        .otherwise(F.concat(text, F.lit(" | "), more)),
-    )
-
-
 def global_columns(catalog: DataFrame) -> DataFrame:
     """One row per normalized name over all tables, with its document text and stable id.
 
     Order is by table, then column. Equal (name, type, table, description) values are
     merged on the map side first: a name that a third of all tables share reaches its
     task as one row per distinct value, which is no more than its result row holds.
+    Names with many descriptions are merged through an index of their windows.
     """
     place = F.struct("table_name", "column_name")
     name = "normalized_column_name"
@@ -224,10 +215,9 @@ def global_columns(catalog: DataFrame) -> DataFrame:
         .agg(F.min(place).alias("place"))
         .groupBy(name)
         .agg(F.sort_array(F.collect_list(F.struct("place", "description"))).alias("texts"))
-        .select(
-            name, merge_descriptions(F.transform("texts", lambda t: t["description"])).alias("description")
-        )
+        .withColumn("texts", F.transform("texts", lambda t: t["description"]))
     )
+    texts = merge_rows(texts, "texts", "description")
     tables = F.array_join("tables_present_in", ", ")
     types = F.array_join("data_type", ", ")
     return (

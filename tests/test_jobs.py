@@ -1,10 +1,12 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions.jsonio import NOT_A_NUMBER, jvm_accepts, with_normalized_json, with_strict_json
+from loomwright.functions.merging import MANY, merge_texts
 from loomwright.functions.names import (
     file_stem, normalize_column_name, safe_output_name, strip_blank, table_name_from_path,
 )
@@ -518,6 +520,54 @@ def test_global_merge(spark):
     assert got["X"].description == ""
 
 
+def merged_one_by_one(texts):
+    out = ""
+    for text in texts:
+        if text and text not in out:
+            out = f"{out} | {text}" if out else text
+    return out
+
+
+def test_merged_texts_are_those_of_the_rule():
+    """Texts within others, across separators, equal, empty, with blanks at their ends."""
+    draw = random.Random(1)
+    for _ in range(3000):
+        texts = ["".join(draw.choices("ab |é", [5, 5, 2, 1, 1], k=draw.randint(0, 6))) for _ in range(draw.randint(0, 12))]
+        assert merge_texts(texts) == merged_one_by_one(texts)
+    assert merge_texts([]) == "" and merge_texts(["", ""]) == ""
+    # Equal windows everywhere, and a text that is as long as all others together.
+    runs = ["a" * draw.randint(1, 300) for _ in range(200)]
+    assert merge_texts(runs) == merged_one_by_one(runs)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(2000)]
+    assert merge_texts([*texts, "".join(texts)]) == merged_one_by_one([*texts, "".join(texts)])
+
+
+def test_many_descriptions_of_one_name(spark):
+    """Beside names of few descriptions, one of 100,000: only the latter goes to Python."""
+    words = F.transform(F.sequence(F.lit(1), (F.col("id") % 3 + 1).cast("int")), lambda i: F.concat(
+        F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(3000)).cast("string")))
+    many = spark.range(100_000).select(
+        F.concat(F.lit("t"), F.lpad("id", 6, "0")).alias("table_name"), F.lit("c").alias("column_name"),
+        F.when(F.col("id") % 100 < 99, "MANY").otherwise(F.concat(F.lit("N"), (F.col("id") % 700).cast("string")))
+        .alias("normalized_column_name"), F.lit("I").alias("data_type"),
+        F.array_join(words, " ").alias("description"), F.lit(False).alias("is_target"), F.lit(False).alias("is_id"))
+    texts = {}
+    for r in many.select("normalized_column_name", "table_name", "description").orderBy("table_name").collect():
+        texts.setdefault(r.normalized_column_name, []).append(r.description)
+    got = {r.normalized_column_name: r.description for r in global_columns(many).collect()}
+    assert set(got) == set(texts) and len(texts["MANY"]) == 99_000
+    for name, ordered in texts.items():
+        few = list(dict.fromkeys(ordered))
+        assert (len(few) > MANY) == (name == "MANY")
+        if name != "MANY":
+            assert got[name] == merged_one_by_one(few)
+    whole, kept = f" | {got['MANY']} | ", set(got["MANY"].split(" | "))
+    assert all(t in whole for t in set(texts["MANY"])) and kept <= set(texts["MANY"])
+    first = list(dict.fromkeys(texts["MANY"]))[:3000]
+    assert got["MANY"].startswith(merged_one_by_one(first))
+
+
 def test_ingest_of_a_folder(spark, tmp_path):
     (tmp_path / "application_train.csv").write_text("SK_ID_CURR,TARGET\n1,0\n")
     (tmp_path / "bureau.csv").write_text("SK_ID_CURR,AMT\n1,2.5\n")
