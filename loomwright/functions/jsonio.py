@@ -38,28 +38,39 @@ def _normalized_rest(text: pd.Series) -> pd.Series:
     return text.map(_normalized, na_action="ignore")
 
 
+# A number that stands behind a tested text; the text itself must not hold its digits.
+_MARK = "730602581397"
+
+
 def jvm_accepts(text: Column) -> Column:
     """True for one JSON value with nothing around it, by the JVM's parser alone.
 
-    The parser stops after a value. In brackets, what follows would be a second element, and as an
-    object's member a second member or an early end, so both forms are tried.
+    The parser stops after a value. So the text is put into a list, before a mark: the mark is the
+    second element just when the text is one value and closes nothing that it has not opened.
+    A text with the mark in it is left to Python.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    inner = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
-    keys = F.size(F.map_keys(F.try_variant_get(inner, "$", "map<string,variant>"))) == 1
-    return F.coalesce(one & keys, F.lit(False))
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_MARK}]")))
+    second = F.try_variant_get(marked, "$[1]", "variant")
+    # Other spellings of the number, or a text of it, are of another type.
+    one = (F.schema_of_variant(second) == "BIGINT") & (F.try_variant_get(marked, "$[1]", "bigint") == int(_MARK))
+    return F.coalesce(~F.contains(text, F.lit(_MARK)) & one, F.lit(False))
+
+
+def readable(text: Column) -> Column:
+    """Whether the JVM can do with a text as it is; a missing one needs no parser."""
+    return text.isNull() | jvm_accepts(text)
 
 
-def with_normalized_json(df: DataFrame, text: Column, out: str) -> DataFrame:
+def with_normalized_json(df: DataFrame, text: Column, out: str, fine: str | None = None) -> DataFrame:
     """Add ``out``: a text the JVM can parse, or null where it is not one JSON value.
 
     Rows whose text the JVM's parser accepts, or that have none, stay on the JVM as they are. Only
     the others go through Python, in a branch of their own: it also takes repeated keys (the last
-    one stands). ``NOT_A_NUMBER`` stands for texts with NaN or infinities.
+    one stands). ``NOT_A_NUMBER`` stands for texts with NaN or infinities. ``fine`` names a written
+    column that tells the rows apart; without it both branches test every text.
     """
-    row = df.select(F.struct("*").alias("row"), text.alias("text")).withColumn(
-        "fine", F.col("text").isNull() | jvm_accepts(F.col("text")))
+    row = df.select(F.struct("*").alias("row"), text.alias("text"),
+                    (F.col(fine) if fine else readable(text)).alias("fine"))
     kept = [F.col("row")[c].alias(c) for c in df.columns if c.lower() != out.lower()]
     accepted = row.where("fine").select(*kept, F.col("text").alias(out))
     return accepted.unionByName(row.where("NOT fine").select(*kept, _normalized_rest("text").alias(out)))

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwright.functions.jsonio import (
-    NOT_A_NUMBER, list_of_members, members, shape, text_of, texts_of, with_normalized_json,
+    NOT_A_NUMBER, list_of_members, members, readable, shape, text_of, texts_of, with_normalized_json,
 )
 from loomwright.operators.joins import JOIN_TYPES
-from loomwright.storage import spread
+from loomwright.storage import spread, stage
 
 JOIN_TYPE = (
     "struct<left_table:string,right_table:string,join_type:string,"
@@ -188,13 +188,17 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
 
     Write the result before taking it apart (``storage.stage``): a filter on the errors
     of an unwritten frame is pushed down and finds them a second time.
+
+    The payloads are written first, with the parser's verdict on each: the rows it accepts and
+    the others then read what was found, and neither makes nor tests a payload again.
     """
     top = {n: F.col(f"_top.{n}") for n in SPEC_KEYS}
     joins, cleaning, building, scoring = (
         F.col(c) for c in ("_joins", "_cleaning", "_building", "_scoring")
     )
+    tested = stage(spread(df).withColumn("_fine", readable(F.col(payload_col))), "payloads")
     opened = (
-        with_normalized_json(spread(df), F.col(payload_col), "_strict")
+        with_normalized_json(tested, F.col(payload_col), "_strict", "_fine")
         .withColumn("_json", F.try_parse_json("_strict"))
         .withColumn("_top", members(F.col("_json"), SPEC_KEYS))
         .withColumns(
@@ -261,7 +265,7 @@ def parse_specs(df: DataFrame, payload_col: str = "payload") -> DataFrame:
             ),
             "spec": F.when(F.size("errors") == 0, spec),
         }
-    ).drop("_strict", "_json", "_top", "_joins", "_cleaning", "_building", "_scoring")
+    ).drop("_fine", "_strict", "_json", "_top", "_joins", "_cleaning", "_building", "_scoring")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -603,3 +603,25 @@ def test_accepted_texts_stay_on_the_jvm(spark):
     assert "Filter" in above.splitlines()[1] + above.splitlines()[2]
     assert sorted((r.t, r.n) for r in out.where("t IS NOT NULL").collect()) == [("{", None), ("{}", "{}")]
     assert out.count() == 3
+
+
+def test_payloads_are_made_and_tested_once(spark):
+    """Both branches of the parser read a written verdict; a verdict takes one look at a text."""
+    df = spark.range(20).selectExpr("id spec_id", "concat('{\"pipeline_name\": \"p', id, '\", \"main_goal\": \"made here\"}') payload")
+    out = parse_specs(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "made here" not in plan and "Range" not in plan
+    assert sorted(r[0] for r in out.select("spec.pipeline_name").collect()) == sorted(f"p{i}" for i in range(20))
+    tested = df.where(jvm_accepts(F.col("payload")))
+    assert tested._jdf.queryExecution().analyzed().toString().count("concat([") == 2  # the mark's two readings
+
+
+def test_texts_with_the_mark_of_the_test(spark):
+    from loomwright.functions import jsonio
+
+    mark = getattr(jsonio, "_MARK", "1")
+    texts = [f"1,{mark}", f"1,{mark}] x", f"1,{mark}.0] x", f'1,"{mark}"] x', f"1,{mark}e0] x", f"[{mark}]", mark, f"1],{mark}", '"a', "1,"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.jvm, r.ok) for r in with_strict_json(df, F.col("t"), "ok").withColumn("jvm", jvm_accepts(F.col("t"))).collect()}
+    assert {t for t, (_, ok) in got.items() if ok} == {f"[{mark}]", mark}
+    assert not any(jvm for jvm, _ in got.values())
