@@ -186,6 +186,33 @@ def suggest_tables(missing: DataFrame, catalog_tables: DataFrame) -> DataFrame:
     )
 
 
+def _judged(looked_up: DataFrame) -> DataFrame:
+    """What the lookups of a spec say together, by rule, place and column.
+
+    Only join keys need the least name and family of a side, which Spark can find by sorting alone.
+    All other rules ask whether anything was found, which a hash aggregate tells without
+    a sort, and most lookups are theirs.
+    """
+    found = F.coalesce("known", F.lit(False))
+    flagged = F.coalesce("is_target", F.lit(False))
+    keys = ("spec_id", "rule", "pos", "column_name")
+    asked = F.when(F.col("rule") == MISSING_TABLE, F.col("table_name")).alias("asked_table")
+    whole = [F.bool_or(found).alias("any_found"), F.bool_or(flagged).alias("any_flagged")]
+    sides = {
+        "no_left": F.when((F.col("side") == "left") & ~found, F.col("table_name")),
+        "no_right": F.when((F.col("side") == "right") & ~found, F.col("table_name")),
+        "left_family": F.when(F.col("side") == "left", F.col("family")),
+        "right_family": F.when(F.col("side") == "right", F.col("family")),
+    }
+    of_keys = looked_up.where(F.col("rule") == MISSING_KEY).groupBy(*keys, asked).agg(
+        *whole, *(F.min(v).alias(name) for name, v in sides.items())
+    )
+    of_others = looked_up.where(F.col("rule") != MISSING_KEY).groupBy(*keys, asked).agg(
+        *whole
+    ).withColumns({name: F.lit(None).cast("string") for name in sides})
+    return of_keys.unionByName(of_others)
+
+
 def validate_specs(specs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(spec_id, rule, subject, detail) findings.
 
@@ -218,20 +245,7 @@ def validate_specs(specs: DataFrame, catalog: DataFrame) -> DataFrame:
     unknown_tables = looked_up.where((F.col("rule") == MISSING_TABLE) & F.col("known").isNull())
     suggestions = suggest_tables(unknown_tables, tables)
 
-    subject_table = F.when(F.col("rule") == MISSING_TABLE, F.col("table_name"))
-    found = F.coalesce("known", F.lit(False))
-    judged = (
-        looked_up.repartition("spec_id")
-        .groupBy("spec_id", "rule", "pos", "column_name", subject_table.alias("asked_table"))
-        .agg(
-            F.bool_or(found).alias("any_found"),
-            F.bool_or(F.coalesce("is_target", F.lit(False))).alias("any_flagged"),
-            F.min(F.when((F.col("side") == "left") & ~found, F.col("table_name"))).alias("no_left"),
-            F.min(F.when((F.col("side") == "right") & ~found, F.col("table_name"))).alias("no_right"),
-            F.min(F.when(F.col("side") == "left", F.col("family"))).alias("left_family"),
-            F.min(F.when(F.col("side") == "right", F.col("family"))).alias("right_family"),
-        )
-    )
+    judged = _judged(looked_up)
     column, key = F.col("column_name"), F.col("rule") == MISSING_KEY
 
     def finding(when: Column, rule: str, subject: Column, detail: Column) -> Column:
