@@ -6,6 +6,8 @@ import csv
 from collections import Counter
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -99,7 +101,7 @@ def _kind_of(cell: Column) -> Column:
         .when(cell.rlike(_REAL), _DOUBLE)
         .when(cell.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & cell.try_cast("date").isNotNull(), _DATE)
         .when(cell.try_cast("timestamp").isNotNull(), _TIMESTAMP)
-        .when(F.lower(cell).isin("true", "false"), _BOOLEAN)
+        .when(F.length(cell).isin(4, 5) & F.lower(cell).isin("true", "false"), _BOOLEAN)
         .otherwise(_TEXT))
 
 
@@ -170,12 +172,14 @@ def profile_tables(
         [(file_uri(spark, path).rsplit("/", 1)[-1], name, _column_names(header_), header_)
          for name, path, header_ in found],
         "entry string, table_name string, names array<string>, header array<string>")
-    is_header = F.forall(
-        F.arrays_zip(F.array(*cells).alias("a"), F.col("header").alias("b")),
-        lambda x: F.nullif(x["a"], F.lit("")).eqNullSafe(F.nullif(x["b"], F.lit(""))))
-    data = rows.join(listed, "entry").where(~is_header)
+    is_header = reduce(and_, (
+        F.nullif(F.col(c), F.lit("")).eqNullSafe(F.nullif(F.get("header", F.lit(i)), F.lit("")))
+        for i, c in enumerate(cells)))
+    # A line per file, which the driver has just read: rows stay in the tasks that parse them, while a
+    # join by file would send all rows of a table to one task.
+    data = rows.join(F.broadcast(listed), "entry").where(~is_header)
     kinds = [F.bit_or(_kind_of(F.col(c))).alias(f"k{i}") for i, c in enumerate(cells)]
-    digits = [F.max(F.when(F.col(c).rlike("^[+-]?[0-9]+$"), F.length(F.regexp_replace(c, "[+-]", "")))).alias(f"d{i}")
+    digits = [F.max(F.when(F.col(c).rlike("^[+-]?[0-9]+$"), F.length(c) - F.substr(F.col(c), F.lit(1), F.lit(1)).isin("+", "-").cast("int"))).alias(f"d{i}")
               for i, c in enumerate(cells)]
     merged = data.groupBy("table_name").agg(F.count("*").alias("n_rows"), *kinds, *digits)
     # Tables without a data row have no group of their own.

@@ -562,3 +562,16 @@ def test_segment_specs_scan_lines_once(spark, monkeypatch):
     parts = run_specs(segment_specs(), segment_source(spark, sf_dir))
     rest = [df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey") for df in parts.values()]
     assert len(parts) == 5 and sum(n > 0 for n in scans) == 1 and not any(rest)
+
+
+def test_rows_of_a_table_are_not_sent_to_one_task_for_inference(spark, tmp_path):
+    from loomwright.sources.tables import profile_tables
+
+    (tmp_path / "a.csv").write_text("x,y\n+12,true\n-3,\nx,y\n12345678901234567890,FALSE\n")
+    (tmp_path / "b.csv").write_text("z\n2020-01-02\n")
+    profile = profile_tables(spark, discover_csv_tables(spark, str(tmp_path)))
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    by_file = [line for line in plan.splitlines() if "Join Inner" in line and "entry" in line]
+    assert len(by_file) == 1 and "strategy=broadcast" in by_file[0]
+    got = {(r.table_name, r.column_name): (r.data_type, r.n_rows) for r in profile.collect()}
+    assert got == {("a", "x"): ("DecimalType(20,0)", 3), ("a", "y"): ("BooleanType()", 3), ("b", "z"): ("DateType()", 1)}
