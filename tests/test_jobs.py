@@ -625,3 +625,24 @@ def test_texts_with_the_mark_of_the_test(spark):
     got = {r.t: (r.jvm, r.ok) for r in with_strict_json(df, F.col("t"), "ok").withColumn("jvm", jvm_accepts(F.col("t"))).collect()}
     assert {t for t, (_, ok) in got.items() if ok} == {f"[{mark}]", mark}
     assert not any(jvm for jvm, _ in got.values())
+
+
+def test_only_join_keys_are_judged_by_sorting(spark):
+    from loomwright.plans import validate
+
+    rows = [(1, "missing_table", -1, "", "t", "", None, None, None), (1, "missing_table", -1, "", "u", "", True, False, None),
+            (1, "missing_join_key", 0, "left", "t", "k", None, None, None), (1, "missing_join_key", 0, "right", "u", "k", True, None, "text"),
+            (1, "missing_target", -1, "", "t", "y", None, None, None), (1, "missing_target", -1, "", "u", "y", True, True, "text"),
+            (None, "missing_column", -1, "", "u", "z", None, None, None)]
+    looked_up = spark.createDataFrame(rows, "spec_id int, rule string, pos int, side string, table_name string, column_name string, "
+                                            "known boolean, is_target boolean, family string")
+    judged = validate._judged(looked_up)
+    sides = judged._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" in sides and "HashAggregate" in sides
+    got = {(r.spec_id, r.rule, r.column_name, r.asked_table): (r.any_found, r.any_flagged, r.no_left, r.no_right, r.left_family, r.right_family)
+           for r in judged.collect()}
+    assert got == {
+        (1, "missing_table", "", "t"): (False, False, None, None, None, None), (1, "missing_table", "", "u"): (True, False, None, None, None, None),
+        (1, "missing_join_key", "k", None): (True, False, "t", None, None, "text"),
+        (1, "missing_target", "y", None): (True, True, None, None, None, None),
+        (None, "missing_column", "z", None): (False, False, None, None, None, None)}
