@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators.context import NO_CONTEXT, assemble_context
-from loomwright.operators.inverted_file import InvertedFile, approximate_topk
+from loomwright.operators.inverted_file import InvertedFile, approximate_topk, lay_out
 from loomwright.operators.lexical import WordScorer, lexical_topk, route_by_words
 from loomwright.operators.topk import best_k, rank_in_blocks
 from loomwright.operators.vectors import (
@@ -116,6 +119,95 @@ def test_inverted_file_reads_few_lists_of_clustered_vectors(spark):
     assert all(abs(scores[r.query_id, r.doc_id] - r.score) < 1e-8 for r in found if (r.query_id, r.doc_id) in scores)
 
 
+def test_rows_that_leave_a_search_do_not_grow_with_the_table(spark, monkeypatch):
+    """Only the k best of a block are ranked, however many vectors a query is compared with."""
+    from loomwright.operators import inverted_file
+
+    monkeypatch.setattr(inverted_file, "LEAST_BLOCK", 100, raising=False)
+    ranked = []
+
+    def counting(candidates, k):
+        ranked.append(candidates.count())
+        return best_k(candidates, k)
+
+    monkeypatch.setattr(inverted_file, "best_k", counting)
+    draw = np.random.default_rng(5)
+    made = [(i, [float(x) for x in v]) for i, v in enumerate(draw.standard_normal((3000, 16)))]
+    most = []
+    for n in (1500, 3000):
+        queries, docs = sides(spark.createDataFrame(made[:n], "id bigint, embedding array<float>"))
+        queries = queries.where("query_id < 300")
+        ranked.clear()
+        found = InvertedFile(docs, 3, sample=400).search(queries).collect()
+        most.append(max(ranked))
+        exact = {(q, d) for q, d, _, _ in tuples(cosine_topk(queries, docs, 3))}
+        assert len({(r.query_id, r.doc_id) for r in found} & exact) / len(exact) > 0.9
+        assert min(r.compared for r in found) > 3
+    blocks = 1 + math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
+    assert max(most) <= 300 * 3 * blocks and most[1] <= 1.3 * most[0]
+
+
+def test_blocks_of_lists_give_the_same(spark, monkeypatch):
+    """Few large blocks, many small ones, and lists that are cut into several."""
+    from loomwright.operators import inverted_file
+
+    draw = np.random.default_rng(6)
+    made = draw.standard_normal((600, 12))
+    made[:200] = made[0] + 0.2 * draw.standard_normal((200, 12))  # one long list
+    df = spark.createDataFrame([(str(i), [float(x) for x in v]) for i, v in enumerate(made)], "id string, embedding array<double>")
+    queries, docs = sides(df)
+    out = []
+    for least, most in ((1000, 64 << 20), (40, 64 << 20), (1, 8 * 12 * 25)):
+        monkeypatch.setattr(inverted_file, "LEAST_BLOCK", least)
+        monkeypatch.setattr(inverted_file, "BLOCK_BYTES", most)
+        index = InvertedFile(docs, 3, lists=9, sample=500)
+        out.append(sorted(tuple(r) for r in index.search(queries).collect()))
+    assert index._layout.pieces.max() > 1 and len(index._layout.members) > 20
+    assert len(out[0]) == 1800 and out[0] == out[1] == out[2]
+
+
+def test_layout_bounds_blocks_and_places_each_list_once():
+    draw = np.random.default_rng(7)
+    sizes = np.array([0, 10, 250, 99, 100, 101, 1, 0, 60, 60])
+    layout = lay_out(draw.standard_normal((10, 4)), sizes, 100)
+    held = np.zeros(len(layout.members))
+    for at, (first, pieces) in enumerate(zip(layout.first, layout.pieces)):
+        for b in range(first, first + pieces):
+            assert at in layout.members[b] and (pieces == 1 or len(layout.members[b]) == 1)
+            held[b] += sizes[at] / pieces
+    assert sum(len(m) for m in layout.members) == layout.pieces.sum() == 13
+    assert max(held) < 200
+
+
+def test_candidates_are_cut_by_code_in_steps(monkeypatch):
+    """Hundreds of vectors with one code: the pairs that are held stay bounded, and ties go by id."""
+    from loomwright.operators import inverted_file
+
+    for name, value in (("QUERY_STEP", 8), ("DOC_STEP", 16), ("PAIR_STEP", 5)):
+        monkeypatch.setattr(inverted_file, name, value)
+    draw = np.random.default_rng(8)
+    docs, asked = draw.standard_normal((300, 4)), draw.standard_normal((20, 4))
+    docs[50:] = docs[50]
+    quantiser = inverted_file.train(docs / np.linalg.norm(docs, axis=1, keepdims=True), 3)
+    unit = docs / np.linalg.norm(docs, axis=1, keepdims=True)
+    lists = quantiser.lists_of(unit)
+    shared = inverted_file._Shared(quantiser, lay_out(quantiser.centroids, np.bincount(lists, minlength=3), 1000), lists, unit)
+    ids = [f"{i:03}" for i in draw.permutation(300)]
+    kind = pa.list_(pa.float64())
+    block = inverted_file._Block(shared, pa.table({
+        "list": pa.array(lists, pa.int32()), "doc_id": ids, "codes": [c.tobytes() for c in quantiser.encode(unit, lists)],
+        "embedding": pa.array(docs.tolist(), kind), "block": pa.array([0] * 300, pa.int32())}))
+    queries = pa.table({"query_id": range(20), "embedding": pa.array(asked.tolist(), kind),
+                        "floor": [-np.inf] * 20, "reads": [b"\xe0"] * 20})
+    got = {}
+    for q, d, scores, compared in block.nearest(queries, 3, 290):
+        for row, doc, score, n in zip(q, d, scores, compared):
+            got.setdefault(int(row), []).append((block.ids[doc].as_py(), score, int(n)))
+    for q, v in enumerate(asked):
+        exact = sorted((-round(float(c), 9), i) for c, i in zip(unit @ v / np.linalg.norm(v), ids))[:3]
+        assert [(i, n) for i, _, n in got[q]] == [(i, n) for (_, i), n in zip(exact, (290, 0, 0))]
+
+
 def test_inverted_file_of_few_or_no_vectors(spark):
     kind = "id string, embedding array<float>"
     queries, docs = sides(spark.createDataFrame([("a", [1.0, 0.0, 1.0]), ("b", [0.0, 0.0, 0.0]), ("c", None), ("d", [])], kind))
