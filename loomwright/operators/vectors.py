@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomwright.operators.topk import rank_documents
+from loomwright.operators.topk import rank_documents, rank_in_blocks
 from loomwright.storage import spread
 
 # Cosines are ranked on this many decimals: the last bits depend on the order of
 # summation, and equal vectors must tie.
 SCORE_DECIMALS = 9
 _BATCH_CELLS = 4_000_000
+# All vectors travel once for each block of queries, so these are large.
+QUERY_BLOCK = 8192
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -125,6 +128,7 @@ def cosine_topk(
     """
     docs = docs if where is None else docs.where(where)
     present = "embedding is not null and size(embedding) > 0"
+    limits.setdefault("in_blocks", partial(rank_in_blocks, query_block=QUERY_BLOCK))
     return rank_documents(
         queries.where(present), spread(docs.where(present)), CosineScorer(), k, **limits
     )

@@ -60,6 +60,21 @@ def test_cosine_topk_is_exact_on_both_paths(vectors):
     assert [(q, d, r) for q, d, _, r in shared] == brute_force(made, asked, 4)
 
 
+def test_all_vectors_travel_once_for_thousands_of_queries(vectors, monkeypatch):
+    from loomwright.operators import vectors as module
+
+    blocks = []
+
+    def recording(queries, *args, query_block=2048, **settings):
+        blocks.append(math.ceil(8000 / query_block))
+        return rank_in_blocks(queries, *args, query_block=query_block, **settings)
+
+    monkeypatch.setattr(module, "rank_in_blocks", recording, raising=False)
+    queries, docs = sides(vectors[0])
+    assert tuples(cosine_topk(queries, docs, 2, max_shared=10)) == tuples(cosine_topk(queries, docs, 2))
+    assert blocks == [1]
+
+
 def test_small_blocks_and_buckets_give_the_same(vectors, spark):
     df, _ = vectors
     queries, docs = sides(df.where("embedding is not null"))
